@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysed inputs are whole tables (files) or one request body; there is no
+stream, watermark or late-data semantics to reproduce, so no streaming operator
+is provided.  Every batch operator works unchanged inside
+``writeStream.foreachBatch`` on a micro-batch if a caller needs that.
+"""
