@@ -64,7 +64,7 @@ def with_seq(long: DataFrame, order: Sequence[str] = (TS, TB), seq_col: str = SE
     keys = [SERIES, *order]
     if longest <= limit:
         w = Window.partitionBy(SERIES).orderBy(*order)
-        return long.withColumn(seq_col, F.row_number().over(w) - 1)
+        return long.withColumn(seq_col, (F.row_number().over(w) - 1).cast("bigint"))
 
     spark = long.sparkSession
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
@@ -161,7 +161,7 @@ def rolling_stats(long: DataFrame, window: int | None = None, min_points: int =
     full = (F.col(SEQ) >= F.col("_w") - 1) & (F.col("_w") >= 1)
     mean = F.coalesce(*[F.when(F.col("_w") == k, F.col(f"_m{k}")) for k in range(1, reach + 1)])
     std = F.coalesce(*[F.when(F.col("_w") == k, F.col(f"_s{k}")) for k in range(1, reach + 1)])
-    out = rolled.select(SERIES, TS, TB, SEQ, VALUE, F.col("_w").alias("window"), "n",
+    out = rolled.select(SERIES, TS, TB, SEQ, VALUE, F.col("_w").alias("window_size"), "n",
                         F.when(full, mean).alias("rolling_mean"),
                         F.when(full, std).alias("rolling_std"))
     last = (out.where(F.col("n") >= min_points)
