@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dist import norm_cdf_col
-from ..schema import SERIES, VALUE
+from ..schema import SEQ, SERIES, VALUE
 from .joins import bounded
 from .order import chunk_window, cumulative_sum, lagged, series_sizes, with_seq
 
@@ -250,3 +250,137 @@ def normality_test(clean: DataFrame, min_points: int = 5, max_chunk: int | None
     both = sw.unionByName(k2)
     return both.select(SERIES, "n", "test_name", "test_statistic", "p_value",
                        (F.col("p_value") > 0.05).alias("is_normal"))
+
+
+# ---------------------------------------------------------------- H3
+# MacKinnon (1994) p-value polynomials and MacKinnon (2010) critical-value
+# response surfaces for the constant-only Dickey-Fuller regression.
+ADF_TAU_MAX, ADF_TAU_MIN, ADF_TAU_STAR = 2.74, -18.83, -1.61
+ADF_SMALLP = (2.1659, 1.4412, 0.038269)
+ADF_LARGEP = (1.7339, 0.93202, -0.12745, -0.010368)
+ADF_CRIT = {"1%": (-3.43035, -6.5393, -16.786, -79.433),
+            "5%": (-2.86154, -2.8903, -4.234, -40.040),
+            "10%": (-2.56677, -1.5384, -2.809, 0.0)}
+
+
+def adf_p_value(tau: float) -> float:
+    from ..functions.dist import norm_cdf
+    if tau > ADF_TAU_MAX:
+        return 1.0
+    if tau < ADF_TAU_MIN:
+        return 0.0
+    coefs = ADF_SMALLP if tau <= ADF_TAU_STAR else ADF_LARGEP
+    z = sum(c * tau ** i for i, c in enumerate(coefs))
+    return float(norm_cdf(z))
+
+
+def adf_critical(nobs: int) -> dict[str, float]:
+    t = float(nobs)
+    return {k: c[0] + c[1] / t + c[2] / t ** 2 + c[3] / t ** 3 for k, c in ADF_CRIT.items()}
+
+
+def adf_max_lag(n):
+    """Column form of ``min(ceil(12 (n/100)^(1/4)), n // 2 - 2)``."""
+    return F.least(F.ceil(F.lit(12.0) * F.pow(F.col(n).cast("double") / 100.0, 0.25)),
+                   F.floor(F.col(n) / 2) - 2).cast("int")
+
+
+def _adf_frame(clean: DataFrame, max_chunk: int | None):
+    sizes = series_sizes(clean)
+    sizes = sizes.withColumn("maxlag", adf_max_lag("n"))
+    ok = bounded(sizes.where((F.col("n") >= 8) & (F.col("maxlag") >= 0)))
+    kmax = int(ok.agg(F.max("maxlag")).first()[0] or 0)
+    seqd = with_seq(clean.join(ok.select(SERIES), SERIES, "left_semi"), sizes=ok.select(SERIES, "n"),
+                    max_chunk=max_chunk)
+    w = chunk_window()
+    exprs = {f"_y{k}": F.lag(VALUE, k).over(w) for k in range(1, kmax + 2)}
+    lg = lagged(seqd, exprs, back=kmax + 1, max_chunk=max_chunk)
+    cols = {"_one": F.lit(1.0), "_lvl": F.col("_y1"), "_dy": F.col(VALUE) - F.col("_y1")}
+    for k in range(1, kmax + 1):
+        cols[f"_d{k}"] = F.col(f"_y{k}") - F.col(f"_y{k + 1}")
+    frame = lg.select(SERIES, SEQ, *[e.alias(k) for k, e in cols.items()]).join(ok, SERIES)
+    return frame, ok, kmax
+
+
+def adf_test(clean: DataFrame, min_points: int = 8, max_chunk: int | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller (constant, lag length by AIC over 0..maxlag).
+
+    Regression of dy_t on [1, y_{t-1}, dy_{t-1..t-k}] on the common sample; all lag
+    lengths are solved from one distributed Gram matrix, the chosen one is refitted on
+    its own sample (second Gram).  ``(series_id, n, used_lag, nobs, test_statistic,
+    p_value, crit_1, crit_5, crit_10, is_stationary)``."""
+    from ..functions.dist import norm_cdf  # noqa: F401  (imported for workers)
+    from .linalg import gram, solve
+
+    frame, ok, kmax = _adf_frame(clean, max_chunk)
+    lag_cols = [f"_d{k}" for k in range(1, kmax + 1)]
+    cols = ["_one", "_lvl", *lag_cols, "_dy"]
+
+    def masked(limit_col):
+        sel = [SERIES, "_one", "_lvl"]
+        sel += [F.when(F.lit(k) <= F.col(limit_col), F.col(f"_d{k}")).otherwise(0.0).alias(f"_d{k}")
+                for k in range(1, kmax + 1)]
+        return sel + ["_dy"]
+
+    search = frame.where((F.col(SEQ) >= F.col("maxlag") + 1) & (F.col("n") >= min_points)).select(*masked("maxlag"))
+    g1 = gram(search, cols)
+    maxlags = ok.select(SERIES, "maxlag")
+
+    def choose(pdf):
+        sid = pdf[SERIES].iloc[0]
+        from .linalg import assemble, ols_from_gram
+        g = assemble(pdf, len(cols))
+        nobs = g[0, 0]
+        ml = int(pdf["maxlag"].iloc[0])
+        best, best_aic = 0, np.inf
+        for lag in range(0, ml + 1):
+            idx = [0, 1] + list(range(2, 2 + lag))
+            _, ssr, _ = ols_from_gram(g, idx)
+            llf = -nobs / 2.0 * (np.log(2 * np.pi) + np.log(ssr / nobs) + 1.0)
+            aic = -2.0 * llf + 2.0 * len(idx)
+            if aic < best_aic:
+                best, best_aic = lag, aic
+        return pd.DataFrame({SERIES: [sid], "used_lag": [best]})
+
+    chosen = g1.join(maxlags, SERIES).groupBy(SERIES).applyInPandas(choose, f"{SERIES} string, used_lag int")
+    chosen = bounded(chosen)
+    final = frame.join(chosen, SERIES).where(F.col(SEQ) >= F.col("used_lag") + 1).select(*masked("used_lag"))
+    g2 = gram(final, cols).join(chosen, SERIES)
+
+    def stat(pdf):
+        from .linalg import assemble, ols_from_gram
+        sid = pdf[SERIES].iloc[0]
+        g = assemble(pdf, len(cols))
+        lag = int(pdf["used_lag"].iloc[0])
+        idx = [1] + list(range(2, 2 + lag)) + [0]
+        beta, ssr, xtx = ols_from_gram(g, idx)
+        nobs = g[0, 0]
+        dof = nobs - len(idx)
+        s2 = ssr / dof if dof > 0 else np.nan
+        try:
+            cov = s2 * np.linalg.inv(xtx)
+            tau = float(beta[0] / np.sqrt(cov[0, 0]))
+        except np.linalg.LinAlgError:
+            tau = np.nan
+        p = adf_p_value(tau) if np.isfinite(tau) else np.nan
+        crit = adf_critical(int(nobs))
+        return pd.DataFrame({SERIES: [sid], "used_lag": [lag], "nobs": [int(nobs)], "test_statistic": [tau],
+                             "p_value": [p], "crit_1": [crit["1%"]], "crit_5": [crit["5%"]],
+                             "crit_10": [crit["10%"]]})
+
+    res = g2.groupBy(SERIES).applyInPandas(
+        stat, f"{SERIES} string, used_lag int, nobs long, test_statistic double, p_value double, "
+              "crit_1 double, crit_5 double, crit_10 double")
+    return res.join(ok.select(SERIES, "n"), SERIES).withColumn("is_stationary", F.col("p_value") < 0.05)
+
+
+def stationarity_tests(clean: DataFrame, max_chunk: int | None = None) -> DataFrame:
+    """EDA section: ADF and KPSS side by side (series with >= 8 points)."""
+    a = adf_test(clean, max_chunk=max_chunk).select(
+        SERIES, F.col("test_statistic").alias("adf_statistic"), F.col("p_value").alias("adf_p_value"),
+        F.col("crit_1").alias("adf_crit_1"), F.col("crit_5").alias("adf_crit_5"),
+        F.col("crit_10").alias("adf_crit_10"), F.col("is_stationary").alias("adf_is_stationary"))
+    k = kpss_test(clean, max_chunk=max_chunk).select(
+        SERIES, F.col("test_statistic").alias("kpss_statistic"), F.col("p_value").alias("kpss_p_value"),
+        F.col("lags").alias("kpss_lags"), F.col("is_stationary").alias("kpss_is_stationary"))
+    return a.join(k, SERIES, "full")
