@@ -208,18 +208,24 @@ def step_forward(last: Column, freq: Column, i: Column) -> Column:
     num = F.regexp_extract(f, r"^(\d*)", 1)
     k = F.when(num == "", F.lit(1)).otherwise(num.cast("int"))
     unit = F.regexp_replace(f, r"^\d+", "")
+    i = i.cast("bigint")
+    k = k.cast("bigint")
     d = last.cast("date")
-    secs = F.unix_timestamp(last.cast("timestamp"))
+    micros = F.unix_micros(last.cast("timestamp"))
     wd = F.dayofweek(last)  # 1 = Sunday
     wk = (wd + 5) % 7  # Monday = 0
     base = F.when(wk > 4, F.date_sub(d, (wk - 4).cast("int"))).otherwise(d)
     bday = F.date_add(base, (i + 2 * F.floor((F.least(wk, F.lit(4)) + i) / 5)).cast("int"))
+
+    def plus_seconds(sec):
+        return F.timestamp_micros(micros + sec * F.lit(1_000_000).cast("bigint"))
+
     return _ntz(
-        F.when(unit == "D", F.timestamp_seconds(secs + i * k * 86400))
-        .when(unit == "h", F.timestamp_seconds(secs + i * k * 3600))
-        .when(unit == "min", F.timestamp_seconds(secs + i * k * 60))
-        .when(unit == "s", F.timestamp_seconds(secs + i * k))
-        .when(unit.startswith("W-"), F.timestamp_seconds(secs + i * 7 * 86400))
+        F.when(unit == "D", plus_seconds(i * k * 86400))
+        .when(unit == "h", plus_seconds(i * k * 3600))
+        .when(unit == "min", plus_seconds(i * k * 60))
+        .when(unit == "s", plus_seconds(i * k))
+        .when(unit.startswith("W-"), plus_seconds(i * 7 * 86400))
         .when(unit == "B", bday.cast("timestamp"))
         .when(unit == "MS", F.add_months(F.trunc(d, "month"), i).cast("timestamp"))
         .when(unit == "M", F.last_day(F.add_months(d, i)).cast("timestamp"))
@@ -227,7 +233,7 @@ def step_forward(last: Column, freq: Column, i: Column) -> Column:
         .when(unit.startswith("Q-"), F.last_day(F.add_months(d, i * 3)).cast("timestamp"))
         .when(unit.startswith("YS-"), F.add_months(F.trunc(d, "month"), i * 12).cast("timestamp"))
         .when(unit.startswith("Y-"), F.last_day(F.add_months(d, i * 12)).cast("timestamp"))
-        .otherwise(F.timestamp_seconds(secs + i * 86400))
+        .otherwise(plus_seconds(i * 86400))
     )
 
 
