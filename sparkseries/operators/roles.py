@@ -137,8 +137,8 @@ def parse_columns(df: DataFrame, columns: Sequence[str] | None = None,
             F.count(x).alias(f"n{i}"),
             F.count(F.col(c)).alias(f"raw{i}"),
             F.count(F.when(x.isNull() & F.col(c).isNull() | x.isNotNull(), 1)).alias(f"all{i}"),
-            F.count(F.try_cast(x, "bigint")).alias(f"i{i}"),
-            F.count(F.try_cast(x, "double")).alias(f"d{i}"),
+            F.count(x.try_cast("bigint")).alias(f"i{i}"),
+            F.count(x.try_cast("double")).alias(f"d{i}"),
             F.count(F.try_to_timestamp(x)).alias(f"t{i}"),
             F.count(F.when(x.isNull(), 1)).alias(f"m{i}"),
         ]
@@ -150,9 +150,9 @@ def parse_columns(df: DataFrame, columns: Sequence[str] | None = None,
         if n == 0:
             out = out.withColumn(c, F.lit(None).cast("double"))
         elif row[f"i{i}"] == n and missing == 0:
-            out = out.withColumn(c, F.try_cast(x, "bigint"))
+            out = out.withColumn(c, x.try_cast("bigint"))
         elif row[f"d{i}"] == n:
-            out = out.withColumn(c, F.try_cast(x, "double"))
+            out = out.withColumn(c, x.try_cast("double"))
         elif row[f"t{i}"] == n:
             out = out.withColumn(c, F.try_to_timestamp(x).cast("timestamp_ntz"))
         else:

@@ -41,4 +41,4 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 # modules below add their queries to the registry on import
-from . import catalog_core, catalog_series, catalog_forecast  # noqa: E402,F401
+from . import catalog_core, catalog_series, catalog_forecast, catalog_reports  # noqa: E402,F401
