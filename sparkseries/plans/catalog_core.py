@@ -281,3 +281,16 @@ def q_anomaly_summary_events(spark, sf):
     """Total points, anomaly count and percentage per series (z-score, t = 3)."""
     long = cz.events_long(spark, sf)
     return rounded(anomaly.anomaly_summary(long, anomaly.detect_anomalies(long, "zscore", 3.0)))
+
+
+@register("isolation_forest_events")
+def q_isolation_forest_events(spark, sf):
+    """D3: isolation-forest anomalies (100 trees x 256 samples, top 5 % scores) per event type."""
+    return _anom_out(anomaly.detect_anomalies(cz.events_long(spark, sf), "isolation_forest", 3.0))
+
+
+@register("isolation_forest_summary_lineitem")
+def q_isolation_forest_summary_lineitem(spark, sf):
+    """D3 + D5 on LI: share of flagged points per measure (about 5 %)."""
+    long = cz.lineitem_long(spark, sf)
+    return rounded(anomaly.anomaly_summary(long, anomaly.detect_anomalies(long, "isolation_forest")))
