@@ -6,10 +6,12 @@ with a broadcast hash join keeps the big side where it is (no shuffle, no hot
 task for a series that holds a third of all rows).  A broadcast is only safe
 when the side has a proven size bound, so:
 
-* :func:`bounded` materialises the side table in the shared checkpoint folder,
-  counts it and hints ``broadcast`` only if the count is within
-  ``sparkseries.broadcastMaxRows``; beyond it the join is left to AQE
-  (shuffle join with skew splitting).
+* :func:`bounded` computes the side table once, writes it to the shared
+  checkpoint folder (lineage cut: later plans see a small leaf, and a lost
+  executor does not recompute it), counts it and hints ``broadcast`` only if the
+  count is within ``sparkseries.broadcastMaxRows``; beyond it the join is left
+  to AQE (shuffle join with skew splitting).  The check runs before the big side
+  is planned, so a data-sized shuffle is never started only to be discarded.
 * :func:`static_bound` is for sides whose row count is known from the plan
   itself (for example one row per unpivoted column).
 """
@@ -27,10 +29,10 @@ def max_broadcast_rows(df: DataFrame) -> int:
 
 
 def bounded(small: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Materialise ``small`` (lineage cut) and broadcast it iff its row count is within the bound."""
+    """Materialise ``small`` (checkpointed) and broadcast it iff its row count is within the bound."""
     limit = max_rows if max_rows is not None else max_broadcast_rows(small)
+    # one job computes and writes the table; the count only reads the checkpoint files
     small = checkpoint(small)
-    # the count only reads the checkpoint files written just above
     if small.count() <= limit:
         return F.broadcast(small)
     return small

@@ -294,3 +294,28 @@ def q_isolation_forest_summary_lineitem(spark, sf):
     """D3 + D5 on LI: share of flagged points per measure (about 5 %)."""
     long = cz.lineitem_long(spark, sf)
     return rounded(anomaly.anomaly_summary(long, anomaly.detect_anomalies(long, "isolation_forest")))
+
+
+@register("first_series_orders_daily", f"""
+SELECT '1-URGENT' AS series_id, ts, tiebreak, {_r('value')} AS value FROM ({ORD_DAILY}) WHERE series_id = '1-URGENT'""")
+def q_first_series_orders_daily(spark, sf):
+    """B11 + B3: first time column and first numeric column of the wide daily table, after a
+    column selection (the series endpoint's view)."""
+    wide = cz.orders_wide_daily(spark, sf)
+    picked = roles.select_columns(wide, list(cz.ORDER_PRIORITIES), keep=["day"])
+    long = roles.first_series(picked)
+    tb = F.unix_timestamp(F.col(TS).cast("timestamp"))
+    return rounded(long.select(F.lit("1-URGENT").alias(SERIES), TS, tb.alias(TB), VALUE))
+
+
+@register("min_points_guard_mixed", f"""
+WITH src AS (SELECT * FROM ({EV}) WHERE value > 300),
+c AS (SELECT series_id, count(*) AS n FROM src GROUP BY 1)
+SELECT 'ok' AS status, series_id, n FROM c WHERE n >= 5
+UNION ALL SELECT 'insufficient', series_id, n FROM c WHERE n < 5""")
+def q_min_points_guard_mixed(spark, sf):
+    """Split the sparse high-value event series into qualifying rows and status rows."""
+    hi = roles.drop_missing(cz.events_long(spark, sf)).where(F.col(VALUE) > 300)
+    ok, short = roles.min_points_guard(hi, 5)
+    ok_rows = ok.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n")).select(F.lit("ok").alias("status"), SERIES, "n")
+    return ok_rows.unionByName(short.select("status", SERIES, "n"))

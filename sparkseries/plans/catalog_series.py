@@ -251,3 +251,15 @@ def q_auto_decompose_events_orders(spark, sf):
     b = cz.orders_long(spark, sf).withColumn(SERIES, F.concat(F.lit("ORD:"), SERIES))
     out = decompose.auto_decompose(a.unionByName(b.select(*a.columns)))
     return rounded(out.select(SERIES, TS, SEQ, VALUE, "trend", "seasonal", "resid", "frequency", "period"))
+
+
+@_q("adf_orders_monthly")
+def q_adf_orders_monthly(spark, sf):
+    """H3: augmented Dickey-Fuller (AIC lag choice from one distributed Gram) on ORD_M."""
+    return rounded(diagnostics.adf_test(ord_m(spark, sf)), 4)
+
+
+@_q("stationarity_tests_events_daily")
+def q_stationarity_tests_events_daily(spark, sf):
+    """R1 stationarity section: ADF + KPSS side by side on EVD."""
+    return rounded(diagnostics.stationarity_tests(evd(spark, sf)), 4)
