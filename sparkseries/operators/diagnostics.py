@@ -310,7 +310,7 @@ def adf_test(clean: DataFrame, min_points: int = 8, max_chunk: int | None = None
     its own sample (second Gram).  ``(series_id, n, used_lag, nobs, test_statistic,
     p_value, crit_1, crit_5, crit_10, is_stationary)``."""
     from ..functions.dist import norm_cdf  # noqa: F401  (imported for workers)
-    from .linalg import gram, solve
+    from .linalg import gram
 
     frame, ok, kmax = _adf_frame(clean, max_chunk)
     lag_cols = [f"_d{k}" for k in range(1, kmax + 1)]

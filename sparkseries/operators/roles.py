@@ -135,8 +135,6 @@ def parse_columns(df: DataFrame, columns: Sequence[str] | None = None,
         x = cleaned(c)
         aggs += [
             F.count(x).alias(f"n{i}"),
-            F.count(F.col(c)).alias(f"raw{i}"),
-            F.count(F.when(x.isNull() & F.col(c).isNull() | x.isNotNull(), 1)).alias(f"all{i}"),
             F.count(x.try_cast("bigint")).alias(f"i{i}"),
             F.count(x.try_cast("double")).alias(f"d{i}"),
             F.count(F.try_to_timestamp(x)).alias(f"t{i}"),

@@ -129,14 +129,13 @@ def q_json_roundtrip_events(spark, sf):
 @register("json_columns_orders_monthly", f"""
 SELECT series_id, count(*) AS n, round(sum(value), 4) AS total FROM ({ORD_M}) GROUP BY 1""")
 def q_json_columns_orders_monthly(spark, sf):
-    """A2 column-oriented documents ({col: {idx: val}}), one per priority, read back."""
+    """A2 column-oriented documents ({col: {idx: val}}), one per priority and year (bounded), read back."""
     m = order.with_seq(ord_m(spark, sf))
-    docs = m.groupBy(SERIES).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("seq").cast("string"), F.col(SERIES)))).alias("series"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("seq").cast("string"),
-                                                   F.date_format(TS, "yyyy-MM-dd")))).alias("date"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("seq").cast("string"), F.col(VALUE))))
-        .alias("value"))
+    entry = F.col("seq").cast("string")
+    docs = m.groupBy(SERIES, F.year(TS).alias("_y")).agg(
+        F.map_from_entries(F.collect_list(F.struct(entry, F.col(SERIES)))).alias("series"),
+        F.map_from_entries(F.collect_list(F.struct(entry, F.date_format(TS, "yyyy-MM-dd")))).alias("date"),
+        F.map_from_entries(F.collect_list(F.struct(entry, F.col(VALUE)))).alias("value"))
     path = scratch_path(spark, "jsoncols")
     docs.select(F.to_json(F.struct("series", "date", "value")).alias("v")).write.text(path)
     back = read_json(spark, path, orient="columns", lines=True)

@@ -266,3 +266,74 @@ UNION ALL
 SELECT * FROM ({decompose_sql(f"SELECT 'ORD:' || series_id AS series_id, ts, seq, value FROM ({ORD_DAILY_REG})", 7,
                               ", 'D' AS frequency, 7 AS period")})""",
 }
+
+
+# ---------------------------------------------------------------- G4 / G5 oracles
+FREQ_INPUTS = f"""
+SELECT 'D:' || series_id AS series_id, ts FROM ({EVD})
+UNION ALL SELECT 'W:' || series_id, (date_trunc('week', ts) + INTERVAL 6 DAY)::TIMESTAMP FROM ({CLEAN_EV})
+  GROUP BY 1, 2
+UNION ALL SELECT 'M:' || series_id, ts FROM ({ORD_M})
+UNION ALL SELECT 'Q:' || o_orderpriority, (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::TIMESTAMP
+  FROM orders GROUP BY 1, 2
+UNION ALL SELECT 'H:' || o_orderpriority, date_trunc('hour', o_orderdate) FROM orders GROUP BY 1, 2
+UNION ALL SELECT 'raw:' || series_id, ts FROM ({EV})"""
+
+INFER_FREQ = f"""
+WITH st AS (SELECT DISTINCT series_id, ts FROM ({FREQ_INPUTS}) WHERE ts IS NOT NULL),
+l AS (SELECT series_id, ts, lag(ts) OVER (PARTITION BY series_id ORDER BY ts) AS prev,
+             floor(epoch(ts))::BIGINT - floor(epoch(lag(ts) OVER (PARTITION BY series_id ORDER BY ts)))::BIGINT AS secs,
+             (year(ts) * 12 + month(ts)) - lag(year(ts) * 12 + month(ts)) OVER (PARTITION BY series_id ORDER BY ts) AS mstep,
+             dayofweek(ts) + 1 AS dow
+      FROM st),
+g AS (SELECT series_id, count(*) AS n, min(secs) AS dmin, max(secs) AS dmax, min(mstep) AS mmin, max(mstep) AS mmax,
+             min(CASE WHEN ts = date_trunc('day', ts) THEN 1 ELSE 0 END) AS all_midnight,
+             min(CASE WHEN day(ts) = 1 THEN 1 ELSE 0 END) AS all_first,
+             min(CASE WHEN ts::DATE = last_day(ts) THEN 1 ELSE 0 END) AS all_last,
+             min(CASE WHEN dow IN (1, 7) THEN 0 ELSE 1 END) AS all_weekday,
+             max(CASE WHEN secs = 3 * 86400 AND dow <> 2 THEN 1 ELSE 0 END) AS bad_gap3,
+             min(dow) AS dow_min, max(dow) AS dow_max, min(month(ts)) AS mon_min
+      FROM l GROUP BY 1),
+h AS (SELECT *, dmin = dmax AS uni, mmin = mmax AND all_midnight = 1 AS monthly,
+             ['JAN','FEB','MAR','APR','MAY','JUN','JUL','AUG','SEP','OCT','NOV','DEC'] AS mons FROM g)
+SELECT series_id, CASE
+  WHEN n < 3 THEN NULL
+  WHEN uni AND dmin = 7 * 86400 AND dow_min = dow_max
+       THEN 'W-' || ['SUN','MON','TUE','WED','THU','FRI','SAT'][dow_min]
+  WHEN uni AND dmin % 86400 = 0 THEN CASE WHEN dmin // 86400 = 1 THEN 'D' ELSE (dmin // 86400)::VARCHAR || 'D' END
+  WHEN uni AND dmin % 3600 = 0 THEN CASE WHEN dmin // 3600 = 1 THEN 'h' ELSE (dmin // 3600)::VARCHAR || 'h' END
+  WHEN uni AND dmin % 60 = 0 THEN CASE WHEN dmin // 60 = 1 THEN 'min' ELSE (dmin // 60)::VARCHAR || 'min' END
+  WHEN uni THEN CASE WHEN dmin = 1 THEN 's' ELSE dmin::VARCHAR || 's' END
+  WHEN all_weekday = 1 AND all_midnight = 1 AND dmin = 86400 AND dmax = 3 * 86400 AND bad_gap3 = 0 THEN 'B'
+  WHEN monthly AND mmin = 1 AND all_first = 1 THEN 'MS'
+  WHEN monthly AND mmin = 1 AND all_last = 1 THEN 'M'
+  WHEN monthly AND mmin = 3 AND all_first = 1 THEN 'QS-' || mons[((mon_min - 1) % mmin) + 1]
+  WHEN monthly AND mmin = 3 AND all_last = 1 THEN 'Q-' || mons[((mon_min - 1) % mmin) + 13 - mmin]
+  WHEN monthly AND mmin = 12 AND all_first = 1 THEN 'YS-' || mons[((mon_min - 1) % mmin) + 1]
+  WHEN monthly AND mmin = 12 AND all_last = 1 THEN 'Y-' || mons[((mon_min - 1) % mmin) + 13 - mmin]
+END AS freq FROM h"""
+
+SQL["infer_frequency_mixed"] = INFER_FREQ
+SQL["future_dates_mixed"] = f"""
+WITH f AS ({INFER_FREQ}),
+last AS (SELECT series_id, max(ts) AS last_ts, count(*) AS n FROM ({FREQ_INPUTS}) GROUP BY 1),
+s AS (SELECT last.*, coalesce(f.freq, 'D') AS fr, k.step FROM last LEFT JOIN f USING (series_id)
+      CROSS JOIN (SELECT unnest(range(1, 11)) AS step) k),
+u AS (SELECT *, regexp_replace(fr, '^[0-9]+', '') AS unit,
+             CASE WHEN regexp_extract(fr, '^([0-9]*)', 1) = '' THEN 1
+                  ELSE regexp_extract(fr, '^([0-9]*)', 1)::BIGINT END AS k FROM s)
+SELECT series_id, step::INTEGER AS step, CASE
+  WHEN unit = 'D' THEN last_ts + (step * k) * INTERVAL 1 DAY
+  WHEN unit = 'h' THEN last_ts + (step * k) * INTERVAL 1 HOUR
+  WHEN unit = 'min' THEN last_ts + (step * k) * INTERVAL 1 MINUTE
+  WHEN unit = 's' THEN last_ts + (step * k) * INTERVAL 1 SECOND
+  WHEN unit LIKE 'W-%' THEN last_ts + (step * 7) * INTERVAL 1 DAY
+  WHEN unit = 'MS' THEN (date_trunc('month', last_ts)::DATE + step * INTERVAL 1 MONTH)::TIMESTAMP
+  WHEN unit = 'M' THEN last_day(last_ts::DATE + step * INTERVAL 1 MONTH)::TIMESTAMP
+  WHEN unit LIKE 'QS-%' THEN (date_trunc('month', last_ts)::DATE + (step * 3) * INTERVAL 1 MONTH)::TIMESTAMP
+  WHEN unit LIKE 'Q-%' THEN last_day(last_ts::DATE + (step * 3) * INTERVAL 1 MONTH)::TIMESTAMP
+  WHEN unit LIKE 'YS-%' THEN (date_trunc('month', last_ts)::DATE + (step * 12) * INTERVAL 1 MONTH)::TIMESTAMP
+  WHEN unit LIKE 'Y-%' THEN last_day(last_ts::DATE + (step * 12) * INTERVAL 1 MONTH)::TIMESTAMP
+  ELSE last_ts + step * INTERVAL 1 DAY END AS ts,
+  (n + step - 1)::BIGINT AS seq
+FROM u"""
