@@ -66,9 +66,13 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a private one only for local masters.
 
-    Also ships the package to the Python workers once per context."""
+    Also ships the package to the Python workers once per context and pins the SQL
+    session time zone to UTC: every time in the long layout is zone-free
+    (TIMESTAMP_NTZ) and epoch arithmetic must not shift with the session zone."""
     sc = spark.sparkContext
     ship_package(spark)
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     current = sc.getCheckpointDir()
     if current:
         return current
