@@ -35,7 +35,7 @@ def _r(x: str) -> str:
 @register("to_long_orders_daily", f"""
 SELECT series_id, ts, tiebreak, {_r('value')} AS value FROM ({ORD_DAILY})""")
 def q_to_long_orders_daily(spark, sf):
-    """B4 + B1 + B2: wide (day x priority) table unpivoted to the long layout, NULLs kept."""
+    """B4 + B1 + B2 + B5: wide (day x priority) table unpivoted to the long layout (values as DOUBLE), NULLs kept."""
     wide = cz.orders_wide_daily(spark, sf).withColumn(
         "_tb", F.unix_timestamp(F.col("day").cast("timestamp")))
     wide, tcol = roles.resolve_time_column(wide)
@@ -238,7 +238,7 @@ SELECT series_id, ts, tiebreak, {_r('value')} AS value, {_r('score')} AS score,
        'zscore' AS method, 3.0::DOUBLE AS threshold
 FROM z WHERE abs(score) > 3.0""")
 def q_zscore_anomalies_events(spark, sf):
-    """D1 (flagship): z-score anomalies per event type, threshold 3."""
+    """D1 + D4 (flagship): z-score anomalies per event type through the dispatcher, threshold 3."""
     return _anom_out(anomaly.detect_anomalies(cz.events_long(spark, sf), "zscore", 3.0))
 
 

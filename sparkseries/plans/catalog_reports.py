@@ -101,7 +101,7 @@ def q_eda_report_orders_monthly(spark, sf):
 SELECT o_orderpriority AS series_id, count(*) AS n, round(sum(o_totalprice), 4) AS total,
        min(o_orderdate) AS first_ts, max(o_orderdate) AS last_ts FROM orders GROUP BY 1""")
 def q_csv_roundtrip_orders(spark, sf):
-    """A7 then A1: orders exported as '{id}_{kind}' CSV, read back with typing, to long form."""
+    """A7 then A1 + B6: orders exported as '{id}_{kind}' CSV, read back and typed from text, to long form."""
     o = cz.table(spark, sf, "orders").select("o_orderdate", "o_orderkey", "o_orderpriority", "o_totalprice")
     folder = write_result_csv(o, scratch_path(spark, "csv"), "orders", "input")
     back = read_csv(spark, folder)
