@@ -101,9 +101,9 @@ def halo_frame(seqd: DataFrame, back: int, fwd: int = 0, max_chunk: int | None =
         F.when(pos >= F.lit(size - back), F.struct((c + 1).alias("c"), F.lit(False).alias("core"))),
         F.when((pos < F.lit(fwd)) & (c > 0), F.struct((c - 1).alias("c"), F.lit(False).alias("core"))),
     ), lambda x: x.isNotNull())
-    return (seqd.withColumn("_copy", F.explode(copies))
-            .withColumn(CHUNK, F.col("_copy.c")).withColumn(CORE, F.col("_copy.core"))
-            .drop("_copy"))
+    exploded = seqd.select("*", F.explode(copies).alias("_copy"))
+    keep = [F.col(f"`{c}`") for c in seqd.columns]
+    return exploded.select(*keep, F.col("_copy.c").alias(CHUNK), F.col("_copy.core").alias(CORE))
 
 
 def chunk_window() -> Window:
@@ -115,9 +115,10 @@ def lagged(long_seq: DataFrame, exprs: dict[str, Column], back: int, fwd: int =
     """Evaluate window ``exprs`` (built on :func:`chunk_window`) over a halo frame
     and return the core rows with the new columns."""
     frame = halo_frame(long_seq, back, fwd, max_chunk)
-    for name, e in exprs.items():
-        frame = frame.withColumn(name, e)
-    return frame.where(F.col(CORE)).drop(CHUNK, CORE)
+    # one projection for all window columns (a withColumn chain re-analyses the plan per column)
+    keep = [F.col(f"`{c}`") for c in long_seq.columns if c not in exprs]
+    out = frame.select(*keep, F.col(CORE), *[e.alias(n) for n, e in exprs.items()])
+    return out.where(F.col(CORE)).drop(CORE)
 
 
 # ---------------------------------------------------------------- E3

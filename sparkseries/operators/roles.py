@@ -141,21 +141,21 @@ def parse_columns(df: DataFrame, columns: Sequence[str] | None = None,
             F.count(F.when(x.isNull(), 1)).alias(f"m{i}"),
         ]
     row = df.agg(*aggs).first()
-    out = df
+    typed = {}
     for i, c in enumerate(cols):
         n, missing = row[f"n{i}"], row[f"m{i}"]
         x = cleaned(c)
         if n == 0:
-            out = out.withColumn(c, F.lit(None).cast("double"))
+            typed[c] = F.lit(None).cast("double")
         elif row[f"i{i}"] == n and missing == 0:
-            out = out.withColumn(c, x.try_cast("bigint"))
+            typed[c] = x.try_cast("bigint")
         elif row[f"d{i}"] == n:
-            out = out.withColumn(c, x.try_cast("double"))
+            typed[c] = x.try_cast("double")
         elif row[f"t{i}"] == n:
-            out = out.withColumn(c, F.try_to_timestamp(x).cast("timestamp_ntz"))
+            typed[c] = F.try_to_timestamp(x).cast("timestamp_ntz")
         else:
-            out = out.withColumn(c, x)
-    return out
+            typed[c] = x
+    return df.select(*[typed[c].alias(c) if c in typed else F.col(f"`{c}`") for c in df.columns])
 
 
 # ---------------------------------------------------------------- B8 / B9 / B10

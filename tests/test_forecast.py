@@ -107,3 +107,11 @@ def test_lag_window_on_linear_series(spark):
     got = [r["forecast"] for r in rows.orderBy("step").collect()]
     assert got == pytest.approx([90, 92, 94], abs=1e-6)
     assert info.first()["rmse"] == pytest.approx(0, abs=1e-6)
+
+
+def test_declined_series_get_status(spark):
+    long = multi_long(spark, {"seven": [1.0, 3.0, 2.0, 5.0, 4.0, 6.0, 7.0]})
+    rows, info = forecast(long, "lstm", [2])
+    assert rows.count() == 0
+    r = info.first()
+    assert r["status"] == "error" and "lstm" in r["description"]
