@@ -18,7 +18,7 @@ when the side has a proven size bound, so:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import CONF_BROADCAST_ROWS, DEFAULT_BROADCAST_ROWS, checkpoint, conf_int
@@ -28,14 +28,20 @@ def max_broadcast_rows(df: DataFrame) -> int:
     return conf_int(df.sparkSession, CONF_BROADCAST_ROWS, DEFAULT_BROADCAST_ROWS)
 
 
-def bounded(small: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Materialise ``small`` (checkpointed) and broadcast it iff its row count is within the bound."""
+def bounded(small: DataFrame, max_rows: int | None = None, observe: dict | None = None) -> DataFrame:
+    """Materialise ``small`` (checkpointed) and broadcast it iff its row count is within the bound.
+
+    ``observe`` adds named aggregate columns computed in the same job; their values are
+    left on the result as ``df.sparkseries_metrics`` (with ``rows``)."""
     limit = max_rows if max_rows is not None else max_broadcast_rows(small)
-    # one job computes and writes the table; the count only reads the checkpoint files
-    small = checkpoint(small)
-    if small.count() <= limit:
-        return F.broadcast(small)
-    return small
+    # the checkpoint job computes and writes the table and, as observed metrics, counts it
+    size = Observation("sparkseries_side_rows")
+    extra = [e.alias(k) for k, e in (observe or {}).items()]
+    small = checkpoint(small.observe(size, F.count(F.lit(1)).alias("rows"), *extra))
+    metrics = dict(size.get)
+    out = F.broadcast(small) if metrics["rows"] <= limit else small
+    out.sparkseries_metrics = metrics
+    return out
 
 
 def static_bound(small: DataFrame, n_rows: int, max_rows: int | None = None) -> DataFrame:

@@ -39,8 +39,19 @@ def chunk_rows(df: DataFrame) -> int:
 
 
 def series_sizes(long: DataFrame) -> DataFrame:
-    """``(series_id, n)`` materialised in the checkpoint folder and size-checked for broadcast."""
-    return bounded(long.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n")))
+    """``(series_id, n)`` materialised in the checkpoint folder and size-checked for broadcast
+    (the longest series and the total are observed in the same job)."""
+    return bounded(long.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n")),
+                   observe={"max_n": F.max("n"), "total": F.sum("n")})
+
+
+def _size_facts(sizes: DataFrame) -> tuple[int, int, int]:
+    """(longest series, number of series, total rows) — observed metrics when available."""
+    m = getattr(sizes, "sparkseries_metrics", None)
+    if m is not None and "max_n" in m:
+        return int(m["max_n"] or 0), int(m["rows"]), int(m["total"] or 0)
+    row = sizes.agg(F.max("n").alias("m"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("t")).first()
+    return int(row["m"] or 0), int(row["k"]), int(row["t"] or 0)
 
 
 # ---------------------------------------------------------------- E1 / E2
@@ -59,16 +70,14 @@ def with_seq(long: DataFrame, order: Sequence[str] = (TS, TB), seq_col: str = SE
     """
     limit = max_chunk if max_chunk is not None else chunk_rows(long)
     sizes = sizes if sizes is not None else series_sizes(long)
-    row = sizes.agg(F.max("n").alias("m"), F.count(F.lit(1)).alias("k")).first()
-    longest, n_series = (row["m"] or 0), row["k"]
+    longest, n_series, total = _size_facts(sizes)
     keys = [SERIES, *order]
     if longest <= limit:
         w = Window.partitionBy(SERIES).orderBy(*order)
         return long.withColumn(seq_col, (F.row_number().over(w) - 1).cast("bigint"))
 
     spark = long.sparkSession
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                  int(-(-sizes.agg(F.sum("n")).first()[0] // limit)))
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-total // limit)))
     ranged = (long.repartitionByRange(n_parts, *keys)
               .sortWithinPartitions(*keys)
               .withColumn("_rid", F.monotonically_increasing_id())
