@@ -17,7 +17,8 @@ Spark layout — only samples and trees are small, the data never gathers:
 4. scoring is a bucketed range join: the step function is exploded onto
    equal-width value buckets, every point joins its bucket (equi-join, the
    segment table is size-checked for broadcast) and keeps the segment holding it;
-5. the cut-off is the exact 95th percentile of the scores (skew-safe ranks).
+5. the cut-off is the exact 95th percentile of the scores, from per-level score counts
+   (a partial aggregate; no sort of the points).
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import is_missing
 from ..schema import SERIES, TB, TS, VALUE
 from .joins import bounded
-from .stats import quantile_columns
+from .stats import quantiles_from_counts
 
 N_TREES = 100
 MAX_SAMPLES = 256
@@ -146,8 +147,9 @@ def isolation_forest_anomalies(long: DataFrame, threshold: float = 3.0, contamin
     cpsi = F.when(F.col("psi") > 2, 2.0 * (F.log(F.col("psi") - 1.0) + F.lit(EULER))
                   - 2.0 * (F.col("psi") - 1.0) / F.col("psi")).when(F.col("psi") == 2, 1.0).otherwise(1.0)
     scored = scored.select(SERIES, TS, TB, VALUE, F.pow(F.lit(2.0), -F.col("avg_h") / cpsi).alias("score"))
-    cut = quantile_columns(scored.select(SERIES, TS, TB, F.col("score").alias(VALUE)),
-                           {"_cut": 1.0 - contamination}, max_chunk=max_chunk)
+    # exact cut-off from score-level counts (scores take <= n_trees * psi distinct values per series)
+    levels = scored.groupBy(SERIES, F.col("score").alias(VALUE)).agg(F.count(F.lit(1)).alias("cnt"))
+    cut = quantiles_from_counts(levels, [1.0 - contamination]).select(SERIES, F.col("quantile").alias("_cut"))
     out = scored.join(bounded(cut), SERIES).select(
         SERIES, TS, TB, VALUE, "score", F.lit(None).cast("double").alias("lower_bound"),
         F.lit(None).cast("double").alias("upper_bound"), F.lit("isolation_forest").alias("method"),

@@ -57,6 +57,33 @@ def quantiles(clean: DataFrame, probs: Sequence[float] = QUARTILES, approx: bool
     return g.select(SERIES, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("quantile"))
 
 
+def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], value: str = VALUE,
+                          count: str = "cnt") -> DataFrame:
+    """Exact linear-interpolation quantiles from ``(series_id, value, cnt)`` value counts.
+
+    For data with few distinct values per series (step-function scores, codes): the counts
+    are a map-side combined aggregate, positions come from a running count over the small
+    per-series table, and no observation is sorted.  Returns ``(series_id, q, quantile)``."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(SERIES).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.select(SERIES, value, F.sum(count).over(w).alias("_hi"), F.col(count).alias("_c"))
+    cum = cum.withColumn("_lo", F.col("_hi") - F.col("_c"))
+    n = cum.groupBy(SERIES).agg(F.max("_hi").alias("n"))
+    wanted = []
+    for p in [float(x) for x in probs]:
+        h = (F.col("n") - 1) * F.lit(p)
+        lo = F.floor(h)
+        wanted += [F.struct(F.lit(p).alias("q"), lo.alias("pos"), F.lit("lo").alias("role"), (h - lo).alias("frac")),
+                   F.struct(F.lit(p).alias("q"), F.least(lo + 1, F.col("n") - 1).alias("pos"), F.lit("hi").alias("role"),
+                            (h - lo).alias("frac"))]
+    need = n.select(SERIES, F.explode(F.array(*wanted)).alias("w")).select(SERIES, "w.*")
+    hit = need.join(cum, SERIES).where((F.col("pos") >= F.col("_lo")) & (F.col("pos") < F.col("_hi")))
+    g = hit.groupBy(SERIES, "q").agg(
+        F.max(F.when(F.col("role") == "lo", F.col(value))).alias("_a"),
+        F.max(F.when(F.col("role") == "hi", F.col(value))).alias("_b"), F.max("frac").alias("_f"))
+    return g.select(SERIES, "q", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("quantile"))
+
+
 def quantile_columns(clean: DataFrame, named: dict[str, float], approx: bool = False,
                      max_chunk: int | None = None) -> DataFrame:
     """Quantiles as columns, e.g. ``{'q1': .25, 'q3': .75}`` -> ``(series_id, q1, q3)``."""

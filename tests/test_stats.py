@@ -100,3 +100,14 @@ def test_forecast_metrics_zero_policies(spark):
     assert a["mape"] is None
     assert b["mape"] == pytest.approx((0.5 + 0.25) / 2 * 100)
     assert a["mse"] == pytest.approx(1.0) and a["mae"] == pytest.approx(1.0)
+
+
+def test_quantiles_from_counts_exact(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(8)
+    vals = rng.integers(0, 12, size=257).astype(float)
+    long = multi_long(spark, {"a": vals.tolist()})
+    counts = long.groupBy("series_id", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    got = {r["q"]: r["quantile"] for r in stats.quantiles_from_counts(counts, [0.05, 0.5, 0.95, 1.0]).collect()}
+    for p in (0.05, 0.5, 0.95, 1.0):
+        assert got[p] == pytest.approx(float(np.quantile(vals, p)))
