@@ -46,11 +46,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``sparkseries`` importable in Python workers (pandas UDFs, grouped maps).
-
-    Skipped when workers can already import it (installed, or shipped with ``--py-files``).
-    """
+    """Make ``sparkseries`` importable in Python workers (pandas UDFs, grouped maps) for
+    local masters (tests, notebooks).  On a cluster the package is deployed like any
+    library (installed on the executors or passed with ``--py-files``); nothing is
+    staged in a machine-local folder there."""
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        return
     if getattr(sc, "_sparkseries_shipped", False) or sc.getConf().get("sparkseries.shipped", "") == "true":
         return
     import shutil
