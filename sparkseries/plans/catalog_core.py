@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import anomaly, roles, stats
 from ..schema import SERIES, TB, TS, VALUE
 from ..sources import canonical as cz
-from .catalog import register, rounded
+from .catalog import fround, register, rnd, rounded
 
 # ---------------------------------------------------------------- SQL building blocks
 EV = """SELECT event_type AS series_id, ts, event_id AS tiebreak,
@@ -27,8 +27,8 @@ LEFT JOIN (SELECT date_trunc('day', o_orderdate) AS day, o_orderpriority AS seri
   ON a.day = d.day AND a.series_id = p.series_id"""
 
 
-def _r(x: str) -> str:
-    return f"round({x}, 6)"
+def _r(x: str, d: int = 6) -> str:
+    return rnd(x, d)
 
 
 # ---------------------------------------------------------------- B: roles & reshape
@@ -60,12 +60,12 @@ def q_series_status_orders_daily(spark, sf):
 
 
 @register("drop_missing_orders_daily", f"""
-SELECT series_id, count(*) AS n, {_r('sum(value)')} AS total
+SELECT series_id, count(*) AS n, {_r('sum(value)', 2)} AS total
 FROM ({ORD_DAILY}) WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1""")
 def q_drop_missing_orders_daily(spark, sf):
     """NULL/NaN dropped before analysis."""
     clean = roles.drop_missing(cz.orders_daily_long(spark, sf))
-    return rounded(clean.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n"), F.sum(VALUE).alias("total")))
+    return rounded(clean.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n"), fround(F.sum(VALUE), 2).alias("total")))
 
 
 # ---------------------------------------------------------------- C: statistics
@@ -248,22 +248,27 @@ s AS (SELECT series_id, count(value) AS n, quantile_cont(value, 0.25) AS q1, qua
       FROM clean GROUP BY 1),
 b AS (SELECT series_id, q1, q3, q3 - q1 AS iqr, q1 - {t} * (q3 - q1) AS lower_bound,
              q3 + {t} * (q3 - q1) AS upper_bound FROM s WHERE n >= 3)
-SELECT series_id, ts, tiebreak, round(value, 6) AS value,
-       round(greatest(q1 - value, value - q3, 0.0) / nullif(iqr, 0), 6) AS score,
-       round(lower_bound, 6) AS lower_bound, round(upper_bound, 6) AS upper_bound,
+SELECT series_id, ts, tiebreak, {rv} AS value,
+       {rs} AS score,
+       {rl} AS lower_bound, {ru} AS upper_bound,
        'iqr' AS method, {t}::DOUBLE AS threshold
 FROM clean JOIN b USING (series_id) WHERE value < lower_bound OR value > upper_bound"""
 
 
-@register("iqr_anomalies_events", IQR_SQL.format(src=EV, t="3.0"))
+def _iqr_sql(src: str, t: str) -> str:
+    return IQR_SQL.format(src=src, t=t, rv=_r("value"), rs=_r("greatest(q1 - value, value - q3, 0.0) / nullif(iqr, 0)"),
+                          rl=_r("lower_bound"), ru=_r("upper_bound"))
+
+
+@register("iqr_anomalies_events", _iqr_sql(EV, "3.0"))
 def q_iqr_anomalies_events(spark, sf):
     """D2 on EV, default threshold 3 (not 1.5)."""
     return _anom_out(anomaly.detect_anomalies(cz.events_long(spark, sf), "iqr", 3.0))
 
 
-@register("iqr_anomalies_orders_t15", IQR_SQL.format(
-    src="SELECT o_orderpriority AS series_id, o_orderdate AS ts, o_orderkey AS tiebreak, "
-        "o_totalprice AS value FROM orders", t="1.5"))
+@register("iqr_anomalies_orders_t15", _iqr_sql(
+    "SELECT o_orderpriority AS series_id, o_orderdate AS ts, o_orderkey AS tiebreak, "
+    "o_totalprice AS value FROM orders", "1.5"))
 def q_iqr_anomalies_orders_t15(spark, sf):
     """D2 on the order prices per priority with the UI's threshold 1.5."""
     return _anom_out(anomaly.detect_anomalies(cz.orders_long(spark, sf), "iqr", 1.5))

@@ -11,7 +11,7 @@ from ..sources import canonical as cz
 from ..sources.files import read_csv, read_json, read_table, scratch_path, write_records, write_result_csv
 from ..sources.inline import explode_points
 from . import reports
-from .catalog import ORACLE, register, rounded
+from .catalog import ORACLE, fround, register, rnd, rounded
 from .catalog_core import EV, ORD_DAILY, _describe_sql, _summary_sql
 from .catalog_series import ord_m
 from .sql_series import ORD_M
@@ -19,7 +19,7 @@ from .sql_series import SQL as SERIES_SQL
 
 
 def _r(x: str, d: int = 6) -> str:
-    return f"round({x}, {d})"
+    return rnd(x, d)
 
 
 # ---------------------------------------------------------------- R2
@@ -97,8 +97,8 @@ def q_eda_report_orders_monthly(spark, sf):
 
 
 # ---------------------------------------------------------------- A1 + A5 + A7
-@register("csv_roundtrip_orders", """
-SELECT o_orderpriority AS series_id, count(*) AS n, round(sum(o_totalprice), 4) AS total,
+@register("csv_roundtrip_orders", f"""
+SELECT o_orderpriority AS series_id, count(*) AS n, {rnd('sum(o_totalprice)', 2)} AS total,
        min(o_orderdate) AS first_ts, max(o_orderdate) AS last_ts FROM orders GROUP BY 1""")
 def q_csv_roundtrip_orders(spark, sf):
     """A7 then A1 + B6: orders exported as '{id}_{kind}' CSV, read back and typed from text, to long form."""
@@ -107,13 +107,13 @@ def q_csv_roundtrip_orders(spark, sf):
     back = read_csv(spark, folder)
     back, tcol = roles.resolve_time_column(back)
     long = roles.to_long(back, tcol, ["o_totalprice"], keys=["o_orderpriority"], tiebreak="o_orderkey")
-    return rounded(long.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(VALUE), 4).alias("total"),
+    return rounded(long.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n"), fround(F.sum(VALUE), 2).alias("total"),
                                             F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts")))
 
 
 # ---------------------------------------------------------------- A2 + A6
 @register("json_roundtrip_events", f"""
-SELECT series_id, count(*) AS n, round(sum(value), 4) AS total, min(ts) AS first_ts, max(ts) AS last_ts
+SELECT series_id, count(*) AS n, {rnd('sum(value)', 4)} AS total, min(ts) AS first_ts, max(ts) AS last_ts
 FROM ({EV}) GROUP BY 1""")
 def q_json_roundtrip_events(spark, sf):
     """A6 then A2: events written as JSON records and read back."""
@@ -122,12 +122,12 @@ def q_json_roundtrip_events(spark, sf):
     back = read_json(spark, path, lines=True)
     back, tcol = roles.resolve_time_column(back, "ts")
     long = roles.to_long(back, tcol, ["value"], keys=["event_type"], tiebreak="event_id")
-    return rounded(long.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(VALUE), 4).alias("total"),
+    return rounded(long.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n"), fround(F.sum(VALUE), 4).alias("total"),
                                             F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts")))
 
 
 @register("json_columns_orders_monthly", f"""
-SELECT series_id, count(*) AS n, round(sum(value), 4) AS total FROM ({ORD_M}) GROUP BY 1""")
+SELECT series_id, count(*) AS n, {rnd('sum(value)', 4)} AS total FROM ({ORD_M}) GROUP BY 1""")
 def q_json_columns_orders_monthly(spark, sf):
     """A2 column-oriented documents ({col: {idx: val}}), one per priority and year (bounded), read back."""
     m = order.with_seq(ord_m(spark, sf))
@@ -140,12 +140,12 @@ def q_json_columns_orders_monthly(spark, sf):
     docs.select(F.to_json(F.struct("series", "date", "value")).alias("v")).write.text(path)
     back = read_json(spark, path, orient="columns", lines=True)
     return rounded(back.groupBy(F.col("series").alias(SERIES)).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(VALUE), 4).alias("total")))
+        F.count(F.lit(1)).alias("n"), fround(F.sum(VALUE), 4).alias("total")))
 
 
 # ---------------------------------------------------------------- A4
 @register("inline_points_orders_daily", f"""
-SELECT series_id, count(*) AS n, round(sum(value), 4) AS total FROM ({ORD_DAILY})
+SELECT series_id, count(*) AS n, {rnd('sum(value)', 2)} AS total FROM ({ORD_DAILY})
 WHERE value IS NOT NULL GROUP BY 1""")
 def q_inline_points_orders_daily(spark, sf):
     """A4: per (priority, month) JSON point payloads exploded back into a long frame (strict)."""
@@ -154,12 +154,12 @@ def q_inline_points_orders_daily(spark, sf):
         F.to_json(F.collect_list(F.struct(F.date_format(TS, "yyyy-MM-dd").alias("date"),
                                           F.col(VALUE).alias("value")))).alias("payload"))
     rows, _ = explode_points(payloads, "payload", SERIES)
-    return rounded(rows.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(VALUE), 4).alias("total")))
+    return rounded(rows.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n"), fround(F.sum(VALUE), 2).alias("total")))
 
 
-@register("read_table_parquet_lineitem", """
-SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 4) AS qty FROM lineitem GROUP BY 1""")
+@register("read_table_parquet_lineitem", f"""
+SELECT l_returnflag, count(*) AS n, {rnd('sum(l_quantity)', 4)} AS qty FROM lineitem GROUP BY 1""")
 def q_read_table_parquet_lineitem(spark, sf):
     """A5: extension dispatch (Parquet) with column pruning reaching the scan."""
     li = read_table(spark, f"{sf.rstrip('/')}/lineitem.parquet")
-    return li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 4).alias("qty"))
+    return li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), fround(F.sum("l_quantity"), 4).alias("qty"))

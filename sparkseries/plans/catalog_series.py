@@ -9,7 +9,7 @@ from ..operators import calendar as cal
 from ..operators import decompose, diagnostics, order, roles
 from ..schema import SEQ, SERIES, TB, TS, VALUE
 from ..sources import canonical as cz
-from .catalog import register, rounded
+from .catalog import fround, register, rounded
 from .sql_series import SQL
 
 
@@ -71,7 +71,7 @@ def q_difference_orders_monthly(spark, sf):
 def q_cumulative_sum_events(spark, sf):
     """Running sum per event type in time order."""
     s = order.cumulative_sum(order.with_seq(cz.events_long(spark, sf)))
-    return rounded(s.select(SERIES, TB, SEQ, F.round("cumsum", 4).alias("cumsum")))
+    return rounded(s.select(SERIES, TB, SEQ, fround("cumsum", 4).alias("cumsum")))
 
 
 @_q("lag_windows_events_daily")
@@ -92,7 +92,7 @@ def q_sample_recent_lineitem(spark, sf):
     """The most recent 5000 points of every lineitem measure (the sampling operator)."""
     s = order.sample_recent(cz.lineitem_long(spark, sf), 5000)
     return rounded(s.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n"), F.min(TS).alias("first_ts"),
-                                         F.sum(VALUE).alias("total")))
+                                         fround(F.sum(VALUE), 2).alias("total")))
 
 
 @_q("chronological_split_events_daily")

@@ -6,12 +6,14 @@ direct sequential definition, independent of the chunked Spark evaluation.
 
 from __future__ import annotations
 
+from .catalog import rnd
+
 from .catalog_core import EV
 from .sql_series import EVD, ORD_M, seqd
 
 
 def _r(x: str, d: int = 6) -> str:
-    return f"round({x}, {d})"
+    return rnd(x, d)
 
 
 def holt_ctes(train: str) -> str:

@@ -3,11 +3,13 @@ the Spark code: plain window functions and self-joins over whole tables)."""
 
 from __future__ import annotations
 
+from .catalog import rnd
+
 from .catalog_core import EV, ORD_DAILY
 
 
 def _r(x: str, d: int = 6) -> str:
-    return f"round({x}, {d})"
+    return rnd(x, d)
 
 
 CLEAN_EV = f"SELECT * FROM ({EV}) WHERE value IS NOT NULL AND NOT isnan(value)"
@@ -173,14 +175,14 @@ SELECT * FROM (
     "last_n_orders": f"""
 SELECT series_id, ts, tiebreak, seq, {_r('value')} AS value FROM ({seqd(ORD)}) WHERE seq >= n - 10""",
 
-    "sample_recent_lineitem": """
+    "sample_recent_lineitem": f"""
 WITH li AS (SELECT 'l_quantity' AS series_id, l_shipdate AS ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS value FROM lineitem
    UNION ALL SELECT 'l_extendedprice', l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
    UNION ALL SELECT 'l_discount', l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount FROM lineitem
    UNION ALL SELECT 'l_tax', l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_tax FROM lineitem),
 s AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS seq,
              count(*) OVER (PARTITION BY series_id) AS n FROM li)
-SELECT series_id, count(*) AS n, min(ts) AS first_ts, round(sum(value), 6) AS total FROM s
+SELECT series_id, count(*) AS n, min(ts) AS first_ts, {rnd('sum(value)', 2)} AS total FROM s
 WHERE seq >= n - 5000 GROUP BY 1""",
 
     "chronological_split_events_daily": f"""
@@ -204,16 +206,16 @@ SELECT series_id, ts, tiebreak, {_r('value')} AS value, n FROM (
          (year(o_orderdate) * 12 + month(o_orderdate) - 1)::BIGINT AS tiebreak, avg(o_totalprice) AS value,
          count(o_totalprice) AS n FROM orders GROUP BY 1, 2, 3)""",
 
-    "resample_quarterly_lineitem": """
+    "resample_quarterly_lineitem": f"""
 WITH li AS (SELECT 'l_quantity' AS series_id, l_shipdate AS ts, l_quantity AS value FROM lineitem
    UNION ALL SELECT 'l_extendedprice', l_shipdate, l_extendedprice FROM lineitem
    UNION ALL SELECT 'l_discount', l_shipdate, l_discount FROM lineitem
    UNION ALL SELECT 'l_tax', l_shipdate, l_tax FROM lineitem),
 q AS (SELECT series_id, (date_trunc('quarter', ts) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::TIMESTAMP AS lab, value FROM li)
 SELECT series_id, lab AS ts, floor((year(lab) * 12 + month(lab) - 1) / 3)::BIGINT AS tiebreak,
-       round(avg(value), 6) AS value, count(value) AS n, 'Q' AS freq FROM q GROUP BY 1, 2
+       {rnd('avg(value)')} AS value, count(value) AS n, 'Q' AS freq FROM q GROUP BY 1, 2
 UNION ALL
-SELECT series_id, make_date(year(ts), 12, 31)::TIMESTAMP, year(ts)::BIGINT, round(avg(value), 6), count(value), 'Y'
+SELECT series_id, make_date(year(ts), 12, 31)::TIMESTAMP, year(ts)::BIGINT, {rnd('avg(value)')}, count(value), 'Y'
 FROM li GROUP BY 1, 2, 3""",
 
     "calendar_spine_orders_daily": f"""
@@ -232,7 +234,7 @@ SELECT sp.series_id, (DATE '1970-01-01' + sp.tiebreak::INTEGER)::TIMESTAMP AS ts
     "kpss_orders_monthly": kpss_sql(ORD_M),
     "kpss_events": kpss_sql(CLEAN_EV),
 
-    "normality_k2_lineitem": """
+    "normality_k2_lineitem": f"""
 WITH li AS (SELECT 'l_quantity' AS series_id, l_quantity AS value FROM lineitem
    UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem
    UNION ALL SELECT 'l_discount', l_discount FROM lineitem
@@ -254,7 +256,7 @@ f AS (SELECT *, 1.0 / sqrt(0.5 * ln(w2)) AS delta, sqrt(2.0 / (w2 - 1)) AS alpha
 g AS (SELECT series_id, n::BIGINT AS n,
              delta * ln(y / alpha + sqrt((y / alpha) * (y / alpha) + 1)) AS z1,
              ((1 - 2.0 / (9.0 * aa)) - sign(ratio) * pow(abs(ratio), 1.0 / 3.0)) / sqrt(2.0 / (9.0 * aa)) AS z2 FROM f)
-SELECT series_id, n, round(z1 * z1 + z2 * z2, 6) AS test_statistic, round(exp(-(z1 * z1 + z2 * z2) / 2.0), 6) AS p_value
+SELECT series_id, n, {rnd('z1 * z1 + z2 * z2')} AS test_statistic, {rnd('exp(-(z1 * z1 + z2 * z2) / 2.0)')} AS p_value
 FROM g""",
 
     "decompose_orders_monthly": decompose_sql(ORD_M_REG, 12),
