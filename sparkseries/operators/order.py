@@ -5,11 +5,12 @@ whole series into one task.
 
 * :func:`with_seq` numbers the points of every series (0-based).  When every
   series is at most ``sparkseries.chunkRows`` long (a proven bound from the
-  per-series count table) it is a plain ``row_number`` window.  Otherwise the
-  rows are range-partitioned on ``(series_id, ts, tiebreak)`` — Spark's sampled
-  range boundaries split a hot series over many partitions — numbered inside
-  each partition with ``monotonically_increasing_id`` after a local sort, and
-  shifted by the prefix sum of the per-(series, partition) counts.
+  per-series count table) it is a plain ``row_number`` window.  The rows of
+  longer series are range-partitioned on ``(series_id, ts, tiebreak)`` —
+  Spark's sampled range boundaries split a hot series over many partitions —
+  numbered inside each partition with ``monotonically_increasing_id`` after a
+  local sort, checkpointed (so boundaries and ids are fixed once), and shifted
+  by the prefix sum of the per-(series, partition) counts.
 * :func:`halo_frame` cuts every series into chunks of ``chunkRows`` positions and
   copies the ``back`` last / ``fwd`` first rows of each chunk into its
   neighbours.  Window functions with a bounded frame (lags, rolling means,
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import is_missing
 from ..schema import SEQ, SERIES, TB, TS, VALUE
-from ..session import CONF_CHUNK_ROWS, DEFAULT_CHUNK_ROWS, conf_int
+from ..session import CONF_CHUNK_ROWS, DEFAULT_CHUNK_ROWS, checkpoint, conf_int
 from .joins import bounded, static_bound
 
 CHUNK = "_chunk"
@@ -76,12 +77,23 @@ def with_seq(long: DataFrame, order: Sequence[str] = (TS, TB), seq_col: str = SE
         w = Window.partitionBy(SERIES).orderBy(*order)
         return long.withColumn(seq_col, (F.row_number().over(w) - 1).cast("bigint"))
 
+    # series within the chunk bound keep the plain window; only the long ones take the range path
+    big_ids = sizes.where(F.col("n") > limit).select(SERIES)
+    small_part = long.join(big_ids, SERIES, "left_anti")
+    big_part = long.join(big_ids, SERIES, "left_semi")
+    w = Window.partitionBy(SERIES).orderBy(*order)
+    small_seq = small_part.withColumn(seq_col, (F.row_number().over(w) - 1).cast("bigint"))
+
     spark = long.sparkSession
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-total // limit)))
-    ranged = (long.repartitionByRange(n_parts, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_rid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright(F.col("_rid"), 33)))
+    big_total = int(sizes.where(F.col("n") > limit).agg(F.sum("n")).first()[0] or 0)
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-big_total // limit)))
+    # The sampled range boundaries and the partition-local ids are only reproducible if the
+    # tagged rows are read back from one materialisation: a recomputation may sample different
+    # boundaries.  So the tagged rows are checkpointed (shared folder) before both uses.
+    ranged = checkpoint(big_part.repartitionByRange(n_parts, *keys)
+                        .sortWithinPartitions(*keys)
+                        .withColumn("_rid", F.monotonically_increasing_id())
+                        .withColumn("_pid", F.shiftright(F.col("_rid"), 33)))
     parts = ranged.groupBy(SERIES, "_pid").agg(F.min("_rid").alias("_first"),
                                                F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(SERIES).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,9 +101,10 @@ def with_seq(long: DataFrame, order: Sequence[str] = (TS, TB), seq_col: str = SE
                          F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
     # a series starts or ends a partition at most twice: rows <= partitions + 2 * series
     parts = static_bound(parts, n_parts + 2 * n_series)
-    return (ranged.join(parts, [SERIES, "_pid"])
-            .withColumn(seq_col, F.col("_rid") - F.col("_first") + F.col("_off"))
-            .drop("_rid", "_pid", "_first", "_off"))
+    big_seq = (ranged.join(parts, [SERIES, "_pid"])
+               .withColumn(seq_col, F.col("_rid") - F.col("_first") + F.col("_off"))
+               .drop("_rid", "_pid", "_first", "_off"))
+    return small_seq.unionByName(big_seq)
 
 
 def halo_frame(seqd: DataFrame, back: int, fwd: int = 0, max_chunk: int | None = None) -> DataFrame:

@@ -104,3 +104,23 @@ def test_future_dates_month_end(spark):
         .withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
     got = [str(r["ts"].date()) for r in cal.future_dates(last, 3).orderBy("step").collect()]
     assert got == ["2001-09-30", "2001-10-31", "2001-11-30"]
+
+
+def test_range_path_stable_when_boundaries_are_sampled(spark):
+    """Enough rows that the range partitioner samples (boundaries are not exact): positions
+    must still be exact and consistent inside a larger downstream plan."""
+    n = 60_000
+    hot = spark.range(0, n, numPartitions=6).select(
+        F.lit("hot").alias("series_id"), F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("ts"),
+        F.col("id").alias("tiebreak"), F.sin(F.col("id") / 100.0).alias("value"))
+    small = spark.range(0, 3000, numPartitions=3).select(
+        (F.col("id") % 30).cast("string").alias("series_id"),
+        F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("ts"),
+        F.col("id").alias("tiebreak"), F.cos(F.col("id")).alias("value"))
+    long = hot.unionByName(small)
+    full, _ = order.rolling_stats(long, window=5, max_chunk=5000)
+    g = {r["h"]: r for r in full.groupBy((F.col("series_id") == "hot").alias("h")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("rolling_mean").alias("nn"),
+        F.countDistinct("series_id", "seq").alias("d")).collect()}
+    assert (g[True]["rows"], g[True]["nn"], g[True]["d"]) == (n, n - 4, n)
+    assert (g[False]["rows"], g[False]["nn"], g[False]["d"]) == (3000, 3000 - 30 * 4, 3000)
