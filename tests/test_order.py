@@ -124,3 +124,31 @@ def test_range_path_stable_when_boundaries_are_sampled(spark):
         F.countDistinct("series_id", "seq").alias("d")).collect()}
     assert (g[True]["rows"], g[True]["nn"], g[True]["d"]) == (n, n - 4, n)
     assert (g[False]["rows"], g[False]["nn"], g[False]["d"]) == (3000, 3000 - 30 * 4, 3000)
+
+
+def test_business_day_month_start_and_hourly(spark):
+    from datetime import datetime, timedelta
+
+    rows = []
+    d = datetime(2024, 1, 1)  # a Monday
+    while len(rows) < 15:
+        if d.weekday() < 5:
+            rows.append(("b", d, len(rows), 1.0))
+        d += timedelta(days=1)
+    for i in range(6):
+        rows.append(("ms", datetime(2024, 1 + i, 1), i, 1.0))
+    for i in range(30):
+        rows.append(("h", datetime(2024, 1, 1) + timedelta(hours=i), i, 1.0))
+    long = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, tiebreak long, value double")
+    freq = {r["series_id"]: r["freq"] for r in cal.infer_frequency(long).collect()}
+    assert freq == {"b": "B", "ms": "MS", "h": "h"}
+    last = long.groupBy("series_id").agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n")) \
+        .join(cal.infer_frequency(long), "series_id")
+    fut = {}
+    for r in cal.future_dates(last, 3).collect():
+        fut.setdefault(r["series_id"], []).append((r["step"], r["ts"]))
+    steps = {k: [t for _, t in sorted(v)] for k, v in fut.items()}
+    # last business day is Friday 2024-01-19 -> Mon 22, Tue 23, Wed 24
+    assert [t.date().isoformat() for t in steps["b"]] == ["2024-01-22", "2024-01-23", "2024-01-24"]
+    assert [t.date().isoformat() for t in steps["ms"]] == ["2024-07-01", "2024-08-01", "2024-09-01"]
+    assert [t.isoformat() for t in steps["h"]] == ["2024-01-02T06:00:00", "2024-01-02T07:00:00", "2024-01-02T08:00:00"]
