@@ -21,7 +21,8 @@ a 2,000-row halo of the previous chunk, so the start-up error decays like
 ``|theta|^2000``) whose per-chunk ``J'J`` / ``J'e`` are summed per series; the
 parameter update is a grouped map over one row per series.  The forecast
 continues from the last points of the series.  No hold-out metrics on that
-path (as in the reference).
+path (as in the reference).  Seasonal ARIMA (fixed order) uses the same refit
+for series longer than 10,000 points.
 """
 
 from __future__ import annotations
@@ -346,6 +347,13 @@ def sarima_forecast(prep: Prepared, horizons: Sequence[int], model: str = "sarim
         .select(SERIES, SEQ, VALUE, "n")
     hmax = max(horizons)
     fitted = data.groupBy(SERIES).applyInPandas(_final_fit_fn(hmax, True), schema=_final_schema())
+    big = facts.where(F.col("n") > WINDOW).select(SERIES)
+    if big.limit(1).count():
+        # the fit on the most recent 10,000 points starts a whole-series refit
+        start = fitted.where(F.col("step") == 1).join(big, SERIES, "left_semi").select(
+            SERIES, F.lit(1).alias("p"), F.lit(1).alias("d"), F.lit(1).alias("q"), F.lit(1).alias("sp"),
+            F.lit(1).alias("sd"), F.lit(1).alias("sq"), F.lit(12).alias("m"), "params")
+        fitted = fitted.join(big, SERIES, "left_anti").unionByName(distributed_refit(prep, start, hmax))
     rows = _rows(prep, facts, fitted, horizons, model)
     info = fitted.where(F.col("step") == 1).select(
         SERIES, F.lit(model).alias("model"), F.lit("ok").alias("status"),
@@ -357,15 +365,22 @@ def sarima_forecast(prep: Prepared, horizons: Sequence[int], model: str = "sarim
 STATS_SCHEMA = f"{SERIES} string, jtj array<double>, jte array<double>, sse double, nobs long, tail array<double>"
 
 
+ORDER_COLS = ("p", "d", "q", "sp", "sd", "sq", "m")  # sp/sd/sq: seasonal P, D, Q
+
+
+def _spec_of(r):
+    p, d, q, P, D, Q, m = (int(r[c]) for c in ORDER_COLS)
+    return Spec(p=p, q=q, P=P, Q=Q, m=m, const=(d == 0 and D == 0)), d, D, m
+
+
 def _chunk_stats(pdf: pd.DataFrame) -> pd.DataFrame:
     """CSS residuals and numeric Jacobian of one chunk (halo rows warm the recursion up)."""
     pdf = pdf.sort_values(SEQ)
-    p, q, d = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0]), int(pdf["d"].iloc[0])
-    spec = Spec(p=p, q=q, const=(d == 0))
+    spec, d, D, m = _spec_of(pdf.iloc[0])
     theta = np.asarray(pdf["theta"].iloc[0], dtype=float)
     y = pdf[VALUE].to_numpy(dtype=float)
     core = pdf["_core"].to_numpy(dtype=bool)
-    _, w = integrate(y, d, 0, 0)
+    _, w = integrate(y, d, D, m)
     e = css_residuals(w, spec, theta)
     mask = core[len(y) - len(e):]
     k = spec.k
@@ -392,7 +407,8 @@ def _sum_stats(pdf: pd.DataFrame) -> pd.DataFrame:
                          "tail": [tails[0] if tails else []]})
 
 
-STATE_SCHEMA = (f"{SERIES} string, p int, d int, q int, theta array<double>, acc array<double>, "
+STATE_SCHEMA = (f"{SERIES} string, p int, d int, q int, sp int, sd int, sq int, m int, "
+                "theta array<double>, acc array<double>, "
                 "acc_sse double, acc_nobs long, acc_jtj array<double>, acc_jte array<double>, lam double, "
                 "tail array<double>")
 
@@ -416,7 +432,7 @@ def _lm_update(pdf: pd.DataFrame) -> pd.DataFrame:
     except np.linalg.LinAlgError:
         step = np.zeros(k)
     trial = (np.asarray(acc) + step).tolist()
-    return pd.DataFrame({SERIES: [r[SERIES]], "p": [int(r["p"])], "d": [int(r["d"])], "q": [int(r["q"])],
+    return pd.DataFrame({SERIES: [r[SERIES]], **{c: [int(r[c])] for c in ORDER_COLS},
                          "theta": [trial], "acc": [acc], "acc_sse": [acc_sse], "acc_nobs": [acc_nobs],
                          "acc_jtj": [jtj.ravel().tolist()], "acc_jte": [jte.tolist()], "lam": [lam],
                          "tail": [list(r["tail"]) if r["tail"] is not None and len(r["tail"])
@@ -425,8 +441,12 @@ def _lm_update(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def distributed_refit(prep: Prepared, start: DataFrame, hmax: int, iters: int = REFIT_ITERS,
                       chunk: int = REFIT_CHUNK) -> DataFrame:
-    """Whole-series CSS refit for long series; ``start`` has ``(series_id, p, d, q, params)``.
-    Returns rows in the :func:`_final_schema` layout."""
+    """Whole-series CSS refit for long series; ``start`` has ``(series_id, p, d, q, params)``
+    and optionally the seasonal ``sp, sd, sq, m`` (P, D, Q, period).  Returns rows in the
+    :func:`_final_schema` layout."""
+    for c in ("sp", "sd", "sq", "m"):
+        if c not in start.columns:
+            start = start.withColumn(c, F.lit(0))
     sizes = prep.ok.select(SERIES, "n")
     data = prep.clean.join(start.select(SERIES), SERIES, "left_semi").join(sizes, SERIES)
     c = F.floor(F.col(SEQ) / F.lit(chunk))
@@ -437,12 +457,13 @@ def distributed_refit(prep: Prepared, start: DataFrame, hmax: int, iters: int =
     frames = data.select(SERIES, SEQ, VALUE, "n", F.explode(copies).alias("_cp")) \
         .select(SERIES, SEQ, VALUE, "n", F.col("_cp.c").alias("_c"), F.col("_cp.core").alias("_core"))
     state = bounded(start.select(
-        SERIES, "p", "d", "q", F.col("params").alias("theta"), F.col("params").alias("acc"),
+        SERIES, *[F.col(c).cast("int").alias(c) for c in ORDER_COLS],
+        F.col("params").alias("theta"), F.col("params").alias("acc"),
         F.lit(None).cast("double").alias("acc_sse"), F.lit(0).cast("long").alias("acc_nobs"),
         F.array().cast("array<double>").alias("acc_jtj"), F.array().cast("array<double>").alias("acc_jte"),
         F.lit(1e-3).alias("lam"), F.array().cast("array<double>").alias("tail")))
     for _ in range(iters + 1):
-        stats = frames.join(state.select(SERIES, "p", "d", "q", "theta"), SERIES) \
+        stats = frames.join(state.select(SERIES, *ORDER_COLS, "theta"), SERIES) \
             .groupBy(SERIES, "_c").applyInPandas(_chunk_stats, schema=STATS_SCHEMA) \
             .groupBy(SERIES).applyInPandas(_sum_stats, schema=STATS_SCHEMA)
         joined = state.withColumnRenamed("tail", "prev_tail").join(stats, SERIES)
@@ -450,11 +471,10 @@ def distributed_refit(prep: Prepared, start: DataFrame, hmax: int, iters: int =
 
     def forecast_fn(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
-        p, d, q = int(r["p"]), int(r["d"]), int(r["q"])
-        spec = Spec(p=p, q=q, const=(d == 0))
+        spec, d, D, m = _spec_of(r)
         theta = np.asarray(r["acc"], dtype=float)
         sigma2 = float(r["acc_sse"]) / max(int(r["acc_nobs"]), 1)
-        fc, se = forecast_css(np.asarray(r["tail"], dtype=float), spec, theta, d, 0, 0, hmax, sigma2)
+        fc, se = forecast_css(np.asarray(r["tail"], dtype=float), spec, theta, d, D, m, hmax, sigma2)
         nan = float("nan")
         return pd.DataFrame({SERIES: r[SERIES], "step": np.arange(1, hmax + 1, dtype="int32"), "forecast": fc,
                              "se": se, "sigma2": sigma2, "params": [list(map(float, theta))] * hmax,
