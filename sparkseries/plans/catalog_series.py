@@ -263,3 +263,10 @@ def q_adf_orders_monthly(spark, sf):
 def q_stationarity_tests_events_daily(spark, sf):
     """R1 stationarity section: ADF + KPSS side by side on EVD."""
     return rounded(diagnostics.stationarity_tests(evd(spark, sf)), 4)
+
+
+@_q("pacf_low_lags_orders_monthly")
+def q_pacf_low_lags_orders_monthly(spark, sf):
+    """H2 lags 0-2 (closed form available for the oracle) of the Levinson-Durbin PACF on ORD_M."""
+    pac = diagnostics.autocorrelation(ord_m(spark, sf)).where(F.col("lag") <= 2)
+    return rounded(pac.select(SERIES, "lag", "pacf"))

@@ -339,3 +339,21 @@ SELECT series_id, step::INTEGER AS step, CASE
   ELSE last_ts + step * INTERVAL 1 DAY END AS ts,
   (n + step - 1)::BIGINT AS seq
 FROM u"""
+
+
+SQL["pacf_low_lags_orders_monthly"] = f"""
+WITH s AS ({seqd(ORD_M)}),
+d AS (SELECT series_id, seq, n, value - avg(value) OVER (PARTITION BY series_id) AS d FROM s),
+c AS (SELECT a.series_id, k.lag, sum(a.d * b.d) AS c FROM d a
+      CROSS JOIN (SELECT unnest(range(0, 3)) AS lag) k
+      JOIN d b ON b.series_id = a.series_id AND b.seq = a.seq - k.lag GROUP BY 1, 2),
+z AS (SELECT series_id, max(n) AS n FROM d GROUP BY 1),
+r AS (SELECT z.series_id, z.n,
+             max(CASE WHEN lag = 0 THEN c / z.n END) AS r0,
+             max(CASE WHEN lag = 1 THEN c / (z.n - 1) END) AS r1,
+             max(CASE WHEN lag = 2 THEN c / (z.n - 2) END) AS r2
+      FROM c JOIN z USING (series_id) GROUP BY 1, 2),
+p AS (SELECT series_id, n, r1 / r0 AS p1, (r2 / r0 - (r1 / r0) * (r1 / r0)) / (1 - (r1 / r0) * (r1 / r0)) AS p2 FROM r)
+SELECT series_id, 0 AS lag, 1.0::DOUBLE AS pacf FROM p WHERE n >= 8 AND least(20, n // 2) >= 2
+UNION ALL SELECT series_id, 1, {rnd('p1')} FROM p WHERE n >= 8 AND least(20, n // 2) >= 2
+UNION ALL SELECT series_id, 2, {rnd('p2')} FROM p WHERE n >= 8 AND least(20, n // 2) >= 2"""
