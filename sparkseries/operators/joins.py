@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import CONF_BROADCAST_ROWS, DEFAULT_BROADCAST_ROWS, checkpoint, conf_int
+from ..session import (CONF_BROADCAST_BYTES, CONF_BROADCAST_ROWS, DEFAULT_BROADCAST_BYTES,
+                       DEFAULT_BROADCAST_ROWS, checkpoint, conf_int)
 
 
 def max_broadcast_rows(df: DataFrame) -> int:
@@ -29,17 +30,23 @@ def max_broadcast_rows(df: DataFrame) -> int:
 
 
 def bounded(small: DataFrame, max_rows: int | None = None, observe: dict | None = None) -> DataFrame:
-    """Materialise ``small`` (checkpointed) and broadcast it iff its row count is within the bound.
+    """Materialise ``small`` (checkpointed) and broadcast it iff its row count and its size are
+    within the bounds (``sparkseries.broadcastMaxRows`` / ``sparkseries.broadcastMaxBytes``).
 
     ``observe`` adds named aggregate columns computed in the same job; their values are
     left on the result as ``df.sparkseries_metrics`` (with ``rows``)."""
     limit = max_rows if max_rows is not None else max_broadcast_rows(small)
-    # the checkpoint job computes and writes the table and, as observed metrics, counts it
+    max_bytes = conf_int(small.sparkSession, CONF_BROADCAST_BYTES, DEFAULT_BROADCAST_BYTES)
+    # the checkpoint job computes and writes the table and, as observed metrics, counts its rows
+    # and its size (JSON text length: an over-estimate of the broadcast's binary size)
     size = Observation("sparkseries_side_rows")
     extra = [e.alias(k) for k, e in (observe or {}).items()]
-    small = checkpoint(small.observe(size, F.count(F.lit(1)).alias("rows"), *extra))
+    text = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in small.columns])))
+    small = checkpoint(small.observe(size, F.count(F.lit(1)).alias("rows"),
+                                     F.coalesce(F.sum(text), F.lit(0)).alias("bytes"), *extra))
     metrics = dict(size.get)
-    out = F.broadcast(small) if metrics["rows"] <= limit else small
+    fits = metrics["rows"] <= limit and metrics["bytes"] <= max_bytes
+    out = F.broadcast(small) if fits else small
     out.sparkseries_metrics = metrics
     return out
 

@@ -15,9 +15,11 @@ from pyspark.sql import SparkSession
 # Tunables read from the session conf (all optional).
 CONF_CHUNK_ROWS = "sparkseries.chunkRows"  # rows per ordered chunk (halo windows)
 CONF_BROADCAST_ROWS = "sparkseries.broadcastMaxRows"  # size bound for broadcast sides
+CONF_BROADCAST_BYTES = "sparkseries.broadcastMaxBytes"  # ... and its byte bound (JSON text size)
 
 DEFAULT_CHUNK_ROWS = 1 << 20
 DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,

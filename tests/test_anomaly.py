@@ -35,3 +35,16 @@ def test_dispatcher_validates(spiky):
         anomaly.detect_anomalies(long, "lof")
     s = anomaly.anomaly_summary(long, anomaly.detect_anomalies(long, "zscore")).first()
     assert s["total_points"] == 1000 and s["anomalies_count"] >= 10
+
+
+def test_side_table_over_byte_bound_is_not_broadcast(spark, spiky):
+    long, _ = spiky
+    want = {r["tiebreak"] for r in anomaly.zscore_anomalies(long, 3).collect()}
+    spark.conf.set("sparkseries.broadcastMaxBytes", "10")
+    try:
+        df = anomaly.zscore_anomalies(long, 3)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "broadcast" not in plan.lower()
+        assert {r["tiebreak"] for r in df.collect()} == want
+    finally:
+        spark.conf.unset("sparkseries.broadcastMaxBytes")
