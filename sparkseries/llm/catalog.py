@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .ngram_join import op4_ngram_jaccard
 from .mixing import op9_entropy_mixing
 from .quality import op3_quality_rules
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op9_entropy_mixing": op9_entropy_mixing,
 }
 
