@@ -27,6 +27,8 @@ linked with nothing; an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import components, materialize, table
 
 SIG_LONGS = 8
-SAMPLE_DOCS = 4000
-MAX_FREQUENT = 200_000
+SAMPLE_DOCS = 20_000
+MAX_FREQUENT = 500_000
 TILE = 256
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -93,7 +95,7 @@ def _prefix(s: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, pct: int) ->
 
 
 def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles seen three times or more in a sample of about ``SAMPLE_DOCS`` documents, with
+    """Shingles seen twice or more in a sample of about ``SAMPLE_DOCS`` documents, with
     their sampled counts (at most ``MAX_FREQUENT`` of them come to the driver)."""
     total = max(docs.count(), 1)
     parts = max(1, total // SAMPLE_DOCS)
@@ -107,7 +109,7 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     rows = (docs.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(parts)) == 0).select("text")
             .mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-            .where("c >= 3").orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).toPandas())
+            .where("c >= 2").orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).toPandas())
     h = rows["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], rows["c"].to_numpy(np.int64)[order]
@@ -115,10 +117,10 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _profiles(docs: DataFrame, n: int, pct: int) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, sig, keys) per row."""
-    frequent, ranks = _frequent(docs, n)
+    seen = docs.sparkSession.sparkContext.broadcast(_frequent(docs, n))  # at most 16 * MAX_FREQUENT bytes
 
     def run(batches):
-        cache = WordHashes()
+        cache, (frequent, ranks) = WordHashes(), seen.value
         for b in batches:
             size, h1, h2, sig, keys = [], [], [], [], []
             for text in b.column(1).to_pylist():
@@ -194,23 +196,46 @@ def _tile_pairs(members: DataFrame, pct: int) -> DataFrame:
                        F.explode(every).alias("other"))
     rows = rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        tile, i, j = g["tile"].iat[0], g["i"].iat[0], g["j"].iat[0]
-        left, right = g[g["own"] == i], g[g["own"] == j]
-        a_id, b_id = left["id"].to_numpy(), right["id"].to_numpy()
-        sig = np.stack(right["sig"].to_numpy()).view(np.uint64)
-        n_b, comp_b, band_b = right["n"].to_numpy(), right["component"].to_numpy(), right["band"].to_numpy()
-        out = []
-        for x, n, c, bnd, s in zip(a_id, left["n"], left["component"], left["band"], left["sig"]):
-            diff = np.bitwise_count(sig ^ np.asarray(s).view(np.uint64)).sum(axis=1).astype(np.int64)
-            most = (n + n_b - diff) // 2
-            ok = ((comp_b != c) & (x != b_id) & ((band_b == tile) | (bnd == tile))
-                  & (100 * np.minimum(n, n_b) >= pct * np.maximum(n, n_b)) & (100 * most >= pct * (n + n_b - most)))
-            out.append(np.stack([np.minimum(x, b_id[ok]), np.maximum(x, b_id[ok])], axis=1))
-        p = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]}).drop_duplicates()
-
-    return rows.groupBy("key", "tile", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    by = ["key", "tile", "i", "j"]
+    rows = rows.select(*by, "band", "id", "component", "n", "sig", "own").repartition(*by).sortWithinPartitions(*by)
+
+    def pairs_of(tile, i, j, band, ids, comp, n, sig, own):
+        l, r = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        for at in range(0, len(l), 64):
+            k = l[at:at + 64, None]
+            diff = np.bitwise_count(sig[k] ^ sig[r]).sum(axis=2).astype(np.int64)
+            both = n[k] + n[r]
+            most = (both - diff) // 2
+            ok = ((comp[k] != comp[r]) & (ids[k] < ids[r] if i == j else ids[k] != ids[r])
+                  & ((band[k] == tile) | (band[r] == tile))
+                  & (100 * np.minimum(n[k], n[r]) >= pct * np.maximum(n[k], n[r])) & (100 * most >= pct * (both - most)))
+            x, y = np.nonzero(ok)
+            if len(x):
+                x, y = ids[k[x, 0]], ids[r[y]]
+                yield np.minimum(x, y), np.maximum(x, y)
+
+    def run(batches):
+        carry = None
+        for b in itertools.chain(batches, [None]):
+            t = pa.Table.from_batches([x for x in (carry, b) if x is not None]).combine_chunks() if carry or b else None
+            if t is None or not t.num_rows:
+                continue
+            col = {c: t[c].to_numpy() for c in (*by, "band", "id", "component", "n", "own")}
+            new = np.zeros(t.num_rows, bool)
+            for c in by:
+                new[1:] |= col[c][1:] != col[c][:-1]
+            starts = np.concatenate([[0], np.flatnonzero(new)])
+            sig = t["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SIG_LONGS)
+            ends = np.append(starts[1:], t.num_rows)
+            if b is not None:  # the last group may go on in the next batch
+                carry = pa.RecordBatch.from_arrays([x.combine_chunks() for x in t.slice(starts[-1]).columns], schema=t.schema)
+                starts, ends = starts[:-1], ends[:-1]
+            out = [p for s, e in zip(starts, ends) for p in pairs_of(
+                col["tile"][s], col["i"][s], col["j"][s], *(col[c][s:e] for c in ("band", "id", "component", "n")), sig[s:e], col["own"][s:e])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def link_components(docs: DataFrame, n: int = 4, pct: int = 85) -> DataFrame:
