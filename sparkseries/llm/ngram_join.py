@@ -40,7 +40,7 @@ from .common import components, materialize, table
 
 SIG_LONGS = 8
 SAMPLE_DOCS = 20_000
-MAX_FREQUENT = 500_000
+MAX_FREQUENT = 100_000
 TILE = 256
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
