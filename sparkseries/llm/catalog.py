@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op5_byte_bpe
+from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op4_ngram_jaccard
 from .mixing import op9_entropy_mixing
 from .quality import op3_quality_rules
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_byte_bpe": op5_byte_bpe,
     "op9_entropy_mixing": op9_entropy_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL}
