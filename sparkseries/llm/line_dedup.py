@@ -106,7 +106,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         gone = materialize(gone, "lines-gone").select(
             F.col("doc_id").alias("__llm_id"), F.col("th").alias("__llm_th2"), F.col("gone").alias("__llm_set"),
             F.col("longest").alias("__llm_longest"))
-        rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_th") == F.col("__llm_th2")), "left")
+        # a merge join at every size: the side grows with the data, so it is never broadcast
+        rows = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_th") == F.col("__llm_th2")), "left")
     lines = _lines(F.col("text"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__llm_set"))
     text = F.when(F.col("__llm_set").isNull(), F.col("text")).otherwise(
