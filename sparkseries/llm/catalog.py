@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op5_byte_bpe
+from .dac import op10_token_dac
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op4_ngram_jaccard
 from .mixing import op9_entropy_mixing
+from .ppm import op8_ppm_language
 from .quality import op3_quality_rules
 
 QUERIES = {
@@ -13,7 +15,9 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_byte_bpe": op5_byte_bpe,
+    "op8_ppm_language": op8_ppm_language,
     "op9_entropy_mixing": op9_entropy_mixing,
+    "op10_token_dac": op10_token_dac,
 }
 
 ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL}
