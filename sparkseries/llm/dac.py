@@ -29,7 +29,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
+import itertools
 import struct
 import uuid
 import zlib
@@ -121,52 +121,60 @@ class Segment:
 
 # ---- tokenizer --------------------------------------------------------------------------------
 
-_ODD = re.compile(r"  | \n|\n |\n\n|[^\S \n]|[\x1c-\x1f\x85]|^\s|\s$")
+class _Units:
+    """Unit -> its ids, as places in one flat array; forgotten when ``ROOM`` units are known."""
 
+    ROOM = 600_000
 
-class _Units(dict):
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def learn(self, units) -> None:
-        if len(self) > 400_000:
-            self.clear()
-        new = [u for u in units if u not in self]
-        for u, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            self[u] = e.ids
+    def learn(self, units: set) -> None:
+        if len(self.known) > self.ROOM:
+            self.forget()
+        new = list(units - self.known.keys())
+        ids = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
+
+    def ids(self, units: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
+        shift = np.cumsum(size) - size
+        return self.flat[np.arange(size.sum()) + np.repeat(begin - shift, size)]
 
 
 _UNITS: dict[str, _Units] = {}
 
 
+def _units(text: str) -> list[str] | None:
+    """Units of a text all of whose white space is single spaces and line feeds between visible
+    characters, else None."""
+    if "\0" in text or " ".join(text.split()) != text.replace("\n", " "):
+        return None
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each text, as the tokenizers library gives them, with ``END_ID`` appended."""
     cache = _UNITS.get(path) or _UNITS.setdefault(path, _Units(path))
-    cut = []
-    for t in texts:
-        if not t or _ODD.search(t):
-            cut.append(None)
-            continue
-        units = []
-        for k, line in enumerate(t.split("\n")):
-            if k:
-                units.append("\n")
-            words = line.split(" ")
-            units.append(words[0])
-            units += [" " + w for w in words[1:]]
-        cut.append(units)
+    cut = [_units(t) if t else None for t in texts]
     cache.learn(set().union(*(u for u in cut if u)))
     out = []
     for t, units in zip(texts, cut):
-        ids = [] if not t else cache.whole(t) if units is None else [i for u in units for i in cache[u]]
-        ids.append(END_ID)
-        out.append(np.array(ids, np.uint32))
+        ids = cache.ids(units) if units else np.array(cache.whole(t) if t else [], np.uint32)
+        out.append(np.append(ids, np.uint32(END_ID)))
     return out
 
 
