@@ -42,7 +42,7 @@ def crc_mod(doc_id, n: int):
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: rows (id, component) for every id that
-    has an edge to another one; component is the smallest id reachable.
+    reaches a smaller one; component is the smallest id reachable (which has no row itself).
 
     Alternating large-star / small-star rounds.  Each round is a grouped minimum (combined on
     the map side) and a join back that adaptive execution splits where a hub is hot; the edge
