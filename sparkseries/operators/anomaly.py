@@ -39,6 +39,10 @@ def zscore_anomalies(long: DataFrame, threshold: float = 3.0, min_points: int =
         (F.col("_mean") - F.lit(t) * F.col("_std")).alias("lower_bound"),
         (F.col("_mean") + F.lit(t) * F.col("_std")).alias("upper_bound"),
         F.lit("zscore").alias("method"), F.lit(t).alias("threshold"))
+    # a series that holds an infinite value has no finite mean: no score, no flag (Spark orders NaN
+    # above every number, so it must not reach the comparison)
+    score = F.col("score")
+    scored = scored.withColumn("score", F.when(~F.isnan(score), score))
     scored = scored.withColumn("is_anomaly", F.coalesce(F.abs(F.col("score")) > F.lit(t), F.lit(False)))
     return scored.where("is_anomaly").drop("is_anomaly") if flagged_only else scored
 
@@ -61,7 +65,8 @@ def iqr_anomalies(long: DataFrame, threshold: float = 3.0, min_points: int = MIN
         # distance outside the box in IQR units (0 inside)
         F.try_divide(F.greatest(F.col("_q1") - v, v - F.col("_q3"), F.lit(0.0)), F.col("_iqr")).alias("score"),
         "lower_bound", "upper_bound", F.lit("iqr").alias("method"), F.lit(t).alias("threshold"),
-        ((v < F.col("lower_bound")) | (v > F.col("upper_bound"))).alias("is_anomaly"))
+        F.coalesce(((v < F.col("lower_bound")) | (v > F.col("upper_bound")))
+                   & ~F.isnan("lower_bound") & ~F.isnan("upper_bound"), F.lit(False)).alias("is_anomaly"))
     return scored.where("is_anomaly").drop("is_anomaly") if flagged_only else scored
 
 

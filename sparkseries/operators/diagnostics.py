@@ -141,8 +141,9 @@ def kpss_test(clean: DataFrame, min_points: int = 8, max_chunk: int | None = Non
         term = F.when(F.col("_cl") >= i, F.col(f"c{i}") * 2.0 / n).otherwise(0.0)
         s0 = s0 + term
         s1 = s1 + F.lit(float(i)) * term
-    auto = F.floor(F.lit(1.1447) * F.pow(F.pow(s1 / s0, 2), 1.0 / 3.0) * F.pow(n, 1.0 / 3.0)).cast("int")
-    lags = bounded(p1.select(SERIES, F.least(auto, F.col("n").cast("int") - 1).alias("lags")))
+    # a constant series has s0 = 0: no bandwidth and, below, no statistic
+    auto = F.floor(F.lit(1.1447) * F.pow(F.pow(F.try_divide(s1, s0), 2), 1.0 / 3.0) * F.pow(n, 1.0 / 3.0)).cast("bigint")
+    lags = bounded(p1.select(SERIES, F.coalesce(F.least(auto, F.col("n") - 1), F.lit(0)).cast("int").alias("lags")))
     lmax = int(lags.agg(F.max("lags")).first()[0] or 0)
     p2 = lag_products(d, lmax, max_chunk=max_chunk).join(lags, SERIES).join(sizes_ok, SERIES).join(eta, SERIES)
     L = F.col("lags").cast("double")
@@ -150,7 +151,7 @@ def kpss_test(clean: DataFrame, min_points: int = 8, max_chunk: int | None = Non
     for i in range(1, lmax + 1):
         s2 = s2 + F.when(F.col("lags") >= i, 2.0 * F.col(f"c{i}") * (1.0 - F.lit(float(i)) / (L + 1.0))).otherwise(0.0)
     s2 = s2 / n
-    stat = (F.col("_eta_sum") / (n * n)) / s2
+    stat = F.try_divide(F.col("_eta_sum") / (n * n), s2)
     out = p2.select(SERIES, "n", "lags", stat.alias("test_statistic"))
     return out.select(
         "*", kpss_p_value(F.col("test_statistic")).alias("p_value"),
@@ -225,7 +226,7 @@ def shapiro_wilk(clean: DataFrame, max_chunk: int | None = None) -> DataFrame:
     inner_small = F.col("S") - F.col("mn") * (F.col("xn") - F.col("x1"))
     ax = F.when(big, inner_big / F.sqrt(phi) + an * (F.col("xn") - F.col("x1")) + an1 * (F.col("xn1") - F.col("x2"))) \
         .otherwise(inner_small / F.sqrt(phi) + an * (F.col("xn") - F.col("x1")))
-    w = F.least(F.lit(1.0), ax * ax / F.col("ss"))
+    w = F.when(F.col("ss") > 0, F.least(F.lit(1.0), F.try_divide(ax * ax, F.col("ss"))))  # constant: null
     L = F.log(nd)
     small_n = F.col("n") <= 11
     gamma = -2.273 + 0.459 * nd

@@ -28,7 +28,7 @@ FORECAST_COLUMNS = (SERIES, "model", "horizon", "step", TS, SEQ, "forecast", "lo
 
 
 def check_horizons(horizons: Sequence[int] | int | None, periods: int = 10) -> list[int]:
-    """Positive integer horizons, sorted, the three smallest kept."""
+    """Positive integer horizons, sorted, without repeats."""
     if horizons is None:
         horizons = [periods]
     if isinstance(horizons, int):
@@ -37,7 +37,7 @@ def check_horizons(horizons: Sequence[int] | int | None, periods: int = 10) -> l
     for h in hs:
         if not isinstance(h, int) or isinstance(h, bool) or h < 1:
             raise ValueError(f"forecast horizons must be positive integers, got {h!r}")
-    return sorted(set(hs))[:3]
+    return sorted(set(hs))
 
 
 def check_model(model: str) -> str:

@@ -54,7 +54,13 @@ def quantiles(clean: DataFrame, probs: Sequence[float] = QUARTILES, approx: bool
         F.max(F.when(F.col("role") == "lo", F.col(VALUE))).alias("_lo"),
         F.max(F.when(F.col("role") == "hi", F.col(VALUE))).alias("_hi"),
         F.max("frac").alias("_f"))
-    return g.select(SERIES, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("quantile"))
+    return g.select(SERIES, "q", _between("_lo", "_hi", "_f").alias("quantile"))
+
+
+def _between(lo: str, hi: str, frac: str):
+    """Linear interpolation that never multiplies an infinite gap by zero."""
+    same = (F.col(frac) == 0) | (F.col(lo) == F.col(hi))
+    return F.when(same, F.col(lo)).otherwise(F.col(lo) + (F.col(hi) - F.col(lo)) * F.col(frac))
 
 
 def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], value: str = VALUE,
@@ -81,7 +87,7 @@ def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], value: str
     g = hit.groupBy(SERIES, "q").agg(
         F.max(F.when(F.col("role") == "lo", F.col(value))).alias("_a"),
         F.max(F.when(F.col("role") == "hi", F.col(value))).alias("_b"), F.max("frac").alias("_f"))
-    return g.select(SERIES, "q", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("quantile"))
+    return g.select(SERIES, "q", _between("_a", "_b", "_f").alias("quantile"))
 
 
 def quantile_columns(clean: DataFrame, named: dict[str, float], approx: bool = False,

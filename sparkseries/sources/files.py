@@ -6,6 +6,7 @@ parallel; writers are distributed (one file per partition, no collect).
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
@@ -32,6 +33,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 # ---------------------------------------------------------------- A2
+def _is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether each of the first lines that are not blank is an object of its own."""
+    head = [r[0].strip() for r in spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(20).collect()]
+
+    def whole(line: str) -> bool:
+        try:
+            return isinstance(json.loads(line), dict)
+        except ValueError:
+            return False
+
+    return all(map(whole, head))
+
+
 def read_json(spark: SparkSession, path: str, orient: str = "records", lines: bool | None = None,
               schema: T.StructType | str | None = None) -> DataFrame:
     """Records (JSON lines, or one array of objects) or column-oriented ``{col: {idx: val}}``.
@@ -40,7 +54,9 @@ def read_json(spark: SparkSession, path: str, orient: str = "records", lines: bo
     map is exploded into ``(idx, value)`` and the others are looked up by ``idx``."""
     if orient == "records":
         reader = spark.read
-        if lines is False or (lines is None and not str(path).endswith((".jsonl", ".ndjson"))):
+        if lines is None:  # decided by the content, whatever the file is called
+            lines = _is_json_lines(spark, path)
+        if not lines:
             reader = reader.option("multiLine", True)
         if schema is not None:
             reader = reader.schema(schema)

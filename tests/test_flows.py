@@ -16,21 +16,18 @@ from sparkseries.sources.files import read_table
 
 @pytest.fixture(scope="module")
 def wide_long(spark):
-    rng = np.random.default_rng(42)
-    t = np.arange(100)
-    trend = np.linspace(0, 10, 100)
-    seasonal = 5 * np.sin(2 * np.pi * t / 50)
-    noise = rng.normal(size=100)
-    value = trend + seasonal + noise
-    value2 = 2 * trend + 0.5 * seasonal + 1.5 * noise
+    rng = np.random.default_rng(7)
+    days = 126
+    week = np.tile([3.0, 1.0, 0.0, -1.0, -2.0, 0.5, -1.5], days // 7)
+    value = 40 - 0.08 * np.arange(days) + week + rng.normal(scale=0.7, size=days)
+    value2 = 200 + np.cumsum(rng.normal(scale=2.0, size=days))
     path = os.path.join(tempfile.mkdtemp(prefix="sparkseries-flow-"), "daily.csv")
     with open(path, "w") as f:
         f.write("date,value,value2\n")
-        for i in range(100):
-            v = "" if 10 <= i < 15 else f"{value[i]:.6f}"
-            v2 = "NaN" if 80 <= i < 85 else f"{value2[i]:.6f}"
-            f.write(f"2020-01-{1 + i:02d},{v},{v2}\n" if i < 31 else
-                    f"{np.datetime64('2020-01-01') + i},{v},{v2}\n")
+        for i in range(days):
+            v = "" if i in (20, 21, 60) else f"{value[i]:.6f}"
+            v2 = "NaN" if i >= 120 else f"{value2[i]:.6f}"
+            f.write(f"{np.datetime64('2021-03-01') + i},{v},{v2}\n")
     df = read_table(spark, path)
     df, tcol = roles.resolve_time_column(df)
     cols = roles.numeric_columns(df, exclude=[tcol])
@@ -44,7 +41,7 @@ def test_eda_report_all_sections(wide_long):
         got = {r["series_id"] for r in df.select("series_id").distinct().collect()}
         assert got == {"value", "value2"}, name
     summary = {r["series_id"]: r for r in sections["summary_stats"].collect()}
-    assert summary["value"]["missing_values"] == 5 and summary["value2"]["missing_values"] == 5
+    assert summary["value"]["missing_values"] == 3 and summary["value2"]["missing_values"] == 5
     assert summary["value"]["count"] == 95
     dec = sections["seasonal_decomposition"].where("series_id = 'value'").collect()
     assert {r["frequency"] for r in dec} == {"D"} and len(dec) == 100
