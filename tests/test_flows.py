@@ -41,7 +41,7 @@ def test_eda_report_all_sections(wide_long):
         got = {r["series_id"] for r in df.select("series_id").distinct().collect()}
         assert got == {"value", "value2"}, name
     summary = {r["series_id"]: r for r in sections["summary_stats"].collect()}
-    assert summary["value"]["missing_values"] == 3 and summary["value2"]["missing_values"] == 5
+    assert summary["value"]["missing_values"] == 3 and summary["value2"]["missing_values"] == 6
     assert summary["value"]["count"] == 95
     dec = sections["seasonal_decomposition"].where("series_id = 'value'").collect()
     assert {r["frequency"] for r in dec} == {"D"} and len(dec) == 100
