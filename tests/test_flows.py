@@ -42,7 +42,7 @@ def test_eda_report_all_sections(wide_long):
         assert got == {"value", "value2"}, name
     summary = {r["series_id"]: r for r in sections["summary_stats"].collect()}
     assert summary["value"]["missing_values"] == 3 and summary["value2"]["missing_values"] == 6
-    assert summary["value"]["count"] == 95
+    assert summary["value"]["count"] == 123
     dec = sections["seasonal_decomposition"].where("series_id = 'value'").collect()
     assert {r["frequency"] for r in dec} == {"D"} and len(dec) == 100
     nested = reports.nested(sections)
