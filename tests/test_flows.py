@@ -44,7 +44,7 @@ def test_eda_report_all_sections(wide_long):
     assert summary["value"]["missing_values"] == 3 and summary["value2"]["missing_values"] == 6
     assert summary["value"]["count"] == 123
     dec = sections["seasonal_decomposition"].where("series_id = 'value'").collect()
-    assert {r["frequency"] for r in dec} == {"D"} and len(dec) == 100
+    assert {r["frequency"] for r in dec} == {"D"} and len(dec) == 126
     nested = reports.nested(sections)
     docs = [json.loads(r["json"]) for r in to_json_rows(nested).collect()]
     assert len(docs) == 2
