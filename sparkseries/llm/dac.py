@@ -17,10 +17,11 @@ all little-endian.  Parts follow doc_id order (range partitioning), so files in
 (part, seq) hold the ids of all documents in ascending doc_id order; the commit protocol of the
 Parquet writer covers lost executors.
 
-Encoding runs the tokenizers library over distinct space-delimited units: between two
-visible characters a single space always starts a pre-token of a byte-level vocabulary, so the ids of a
-text are those of its units in order; texts where that does not hold (runs of white space, white
-space other than single spaces and line feeds) go to the library whole.
+Encoding looks up space-delimited units: between two visible characters a single space always
+starts a pre-token of a byte-level vocabulary, so the ids of a text are those of its units in
+order.  A new unit is split into pre-tokens by the vocabulary's pattern, and the tokenizers library
+encodes the distinct new pre-tokens in one call.  Texts where that does not hold (runs of white
+space, white space other than single spaces and line feeds) go to the library whole.
 
 Defined results: null text is empty (the end id only); documents that share a doc_id are ordered
 by a hash of their text; a null doc_id comes first; an empty table gives an empty result; other
@@ -36,6 +37,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -121,41 +124,126 @@ class Segment:
 
 # ---- tokenizer --------------------------------------------------------------------------------
 
-class _Units:
-    """Unit -> its ids, as places in one flat array; forgotten when ``ROOM`` units are known."""
+class _Known(dict):
+    """Text -> its place among texts whose ids lie one after the other in ``flat``.
 
-    ROOM = 600_000
+    A text that is looked up for the first time gets the next place and waits in ``new`` for
+    ``learn``.  A cache of more than ``ROOM`` texts is replaced by an empty one."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.forget()
+    ROOM = 600_000
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def whole(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
+    def __missing__(self, text: str) -> int:
+        self[text] = place = len(self)
+        self.new.append(text)
+        return place
 
-    def learn(self, units: set) -> None:
-        if len(self.known) > self.ROOM:
-            self.forget()
-        new = list(units - self.known.keys())
-        ids = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
-
-    def ids(self, units: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+    def places(self, texts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, texts), np.int64, len(texts))
+
+    def taken(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+    def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of the texts last taken, and how many each has."""
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts at these places, one after the other, and how many each has."""
         begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
         shift = np.cumsum(size) - size
-        return self.flat[np.arange(size.sum()) + np.repeat(begin - shift, size)]
+        return self.flat[np.arange(size.sum()) + np.repeat(begin - shift, size)], size
+
+
+def _sums(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the first ``counts[0]`` sizes, the next ``counts[1]``, ..."""
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+    last = np.cumsum(counts)
+    return total[last] - total[last - counts]
+
 
+def _chain(lists) -> list:
+    return list(itertools.chain.from_iterable(lists))
 
-_UNITS: dict[str, _Units] = {}
+
+class _Encoder:
+    """The tokenizers library behind two caches: units, made of pre-tokens, which it encodes.
+
+    Many texts are joined by line feeds for one call of the pattern or of the library: between
+    texts without line feeds one is a pre-token of its own."""
+
+    END = "\0"
+
+    def __init__(self, path: str, pattern: str):
+        from tokenizers import Tokenizer
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        self.pattern = regex.compile(pattern)
+        self.line_feed = self.whole("\n")
+        self.units, self.words = _Known(), _Known()
+
+    def whole(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def _alone(self, text: str) -> bool:
+        return text in ("", "\n", self.END)
+
+    def _learn_words(self) -> None:
+        new = self.words.taken()
+        plain = [w for w in new if not self._alone(w)]
+        known = {}
+        if plain and len(self.line_feed) == 1:
+            ids = np.array(self.tok.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == self.line_feed[0])
+            if len(at) + 1 == len(plain):
+                if len(plain) == len(new):
+                    return self.words.learn(np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+                known = dict(zip(plain, np.split(np.delete(ids, at), at - np.arange(len(at)))))
+        each = [known[w] if w in known else [END_ID] if w == self.END else self.whole(w) if w else [] for w in new]
+        self.words.learn(np.concatenate([np.array(x, np.uint32) for x in each]), np.array([len(x) for x in each], np.int64))
+
+    def _words(self, units: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pre-tokens of all units, and how many each has.  Units beyond Latin letters (of
+        which versions of Unicode may differ) stay whole for the library to split."""
+        latin = [not self._alone(u) and (u.isascii() or max(u) < "\u0250") for u in units]
+        found = self.pattern.findall("\n".join(itertools.compress(units, latin)))
+        breaks = np.flatnonzero(np.fromiter(("\n" == w for w in found), bool, len(found)))
+        counts = np.ones(len(units), np.int64)
+        counts[latin] = np.diff(np.concatenate([[-1], breaks, [len(found)]]))[:sum(latin)] - 1
+        if all(latin):
+            return [w for w in found if w != "\n"], counts
+        rest = iter(w for w in found if w != "\n")
+        return _chain(itertools.islice(rest, n) if x else [u] for u, x, n in zip(units, latin, counts.tolist())), counts
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, as the library gives them, with ``END_ID`` appended."""
+        self.units, self.words = (_Known() if len(x) > x.ROOM else x for x in (self.units, self.words))
+        cut = [_units(t) if t else [] for t in texts]
+        for u in cut:
+            if u is not None:
+                u.append(self.END)
+        cut_counts = np.array([len(u) for u in cut if u], np.int64)
+        at = self.units.places(_chain(u for u in cut if u))
+        new = self.units.taken()
+        if new:
+            words, counts = self._words(new)
+            word_at = self.words.places(words)
+            if self.words.new:
+                self._learn_words()
+            ids, sizes = self.words.ids(word_at)
+            self.units.learn(ids, _sums(sizes, counts))
+        flat, sizes = self.units.ids(at)
+        known = iter(np.split(flat, np.cumsum(_sums(sizes, cut_counts))))
+        return [next(known) if u else np.array([*self.whole(t), END_ID], np.uint32) for t, u in zip(texts, cut)]
+
+
+_ENCODERS: dict[str, _Encoder] = {}
 
 
 def _units(text: str) -> list[str] | None:
@@ -166,21 +254,25 @@ def _units(text: str) -> list[str] | None:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text, as the tokenizers library gives them, with ``END_ID`` appended."""
-    cache = _UNITS.get(path) or _UNITS.setdefault(path, _Units(path))
-    cut = [_units(t) if t else None for t in texts]
-    cache.learn(set().union(*(u for u in cut if u)))
-    out = []
-    for t, units in zip(texts, cut):
-        ids = cache.ids(units) if units else np.array(cache.whole(t) if t else [], np.uint32)
-        out.append(np.append(ids, np.uint32(END_ID)))
-    return out
+def encode_texts(texts: list[str | None], path: str, pattern: str) -> list[np.ndarray]:
+    encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _Encoder(path, pattern))
+    return encoder.encode(texts)
+
+
+def _slices(texts: pa.Array, rows: int = 500, size: int = 4 << 20):
+    """(start, length) of runs of at most ``rows`` texts and about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size))
+        n = max(1, min(rows, full - at))
+        yield at, n
+        at += n
 
 
 # ---- files ------------------------------------------------------------------------------------
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, segment_ids: int = SEGMENT_IDS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, segment_ids: int = SEGMENT_IDS) -> None:
     """Write the ids of ``docs(doc_id, text)`` in ascending doc_id order to the folder ``path``."""
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
             .withColumn("th", F.xxhash64("text")).repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th"))
@@ -196,9 +288,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, segment_ids: i
                 names=["part", "seq", "ahead", "n_tokens", "payload"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                cut = b.slice(at, 500)
-                for d, x in zip(cut.column(0).to_pylist(), encode_texts(cut.column(1).to_pylist(), tokenizer_path)):
+            for at, size in _slices(b.column(1)):
+                cut = b.slice(at, size)
+                for d, x in zip(cut.column(0).to_pylist(), encode_texts(cut.column(1).to_pylist(), tokenizer_path, pattern)):
                     docs.append(d)
                     ids.append(x)
                     n += len(x)
@@ -231,7 +323,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for start, payload in zip(b.column(0).to_pylist(), b.column(1)):
                 s = Segment(payload.as_py())
-                raw = s.ids().astype("<u4").tobytes()
+                raw = memoryview(s.ids().astype("<u4").tobytes())
                 ends = s.ends
                 begins = np.concatenate([[0], ends[:-1]])
                 crc = [zlib.crc32(raw[4 * x:4 * y]) for x, y in zip(begins, ends)]
@@ -246,5 +338,5 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def op10_token_dac(spark, sf_dir) -> DataFrame:
     import public_tokenizers as P
     path = f"{ensure_checkpoint_dir(spark)}/llm/dac-{uuid.uuid4().hex}"
-    write_tokens(table(spark, sf_dir, "documents"), path, P.path("byte_bpe_50k.json"))
+    write_tokens(table(spark, sf_dir, "documents"), path, P.path("byte_bpe_50k.json"), P.PATTERN)
     return read_documents(spark, path)

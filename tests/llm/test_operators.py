@@ -297,7 +297,7 @@ def test_token_files(spark, rows, tokenizers_, tmp_path):
     import public_tokenizers as P
     data = [(r[0], r[1]) for r in rows if r[0] != 11] + ODD
     path = str(tmp_path / "tokens")
-    dac.write_tokens(spark.createDataFrame(data, "doc_id long, text string").repartition(4), path, P.path("byte_bpe_50k.json"), 300)
+    dac.write_tokens(spark.createDataFrame(data, "doc_id long, text string").repartition(4), path, P.path("byte_bpe_50k.json"), P.PATTERN, 300)
     start, want, every = 0, [], []
     for i, t in sorted(data, key=lambda r: some(r[0])):
         ids = (tokenizers_[1].encode(t, add_special_tokens=False).ids if t else []) + [0]
@@ -441,5 +441,5 @@ def test_empty_tables(spark, empty):
     assert bpe.digests(empty, *bpe._vocabulary()).count() == 0
     assert suffix_dedup.repeated_spans(empty).count() == 0
     path = f"{spark.sparkContext.getCheckpointDir()}/empty-tokens"
-    dac.write_tokens(empty, path, P.path("byte_bpe_50k.json"))
+    dac.write_tokens(empty, path, P.path("byte_bpe_50k.json"), P.PATTERN)
     assert dac.read_documents(spark, path).count() == 0
