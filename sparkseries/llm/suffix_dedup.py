@@ -132,30 +132,32 @@ def _windows(reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, is_copy): maximal spans of repeated windows."""
-    all_rows = sparse_suffixes(docs)
+    all_rows = materialize(sparse_suffixes(docs), "suffixes")
     classes = (all_rows.groupBy("rk").agg(F.count(F.lit(1)).alias("n"), F.min("sk").alias("lo"), F.max("sk").alias("hi"))
                .where("n > 1").select("rk", (F.col("lo") != F.col("hi")).alias("mixed")))
-    shared = materialize(all_rows.join(classes, "rk"), "suffix-shared")
+    # grouped sides are written first: a join that reads both sides from shuffles of their own can
+    # be split where a class is hot
+    shared = materialize(all_rows.join(materialize(classes, "suffix-classes"), "rk"), "suffix-shared")
     groups = shared.groupBy("rk", "sk", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("rep"))
     groups = materialize(groups.select("rk", "sk", "mixed", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.at").alias("at")), "suffix-groups")
     wins = materialize(_windows(groups.where("mixed").select("rk", "sk", "n", "doc_id", "at"), docs), "suffix-windows")
     twice = (wins.groupBy("print").agg(F.sum("n").alias("c"), F.min(F.struct("doc_id", "p")).alias("first"))
              .where("c > 1").select("print", "first"))
-    found = wins.join(twice, "print").select(
+    found = wins.join(materialize(twice, "suffix-twice"), "print").select(
         "rk", "sk", "off", (F.struct("doc_id", "p") == F.col("first")).alias("first"))
     offs = found.groupBy("rk", "sk").agg(F.collect_list(F.struct("off", "first")).alias("offs"))
+    sides = materialize(groups.select("rk", "sk", F.col("doc_id").alias("rep_doc"), F.col("at").alias("rep_at"))
+                        .join(offs, ["rk", "sk"], "left"), "suffix-sides")
     lo = F.shiftright("at", 16)
     more = F.col("at").bitwiseAND(0xFF)
-    reps = groups.select(F.col("rk").alias("rk2"), F.col("sk").alias("sk2"), F.col("doc_id").alias("rep_doc"), F.col("at").alias("rep_at"))
-    plain = shared.where("not mixed").join(reps, (F.col("rk") == F.col("rk2")) & (F.col("sk") == F.col("sk2")))
     own = F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("at") == F.col("rep_at"))
-    plain = plain.select("doc_id", lo.alias("a"), (lo + more).alias("b"), (~own).alias("later"))
-    mixed = (shared.where("mixed").join(offs, ["rk", "sk"])
-             .join(reps, (F.col("rk") == F.col("rk2")) & (F.col("sk") == F.col("sk2")))
-             .select("doc_id", lo.alias("lo"), own.alias("own"), F.explode("offs").alias("o"))
-             .select("doc_id", (F.col("lo") + F.col("o.off")).alias("a"), (F.col("lo") + F.col("o.off")).alias("b"),
-                     (~(F.col("own") & F.col("o.first"))).alias("later")))
-    runs = plain.unionByName(mixed)
+
+    def run(a, b, later):
+        return F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), later.alias("later"))
+
+    each = F.when(F.col("mixed"), F.transform("offs", lambda o: run(lo + o["off"], lo + o["off"], ~(own & o["first"]))))
+    runs = (shared.join(sides, ["rk", "sk"])
+            .select("doc_id", F.explode(each.otherwise(F.array(run(lo, lo + more, ~own)))).alias("r")).select("doc_id", "r.*"))
     by_doc = Window.partitionBy("doc_id").orderBy("a", "b")
     before = F.max("b").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     runs = runs.select("*", F.coalesce((F.col("a") > before + MIN_WORDS).cast("int"), F.lit(1)).alias("new"))
