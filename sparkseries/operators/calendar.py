@@ -17,6 +17,7 @@ from .order import chunk_rows, chunk_window, lagged, with_seq
 FREQS = ("h", "D", "W", "M", "Q", "Y")
 # Seasonal period per frequency used by additive decomposition.
 PERIODS = {"h": 24, "D": 7, "B": 5, "W": 52, "M": 12, "Q": 4, "Y": 1}
+DAY = 86_400_000_000  # microseconds
 WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 
@@ -144,7 +145,7 @@ def interpolate_linear(long_seq: DataFrame, max_chunk: int | None = None) -> Dat
 def infer_frequency(long: DataFrame, max_chunk: int | None = None) -> DataFrame:
     """``(series_id, freq)``: one regular frequency or NULL (fewer than 3 stamps or irregular).
 
-    Codes: ``{k}h``/``h``, ``{k}D``/``D``, ``W-<DAY>``, ``B``, ``MS``/``M``, ``QS-<MON>``/``Q-<MON>``,
+    Codes: ``{k}D``/``D``, ``{k}h``, ``{k}min``, ``{k}s``, ``{k}ms``, ``{k}us``, ``W-<DAY>``, ``B``, ``MS``/``M``, ``QS-<MON>``/``Q-<MON>``,
     ``YS-<MON>``/``Y-<MON>`` (start / end of period).  Uses distinct stamps in time order."""
     stamps = long.where(F.col(TS).isNotNull()).select(SERIES, TS).distinct()
     seqd = with_seq(stamps.withColumn(TB, F.lit(0)), max_chunk=max_chunk)
@@ -153,24 +154,24 @@ def infer_frequency(long: DataFrame, max_chunk: int | None = None) -> DataFrame:
     month_idx = (F.year(ts) * 12 + F.month(ts)).cast("bigint")
     d = lagged(seqd.withColumn("_mi", month_idx),
                {"_prev": F.lag(TS, 1).over(w), "_pmi": F.lag("_mi", 1).over(w)}, back=1, max_chunk=max_chunk)
-    secs = F.unix_timestamp(ts.cast("timestamp")) - F.unix_timestamp(F.col("_prev").cast("timestamp"))
+    gap = F.unix_micros(ts.cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))
     dow = F.dayofweek(ts)  # 1 = Sunday
     midnight = F.date_trunc("day", ts) == ts.cast("timestamp")
     g = d.groupBy(SERIES).agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(secs).alias("dmin"), F.max(secs).alias("dmax"),
+        F.min(gap).alias("dmin"), F.max(gap).alias("dmax"),
         F.min(F.col("_mi") - F.col("_pmi")).alias("mmin"), F.max(F.col("_mi") - F.col("_pmi")).alias("mmax"),
         F.min(F.when(midnight, 1).otherwise(0)).alias("all_midnight"),
         F.min(F.when(F.dayofmonth(ts) == 1, 1).otherwise(0)).alias("all_first"),
         F.min(F.when(F.to_date(ts) == F.last_day(ts), 1).otherwise(0)).alias("all_last"),
         F.min(F.when(dow.isin(1, 7), 0).otherwise(1)).alias("all_weekday"),
-        F.max(F.when((secs == 3 * 86400) & (dow != 2), 1).otherwise(0)).alias("bad_gap3"),
+        F.max(F.when((gap == 3 * DAY) & (dow != 2), 1).otherwise(0)).alias("bad_gap3"),
         F.min(dow).alias("dow_min"), F.max(dow).alias("dow_max"),
         F.min(F.month(ts)).alias("mon_min"),
     )
-    day = 86400
+    day, hour, minute, second = DAY, DAY // 24, DAY // 1440, DAY // 86400
     uniform = F.col("dmin") == F.col("dmax")
-    dsec = F.col("dmin")
+    step = F.col("dmin")  # microseconds
     wd = F.element_at(F.array(*[F.lit(x) for x in ("SUN", "MON", "TUE", "WED", "THU", "FRI", "SAT")]),
                       F.col("dow_min"))
     anchor_start = F.element_at(F.array(*[F.lit(m) for m in MONTHS]),
@@ -179,16 +180,19 @@ def infer_frequency(long: DataFrame, max_chunk: int | None = None) -> DataFrame:
                               (((F.col("mon_min") - 1) % F.col("mmin")) + 13 - F.col("mmin")).cast("int"))
 
     def mult(k: Column, unit: str) -> Column:
+        k = k.cast("bigint")
         return F.when(k == 1, F.lit(unit)).otherwise(F.concat(k.cast("string"), F.lit(unit)))
 
     monthly = (F.col("mmin") == F.col("mmax")) & (F.col("all_midnight") == 1)
     freq = (
         F.when(F.col("n") < 3, F.lit(None))
-        .when(uniform & (dsec == 7 * day) & (F.col("dow_min") == F.col("dow_max")), F.concat(F.lit("W-"), wd))
-        .when(uniform & (dsec % day == 0), mult((dsec / day).cast("bigint"), "D"))
-        .when(uniform & (dsec % 3600 == 0), mult((dsec / 3600).cast("bigint"), "h"))
-        .when(uniform & (dsec % 60 == 0), mult((dsec / 60).cast("bigint"), "min"))
-        .when(uniform, mult(dsec, "s"))
+        .when(uniform & (step == 7 * day) & (F.col("dow_min") == F.col("dow_max")), F.concat(F.lit("W-"), wd))
+        .when(uniform & (step % day == 0), mult(step / day, "D"))
+        .when(uniform & (step % hour == 0), mult(step / hour, "h"))
+        .when(uniform & (step % minute == 0), mult(step / minute, "min"))
+        .when(uniform & (step % second == 0), mult(step / second, "s"))
+        .when(uniform & (step % 1000 == 0), mult(step / 1000, "ms"))
+        .when(uniform, mult(step, "us"))
         .when((F.col("all_weekday") == 1) & (F.col("all_midnight") == 1) & (F.col("dmin") == day)
               & (F.col("dmax") == 3 * day) & (F.col("bad_gap3") == 0), F.lit("B"))
         .when(monthly & (F.col("mmin") == 1) & (F.col("all_first") == 1), F.lit("MS"))
@@ -206,7 +210,7 @@ def step_forward(last: Column, freq: Column, i: Column) -> Column:
     """The ``i``-th time stamp after ``last`` for a frequency code (NULL freq -> 'D')."""
     f = F.coalesce(freq, F.lit("D"))
     num = F.regexp_extract(f, r"^(\d*)", 1)
-    k = F.when(num == "", F.lit(1)).otherwise(num.cast("int"))
+    k = F.when(num == "", F.lit(1)).otherwise(num.cast("bigint"))
     unit = F.regexp_replace(f, r"^\d+", "")
     i = i.cast("bigint")
     k = k.cast("bigint")
@@ -225,6 +229,8 @@ def step_forward(last: Column, freq: Column, i: Column) -> Column:
         .when(unit == "h", plus_seconds(i * k * 3600))
         .when(unit == "min", plus_seconds(i * k * 60))
         .when(unit == "s", plus_seconds(i * k))
+        .when(unit == "ms", F.timestamp_micros(micros + i * k * 1000))
+        .when(unit == "us", F.timestamp_micros(micros + i * k))
         .when(unit.startswith("W-"), plus_seconds(i * 7 * 86400))
         .when(unit == "B", bday.cast("timestamp"))
         .when(unit == "MS", F.add_months(F.trunc(d, "month"), i).cast("timestamp"))

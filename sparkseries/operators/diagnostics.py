@@ -160,11 +160,16 @@ def kpss_test(clean: DataFrame, min_points: int = 8, max_chunk: int | None = Non
 
 
 # ---------------------------------------------------------------- H5
+K2_POINTS = 8  # fewest points of the kurtosis term
+SHAPIRO_POINTS = (4, 4999)  # range in which Royston's approximation holds
+
+
 def dagostino_k2(clean: DataFrame) -> DataFrame:
     """D'Agostino-Pearson K^2 from population skewness / kurtosis (pure SQL arithmetic).
-    ``(series_id, n, test_statistic, p_value)``; p = exp(-K^2 / 2) (chi-square, 2 df)."""
+    ``(series_id, n, test_statistic, p_value)``; p = exp(-K^2 / 2) (chi-square, 2 df).
+    Series under 8 points, for which the kurtosis term is not defined, are left out."""
     m = clean.groupBy(SERIES).agg(F.count(VALUE).alias("n"), F.skewness(VALUE).alias("g1"),
-                                  (F.kurtosis(VALUE) + 3.0).alias("b2"))
+                                  (F.kurtosis(VALUE) + 3.0).alias("b2")).where(F.col("n") >= K2_POINTS)
     n = F.col("n").cast("double")
     g1, b2 = F.col("g1"), F.col("b2")
     y = g1 * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
@@ -181,7 +186,7 @@ def dagostino_k2(clean: DataFrame) -> DataFrame:
     a = 6.0 + 8.0 / sb1 * (2.0 / sb1 + F.sqrt(1 + 4.0 / (sb1 * sb1)))
     term1 = 1 - 2.0 / (9.0 * a)
     denom = 1 + x * F.sqrt(2.0 / (a - 4.0))
-    ratio = (1 - 2.0 / a) / denom
+    ratio = F.try_divide(1 - 2.0 / a, denom)
     term2 = F.signum(ratio) * F.pow(F.abs(ratio), 1.0 / 3.0)
     z2 = (term1 - term2) / F.sqrt(2.0 / (9.0 * a))
     k2 = z1 * z1 + z2 * z2
@@ -201,7 +206,7 @@ def shapiro_wilk(clean: DataFrame, max_chunk: int | None = None) -> DataFrame:
 
     base = clean.select(SERIES, VALUE)
     sizes = series_sizes(base)
-    small = sizes.where((F.col("n") >= 4) & (F.col("n") < 5000))
+    small = sizes.where(F.col("n").between(*SHAPIRO_POINTS))
     ranked = with_seq(base.join(small.select(SERIES), SERIES, "left_semi"), order=(VALUE,),
                       seq_col="_r", max_chunk=max_chunk)
     r = ranked.join(small, SERIES).withColumn("_i", F.col("_r") + 1)
@@ -226,7 +231,7 @@ def shapiro_wilk(clean: DataFrame, max_chunk: int | None = None) -> DataFrame:
     inner_small = F.col("S") - F.col("mn") * (F.col("xn") - F.col("x1"))
     ax = F.when(big, inner_big / F.sqrt(phi) + an * (F.col("xn") - F.col("x1")) + an1 * (F.col("xn1") - F.col("x2"))) \
         .otherwise(inner_small / F.sqrt(phi) + an * (F.col("xn") - F.col("x1")))
-    w = F.when(F.col("ss") > 0, F.least(F.lit(1.0), F.try_divide(ax * ax, F.col("ss"))))  # constant: null
+    w = F.when((F.col("ss") > 0) & ~F.isnan("ss"), F.least(F.lit(1.0), F.try_divide(ax * ax, F.col("ss"))))  # constant or infinite: null
     L = F.log(nd)
     small_n = F.col("n") <= 11
     gamma = -2.273 + 0.459 * nd
@@ -243,14 +248,30 @@ def shapiro_wilk(clean: DataFrame, max_chunk: int | None = None) -> DataFrame:
                       .otherwise(1.0 - norm_cdf_col(F.col("_z"))).alias("p_value"))
 
 
-def normality_test(clean: DataFrame, min_points: int = 5, max_chunk: int | None = None) -> DataFrame:
-    """Shapiro-Wilk below 5000 points, D'Agostino K^2 from 5000 on; normal if p > .05."""
-    sw = shapiro_wilk(clean, max_chunk).where(F.col("n") >= min_points) \
-        .withColumn("test_name", F.lit("Shapiro-Wilk"))
-    k2 = dagostino_k2(clean).where(F.col("n") >= 5000).withColumn("test_name", F.lit("D'Agostino's K^2"))
-    both = sw.unionByName(k2)
-    return both.select(SERIES, "n", "test_name", "test_statistic", "p_value",
-                       (F.col("p_value") > 0.05).alias("is_normal"))
+def normality_test(clean: DataFrame, min_points: int = 5, max_chunk: int | None = None,
+                   method: str = "k2") -> DataFrame:
+    """One normality test for series of every length, normal if p > .05: ``method="k2"``
+    (D'Agostino-Pearson) or ``"shapiro"`` (Shapiro-Wilk).
+
+    One row per series of at least ``min_points`` points with a ``status``: ``ok``,
+    ``not_applicable`` (a length the test is not defined for) or ``undefined`` (constant or
+    infinite values)."""
+    if method == "k2":
+        found, name, least, most = dagostino_k2(clean), "D'Agostino's K^2", K2_POINTS, None
+    elif method == "shapiro":
+        found, name, (least, most) = shapiro_wilk(clean, max_chunk), "Shapiro-Wilk", SHAPIRO_POINTS
+    else:
+        raise ValueError("method must be 'k2' or 'shapiro'")
+    n, stat = F.col("n"), F.col("test_statistic")
+    sizes = clean.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n")).where(n >= min_points)
+    fits = (n >= least) if most is None else n.between(least, most)
+    good = stat.isNotNull() & ~F.isnan(stat)
+    out = sizes.join(found.drop("n"), SERIES, "left")
+    return out.select(
+        SERIES, "n", F.lit(name).alias("test_name"),
+        F.when(~fits, "not_applicable").when(good, "ok").otherwise("undefined").alias("status"),
+        F.when(good, stat).alias("test_statistic"), F.when(good, F.col("p_value")).alias("p_value"),
+        F.when(good, F.col("p_value") > 0.05).alias("is_normal"))
 
 
 # ---------------------------------------------------------------- H3

@@ -7,9 +7,11 @@ deterministic, but not bit-equal to any particular library.
 
 Spark layout — only samples and trees are small, the data never gathers:
 
-1. sampling: large series split their rows into random buckets with a seeded
-   hash (tree ``t`` takes bucket ``t``); small series draw an independent hash
-   per tree; per (series, tree) the ``psi`` smallest hashes win (bounded groups);
+1. sampling, alike for every length: each (row, tree) pair is a candidate with the
+   same probability ``p = min(1, 2 psi / n)``, drawn in the scan stage before any
+   shuffle (one seeded hash gives a row's first tree, a geometric gap; only rows that
+   have one draw for the trees after it), so about ``2 psi`` rows a tree are shuffled;
+   per (series, tree) the ``psi`` smallest hashes win (bounded groups);
 2. ``applyInPandas`` per (series, tree) grows the tree on <= 256 values and
    emits its leaves as value intervals with their path length;
 3. ``applyInPandas`` per series merges the 100 interval sets into one step
@@ -41,6 +43,8 @@ MAX_SAMPLES = 256
 CONTAMINATION = 0.05
 EULER = 0.5772156649015329
 BUCKETS = 256
+#: Expected candidates of a tree in units of its sample: with 2 x 256 fewer than 256 come once in 10^30 trees.
+OVERSAMPLE = 2.0
 
 
 def avg_path_length(n: float) -> float:
@@ -110,19 +114,22 @@ def isolation_forest_anomalies(long: DataFrame, threshold: float = 3.0, contamin
                                      F.max(VALUE).alias("vmax"))
     info = bounded(info.where(F.col("n") >= min_points).withColumn(
         "psi", F.least(F.lit(max_samples), F.col("n"))).withColumn(
-        "k", F.floor(F.col("n") / (4 * F.col("psi"))).cast("long")))
+        "p", F.least(F.lit(1.0), F.lit(OVERSAMPLE) * F.col("psi") / F.col("n"))))
     rowkey = [F.col(SERIES), F.col(TS), F.col(TB), F.col(VALUE)]
     base = clean.join(info, SERIES)
-    unit = F.lit(2.0 ** -63)
-    # large series: one hash buckets rows into trees (disjoint random samples)
-    big = base.where(F.col("k") >= n_trees).withColumn(
-        "_tree", F.floor(F.abs(F.xxhash64(*rowkey, F.lit(seed))) * unit * F.col("k")).cast("int")) \
-        .where(F.col("_tree") < n_trees)
-    # small series: an independent hash per (row, tree)
-    small = base.where(F.col("k") < n_trees).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("_tree"))
-    cand = big.unionByName(small).withColumn(
-        "_u", F.xxhash64(*rowkey, F.col("_tree"), F.lit(seed + 1)))
+
+    def uniform(h):  # [0, 1) with 53 bits
+        return F.shiftrightunsigned(h, 11) * F.lit(2.0 ** -53)
+
+    # first tree of a row: the gap of a geometric law, so most rows of a long series stop here
+    gap = F.log1p(-uniform(F.xxhash64(*rowkey, F.lit(seed)))) / F.log1p(-F.col("p"))
+    first = F.when(F.col("p") >= 1.0, F.lit(0)).otherwise(F.least(F.floor(gap), F.lit(n_trees))).cast("int")
+    drawn = base.withColumn("_first", first).where(F.col("_first") < n_trees)
+    drawn = drawn.withColumn("_key", F.xxhash64(*rowkey, F.lit(seed + 2)))
+    later = F.filter(F.sequence(F.col("_first"), F.lit(n_trees - 1)),
+                     lambda t: (t == F.col("_first")) | (uniform(F.xxhash64(F.col("_key"), t)) < F.col("p")))
+    cand = drawn.select("*", F.explode(later).alias("_tree")).withColumn(
+        "_u", F.xxhash64(F.col("_key"), F.col("_tree"), F.lit(seed + 1)))
     w = Window.partitionBy(SERIES, "_tree").orderBy("_u", TS, TB)
     sample = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("psi"))
     leaves = sample.select(SERIES, "_tree", VALUE).groupBy(SERIES, "_tree").applyInPandas(

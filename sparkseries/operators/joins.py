@@ -34,7 +34,8 @@ def bounded(small: DataFrame, max_rows: int | None = None, observe: dict | None
     within the bounds (``sparkseries.broadcastMaxRows`` / ``sparkseries.broadcastMaxBytes``).
 
     ``observe`` adds named aggregate columns computed in the same job; their values are
-    left on the result as ``df.sparkseries_metrics`` (with ``rows``)."""
+    left on the result as ``df.sparkseries_metrics`` (with ``rows``).  A hint covers the checked
+    rows only but survives ``explode``: multiply rows from ``df.sparkseries_plain`` instead."""
     limit = max_rows if max_rows is not None else max_broadcast_rows(small)
     max_bytes = conf_int(small.sparkSession, CONF_BROADCAST_BYTES, DEFAULT_BROADCAST_BYTES)
     # the checkpoint job computes and writes the table and, as observed metrics, counts its rows
@@ -48,6 +49,7 @@ def bounded(small: DataFrame, max_rows: int | None = None, observe: dict | None
     fits = metrics["rows"] <= limit and metrics["bytes"] <= max_bytes
     out = F.broadcast(small) if fits else small
     out.sparkseries_metrics = metrics
+    out.sparkseries_plain = small  # without the hint, for use below an explode
     return out
 
 

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from ..schema import SERIES
 
+#: Bytes of partial matrices an input partition keeps before it sends them on.
+PARTIAL_BYTES = 32 << 20
+
 CELL_SCHEMA = f"{SERIES} string, i int, j int, v double"
 
 
@@ -30,6 +33,14 @@ def gram(df: DataFrame, columns: Sequence[str], key: str = SERIES) -> DataFrame:
     k = len(cols)
     iu, ju = np.triu_indices(k)
 
+    most = max(1, PARTIAL_BYTES // (8 * k * k))
+
+    def cells_of(acc):
+        sids = np.repeat(np.array(list(acc), dtype=object), len(iu))
+        return pd.DataFrame({SERIES: sids, "i": np.tile(iu.astype("int32"), len(acc)),
+                             "j": np.tile(ju.astype("int32"), len(acc)),
+                             "v": np.concatenate([m[iu, ju] for m in acc.values()])})
+
     def partial(batches):
         acc: dict[str, np.ndarray] = {}
         for pdf in batches:
@@ -40,8 +51,11 @@ def gram(df: DataFrame, columns: Sequence[str], key: str = SERIES) -> DataFrame:
                 x = g[cols].to_numpy(dtype=float)
                 m = x.T @ x
                 acc[sid] = acc[sid] + m if sid in acc else m
-        for sid, m in acc.items():
-            yield pd.DataFrame({SERIES: sid, "i": iu.astype("int32"), "j": ju.astype("int32"), "v": m[iu, ju]})
+                if len(acc) >= most:  # many series: partial sums go on, memory stays bounded
+                    yield cells_of(acc)
+                    acc = {}
+        if acc:
+            yield cells_of(acc)
 
     cells = df.select(F.col(key).alias(SERIES), *cols).mapInPandas(partial, CELL_SCHEMA)
     return cells.groupBy(SERIES, "i", "j").agg(F.sum("v").alias("v"))
@@ -73,9 +87,11 @@ def ols_from_gram(g: np.ndarray, cols: Sequence[int] | None = None, ridge: np.nd
 
     ``g`` must include a constant column if an intercept is wanted; N is read from it
     when ``const_index`` is given by the caller.  Uses a least-squares solve (handles
-    rank deficiency)."""
+    rank deficiency).  A matrix with non-finite cells gives NaN results."""
     k = g.shape[0] - 1
     idx = list(range(k)) if cols is None else list(cols)
+    if not np.isfinite(g).all():  # infinite observations: no fit, and no failure for other series
+        return np.full(len(idx), np.nan), float("nan"), np.full((len(idx), len(idx)), np.nan)
     xtx = g[np.ix_(idx, idx)].copy()
     xty = g[idx, k]
     if ridge is not None:

@@ -2,10 +2,11 @@
 
 Everything is a grouped aggregate on ``series_id`` — partial aggregation on the
 map side, so a hot series costs one small row per input partition in the shuffle.
-Exact quantiles are the one non-decomposable statistic: they are computed from
-value ranks (:func:`sparkseries.operators.order.with_seq` ordered by value, which
-is skew-safe) instead of Spark's ``percentile`` aggregate, whose buffer keeps all
-distinct values of a group in one task.  ``approx=True`` switches to the
+Exact quantiles are the one non-decomposable statistic: equal values are first counted
+(combined on the map side, so a hot value is one row), then the distinct values are
+ordered (:func:`sparkseries.operators.order.with_seq`) and their counts summed up by
+chunks, instead of Spark's ``percentile`` aggregate, whose buffer keeps all distinct
+values of a group in one task.  ``approx=True`` switches to the
 mergeable ``percentile_approx`` sketch.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import is_missing
 from ..schema import SEQ, SERIES, TS, VALUE
 from .joins import bounded
-from .order import series_sizes, with_seq
+from .order import cumulative_sum, with_seq
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -36,20 +37,20 @@ def quantiles(clean: DataFrame, probs: Sequence[float] = QUARTILES, approx: bool
         return agg.select(SERIES, F.posexplode("_qs").alias("_i", "quantile")).select(
             SERIES, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("q"),
             "quantile")
-    base = clean.select(SERIES, VALUE)
-    sizes = series_sizes(base)
-    ranked = with_seq(base, order=(VALUE,), seq_col="_r", sizes=sizes, max_chunk=max_chunk)
+    # equal values become one row with a count before anything is sorted
+    counts = clean.groupBy(SERIES, VALUE).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = clean.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n"))
+    ranked = cumulative_sum(with_seq(counts, order=(VALUE,), max_chunk=max_chunk), "_c", "_hi", max_chunk=max_chunk)
     wanted = []
     for p in probs:
         h = (F.col("n") - 1) * F.lit(p)
         lo = F.floor(h)
         hi = F.least(lo + 1, F.col("n") - 1)
-        wanted += [F.struct(F.lit(p).alias("q"), lo.alias("_r"), F.lit("lo").alias("role"), (h - lo).alias("frac")),
-                   F.struct(F.lit(p).alias("q"), hi.alias("_r"), F.lit("hi").alias("role"), (h - lo).alias("frac"))]
-    need = bounded(sizes.where(F.col("n") > 0)
-                   .select(SERIES, F.explode(F.array(*wanted)).alias("w"))
-                   .select(SERIES, "w.q", F.col("w._r").cast("bigint").alias("_r"), "w.role", "w.frac"))
-    picked = ranked.join(need, [SERIES, "_r"])
+        wanted += [F.struct(F.lit(p).alias("q"), lo.cast("double").alias("_r"), F.lit("lo").alias("role"), (h - lo).alias("frac")),
+                   F.struct(F.lit(p).alias("q"), hi.cast("double").alias("_r"), F.lit("hi").alias("role"), (h - lo).alias("frac"))]
+    need = bounded(sizes.where(F.col("n") > 0).select(SERIES, F.array(*wanted).alias("_w")))
+    here = F.filter("_w", lambda w: (w._r < F.col("_hi")) & (w._r >= F.col("_hi") - F.col("_c")))
+    picked = ranked.join(need, SERIES).select(SERIES, VALUE, F.explode(here).alias("_p")).select(SERIES, VALUE, "_p.*")
     g = picked.groupBy(SERIES, "q").agg(
         F.max(F.when(F.col("role") == "lo", F.col(VALUE))).alias("_lo"),
         F.max(F.when(F.col("role") == "hi", F.col(VALUE))).alias("_hi"),
@@ -144,15 +145,22 @@ def histogram(clean: DataFrame, bins: int | None = None) -> DataFrame:
     """Equal-width histogram per series: ``b = min(20, max(5, n // 10))`` bins over
     [min, max] (constant data: [v - .5, v + .5]); last bin closed; empty bins kept.
 
+    Bins cover the finite values.  Infinite values are counted in two more rows, only where
+    they occur: bin -1 up to the first edge and bin ``b`` (the number of bins) from the last.
+
     Rows ``(series_id, bin, bin_lo, bin_hi, n)``.  The per-series edges table is
     size-checked and broadcast; counting is a partial aggregate.
     """
     b = F.lit(bins) if bins is not None else F.least(F.lit(20), F.greatest(F.lit(5), F.floor(F.col("n") / 10)))
-    edges = clean.groupBy(SERIES).agg(F.count(VALUE).alias("n"), F.min(VALUE).alias("_mn"),
-                                      F.max(VALUE).alias("_mx"))
+    inf = float("inf")
+    finite = F.abs(F.col(VALUE)) < inf
+    fv = F.when(finite, F.col(VALUE))
+    edges = clean.groupBy(SERIES).agg(
+        F.count(fv).alias("n"), F.min(fv).alias("_mn"), F.max(fv).alias("_mx"),
+        F.count(F.when(F.col(VALUE) == -inf, 1)).alias("_below"), F.count(F.when(F.col(VALUE) == inf, 1)).alias("_above"))
     const = F.col("_mn") == F.col("_mx")
     edges = edges.where(F.col("n") > 0).select(
-        SERIES, b.cast("int").alias("bins"),
+        SERIES, b.cast("int").alias("bins"), "_below", "_above",
         F.when(const, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),
         F.when(const, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi"))
     edges = bounded(edges)
@@ -166,14 +174,18 @@ def histogram(clean: DataFrame, bins: int | None = None) -> DataFrame:
     idx = F.least(F.greatest(raw, F.lit(0)), nb - 1)
     idx = F.when(v < edge(idx), idx - 1).otherwise(idx)
     idx = F.when((v >= edge(idx + 1)) & (idx != nb - 1), idx + 1).otherwise(idx)
-    counts = (clean.join(edges, SERIES).withColumn("bin", idx)
+    counts = (clean.where(finite).join(edges, SERIES).withColumn("bin", idx)
               .groupBy(SERIES, "bin").agg(F.count(F.lit(1)).alias("n")))
     spine = edges.select(SERIES, "lo", "hi", "bins",
                          F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
     i = F.col("bin")
-    return (spine.join(counts, [SERIES, "bin"], "left")
-            .select(SERIES, "bin", (i * step + lo).alias("bin_lo"), edge(i + 1).alias("bin_hi"),
-                    F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
+    inner = (spine.join(counts, [SERIES, "bin"], "left")
+             .select(SERIES, "bin", (i * step + lo).alias("bin_lo"), edge(i + 1).alias("bin_hi"),
+                     F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
+    outer = edges.select(SERIES, F.explode(F.array(
+        F.struct(F.lit(-1).alias("bin"), F.lit(-inf).alias("bin_lo"), lo.alias("bin_hi"), F.col("_below").alias("n")),
+        F.struct(nb.alias("bin"), hi.alias("bin_lo"), F.lit(inf).alias("bin_hi"), F.col("_above").alias("n")))).alias("_o"))
+    return inner.unionByName(outer.select(SERIES, "_o.*").where("n > 0"))
 
 
 # ---------------------------------------------------------------- C6

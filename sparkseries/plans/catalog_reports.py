@@ -84,7 +84,7 @@ WITH s AS ({_summary_sql(EV)}), r AS ({SERIES_SQL['rolling_last_events']})
 SELECT * FROM s LEFT JOIN r USING (series_id)""")
 def q_eda_summary_events(spark, sf):
     """R1 summary section: C4 + last rolling mean/std."""
-    sections = reports.eda_report(cz.events_long(spark, sf))
+    sections = reports.eda_report(cz.events_long(spark, sf), sections=["summary_stats"])
     return rounded(sections["summary_stats"])
 
 

@@ -225,10 +225,11 @@ def q_normality_k2_lineitem(spark, sf):
 
 @_q("normality_events")
 def q_normality_events(spark, sf):
-    """H5 dispatch (Shapiro-Wilk below 5000 points) on EV and ORD_M."""
+    """H5: both tests, with a status where one does not apply, on EV and ORD_M."""
     a = roles.drop_missing(cz.events_long(spark, sf))
     b = ord_m(spark, sf).select(F.concat(F.lit("M:"), SERIES).alias(SERIES), TS, TB, VALUE)
-    return rounded(diagnostics.normality_test(a.unionByName(b)))
+    both = a.unionByName(b)
+    return rounded(diagnostics.normality_test(both).unionByName(diagnostics.normality_test(both, method="shapiro")))
 
 
 @_q("decompose_orders_monthly")

@@ -1,14 +1,15 @@
 """Composed reports (survey R1, R3, R4).
 
 Each report is a set of tidy per-series DataFrames computed from one cleaned,
-persisted base; sections are independent plans, so a failing or empty section
+base; sections are independent plans, so a failing or empty section
 never hides the others.  :func:`nested` rolls sections up into one row per
 series with STRUCT / ARRAY columns (left joins on ``series_id``).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +55,24 @@ def basic_report(long: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- R1
-def eda_report(long: DataFrame, max_chunk: int | None = None, persist: bool = True) -> dict[str, DataFrame]:
-    """The six EDA sections as DataFrames keyed by section name.
+def _with_status(ids: DataFrame, section: DataFrame, least: int, per_point: bool = False) -> DataFrame:
+    """``section`` plus a ``status`` and a row for every series of ``ids(series_id, _n)``:
+    ``ok``, ``all_missing``, ``insufficient`` (under ``least`` points) or ``undefined``."""
+    why = (F.when(F.col("_n") == 0, "all_missing").when(F.col("_n") < least, "insufficient")
+           .otherwise("undefined"))
+    if "status" in section.columns:
+        section = section.withColumnRenamed("status", "test_status")
+    section = section.withColumn("status", F.lit("ok"))
+    if per_point:  # points stay where they are; only the absent series are added
+        absent = ids.join(section.select(SERIES).distinct(), SERIES, "left_anti")
+        return section.unionByName(absent.select(SERIES, why.alias("status")), allowMissingColumns=True)
+    out = section.join(ids, SERIES, "right")
+    return out.withColumn("status", F.coalesce(F.col("status"), why)).drop("_n")
+
+
+def eda_report(long: DataFrame, max_chunk: int | None = None,
+               sections: Sequence[str] = EDA_SECTIONS) -> dict[str, DataFrame]:
+    """The asked EDA sections as DataFrames keyed by section name; only these are planned.
 
     * summary_stats          C4 + last rolling mean / std (E4)
     * stationarity_tests     ADF + KPSS (n >= 8)
@@ -63,27 +80,32 @@ def eda_report(long: DataFrame, max_chunk: int | None = None, persist: bool = Tr
     * distribution_analysis  normality test + histogram bins (n >= 5)
     * seasonal_decomposition automatic calendar + additive decomposition (n >= 10)
     * trend_analysis         linear trend with p-value (n >= 5)
-    """
+
+    Every section has a ``status`` and at least one row for every series."""
     base = long.select(SERIES, TS, "tiebreak", VALUE)
-    if persist:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
     clean = base.where(~is_missing(F.col(VALUE)))
-    _, last = order.rolling_stats(clean, max_chunk=max_chunk)
-    summary = stats.summary_stats(base, max_chunk=max_chunk).join(last, SERIES, "left")
-    norm = diagnostics.normality_test(clean, max_chunk=max_chunk)
-    hist = stats.histogram(clean)
-    eligible5 = clean.groupBy(SERIES).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 5).select(SERIES)
-    return {
+    ids = base.groupBy(SERIES).agg(F.count(F.when(~is_missing(F.col(VALUE)), 1)).alias("_n"))
+
+    def summary():
+        _, last = order.rolling_stats(clean, max_chunk=max_chunk)
+        return stats.summary_stats(base, max_chunk=max_chunk).join(last, SERIES, "left")
+
+    def distribution():
+        hist = stats.histogram(clean).groupBy(SERIES).agg(
+            F.array_sort(F.collect_list(F.struct("bin", "bin_lo", "bin_hi", "n"))).alias("histogram"))
+        norm = diagnostics.normality_test(clean, max_chunk=max_chunk)
+        return _with_status(ids, norm.join(hist, SERIES, "left"), 5)
+
+    build = {
         "summary_stats": summary,
-        "stationarity_tests": diagnostics.stationarity_tests(clean, max_chunk=max_chunk),
-        "autocorrelation": diagnostics.autocorrelation(clean, max_chunk=max_chunk),
-        "distribution_analysis": norm.join(
-            hist.join(eligible5, SERIES, "left_semi").groupBy(SERIES).agg(
-                F.array_sort(F.collect_list(F.struct("bin", "bin_lo", "bin_hi", "n"))).alias("histogram")),
-            SERIES, "left"),
-        "seasonal_decomposition": decompose.auto_decompose(clean, max_chunk=max_chunk),
-        "trend_analysis": stats.linear_trend(clean, max_chunk=max_chunk),
+        "stationarity_tests": lambda: _with_status(ids, diagnostics.stationarity_tests(clean, max_chunk=max_chunk), 8),
+        "autocorrelation": lambda: _with_status(ids, diagnostics.autocorrelation(clean, max_chunk=max_chunk), 8),
+        "distribution_analysis": distribution,
+        "seasonal_decomposition": lambda: _with_status(
+            ids, decompose.auto_decompose(clean, max_chunk=max_chunk), 10, per_point=True),
+        "trend_analysis": lambda: _with_status(ids, stats.linear_trend(clean, max_chunk=max_chunk), 5),
     }
+    return {name: build[name]() for name in sections}
 
 
 def nested(sections: dict[str, DataFrame]) -> DataFrame:
@@ -97,13 +119,16 @@ def nested(sections: dict[str, DataFrame]) -> DataFrame:
         cols = [c for c in df.columns if c != SERIES]
         if name == "autocorrelation":
             part = df.groupBy(SERIES).agg(
-                F.array_sort(F.collect_list(F.struct("lag", "acf", "pacf"))).alias(name))
+                F.first("status").alias("_s"),
+                F.array_sort(F.collect_list(F.when(F.col("lag").isNotNull(), F.struct("lag", "acf", "pacf")))).alias("_l"))
+            part = part.select(SERIES, F.struct(F.col("_s").alias("status"), F.col("_l").alias("lags")).alias(name))
         elif name == "seasonal_decomposition":
-            phases = df.groupBy(SERIES, "frequency", "period", (F.col(SEQ) % F.col("period")).alias("phase")) \
+            phases = df.groupBy(SERIES, "status", "frequency", "period", (F.col(SEQ) % F.col("period")).alias("phase")) \
                 .agg(F.first("seasonal").alias("seasonal"))
             part = phases.groupBy(SERIES).agg(F.struct(
-                F.first("frequency").alias("frequency"), F.first("period").alias("period"),
-                F.array_sort(F.collect_list(F.struct("phase", "seasonal"))).alias("seasonal_pattern")).alias(name))
+                F.first("status").alias("status"), F.first("frequency").alias("frequency"), F.first("period").alias("period"),
+                F.array_sort(F.collect_list(F.when(F.col("phase").isNotNull(), F.struct("phase", "seasonal"))))
+                .alias("seasonal_pattern")).alias(name))
         else:
             part = df.select(SERIES, F.struct(*cols).alias(name))
         out = part if out is None else out.join(part, SERIES, "full")
