@@ -307,9 +307,10 @@ def adf_max_lag(n):
                    F.floor(F.col(n) / 2) - 2).cast("int")
 
 
-def _adf_frame(clean: DataFrame, max_chunk: int | None):
+def _adf_frame(clean: DataFrame, max_chunk: int | None, max_lag: int | None = None):
     sizes = series_sizes(clean)
-    sizes = sizes.withColumn("maxlag", adf_max_lag("n"))
+    lag = adf_max_lag("n")
+    sizes = sizes.withColumn("maxlag", lag if max_lag is None else F.least(lag, F.lit(max_lag)))
     ok = bounded(sizes.where((F.col("n") >= 8) & (F.col("maxlag") >= 0)))
     kmax = int(ok.agg(F.max("maxlag")).first()[0] or 0)
     seqd = with_seq(clean.join(ok.select(SERIES), SERIES, "left_semi"), sizes=ok.select(SERIES, "n"),
@@ -324,8 +325,9 @@ def _adf_frame(clean: DataFrame, max_chunk: int | None):
     return frame, ok, kmax
 
 
-def adf_test(clean: DataFrame, min_points: int = 8, max_chunk: int | None = None) -> DataFrame:
-    """Augmented Dickey-Fuller (constant, lag length by AIC over 0..maxlag).
+def adf_test(clean: DataFrame, min_points: int = 8, max_chunk: int | None = None,
+             max_lag: int | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller (constant, lag length by AIC over 0..maxlag; ``max_lag`` lowers it).
 
     Regression of dy_t on [1, y_{t-1}, dy_{t-1..t-k}] on the common sample; all lag
     lengths are solved from one distributed Gram matrix, the chosen one is refitted on
@@ -334,7 +336,7 @@ def adf_test(clean: DataFrame, min_points: int = 8, max_chunk: int | None = None
     from ..functions.dist import norm_cdf  # noqa: F401  (imported for workers)
     from .linalg import gram
 
-    frame, ok, kmax = _adf_frame(clean, max_chunk)
+    frame, ok, kmax = _adf_frame(clean, max_chunk, max_lag)
     lag_cols = [f"_d{k}" for k in range(1, kmax + 1)]
     cols = ["_one", "_lvl", *lag_cols, "_dy"]
 

@@ -162,7 +162,7 @@ def additive_forecast(prep: Prepared, horizons: Sequence[int], model: str = "pro
     from ..stats import forecast_metrics
     metrics = forecast_metrics(scored, "actual", "forecast", zero_policy="skip")
     m_all = fit(data.drop("n"), prep.max_chunk)
-    fut = steps_for(facts, horizons)
+    fut = steps_for(prep, facts, horizons)
     pred = predict(fut, m_all)
     half = F.lit(Z95) * F.col("resid_sd") * F.col("_ymax")
     cols = [SERIES, F.lit(model).alias("model"), F.col("horizon").cast("int").alias("horizon"),

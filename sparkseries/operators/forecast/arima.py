@@ -310,7 +310,7 @@ def _final_fit_fn(hmax: int, seasonal: bool):
 
 
 def _rows(prep, facts, fitted, horizons, model):
-    steps = steps_for(facts, horizons).join(fitted, [SERIES, "step"])
+    steps = steps_for(prep, facts, horizons).join(fitted, [SERIES, "step"])
     half = F.lit(Z95) * F.col("se")
     return steps.select(SERIES, F.lit(model).alias("model"), F.col("horizon").cast("int").alias("horizon"),
                         F.col("step").cast("int").alias("step"), "ts", SEQ, "forecast",

@@ -62,6 +62,7 @@ class Prepared:
             SERIES, F.coalesce(F.col("n"), F.lit(0)).alias("n"), "last_ts", "freq", "first_value",
             "last_value", (F.col("_mn") == F.col("_mx")).alias("is_constant"))
         self.facts = bounded(facts)
+        self.plain = self.facts.sparkseries_plain
         ok = self.facts.where(F.col("n") >= min_points)
         self.status = self.facts.select(
             SERIES, F.when(F.col("n") == 0, "error").when(F.col("n") < min_points, "error")
@@ -81,10 +82,12 @@ class Prepared:
         return self.ok.where(F.col("is_constant"))
 
 
-def steps_for(facts: DataFrame, horizons: Sequence[int]) -> DataFrame:
+def steps_for(prep: Prepared, facts: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """``(series_id, horizon, step, ts, seq)`` — future stamps for every horizon."""
     hmax = max(horizons)
-    fut = future_dates(facts.select(SERIES, "last_ts", "freq", "n"), hmax)
+    # the checked size of the facts does not cover horizon times as many rows: no broadcast hint here
+    rows = prep.plain.join(facts.select(SERIES), SERIES, "left_semi")
+    fut = future_dates(rows.select(SERIES, "last_ts", "freq", "n"), hmax)
     hz = F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon")
     return fut.select("*", hz).where(F.col("step") <= F.col("horizon"))
 
@@ -93,7 +96,7 @@ def steps_for(facts: DataFrame, horizons: Sequence[int]) -> DataFrame:
 def constant_forecast(prep: Prepared, horizons: Sequence[int], model: str) -> tuple[DataFrame, DataFrame]:
     """Constant series: repeat the value; bounds equal the forecast."""
     const = prep.constant()
-    rows = steps_for(const, horizons).join(const.select(SERIES, "first_value"), SERIES).select(
+    rows = steps_for(prep, const, horizons).join(const.select(SERIES, "first_value"), SERIES).select(
         SERIES, F.lit(model).alias("model"), F.col("horizon").cast("int").alias("horizon"),
         F.col("step").cast("int").alias("step"), TS, SEQ, F.col("first_value").alias("forecast"),
         F.col("first_value").alias("lower"), F.col("first_value").alias("upper"))

@@ -102,7 +102,7 @@ def holt_forecast(prep: Prepared, horizons: Sequence[int], model: str = "exponen
     """Forecast rows and info rows for the non-constant series of ``prep``."""
     facts = prep.varying()
     fit = holt_fit(prep.clean.join(facts.select(SERIES), SERIES, "left_semi"), facts, prep.max_chunk)
-    steps = steps_for(facts, horizons).join(fit, SERIES)
+    steps = steps_for(prep, facts, horizons).join(fit, SERIES)
     k = F.col("step").cast("double")
     point = F.col("level") + k * F.col("trend")
     sigma2 = F.try_divide(F.col("sse"), F.col("n_err").cast("double"))

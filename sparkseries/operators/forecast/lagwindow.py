@@ -112,7 +112,7 @@ def lag_window_forecast(prep: Prepared, horizons: Sequence[int], model: str = "l
     path = start.join(coefs, SERIES).groupBy(SERIES).applyInPandas(
         rollout, schema=f"{SERIES} string, step int, forecast double")
     facts = prep.varying().where(F.col("n") >= MIN_POINTS)
-    rows = steps_for(facts, horizons).join(path, [SERIES, "step"]).join(metrics.select(SERIES, "rmse"), SERIES, "left")
+    rows = steps_for(prep, facts, horizons).join(path, [SERIES, "step"]).join(metrics.select(SERIES, "rmse"), SERIES, "left")
     point = F.col("forecast")
     half = F.lit(Z95) * F.col("rmse")
     lower = F.when(F.col("rmse").isNotNull(), point - half).otherwise(point * 0.9)

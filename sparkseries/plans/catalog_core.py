@@ -274,6 +274,14 @@ def q_iqr_anomalies_orders_t15(spark, sf):
     return _anom_out(anomaly.detect_anomalies(cz.orders_long(spark, sf), "iqr", 1.5))
 
 
+@register("iqr_anomalies_orders_t03", _iqr_sql(
+    "SELECT o_orderpriority AS series_id, o_orderdate AS ts, o_orderkey AS tiebreak, "
+    "o_totalprice AS value FROM orders", "0.3"))
+def q_iqr_anomalies_orders_t03(spark, sf):
+    """D2 on the order prices per priority with a threshold narrow enough to flag rows."""
+    return _anom_out(anomaly.detect_anomalies(cz.orders_long(spark, sf), "iqr", 0.3))
+
+
 @register("anomaly_summary_events", f"""
 WITH clean AS (SELECT * FROM ({EV}) WHERE value IS NOT NULL AND NOT isnan(value)),
 s AS (SELECT series_id, count(value) AS n, avg(value) AS m, stddev_samp(value) AS sd FROM clean GROUP BY 1),
@@ -314,13 +322,15 @@ def q_first_series_orders_daily(spark, sf):
 
 
 @register("min_points_guard_mixed", f"""
-WITH src AS (SELECT * FROM ({EV}) WHERE value > 300),
+WITH src AS (SELECT series_id || ':' || floor(value / 10)::BIGINT AS series_id FROM ({EV}) WHERE value IS NOT NULL),
 c AS (SELECT series_id, count(*) AS n FROM src GROUP BY 1)
 SELECT 'ok' AS status, series_id, n FROM c WHERE n >= 5
 UNION ALL SELECT 'insufficient', series_id, n FROM c WHERE n < 5""")
 def q_min_points_guard_mixed(spark, sf):
-    """Split the sparse high-value event series into qualifying rows and status rows."""
-    hi = roles.drop_missing(cz.events_long(spark, sf)).where(F.col(VALUE) > 300)
-    ok, short = roles.min_points_guard(hi, 5)
+    """All events regrouped by type and value band, so that some series are short; split
+    into qualifying rows and status rows."""
+    bands = roles.drop_missing(cz.events_long(spark, sf)).withColumn(
+        SERIES, F.concat(SERIES, F.lit(":"), F.floor(F.col(VALUE) / 10).cast("string")))
+    ok, short = roles.min_points_guard(bands, 5)
     ok_rows = ok.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n")).select(F.lit("ok").alias("status"), SERIES, "n")
     return ok_rows.unionByName(short.select("status", SERIES, "n"))

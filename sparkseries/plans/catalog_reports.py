@@ -56,11 +56,12 @@ def q_basic_report_events(spark, sf):
 
 
 # ---------------------------------------------------------------- R4
-HI = f"SELECT 'hi:' || series_id AS series_id, ts, tiebreak, value FROM ({EV}) WHERE value > 300"
+BANDS = (f"SELECT 'band:' || series_id || ':' || coalesce(floor(value / 10)::BIGINT::VARCHAR, '') AS series_id, "
+         f"ts, tiebreak, value FROM ({EV})")
 
 
 @register("series_status_mixed", f"""
-WITH src AS (SELECT * FROM ({ORD_DAILY}) UNION ALL SELECT * FROM ({HI})),
+WITH src AS (SELECT * FROM ({ORD_DAILY}) UNION ALL SELECT * FROM ({BANDS})),
 c AS (SELECT series_id, count(*) AS n_rows, count(CASE WHEN NOT isnan(value) THEN value END) AS n,
              min(value) AS mn, max(value) AS mx, count(ts) AS nts FROM src GROUP BY 1)
 SELECT series_id, n_rows, n, n = 0 AS all_missing, coalesce(mn = mx, false) AS is_constant,
@@ -72,10 +73,12 @@ SELECT series_id, n_rows, n, n = 0 AS all_missing, coalesce(mn = mx, false) AS i
             WHEN nts = 0 THEN 'No datetime index' END AS reason
 FROM c""")
 def q_series_status_mixed(spark, sf):
-    """Qualification per analysis on the daily order table plus the sparse high-value event series."""
+    """Qualification per analysis on the daily order table plus all events regrouped by type
+    and value band (short series among them)."""
     ev = cz.events_long(spark, sf)
-    hi = ev.where(F.col(VALUE) > 300).withColumn(SERIES, F.concat(F.lit("hi:"), SERIES))
-    return reports.series_status(cz.orders_daily_long(spark, sf).unionByName(hi))
+    band = F.floor(F.nanvl(F.col(VALUE), F.lit(None)) / 10).cast("string")
+    bands = ev.withColumn(SERIES, F.concat(F.lit("band:"), SERIES, F.lit(":"), F.coalesce(band, F.lit(""))))
+    return reports.series_status(cz.orders_daily_long(spark, sf).unionByName(bands))
 
 
 # ---------------------------------------------------------------- R1

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
@@ -28,6 +29,17 @@ def _q(name):
 
 
 # ---------------------------------------------------------------- E
+@_q("order_series_events")
+def q_order_series_events(spark, sf):
+    """Every event in (series, time, tiebreak) order, with the row's sorted predecessor in its partition
+    checked (``in_order``)."""
+    out = order.order_series(cz.events_long(spark, sf))
+    before = F.struct(SERIES, TS, TB)
+    late = out.select(SERIES, TS, TB, VALUE, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
+    prev = F.lag(before).over(Window.partitionBy("_p").orderBy("_i"))
+    return rounded(late.select(SERIES, TS, TB, VALUE, F.coalesce(prev <= before, F.lit(True)).alias("in_order")))
+
+
 @_q("with_seq_orders")
 def q_with_seq_orders(spark, sf):
     """0-based position of every order inside its priority by (date, orderkey)."""
@@ -260,6 +272,13 @@ def q_adf_orders_monthly(spark, sf):
     return rounded(diagnostics.adf_test(ord_m(spark, sf)), 4)
 
 
+@_q("adf_no_lag_orders_monthly")
+def q_adf_no_lag_orders_monthly(spark, sf):
+    """H3 without lagged differences (the plain Dickey-Fuller regression) on ORD_M."""
+    out = diagnostics.adf_test(ord_m(spark, sf), max_lag=0)
+    return rounded(out.select(SERIES, "nobs", "used_lag", "test_statistic"), 6)
+
+
 @_q("stationarity_tests_events_daily")
 def q_stationarity_tests_events_daily(spark, sf):
     """R1 stationarity section: ADF + KPSS side by side on EVD."""

@@ -357,3 +357,14 @@ p AS (SELECT series_id, n, r1 / r0 AS p1, (r2 / r0 - (r1 / r0) * (r1 / r0)) / (1
 SELECT series_id, 0 AS lag, 1.0::DOUBLE AS pacf FROM p WHERE n >= 8 AND least(20, n // 2) >= 2
 UNION ALL SELECT series_id, 1, {rnd('p1')} FROM p WHERE n >= 8 AND least(20, n // 2) >= 2
 UNION ALL SELECT series_id, 2, {rnd('p2')} FROM p WHERE n >= 8 AND least(20, n // 2) >= 2"""
+
+# ---------------------------------------------------------------- E1 / H3 oracles
+SQL["order_series_events"] = f"SELECT series_id, ts, tiebreak, {rnd('value')} AS value, true AS in_order FROM ({EV})"
+
+SQL["adf_no_lag_orders_monthly"] = f"""
+WITH y AS (SELECT series_id, value - lag(value) OVER w AS dy, lag(value) OVER w AS l FROM ({ORD_M})
+           WINDOW w AS (PARTITION BY series_id ORDER BY ts, tiebreak)),
+f AS (SELECT series_id, count(*) AS nobs, regr_slope(dy, l) AS b, regr_sxx(dy, l) AS sxx, regr_syy(dy, l) AS syy
+      FROM y WHERE l IS NOT NULL GROUP BY 1 HAVING count(*) >= 7)
+SELECT series_id, nobs, 0 AS used_lag, {rnd('b / sqrt((syy - b * b * sxx) / (nobs - 2) / sxx)', 6)} AS test_statistic
+FROM f"""
