@@ -99,3 +99,17 @@ def test_every_section_lists_every_series(spark):
         assert "ok" not in {r["status"] for r in rows if r["series_id"] in ("three", "none")}, name
     assert reports.nested(sections).count() == 4
     assert set(reports.eda_report(long, sections=["trend_analysis"])) == {"trend_analysis"}
+
+
+def test_horizon_rows_carry_no_broadcast_hint(spark):
+    from sparkseries.operators.forecast.common import Prepared, steps_for
+    prep = Prepared(multi_long(spark, {"a": WAVE, "b": WAVE[::-1]}))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps = steps_for(prep, prep.ok, [500])
+        assert steps.count() == 1000
+        plan = prep.clean.join(steps, "series_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    top = next(line for line in plan.splitlines() if "Join" in line)
+    assert "SortMergeJoin" in top, top
