@@ -88,7 +88,7 @@ def test_argument_checks():
         common.check_model("neural")
     with pytest.raises(ValueError):
         common.check_horizons([3, 0])
-    assert common.check_horizons([90, 10, 30, 5]) == [5, 10, 30]
+    assert common.check_horizons([90, 10, 30, 5]) == [5, 10, 30, 90]
 
 
 def test_additive_recovers_trend_plus_weekly(spark):
