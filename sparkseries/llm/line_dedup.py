@@ -8,10 +8,11 @@ longest-common-prefix intervals of the suffix array at that depth, nested from r
 A suffix whose name is its own only can share no longer prefix and leaves, so each round handles
 what is repeated at its depth alone, and the rounds end when no class has two members.
 
-Within an interval at the depth of ``MIN_LINES`` lines or more the first suffix (by document id,
-then place) stays and the others are later copies: their lines are deleted.  The content of every
-deleted line remains at an earlier place.  Runs that overlap themselves shrink to their first
-period.
+Within an interval at the depth of ``2 ** min_depth`` lines or more the first suffix (by document
+id, then place) stays and the others are later copies: their lines are deleted.  The content of
+every deleted line remains at an earlier place.  Runs that overlap themselves shrink to their
+first period.  The shortest run is ``MIN_LINES`` lines in op2, whose rule OP2_SQL fixes, and one
+line in the pipeline's stage: there every later copy of a line goes, whatever its neighbours.
 
 Counting names is a grouped aggregate with map-side combine; a line that a third of all documents
 hold is one name there, and the join back is left to adaptive execution, which splits it.
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, materialize, table
 
-MIN_DEPTH = 1  # 2 ** MIN_DEPTH lines are the shortest run that is deleted
+MIN_DEPTH = 1  # 2 ** MIN_DEPTH lines are the shortest run that op2 deletes, as in OP2_SQL
 MIN_LINES = 2 ** MIN_DEPTH
+STAGE_DEPTH = 0  # the pipeline's stage deletes runs of one line too
 MAX_ROUNDS = 40
 
 
@@ -76,17 +78,17 @@ def repeated_suffixes(docs: DataFrame) -> list[DataFrame]:
     return rounds
 
 
-def later_copies(rounds: list[DataFrame]) -> DataFrame:
+def later_copies(rounds: list[DataFrame], min_depth: int = MIN_DEPTH) -> DataFrame:
     """(doc_id, th, gone, longest): raw numbers of the lines to delete, and the longest shared
     prefix (a power of two) of the runs they come from."""
-    if len(rounds) <= MIN_DEPTH:
+    if len(rounds) <= min_depth:
         return None
     runs = None
-    for k, rows in enumerate(rounds[MIN_DEPTH:], MIN_DEPTH):
+    for k, rows in enumerate(rounds[min_depth:], min_depth):
         part = rows.where("later").select("doc_id", "th", "pos", F.lit(2 ** k).alias("depth"))
         runs = part if runs is None else runs.union(part)
     runs = runs.groupBy("doc_id", "th", "pos").agg(F.max("depth").alias("depth"))
-    starts = runs.select("doc_id", "th", F.explode(F.sequence(F.col("pos"), F.col("pos") + (MIN_LINES - 1))).alias("pos"), "depth")
+    starts = runs.select("doc_id", "th", F.explode(F.sequence(F.col("pos"), F.col("pos") + (2 ** min_depth - 1))).alias("pos"), "depth")
     raw = rounds[0].select("doc_id", "th", "pos", "raw")
     d, t = F.col("x.doc_id"), F.col("x.th")
     joined = starts.alias("x").join(raw.alias("y"), d.eqNullSafe(F.col("y.doc_id")) & (t == F.col("y.th"))
@@ -95,10 +97,10 @@ def later_copies(rounds: list[DataFrame]) -> DataFrame:
             .agg(F.collect_set("raw").alias("gone"), F.max("depth").alias("longest")))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_depth: int = MIN_DEPTH) -> DataFrame:
     """Every row of ``docs`` with ``__llm_lines``, ``__llm_gone`` (deleted lines),
     ``__llm_longest`` and the text without its later copies in ``__llm_text``."""
-    gone = later_copies(repeated_suffixes(docs.select("doc_id", "text")))
+    gone = later_copies(repeated_suffixes(docs.select("doc_id", "text")), min_depth)
     rows = docs.withColumn("__llm_th", F.xxhash64("text"))
     if gone is None:
         rows = rows.withColumn("__llm_set", F.lit(None).cast("array<int>")).withColumn("__llm_longest", F.lit(None).cast("int"))
@@ -155,9 +157,9 @@ FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
 
 
 def stage_line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated runs.  A document none of whose lines is left goes:
+    """Texts without later copies of repeated runs, runs of one line included.  A document none of whose lines is left goes:
     all it said stands in earlier documents.  ``n_chars`` follows the new text."""
-    rows = dedup_lines(docs)
+    rows = dedup_lines(docs, STAGE_DEPTH)
     rows = rows.where((F.col("__llm_gone") == 0) | F.col("__llm_text").rlike(WORD_PATTERN))
     new = {"text": F.col("__llm_text")}
     if "n_chars" in docs.columns:

@@ -215,6 +215,15 @@ def test_line_dedup(spark, docs, rows):
     assert sum((t or "").count(lines[0]) for t in kept) == 1
 
 
+def test_line_dedup_stage_deletes_single_lines(spark):
+    """A passage that is one line between different neighbours, short lines, one-line documents."""
+    passage = prose(40, 60)
+    data = [(0, f"{prose(41, 9)}\n{passage}\n{prose(42, 9)}"), (1, f"{prose(43, 9)}\n\n{passage}\n{prose(44, 9)}"),
+            (2, passage), (3, f"short\n{prose(45, 9)}\nshort\nshort"), (4, None), (5, "short\nnew")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.stage_line_dedup(spark, spark.createDataFrame(data, "doc_id long, text string"), "").collect()}
+    assert got == {0: data[0][1], 1: f"{prose(43, 9)}\n\n{prose(44, 9)}", 3: f"short\n{prose(45, 9)}", 4: None, 5: "new"}
+
+
 # ---- mixing -----------------------------------------------------------------------------------
 
 def brute_targets(sizes):
