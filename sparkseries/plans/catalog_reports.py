@@ -121,8 +121,8 @@ FROM ({EV}) GROUP BY 1""")
 def q_json_roundtrip_events(spark, sf):
     """A6 then A2: events written as JSON records and read back."""
     ev = cz.table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
-    path = write_records(ev, scratch_path(spark, "json"))
-    back = read_json(spark, path, lines=True)
+    path = write_records(ev, scratch_path(spark, "json") + ".json")
+    back = read_table(spark, path)
     back, tcol = roles.resolve_time_column(back, "ts")
     long = roles.to_long(back, tcol, ["value"], keys=["event_type"], tiebreak="event_id")
     return rounded(long.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n"), fround(F.sum(VALUE), 4).alias("total"),

@@ -34,7 +34,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 # ---------------------------------------------------------------- A2
 def _is_json_lines(spark: SparkSession, path: str) -> bool:
-    """Whether each of the first lines that are not blank is an object of its own."""
+    """False for input that begins with ``[`` or a lone ``{``, or none of whose first lines that
+    are not blank is an object of its own; a bad line among whole ones does not matter."""
     head = [r[0].strip() for r in spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(20).collect()]
 
     def whole(line: str) -> bool:
@@ -43,7 +44,9 @@ def _is_json_lines(spark: SparkSession, path: str) -> bool:
         except ValueError:
             return False
 
-    return all(map(whole, head))
+    if not head:
+        return True
+    return not (head[0].startswith("[") or head[0] == "{") and any(map(whole, head))
 
 
 def read_json(spark: SparkSession, path: str, orient: str = "records", lines: bool | None = None,

@@ -34,5 +34,14 @@ def test_json_lines_under_a_json_name(spark):
     assert read_table(spark, path).count() == 24
 
 
+def test_a_bad_json_line_does_not_lose_the_others(spark):
+    lines = [f'{{"id": {i}, "v": {i * 2.5}}}' for i in range(1000)]
+    for bad in (0, 3):
+        path = scratch_path(spark, "bad") + ".json"
+        text = [x[:9] if i == bad else x for i, x in enumerate(lines)]
+        spark.createDataFrame([(x,) for x in text], "value string").coalesce(1).write.text(path)
+        assert read_table(spark, path).where("v is not null").count() == 999
+
+
 def test_all_horizons_are_kept():
     assert check_horizons([9, 1, 4, 2, 4]) == [1, 2, 4, 9]
