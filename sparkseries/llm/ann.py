@@ -10,7 +10,7 @@ exactly, in double precision on the original vectors.
 
 Index bounds: ``SAMPLE`` vectors (by hash) train at most ``MAX_LISTS`` centroids; every vector is
 indexed.  Equal vectors are one entry with their smallest ids (one more than are asked for), found
-by a grouped limit that works before the shuffle.  Lists are cut into blocks of ``BLOCK`` vectors
+by a grouped limit over distinct ids.  Lists are cut into blocks of ``BLOCK`` vectors
 and their queries into blocks of ``QUERY_BLOCK``, so a hot list spreads over tasks.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
@@ -113,7 +113,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, seed: int = 1) -> DataFram
     dims, total = size["d"], size["count"]
     rows = rows.where(F.size("v") == dims).select("*", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), F.reverse("v")).alias("h2"))
     nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
-    few = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    few = rows.dropDuplicates(["h1", "h2", "vec_id"]).withColumn("nth", nth).where(F.col("nth") <= k + 1)
     entries = materialize(few.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.sort_array(F.collect_set("vec_id")).alias("ids")), "ann-entries")
     share = int((1 << 30) * min(1.0, SAMPLE / max(total, 1)))
     sample = [r[0] for r in entries.where(F.pmod(F.col("h1"), F.lit(1 << 30)) < share).select("v").orderBy("v").limit(2 * SAMPLE).collect()]

@@ -440,6 +440,14 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_repeated_rows_in_a_group_of_equal_vectors(spark):
+    from pyspark.sql import functions as F
+    data = [(1, [1.0, 2.0, 2.0])] * 6 + [(i, [1.0, 2.0, 2.0]) for i in range(2, 9)] + [(20 + i, [1.0, -float(i), 0.5]) for i in range(9)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") == 1).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [2, 3, 4, 5, 6] and all(abs(r["score"] - 1) < 1e-12 for r in got)
+
+
 # ---- empty tables -----------------------------------------------------------------------------
 
 def test_empty_tables(spark, empty):
