@@ -7,6 +7,7 @@ from .bpe import op5_byte_bpe
 from .dac import op10_token_dac
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op4_ngram_jaccard
+from .merkle import OP11_SQL, op11_octopus_manifest
 from .mixing import op9_entropy_mixing
 from .ppm import op8_ppm_language
 from .quality import op3_quality_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_ppm_language": op8_ppm_language,
     "op9_entropy_mixing": op9_entropy_mixing,
     "op10_token_dac": op10_token_dac,
+    "op11_octopus_manifest": op11_octopus_manifest,
 }
 
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_sparse_suffix": OP7_SQL}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_sparse_suffix": OP7_SQL, "op11_octopus_manifest": OP11_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -40,6 +40,15 @@ def crc_mod(doc_id, n: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned crc32 of the UTF-8 bytes of ``text``: one shift a bit, a byte entering
+    at the first of its eight bits."""
+    raw = f"encode({text})"
+    each = f"('0x' || substr(hex({raw}), (2 * b + 1)::INTEGER, 2))::BIGINT"
+    bits = f"flatten(list_transform(range(octet_length({raw})), lambda b: [{each}, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce({bits}, lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384), 4294967295), 4294967295)"
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: rows (id, component) for every id that
     reaches a smaller one; component is the smallest id reachable (which has no row itself).
@@ -71,3 +80,26 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             return cur.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
         mark = now
     raise RuntimeError("connected components did not settle")
+
+
+def number(rows: DataFrame, groups: list[str], order: list[str], name: str, pos: str = "__llm_pos") -> DataFrame:
+    """``rows`` with ``pos``: their place from 0 in each group, in ascending order (nulls first;
+    without groups, in the whole table).  ``rows`` must be written or read, not computed.
+
+    Rows are dealt by ranges of (groups, order, place in the input), so neither a hot group nor a
+    run of equal rows meets in one task; each range is sorted alone and written, and one row per
+    (range, group) carries the number of rows before it."""
+    dealt = (rows.withColumn("__llm_row", F.monotonically_increasing_id())
+             .repartitionByRange(*groups, *order, "__llm_row").sortWithinPartitions(*groups, *order, "__llm_row")
+             .drop("__llm_row").withColumn("__llm_at", F.monotonically_increasing_id()))
+    dealt = materialize(dealt, f"{name}-ranges").withColumn("__llm_part", F.shiftright("__llm_at", 33))
+    own = [F.col(g).alias(f"__llm_g{i}") for i, g in enumerate(groups)]
+    keys = [f"__llm_g{i}" for i in range(len(groups))]
+    per = dealt.groupBy(F.col("__llm_part").alias("__llm_p"), *own).agg(
+        F.count(F.lit(1)).alias("__llm_n"), F.min("__llm_at").alias("__llm_first"))
+    before = Window.partitionBy(*keys).orderBy("__llm_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("__llm_p", *keys, (F.coalesce(F.sum("__llm_n").over(before), F.lit(0)) - F.col("__llm_first")).alias("__llm_shift"))
+    on = F.col("__llm_part") == F.col("__llm_p")
+    for g, k in zip(groups, keys):
+        on = on & F.col(g).eqNullSafe(F.col(k))
+    return dealt.join(small_side(per, f"{name}-counts"), on).select(*rows.columns, (F.col("__llm_at") + F.col("__llm_shift")).alias(pos))
