@@ -11,6 +11,7 @@ from .merkle import OP11_SQL, op11_octopus_manifest
 from .mixing import op9_entropy_mixing
 from .ppm import op8_ppm_language
 from .quality import op3_quality_rules
+from .sharding import op12_karmarkar_karp
 from .suffix_dedup import OP7_SQL, op7_sparse_suffix
 from .toxicity import op6_compression_toxicity
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_entropy_mixing": op9_entropy_mixing,
     "op10_token_dac": op10_token_dac,
     "op11_octopus_manifest": op11_octopus_manifest,
+    "op12_karmarkar_karp": op12_karmarkar_karp,
 }
 
 ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_sparse_suffix": OP7_SQL, "op11_octopus_manifest": OP11_SQL}
