@@ -10,9 +10,10 @@ At scale the items are the groups (a row per distinct text, however many copies)
 1. Groups are dealt by a hash to chunks of about ``CHUNK`` (of fewer, where ``UNITS`` bins suffice).  Each chunk is differenced into as many
    bins as there are shards; its bins are the items of the next round.  Groups larger than
    total / ``UNITS`` (there are fewer than ``UNITS`` of them) do not enter a chunk: a spread that
-   large must be answered by what other chunks hold.
+   large must be answered by what other chunks hold.  Nor does a reserve of about ``UNITS`` groups,
+   chosen by hash: bins are near-equal, and the last round needs small items to even out with.
 2. This is repeated until at most ``UNITS`` bins are left.
-3. The large groups and the bins left, fewer than 2 * ``UNITS`` by construction, are differenced
+3. The large groups, the reserve and the bins left, about 3 * ``UNITS`` at most, are differenced
    together in one task.  Their shards go back down the rounds by joins.
 
 So no task differences more than a fixed number of items whatever the size of the table, and every
@@ -94,6 +95,10 @@ def assign(items: DataFrame, ways: int = SHARDS, chunk: int = CHUNK, units: int
     large = F.col("size") * units > total
     top, rest, links, level = items.where(large), items.where(~large), [], 0
     count = rest.count()
+    if count > units:
+        single = F.pmod(F.xxhash64(F.lit(-1), "item"), F.lit(-(-count // units))) == 0
+        top, rest = top.unionByName(rest.where(single)), rest.where(~single)
+        count = rest.count()
     while count > units:
         n = max(-(-count // chunk), units // ways)  # as many bins as the last task takes, for fine bins
         name = F.pmod(F.xxhash64(F.lit(level), "item"), F.lit(n)).alias("chunk")
