@@ -12,6 +12,7 @@ from .mixing import op9_entropy_mixing
 from .ppm import op8_ppm_language
 from .quality import op3_quality_rules
 from .sharding import op12_karmarkar_karp
+from .spelling import OP13_SQL, op13_trie_pairs
 from .suffix_dedup import OP7_SQL, op7_sparse_suffix
 from .toxicity import op6_compression_toxicity
 
@@ -28,6 +29,8 @@ QUERIES = {
     "op10_token_dac": op10_token_dac,
     "op11_octopus_manifest": op11_octopus_manifest,
     "op12_karmarkar_karp": op12_karmarkar_karp,
+    "op13_trie_pairs": op13_trie_pairs,
 }
 
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_sparse_suffix": OP7_SQL, "op11_octopus_manifest": OP11_SQL}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_sparse_suffix": OP7_SQL, "op11_octopus_manifest": OP11_SQL,
+                          "op13_trie_pairs": OP13_SQL}
