@@ -71,7 +71,7 @@ def sql_leaf(n_chars: str) -> str:
 
 @dataclass
 class Manifest:
-    """``leaves``: the input rows with (__llm_tree, __llm_pos).  ``nodes``: (tree, level, idx,
+    """``leaves``: the input rows with (__llm_tree, __llm_n, __llm_pos), n the leaves of the tree.  ``nodes``: (tree, level, idx,
     digest) of all trees, the top tree as tree -1.  ``trees``: (tree, lang, n, subroot), a row per
     language.  ``root`` is None for an empty table."""
 
@@ -82,18 +82,18 @@ class Manifest:
     root: str | None
 
 
-def _climb(level_nodes: DataFrame, counts: DataFrame, level: int, levels: int) -> DataFrame:
-    """All nodes of the next ``levels`` levels above ``level_nodes(tree, idx, digest)`` of one level.
+def _climb(level_nodes: DataFrame, level: int, levels: int) -> DataFrame:
+    """All nodes of the next ``levels`` levels above ``level_nodes(tree, n, idx, digest)`` of one level.
 
-    ``counts(tree, n)``: leaves of each tree.  A tree that has one node left climbs no further."""
-    rows = (level_nodes.join(counts.withColumnRenamed("tree", "t"), F.col("tree") == F.col("t"))
-            .select("tree", F.shiftright("idx", levels).alias("block"), "idx", "n", "digest"))
+    ``n``: leaves of the tree.  A tree that has one node left climbs no further."""
+    rows = level_nodes.select("tree", F.shiftright("idx", levels).alias("block"), "idx", "n", "digest")
 
     def run(key, t):
         tree, block = (k.as_py() for k in key)
         order = np.argsort(t.column("idx").to_numpy())
         hexes = t.column("digest").take(pa.array(order)).to_pylist()
-        count = -(-t.column("n")[0].as_py() // (1 << level))  # nodes of the tree on this level
+        n = t.column("n")[0].as_py()
+        count = -(-n // (1 << level))  # nodes of the tree on this level
         out_level, out_idx, out = [], [], []
         first = block << levels
         for up in range(level + 1, level + levels + 1):
@@ -103,21 +103,21 @@ def _climb(level_nodes: DataFrame, counts: DataFrame, level: int, levels: int) -
             out_level += [up] * len(hexes)
             out_idx += range(first, first + len(hexes))
             out += hexes
-        return pa.table({"tree": pa.array([tree] * len(out), pa.int64()), "level": pa.array(out_level, pa.int32()),
-                         "idx": pa.array(out_idx, pa.int64()), "digest": pa.array(out, pa.string())})
+        return pa.table({"tree": pa.array([tree] * len(out), pa.int64()), "n": pa.array([n] * len(out), pa.int64()),
+                         "level": pa.array(out_level, pa.int32()), "idx": pa.array(out_idx, pa.int64()), "digest": pa.array(out, pa.string())})
 
-    return rows.groupBy("tree", "block").applyInArrow(run, "tree long, level int, idx long, digest string")
+    return rows.groupBy("tree", "block").applyInArrow(run, "tree long, n long, level int, idx long, digest string")
 
 
-def _grow(leaves: DataFrame, counts: DataFrame, most: int, levels: int) -> DataFrame:
-    """All nodes (tree, level, idx, digest) over ``leaves(tree, idx, digest)``; the largest tree has ``most``."""
+def _grow(leaves: DataFrame, most: int, levels: int) -> DataFrame:
+    """All nodes (tree, level, idx, digest) over ``leaves(tree, n, idx, digest)``; the largest tree has ``most``."""
     nodes = leaves.select("tree", F.lit(0).alias("level"), "idx", "digest")
     edge, level = leaves, 0
     while -(-most // (1 << level)) > 1:
-        made = materialize(_climb(edge, counts, level, levels), "merkle-nodes")
-        nodes = nodes.unionByName(made)
+        made = materialize(_climb(edge, level, levels), "merkle-nodes")
+        nodes = nodes.unionByName(made.drop("n"))
         level += levels
-        edge = made.where(F.col("level") == level).select("tree", "idx", "digest")
+        edge = made.where(F.col("level") == level).drop("level")
     return nodes
 
 
@@ -128,18 +128,15 @@ def build(rows: DataFrame, levels: int = BLOCK_LEVELS) -> Manifest:
     langs = materialize(number(langs, [], ["lang"], "merkle-langs", "tree"), "merkle-trees")
     n_trees, most = langs.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
     placed = number(rows, ["lang"], ["doc_id", "leaf"], "merkle", "__llm_pos")
-    ids = small_side(langs.select(F.col("lang").alias("__llm_lang"), F.col("tree").alias("__llm_tree")), "merkle-ids")
+    ids = small_side(langs.select(F.col("lang").alias("__llm_lang"), F.col("tree").alias("__llm_tree"), F.col("n").alias("__llm_n")), "merkle-ids")
     placed = materialize(placed.join(ids, F.col("lang").eqNullSafe(F.col("__llm_lang"))).drop("__llm_lang"), "merkle-placed")
-    counts = small_side(langs.select("tree", "n"), "merkle-counts")
-    nodes = _grow(placed.select(F.col("__llm_tree").alias("tree"), F.col("__llm_pos").alias("idx"), F.col("leaf").alias("digest")),
-                  counts, most, levels)
+    nodes = _grow(placed.select(F.col("__llm_tree").alias("tree"), F.col("__llm_n").alias("n"), F.col("__llm_pos").alias("idx"),
+                                F.col("leaf").alias("digest")), most, levels)
     height = F.when(F.col("n") > 1, F.ceil(F.log2(F.col("n").cast("double")))).otherwise(0)  # right below 2 ** 48 leaves
     tops = nodes.where("idx = 0").join(langs.withColumnRenamed("tree", "t"), (F.col("tree") == F.col("t")) & (F.col("level") == height))
     trees = materialize(tops.select("tree", "lang", "n", F.col("digest").alias("subroot")), "merkle-roots")
-    spark = rows.sparkSession
-    top_count = spark.createDataFrame([(TOP, n_trees)], "tree long, n long")
-    over = _grow(trees.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), F.col("subroot").alias("digest")),
-                 top_count, n_trees, levels)
+    over = _grow(trees.select(F.lit(TOP).cast("long").alias("tree"), F.lit(n_trees).cast("long").alias("n"),
+                              F.col("tree").alias("idx"), F.col("subroot").alias("digest")), n_trees, levels)
     root = over.where("idx = 0").orderBy(F.desc("level")).select("digest").first() if n_trees else None
     return Manifest(placed, nodes.unionByName(over), trees, n_trees, root[0] if root else None)
 
@@ -191,9 +188,7 @@ def expand(tree: int, pos: np.ndarray, leaves: list[str], n: int, n_trees: int,
 def prove(manifest: Manifest, requested: DataFrame, levels: int = BLOCK_LEVELS) -> DataFrame:
     """``requested`` (rows of ``manifest.leaves``) with __llm_subroot, __llm_root and __llm_proof."""
     n_trees = manifest.n_trees
-    counts = small_side(manifest.trees.select(F.col("tree").alias("__llm_t"), F.col("n").alias("__llm_n")), "merkle-n")
-    rows = (requested.join(counts, F.col("__llm_tree") == F.col("__llm_t")).drop("__llm_t")
-            .withColumn("__llm_block", F.shiftright("__llm_pos", levels)))
+    rows = requested.withColumn("__llm_block", F.shiftright("__llm_pos", levels))
     by = ("__llm_tree", "__llm_block")
 
     def coordinates(key, t):
