@@ -34,7 +34,7 @@ from ...schema import SEQ, SERIES, TS, VALUE
 from ..joins import bounded
 from ..linalg import gram, solve
 from ..order import chunk_window, lagged
-from .common import Z95, Prepared, steps_for
+from .common import Prepared, spread_interval, steps_for
 
 N_CHANGEPOINTS = 25
 # Seasonal blocks (name, period in days, Fourier order).
@@ -164,10 +164,10 @@ def additive_forecast(prep: Prepared, horizons: Sequence[int], model: str = "pro
     m_all = fit(data.drop("n"), prep.max_chunk)
     fut = steps_for(prep, facts, horizons)
     pred = predict(fut, m_all)
-    half = F.lit(Z95) * F.col("resid_sd") * F.col("_ymax")
+    lower, upper = spread_interval(F.col("yhat"), F.col("resid_sd") * F.col("_ymax"))
     cols = [SERIES, F.lit(model).alias("model"), F.col("horizon").cast("int").alias("horizon"),
             F.col("step").cast("int").alias("step"), TS, SEQ, F.col("yhat").alias("forecast"),
-            (F.col("yhat") - half).alias("lower"), (F.col("yhat") + half).alias("upper")]
+            lower.alias("lower"), upper.alias("upper")]
     if with_components:
         cols += ["trend", "yearly", "weekly", "daily", "monthly"]
     rows = pred.select(*cols)

@@ -1,32 +1,27 @@
-"""ARIMA and seasonal ARIMA by conditional least squares (survey F4, F5, F12).
-
-Same model family as an exact-likelihood ARIMA, different estimator (CSS:
-pre-sample errors 0, conditioning on the first ``p`` points), fitted with
-Levenberg-Marquardt in NumPy.  Spark layout:
-
-* ``d`` per series from the distributed ADF test (p < .05 -> d = 0, else 1);
-* the order grid is exploded into rows, ``groupBy(series_id, p, q).applyInPandas``
-  fits every candidate on the first 80 % of its series (a legitimate fan-out:
-  one bounded group per series x order) and :func:`best_order` keeps ``min_by(aic)``;
-* one more grouped fit per series refits the chosen order on all points,
-  forecasts with psi-weight 95 % intervals and scores the 80/20 hold-out.
-
-Size policy (the reference's own): up to 5,000 points the grid is p, q in 0..2,
-up to 10,000 it is 0..1; above 10,000 points the order is fixed at (1, d, 1).
-On that path the fit on the most recent 10,000 points only *starts* the
-estimation: :func:`distributed_refit` then minimises the conditional sum of
-squares over the whole series with Levenberg-Marquardt, every iteration a Spark
-job over bounded chunks (each chunk warms its moving-average recursion up on
-a 2,000-row halo of the previous chunk, so the start-up error decays like
-``|theta|^2000``) whose per-chunk ``J'J`` / ``J'e`` are summed per series; the
-parameter update is a grouped map over one row per series.  The forecast
-continues from the last points of the series.  No hold-out metrics on that
-path (as in the reference).  Seasonal ARIMA (fixed order) uses the same refit
-for series longer than 10,000 points.
+"""ARIMA and seasonal ARIMA by conditional least squares, at every length (survey F4, F5, F12).
+
+Same model family as an exact-likelihood ARIMA, different estimator (pre-sample residuals 0,
+conditioning on the first points).  One path for all lengths:
+
+* ``d`` per series from the distributed ADF test (p < .05 -> d = 0, else 1); every order p, q in
+  0..2 is fitted on the first 80 %, the least AIC wins, the winner is refitted on all points;
+* :func:`pieces` cuts every series into runs of ``chunkRows`` points, each with the few points that
+  its differences and lags reach back to, written once;
+* a fit evaluates the sum of squares and its derivatives from exact piece summaries
+  (:mod:`.css`): one job over the pieces evaluates all orders of all long series at once, the
+  summaries (a few hundred numbers a piece) meet by series, and one Levenberg-Marquardt decision
+  per order follows.  A series of one piece does the same evaluations inside its task, with the
+  same functions, so the cut decides where the work runs and nothing else;
+* hold-out metrics compare the multi-step forecast of the last 20 % piece by piece: a piece jumps
+  to its first step by a matrix power.  ``mode="in_sample"`` gives one-step errors of the refitted
+  model over the same points instead (residuals from the exact state before each piece).
+
+Every fit carries a status: ``ok``, ``not converged`` (after ``css.MAX_EVALUATIONS``) or ``failed: ...``.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -35,449 +30,346 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...schema import SEQ, SERIES, VALUE
+from ...session import stored
 from ..diagnostics import adf_test
 from ..joins import bounded
-from .common import Z95, Prepared, steps_for
-
-FULL_GRID_MAX = 5000
-REDUCED_GRID_MAX = 10000
-WINDOW = 10000
-HALO = 2000
-REFIT_CHUNK = 200_000
-REFIT_ITERS = 8
-
-
-# ---------------------------------------------------------------- CSS engine
-class Spec:
-    """Polynomial structure: which parameters multiply which lags."""
-
-    def __init__(self, p: int = 0, q: int = 0, P: int = 0, Q: int = 0, m: int = 0, const: bool = False):
-        self.p, self.q, self.P, self.Q, self.m, self.const = p, q, P, Q, m, const
-        self.k = p + q + P + Q + int(const)
-
-    def split(self, theta: np.ndarray):
-        i = 0
-        ar = theta[i:i + self.p]; i += self.p
-        ma = theta[i:i + self.q]; i += self.q
-        sar = theta[i:i + self.P]; i += self.P
-        sma = theta[i:i + self.Q]; i += self.Q
-        c = theta[i] if self.const else 0.0
-        return ar, ma, sar, sma, c
-
-    def polys(self, theta: np.ndarray):
-        """AR polynomial phi(B) (as 'w_t = sum a_l w_{t-l}' coefficients) and MA theta(B)."""
-        ar, ma, sar, sma, c = self.split(theta)
-        a = np.zeros(self.p + self.P * self.m + 1); a[0] = 1.0
-        a[1:self.p + 1] = -ar
-        if self.P:
-            s = np.zeros(self.P * self.m + 1); s[0] = 1.0
-            for j, v in enumerate(sar, start=1):
-                s[j * self.m] = -v
-            a = np.convolve(np.r_[1.0, -ar], s)
-        b = np.r_[1.0, ma] if self.q else np.array([1.0])
-        if self.Q:
-            s = np.zeros(self.Q * self.m + 1); s[0] = 1.0
-            for j, v in enumerate(sma, start=1):
-                s[j * self.m] = v
-            b = np.convolve(b, s)
-        return a, b, c
-
-
-def css_residuals(w: np.ndarray, spec: Spec, theta: np.ndarray) -> np.ndarray:
-    a, b, c = spec.polys(theta)
-    start = len(a) - 1
-    n = len(w)
-    if n <= start:
-        return np.array([])
-    arpart = np.full(n - start, c)
-    for lag in range(1, len(a)):
-        arpart = arpart - a[lag] * w[start - lag:n - lag]
-    u = w[start:] - arpart
-    if len(b) == 1:
-        return u
-    e = np.zeros(n - start)
-    blen = len(b)
-    for t in range(n - start):
-        acc = u[t]
-        for lag in range(1, blen):
-            if t - lag >= 0 and b[lag] != 0.0:
-                acc -= b[lag] * e[t - lag]
-        e[t] = acc
-    return e
-
-
-def css_fit(w: np.ndarray, spec: Spec, iters: int = 60):
-    """Minimise the conditional sum of squares (Levenberg-Marquardt, numeric Jacobian)."""
-    k = spec.k
-    theta = np.zeros(k)
-    # start: AR part from least squares on lags, constant = mean
-    if spec.p and len(w) > spec.p + 2:
-        x = np.column_stack([w[spec.p - l:len(w) - l] for l in range(1, spec.p + 1)])
-        y = w[spec.p:]
-        if spec.const:
-            x = np.column_stack([x, np.ones(len(y))])
-        sol, *_ = np.linalg.lstsq(x, y, rcond=None)
-        theta[:spec.p] = sol[:spec.p]
-        if spec.const:
-            theta[-1] = sol[-1]
-    elif spec.const:
-        theta[-1] = float(np.mean(w))
-    theta[spec.p:spec.p + spec.q] = 0.1
-    if k == 0:
-        e = css_residuals(w, spec, theta)
-        return theta, float(e @ e), len(e)
-    lam = 1e-3
-    e = css_residuals(w, spec, theta)
-    sse = float(e @ e)
-    for _ in range(iters):
-        jac = np.empty((len(e), k))
-        for i in range(k):
-            h = 1e-6 * max(1.0, abs(theta[i]))
-            t2 = theta.copy(); t2[i] += h
-            jac[:, i] = (css_residuals(w, spec, t2) - e) / h
-        jtj = jac.T @ jac
-        grad = jac.T @ e
-        improved = False
-        for _ in range(10):
-            step = np.linalg.solve(jtj + lam * np.diag(np.diag(jtj) + 1e-12), -grad)
-            cand = theta + step
-            e2 = css_residuals(w, spec, cand)
-            sse2 = float(e2 @ e2)
-            if np.isfinite(sse2) and sse2 < sse:
-                theta, e, lam, improved = cand, e2, lam / 3, True
-                rel = (sse - sse2) / max(sse, 1e-300)
-                sse = sse2
-                break
-            lam *= 10
-        if not improved or rel < 1e-10:
-            break
-    return theta, sse, len(e)
-
-
-def aic_of(sse: float, nobs: int, k: int) -> float:
-    if nobs <= 0 or sse <= 0:
-        return float("-inf") if nobs > 0 else float("inf")
-    return nobs * (np.log(2 * np.pi * sse / nobs) + 1.0) + 2.0 * (k + 1)
-
-
-def integrate(y: np.ndarray, d: int, D: int, m: int):
-    """Differencing operator (1-B)^d (1-B^m)^D as lag coefficients, and the differenced series."""
-    poly = np.array([1.0])
-    for _ in range(d):
-        poly = np.convolve(poly, [1.0, -1.0])
-    for _ in range(D):
-        s = np.zeros(m + 1); s[0] = 1.0; s[m] = -1.0
-        poly = np.convolve(poly, s)
-    L = len(poly) - 1
-    w = np.array([poly @ y[t - np.arange(L + 1)] for t in range(L, len(y))]) if len(y) > L else np.array([])
-    return poly, w
-
-
-def forecast_css(y: np.ndarray, spec: Spec, theta: np.ndarray, d: int, D: int, m: int, h: int, sigma2: float):
-    """Point forecasts of the level series and psi-weight standard errors."""
-    diff_poly, w = integrate(y, d, D, m)
-    e = css_residuals(w, spec, theta)
-    a, b, c = spec.polys(theta)
-    p_ar, q_ma = len(a) - 1, len(b) - 1
-    w_ext = list(w)
-    e_ext = list(np.r_[np.zeros(len(w) - len(e)), e])
-    for _ in range(h):
-        t = len(w_ext)
-        val = c
-        for lag in range(1, p_ar + 1):
-            val -= a[lag] * (w_ext[t - lag] if t - lag >= 0 else 0.0)
-        for lag in range(1, q_ma + 1):
-            val += b[lag] * (e_ext[t - lag] if 0 <= t - lag < len(e_ext) else 0.0)
-        w_ext.append(val)
-        e_ext.append(0.0)
-    w_f = np.array(w_ext[len(w):])
-    # undo differencing: y_t = w_t - sum_{l>=1} diff_poly[l] y_{t-l}
-    y_ext = list(y)
-    L = len(diff_poly) - 1
-    for k in range(h):
-        val = w_f[k]
-        for lag in range(1, L + 1):
-            val -= diff_poly[lag] * y_ext[-lag]
-        y_ext.append(val)
-    fc = np.array(y_ext[len(y):])
-    # psi weights of the full model: phi(B) diff(B) psi(B) = theta(B)
-    full_ar = np.convolve(a, diff_poly)
-    psi = np.zeros(h)
-    psi[0] = 1.0
-    for j in range(1, h):
-        acc = b[j] if j < len(b) else 0.0
-        for i in range(1, min(j, len(full_ar) - 1) + 1):
-            acc -= full_ar[i] * psi[j - i]
-        psi[j] = acc
-    se = np.sqrt(sigma2 * np.cumsum(psi ** 2))
-    return fc, se
-
-
-# ---------------------------------------------------------------- Spark layout
-GRID_SCHEMA = (f"{SERIES} string, p int, d int, q int, aic double, sse double, nobs long, "
-               "params array<double>, status string")
-
-
-def _grid_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(SEQ)
-    sid = pdf[SERIES].iloc[0]
-    p, d, q = int(pdf["p"].iloc[0]), int(pdf["d"].iloc[0]), int(pdf["q"].iloc[0])
-    n = int(pdf["n"].iloc[0])
-    y = pdf[VALUE].to_numpy(dtype=float)
-    if n <= REDUCED_GRID_MAX:
-        y = y[: int(n * 0.8)]
-    spec = Spec(p=p, q=q, const=(d == 0))
-    try:
-        _, w = integrate(y, d, 0, 0)
-        theta, sse, nobs = css_fit(w, spec)
-        aic = aic_of(sse, nobs, spec.k)
-        status = "ok" if np.isfinite(aic) else "failed"
-    except Exception as exc:  # noqa: BLE001 - a failed candidate is a status row
-        theta, sse, nobs, aic, status = np.zeros(spec.k), np.nan, 0, np.inf, f"failed: {exc}"
-    return pd.DataFrame({SERIES: [sid], "p": [p], "d": [d], "q": [q], "aic": [float(aic)],
-                         "sse": [float(sse)], "nobs": [int(nobs)], "params": [list(map(float, theta))],
-                         "status": [status]})
+from ..order import CHUNK, CORE, chunk_rows, halo_frame
+from . import css
+from .common import Prepared, mean_errors, spread_interval, steps_for
+
+MAX_ORDER = 2
+TRAIN_SHARE = 0.8
+#: Points a piece holds at most; a task keeps a few dozen numbers for each while it evaluates.
+PIECE_ROWS = 1 << 17
+ORDER_COLS = ("p", "d", "q", "sp", "sd", "sq", "m")  # sp/sd/sq: seasonal P, D, Q
+FIT_SCHEMA = (f"{SERIES} string, " + ", ".join(f"{c} int" for c in ORDER_COLS)
+              + ", train boolean, params array<double>, sse double, nobs long, aic double, evals int, "
+                "e_tail array<double>, status string")
+SEASONAL = dict(p=1, d=1, q=1, sp=1, sd=1, sq=1, m=12)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return stored(df, "arima")
+
+
+def spec_of(order) -> css.Spec:
+    p, d, q, P, D, Q, m = (int(order[c]) for c in ORDER_COLS)
+    return css.Spec(p=p, q=q, P=P, Q=Q, m=m, const=(d == 0 and D == 0), d=d, D=D)
+
 
+def train_points(n):
+    return F.floor(F.col(n) * TRAIN_SHARE).cast("long")
 
-def order_grid(prep: Prepared, facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """every candidate order fitted on the training part, as rows; plus the data used."""
+
+# ---------------------------------------------------------------- pieces
+def pieces(prep: Prepared, facts: DataFrame, reach: int, size: int | None = None) -> DataFrame:
+    """``(series_id, c, base, lo, n, n_train, ys)``: the points from ``lo`` on, at most ``size``, with up
+    to ``reach`` points before them; ``ys`` begins at position ``base``."""
+    size = size or prep.max_chunk or min(chunk_rows(prep.clean), PIECE_ROWS)
+    data = prep.clean.join(facts.select(SERIES, "n"), SERIES).select(SERIES, SEQ, VALUE, "n")
+    rows = halo_frame(data, back=reach, max_chunk=max(size, reach + 1)).groupBy(SERIES, CHUNK).agg(
+        F.max("n").alias("n"), F.min(F.when(F.col(CORE), F.col(SEQ))).alias("lo"),
+        F.sort_array(F.collect_list(F.struct(SEQ, VALUE))).alias("ys"))
+    # a chunk of copied points alone holds nothing of its own
+    rows = rows.where("lo is not null").select(
+        SERIES, F.col(CHUNK).cast("long").alias("c"), F.element_at("ys", 1)[SEQ].alias("base"), "lo", "n",
+        train_points("n").alias("n_train"), F.transform("ys", lambda x: x[VALUE]).alias("ys"))
+    return _kept(rows)
+
+
+def last_values(parts: DataFrame, cut: str, reach: int) -> DataFrame:
+    """``(series_id, y_tail)``: the ``reach`` values before position ``cut`` (a column), or all if fewer."""
+    end = (F.col(cut) - F.col("base")).cast("int")
+    begin = F.greatest(end - reach, F.lit(0))
+    holds = (F.col("lo") < F.col(cut)) & (F.col(cut) <= F.col("base") + F.size("ys"))
+    return parts.where(holds).select(SERIES, F.slice("ys", begin + 1, F.greatest(end - begin, F.lit(0))).alias("y_tail"))
+
+
+def _cut(r, spec: css.Spec, train: bool):
+    """(points, place of the first residual) of one piece for a fit on the training part or on all."""
+    y = np.asarray(r.ys, float)[:max(0, (r.n_train if train else r.n) - r.base)]
+    return y, max(r.lo, spec.reach) - r.base
+
+
+# ---------------------------------------------------------------- fits
+def _plan(orders: DataFrame, train: bool, params=None) -> DataFrame:
+    """``(series_id, plan)`` from ``(series_id, p, d, q, ...)`` rows: the fits of a series as JSON."""
+    one = F.struct(*[F.col(c).cast("int").alias(c) for c in ORDER_COLS], F.lit(train).alias("train"),
+                   (F.lit(None).cast("array<double>") if params is None else F.col(params)).alias("from"))
+    return orders.groupBy(SERIES).agg(F.to_json(F.sort_array(F.collect_list(one)), {"ignoreNullFields": "false"}).alias("plan"))
+
+
+def _open(plan: str) -> list[dict]:
+    out = json.loads(plan)
+    for x in out:
+        if "fit" not in x:
+            x["fit"] = css.start(spec_of(x))
+            if x.get("from") is not None:  # a known estimate nearby: no regression start
+                x["fit"] |= {"trial": x["from"], "phase": 1}
+    return out
+
+
+def _fit_rows(sid: str, plan: list[dict]) -> pd.DataFrame:
+    rows = []
+    for x in plan:
+        f, k = x["fit"], spec_of(x).k
+        done = f["best"] is not None
+        aic = css.aic_of(f["sse"], f["nobs"], k) if done else np.inf
+        status = f["status"] if not done or np.isfinite(aic) or f["status"] != "ok" else "failed: no residual variance"
+        rows.append([sid, *(x[c] for c in ORDER_COLS), x["train"], f["best"] if done else [np.nan] * k,
+                     f["sse"] if done else np.nan, f["nobs"], float(aic), f["evals"], f["tail"], status])
+    return pd.DataFrame(rows, columns=[SERIES, *ORDER_COLS, "train", "params", "sse", "nobs", "aic", "evals", "e_tail", "status"])
+
+
+def _fit_in_task(batches):
+    for pdf in batches:
+        for r in pdf.itertuples():
+            plan = _open(r.plan)
+            for x in plan:
+                spec = spec_of(x)
+                x["fit"] = css.fit_whole(_cut(r, spec, x["train"])[0], spec, x["fit"])
+            yield _fit_rows(getattr(r, SERIES), plan)
+
+
+SUMS_SCHEMA = f"{SERIES} string, c long, no int, points long, gram array<double>, tail array<double>"
+
+
+def _sums(batches):
+    """Summaries of one piece for every fit of its series that is not settled."""
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples():
+            for no, x in enumerate(_open(r.plan)):
+                spec = spec_of(x)
+                y, first = _cut(r, spec, x["train"])
+                theta = x["fit"]["trial"] if x["fit"]["status"] == "open" else x["fit"]["best"] if r.all_fits else None
+                if theta is not None and first < len(y):
+                    n, gram, tail = css.summary(y, first, spec, theta)
+                    out.append([getattr(r, SERIES), r.c, no, n, gram.ravel(), tail.ravel()])
+        yield pd.DataFrame(out, columns=[SERIES, "c", "no", "points", "gram", "tail"])
+
+
+def _ordered(sums: pd.DataFrame, no: int, spec: css.Spec):
+    own = sums[sums["no"] == no].sort_values("c")
+    for n, gram, tail in zip(own["points"], own["gram"], own["tail"]):
+        gram = np.asarray(gram, float)
+        width = int(np.sqrt(len(gram)))
+        yield int(n), gram.reshape(width, width), np.asarray(tail, float).reshape(spec.r, width)
+
+
+STATE_SCHEMA = f"{SERIES} string, plan string, unsettled int"
+
+
+def _decide(sums: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    """One decision for every unsettled fit of a series (cogrouped: its summaries, its plan)."""
+    plan = _open(state["plan"].iloc[0])
+    for no, x in enumerate(plan):
+        if x["fit"]["status"] == "open":
+            spec = spec_of(x)
+            x["fit"] = css.advance(x["fit"], spec, css.compose(_ordered(sums, no, spec), spec))
+    return pd.DataFrame({SERIES: [state[SERIES].iloc[0]], "plan": [json.dumps(plan)],
+                         "unsettled": [sum(x["fit"]["status"] == "open" for x in plan)]})
+
+
+def _settled(batches):
+    for pdf in batches:
+        for r in pdf.itertuples():
+            yield _fit_rows(getattr(r, SERIES), _open(r.plan))
+
+
+def fit_orders(parts: DataFrame, plan: DataFrame) -> DataFrame:
+    """Fit every order of ``plan(series_id, plan)`` over the pieces ``parts``: rows of ``FIT_SCHEMA``."""
+    plan = bounded(plan, keep=_kept)
+    one = parts.withColumn("_parts", F.lit(1))
+    counts = bounded(one.groupBy(SERIES).agg(F.count(F.lit(1)).alias("_pieces")), observe={"most": F.max("_pieces")})
+    alone = parts.join(counts.where("_pieces = 1").select(SERIES), SERIES, "left_semi")
+    fits = alone.join(plan, SERIES).mapInPandas(_fit_in_task, FIT_SCHEMA)
+    if (counts.sparkseries_metrics["most"] or 0) < 2:
+        return _kept(fits)
+    long_ids = counts.where("_pieces > 1").select(SERIES)
+    cut = parts.join(long_ids, SERIES, "left_semi")
+    state = bounded(plan.join(long_ids, SERIES, "left_semi").withColumn("unsettled", F.lit(1)), observe={"open": F.max("unsettled")}, keep=_kept)
+    while state.sparkseries_metrics["open"]:
+        todo = state.where("unsettled > 0").select(SERIES, "plan").withColumn("all_fits", F.lit(False))
+        sums = cut.join(todo, SERIES).mapInPandas(_sums, SUMS_SCHEMA)
+        state = bounded(sums.groupBy(SERIES).cogroup(state.sparkseries_plain.groupBy(SERIES)).applyInPandas(_decide, STATE_SCHEMA),
+                        observe={"open": F.max("unsettled")}, keep=_kept)
+    return _kept(fits.unionByName(state.mapInPandas(_settled, FIT_SCHEMA)))
+
+
+# ---------------------------------------------------------------- order search
+GRID_COLUMNS = (SERIES, "p", "d", "q", "aic", "sse", "nobs", "params", "status")
+
+
+def _orders(facts: DataFrame, d, most: int = MAX_ORDER) -> DataFrame:
+    axis = F.sequence(F.lit(0), F.lit(most))
+    rows = facts.select(SERIES, d.alias("d"), F.explode(axis).alias("p")).select("*", F.explode(axis).alias("q"))
+    return rows.select("*", *[F.lit(0).alias(c) for c in ORDER_COLS[3:]])
+
+
+def _search(prep: Prepared, facts: DataFrame | None = None, size: int | None = None):
     facts = facts if facts is not None else prep.varying()
     adf = adf_test(prep.clean.join(facts.select(SERIES), SERIES, "left_semi"), max_chunk=prep.max_chunk)
-    dtab = facts.select(SERIES, "n").join(adf.select(SERIES, "p_value"), SERIES, "left").select(
-        SERIES, "n", F.when(F.col("p_value") < 0.05, 0).otherwise(1).alias("d"),
-        F.col("p_value").alias("adf_p_value"))
-    maxo = F.when(F.col("n") > REDUCED_GRID_MAX, -1).when(F.col("n") > FULL_GRID_MAX, 1).otherwise(2)
-    cands = dtab.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("p")) \
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("q"))
-    cands = cands.where(((F.col("p") <= maxo) & (F.col("q") <= maxo))
-                        | ((maxo == -1) & (F.col("p") == 1) & (F.col("q") == 1)))
-    cands = bounded(cands)
-    data = _fit_window(prep, dtab)
-    grid = data.join(cands.select(SERIES, "p", "q", "d"), SERIES).groupBy(SERIES, "p", "q").applyInPandas(
-        _grid_fit, schema=GRID_SCHEMA)
-    return grid, dtab
-
-
-def _fit_window(prep: Prepared, dtab: DataFrame) -> DataFrame:
-    """Points used for estimation: all of them up to 10,000, else the most recent 10,000."""
-    return prep.clean.join(dtab.select(SERIES, "n"), SERIES).where(F.col(SEQ) >= F.col("n") - WINDOW) \
-        .select(SERIES, SEQ, VALUE, "n")
+    dtab = bounded(facts.select(SERIES, "n").join(adf.select(SERIES, "p_value"), SERIES, "left").select(
+        SERIES, "n", F.when(F.col("p_value") < 0.05, 0).otherwise(1).alias("d"), F.col("p_value").alias("adf_p_value")))
+    parts = pieces(prep, dtab, MAX_ORDER + 1, size)
+    fits = fit_orders(parts, _plan(_orders(dtab.sparkseries_plain, F.col("d")), True))
+    return parts, fits, dtab
+
+
+def order_grid(prep: Prepared, facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """every candidate order fitted on the training part, as rows; plus d and the ADF p-value."""
+    _, fits, dtab = _search(prep, facts)
+    return fits.select(*GRID_COLUMNS), dtab
 
 
 def best_order(grid: DataFrame) -> DataFrame:
+    """The order of least AIC (then of least p, q) among the settled fits of each series."""
     ok = grid.where(F.col("status") == "ok")
     return ok.groupBy(SERIES).agg(F.min_by(F.struct("p", "d", "q", "aic"), F.struct("aic", "p", "q")).alias("b")) \
         .select(SERIES, "b.p", "b.d", "b.q", "b.aic")
 
 
-def _final_schema():
-    return (f"{SERIES} string, step int, forecast double, se double, sigma2 double, params array<double>, "
-            "mse double, rmse double, mae double, mape double")
-
-
-def _final_fit_fn(hmax: int, seasonal: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SEQ)
-        sid = pdf[SERIES].iloc[0]
-        y = pdf[VALUE].to_numpy(dtype=float)
-        n_total = int(pdf["n"].iloc[0])
-        if seasonal:
-            spec, d, D, m = Spec(p=1, q=1, P=1, Q=1, m=12), 1, 1, 12
-        else:
-            spec = Spec(p=int(pdf["p"].iloc[0]), q=int(pdf["q"].iloc[0]), const=int(pdf["d"].iloc[0]) == 0)
-            d, D, m = int(pdf["d"].iloc[0]), 0, 0
-        metrics = [np.nan] * 4
-        if not seasonal and n_total <= REDUCED_GRID_MAX:
-            cut = int(len(y) * 0.8)
-            train, test = y[:cut], y[cut:]
-            if len(test):
-                _, wtr = integrate(train, d, D, m)
-                th, sse_tr, nobs_tr = css_fit(wtr, spec)
-                fc_t, _ = forecast_css(train, spec, th, d, D, m, len(test), sse_tr / max(nobs_tr, 1))
-                err = test - fc_t
-                mse = float(np.mean(err ** 2))
-                mape = None if np.any(test == 0) else float(np.mean(np.abs(err / test)) * 100)
-                metrics = [mse, float(np.sqrt(mse)), float(np.mean(np.abs(err))),
-                           mape if mape is not None and np.isfinite(mape) else np.nan]
-        _, w = integrate(y, d, D, m)
-        theta, sse, nobs = css_fit(w, spec)
-        sigma2 = sse / max(nobs, 1)
-        fc, se = forecast_css(y, spec, theta, d, D, m, hmax, sigma2)
-        return pd.DataFrame({SERIES: sid, "step": np.arange(1, hmax + 1, dtype="int32"), "forecast": fc,
-                             "se": se, "sigma2": sigma2, "params": [list(map(float, theta))] * hmax,
-                             "mse": metrics[0], "rmse": metrics[1], "mae": metrics[2], "mape": metrics[3]})
-    return run
+# ---------------------------------------------------------------- evaluation
+ERRORS_SCHEMA = f"{SERIES} string, points long, se double, ae double, ape double, zeros long"
 
 
-def _rows(prep, facts, fitted, horizons, model):
-    steps = steps_for(prep, facts, horizons).join(fitted, [SERIES, "step"])
-    half = F.lit(Z95) * F.col("se")
-    return steps.select(SERIES, F.lit(model).alias("model"), F.col("horizon").cast("int").alias("horizon"),
-                        F.col("step").cast("int").alias("step"), "ts", SEQ, "forecast",
-                        (F.col("forecast") - half).alias("lower"), (F.col("forecast") + half).alias("upper"))
+def _error_row(sid, y: np.ndarray, err: np.ndarray):
+    zeros = int((y == 0).sum())
+    ape = float(np.sum(np.abs(err[y != 0] / y[y != 0]))) if len(y) else 0.0
+    return [sid, len(y), float(err @ err), float(np.abs(err).sum()), ape, zeros]
 
 
-def arima_forecast(prep: Prepared, horizons: Sequence[int], model: str = "arima"):
-    facts = prep.varying()
-    grid, dtab = order_grid(prep, facts)
-    best = bounded(best_order(grid))
-    hmax = max(horizons)
-    data = _fit_window(prep, dtab).where(F.col("n") <= REDUCED_GRID_MAX)
-    fitted = data.join(best.select(SERIES, "p", "d", "q"), SERIES).groupBy(SERIES).applyInPandas(
-        _final_fit_fn(hmax, False), schema=_final_schema())
-    big = dtab.where(F.col("n") > REDUCED_GRID_MAX)
-    if big.limit(1).count():
-        start = grid.join(big.select(SERIES), SERIES, "left_semi").where(F.col("status") == "ok") \
-            .select(SERIES, "p", "d", "q", "params")
-        fitted = fitted.unionByName(distributed_refit(prep, start, hmax))
-    rows = _rows(prep, facts, fitted, horizons, model)
-    meta = fitted.where(F.col("step") == 1).drop("step", "forecast", "se")
-    info = best.join(dtab.select(SERIES, "adf_p_value"), SERIES).join(meta, SERIES).select(
-        SERIES, F.lit(model).alias("model"), F.lit("ok").alias("status"),
-        F.format_string("ARIMA(%d,%d,%d) model with auto-optimized parameters (CSS)", "p", "d", "q").alias("description"),
-        "p", "d", "q", "aic", (F.col("adf_p_value") < 0.05).alias("is_stationary"),
-        F.col("adf_p_value").alias("p_value"), "sigma2", "mse", "rmse", "mae", "mape")
-    return rows, info
+def _holdout_errors(batches):
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples():
+            y = np.asarray(r.ys, float)
+            at = max(r.lo, r.n_train)
+            test = y[at - r.base:]
+            if len(test):
+                with np.errstate(over="ignore", invalid="ignore"):
+                    pred = css.path(spec_of(r._asdict()), r.params, r.y_tail, r.e_tail, at - r.n_train, len(test))
+                    out.append(_error_row(getattr(r, SERIES), test, test - pred))
+        yield pd.DataFrame(out, columns=[SERIES, "points", "se", "ae", "ape", "zeros"])
+
+
+def holdout_metrics(parts: DataFrame, fits: DataFrame, reach: int) -> DataFrame:
+    """``(series_id, mse, rmse, mae, mape)``: the multi-step forecast of a training fit against the rest."""
+    tails = last_values(parts, "n_train", reach)
+    model = bounded(fits.join(tails, SERIES).select(SERIES, *ORDER_COLS, "params", "e_tail", "y_tail"))
+    rows = parts.where(F.col("base") + F.size("ys") > F.col("n_train")).join(model, SERIES)
+    return mean_errors(rows.mapInPandas(_holdout_errors, ERRORS_SCHEMA))
+
+
+ENTRY_SCHEMA = f"{SERIES} string, c long, entry array<double>"
+
+
+def _entries(sums: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    x = _open(state["plan"].iloc[0])[0]
+    spec = spec_of(x)
+    states = css.compose(_ordered(sums, 0, spec), spec)[5]
+    return pd.DataFrame({SERIES: sums[SERIES], "c": sorted(sums["c"]), "entry": [list(s) for s in states]})
+
+
+def _in_sample_errors(batches):
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples():
+            spec = spec_of(r._asdict())
+            y, first = _cut(r, spec, False)
+            z = css.piece_basis(y, first, spec, r.params)
+            e = z[:, 0] + z[:, 1 + spec.k:1 + spec.k + spec.r] @ np.asarray(r.entry, float)
+            skip = max(0, r.n_train - r.base - first)
+            if skip < len(e):
+                out.append(_error_row(getattr(r, SERIES), y[first + skip:], e[skip:]))
+        yield pd.DataFrame(out, columns=[SERIES, "points", "se", "ae", "ape", "zeros"])
+
+
+def in_sample_metrics(parts: DataFrame, fits: DataFrame) -> DataFrame:
+    """One-step errors of the fits on all points, over the points of the hold-out part."""
+    settled = fits.where(F.col("status").isin("ok", "not converged"))
+    plan = bounded(_plan(settled, False, "params"))
+    sums = parts.join(plan.withColumn("all_fits", F.lit(True)), SERIES).mapInPandas(_sums, SUMS_SCHEMA)
+    entries = sums.groupBy(SERIES).cogroup(plan.sparkseries_plain.groupBy(SERIES)).applyInPandas(_entries, ENTRY_SCHEMA)
+    rows = parts.join(bounded(entries), [SERIES, "c"]).join(bounded(settled.select(SERIES, *ORDER_COLS, "params")), SERIES)
+    return mean_errors(rows.mapInPandas(_in_sample_errors, ERRORS_SCHEMA))
+
+
+def fit_fixed(prep: Prepared, order: dict, size: int | None = None) -> DataFrame:
+    """One given order (``ORDER_COLS``, missing ones 0) fitted on the training part of every series:
+    rows of ``FIT_SCHEMA`` with the hold-out metrics."""
+    spec = spec_of({c: 0 for c in ORDER_COLS} | order)
+    facts = prep.varying().where(F.col("n") > spec.reach)
+    parts = pieces(prep, facts, max(spec.reach, 1), size)
+    orders = facts.select(SERIES, *[F.lit(order.get(c, 0)).alias(c) for c in ORDER_COLS])
+    fits = fit_orders(parts, _plan(orders, True))
+    settled = fits.where(F.col("status").isin("ok", "not converged"))
+    return fits.join(holdout_metrics(parts, settled, max(spec.reach, 1)), SERIES, "left")
+
+
+# ---------------------------------------------------------------- forecasts
+def _forecast_steps(hmax: int):
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                spec = spec_of(r._asdict())
+                values = css.head(spec, r.params, np.asarray(r.y_tail, float), np.asarray(r.e_tail, float), hmax)
+                yield pd.DataFrame({SERIES: getattr(r, SERIES), "step": np.arange(1, hmax + 1, dtype="int32"), "forecast": values,
+                                    "se": css.spread(spec, r.params, r.sse / max(r.nobs, 1), hmax)})
+    return run
 
 
-def sarima_forecast(prep: Prepared, horizons: Sequence[int], model: str = "sarima", min_points: int = 27):
-    """Fixed (1,1,1)(1,1,1,12), CSS; series need ``min_points`` (> 2 seasonal cycles)."""
-    facts = prep.varying().where(F.col("n") >= min_points)
-    data = prep.clean.join(facts.select(SERIES, "n"), SERIES).where(F.col(SEQ) >= F.col("n") - WINDOW) \
-        .select(SERIES, SEQ, VALUE, "n")
+def _model(prep, facts, parts, train, chosen, horizons, model, reach, mode):
+    """Refit ``chosen(series_id, order, params)`` on all points; forecast rows, refits and metrics."""
+    if mode not in ("holdout", "in_sample"):
+        raise ValueError("mode must be 'holdout' or 'in_sample'")
+    refit = fit_orders(parts, _plan(chosen, False, "params"))
+    done = refit.where(F.col("status").isin("ok", "not converged"))
+    ahead = done.join(last_values(parts, "n", reach), SERIES).select(SERIES, *ORDER_COLS, "params", "sse", "nobs", "e_tail", "y_tail")
     hmax = max(horizons)
-    fitted = data.groupBy(SERIES).applyInPandas(_final_fit_fn(hmax, True), schema=_final_schema())
-    big = facts.where(F.col("n") > WINDOW).select(SERIES)
-    if big.limit(1).count():
-        # the fit on the most recent 10,000 points starts a whole-series refit
-        start = fitted.where(F.col("step") == 1).join(big, SERIES, "left_semi").select(
-            SERIES, F.lit(1).alias("p"), F.lit(1).alias("d"), F.lit(1).alias("q"), F.lit(1).alias("sp"),
-            F.lit(1).alias("sd"), F.lit(1).alias("sq"), F.lit(12).alias("m"), "params")
-        fitted = fitted.join(big, SERIES, "left_anti").unionByName(distributed_refit(prep, start, hmax))
-    rows = _rows(prep, facts, fitted, horizons, model)
-    info = fitted.where(F.col("step") == 1).select(
-        SERIES, F.lit(model).alias("model"), F.lit("ok").alias("status"),
-        F.lit("SARIMA(1,1,1)(1,1,1,12) model (CSS)").alias("description"), "sigma2", "params")
-    return rows, info
+    fitted = ahead.mapInPandas(_forecast_steps(hmax), f"{SERIES} string, step int, forecast double, se double")
+    steps = steps_for(prep, facts, horizons).join(fitted, [SERIES, "step"])
+    lower, upper = spread_interval(F.col("forecast"), F.col("se"))
+    rows = steps.select(SERIES, F.lit(model).alias("model"), F.col("horizon").cast("int").alias("horizon"),
+                        F.col("step").cast("int").alias("step"), "ts", SEQ, "forecast", lower.alias("lower"), upper.alias("upper"))
+    metrics = holdout_metrics(parts, train, reach) if mode == "holdout" else in_sample_metrics(parts, done)
+    info = done.select(SERIES, F.lit(model).alias("model"), "status", *ORDER_COLS, "params",
+                       (F.col("sse") / F.col("nobs")).alias("sigma2"))
+    return rows, info.join(metrics, SERIES, "left")
 
 
-# ---------------------------------------------------------------- whole-series refit (n > 10,000)
-STATS_SCHEMA = f"{SERIES} string, jtj array<double>, jte array<double>, sse double, nobs long, tail array<double>"
+INFO = ("p", "d", "q", "aic", "is_stationary", "p_value", "sigma2", "mse", "rmse", "mae", "mape")
 
 
-ORDER_COLS = ("p", "d", "q", "sp", "sd", "sq", "m")  # sp/sd/sq: seasonal P, D, Q
+def arima_forecast(prep: Prepared, horizons: Sequence[int], model: str = "arima", mode: str = "holdout"):
+    """forecast rows and info rows (order, AIC, ADF, metrics by ``mode``, status of the fit)."""
+    facts = prep.varying()
+    parts, fits, dtab = _search(prep, facts)
+    best = bounded(best_order(fits))
+    train = fits.join(best.select(SERIES, "p", "d", "q"), [SERIES, "p", "d", "q"])
+    rows, info = _model(prep, facts, parts, train, train, horizons, model, MAX_ORDER + 1, mode)
+    info = info.join(best.select(SERIES, "aic"), SERIES).join(dtab.select(SERIES, "adf_p_value"), SERIES).select(
+        SERIES, "model", "status", F.format_string("ARIMA(%d,%d,%d) of least AIC, conditional least squares", "p", "d", "q").alias("description"),
+        "p", "d", "q", "aic", (F.col("adf_p_value") < 0.05).alias("is_stationary"), F.col("adf_p_value").alias("p_value"),
+        "sigma2", "mse", "rmse", "mae", "mape", "params")
+    return rows, info
 
 
-def _spec_of(r):
-    p, d, q, P, D, Q, m = (int(r[c]) for c in ORDER_COLS)
-    return Spec(p=p, q=q, P=P, Q=Q, m=m, const=(d == 0 and D == 0)), d, D, m
-
-
-def _chunk_stats(pdf: pd.DataFrame) -> pd.DataFrame:
-    """CSS residuals and numeric Jacobian of one chunk (halo rows warm the recursion up)."""
-    pdf = pdf.sort_values(SEQ)
-    spec, d, D, m = _spec_of(pdf.iloc[0])
-    theta = np.asarray(pdf["theta"].iloc[0], dtype=float)
-    y = pdf[VALUE].to_numpy(dtype=float)
-    core = pdf["_core"].to_numpy(dtype=bool)
-    _, w = integrate(y, d, D, m)
-    e = css_residuals(w, spec, theta)
-    mask = core[len(y) - len(e):]
-    k = spec.k
-    jac = np.empty((len(e), k))
-    for i in range(k):
-        h = 1e-6 * max(1.0, abs(theta[i]))
-        t2 = theta.copy()
-        t2[i] += h
-        jac[:, i] = (css_residuals(w, spec, t2) - e) / h
-    jm, em = jac[mask], e[mask]
-    last = int(pdf[SEQ].max()) == int(pdf["n"].iloc[0]) - 1
-    tail = y[-HALO:].tolist() if last else []
-    return pd.DataFrame({SERIES: [pdf[SERIES].iloc[0]], "jtj": [(jm.T @ jm).ravel().tolist()],
-                         "jte": [(jm.T @ em).tolist()], "sse": [float(em @ em)], "nobs": [int(mask.sum())],
-                         "tail": [tail]})
-
-
-def _sum_stats(pdf: pd.DataFrame) -> pd.DataFrame:
-    jtj = np.sum(np.stack([np.asarray(x, dtype=float) for x in pdf["jtj"]]), axis=0)
-    jte = np.sum(np.stack([np.asarray(x, dtype=float) for x in pdf["jte"]]), axis=0)
-    tails = [list(t) for t in pdf["tail"] if t is not None and len(t)]
-    return pd.DataFrame({SERIES: [pdf[SERIES].iloc[0]], "jtj": [jtj.tolist()], "jte": [jte.tolist()],
-                         "sse": [float(pdf["sse"].sum())], "nobs": [int(pdf["nobs"].sum())],
-                         "tail": [tails[0] if tails else []]})
-
-
-STATE_SCHEMA = (f"{SERIES} string, p int, d int, q int, sp int, sd int, sq int, m int, "
-                "theta array<double>, acc array<double>, "
-                "acc_sse double, acc_nobs long, acc_jtj array<double>, acc_jte array<double>, lam double, "
-                "tail array<double>")
-
-
-def _lm_update(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Accept / reject the evaluated trial point and propose the next one (one row per series)."""
-    r = pdf.iloc[0]
-    k = len(r["theta"])
-    first = r["acc_sse"] is None or pd.isna(r["acc_sse"])
-    lam = float(r["lam"])
-    if first or r["sse"] < r["acc_sse"]:
-        acc, acc_sse, acc_nobs = list(r["theta"]), float(r["sse"]), int(r["nobs"])
-        jtj, jte = np.asarray(r["jtj"], dtype=float).reshape(k, k), np.asarray(r["jte"], dtype=float)
-        lam = lam / 3 if not first else lam
-    else:
-        acc, acc_sse, acc_nobs = list(r["acc"]), float(r["acc_sse"]), int(r["acc_nobs"])
-        jtj, jte = np.asarray(r["acc_jtj"], dtype=float).reshape(k, k), np.asarray(r["acc_jte"], dtype=float)
-        lam *= 10
-    try:
-        step = np.linalg.solve(jtj + lam * np.diag(np.diag(jtj) + 1e-12), -jte)
-    except np.linalg.LinAlgError:
-        step = np.zeros(k)
-    trial = (np.asarray(acc) + step).tolist()
-    return pd.DataFrame({SERIES: [r[SERIES]], **{c: [int(r[c])] for c in ORDER_COLS},
-                         "theta": [trial], "acc": [acc], "acc_sse": [acc_sse], "acc_nobs": [acc_nobs],
-                         "acc_jtj": [jtj.ravel().tolist()], "acc_jte": [jte.tolist()], "lam": [lam],
-                         "tail": [list(r["tail"]) if r["tail"] is not None and len(r["tail"])
-                                  else (list(r["prev_tail"]) if r["prev_tail"] is not None else [])]})
-
-
-def distributed_refit(prep: Prepared, start: DataFrame, hmax: int, iters: int = REFIT_ITERS,
-                      chunk: int = REFIT_CHUNK) -> DataFrame:
-    """Whole-series CSS refit for long series; ``start`` has ``(series_id, p, d, q, params)``
-    and optionally the seasonal ``sp, sd, sq, m`` (P, D, Q, period).  Returns rows in the
-    :func:`_final_schema` layout."""
-    for c in ("sp", "sd", "sq", "m"):
-        if c not in start.columns:
-            start = start.withColumn(c, F.lit(0))
-    sizes = prep.ok.select(SERIES, "n")
-    data = prep.clean.join(start.select(SERIES), SERIES, "left_semi").join(sizes, SERIES)
-    c = F.floor(F.col(SEQ) / F.lit(chunk))
-    pos = F.col(SEQ) - c * F.lit(chunk)
-    copies = F.filter(F.array(F.struct(c.alias("c"), F.lit(True).alias("core")),
-                              F.when(pos >= F.lit(chunk - HALO), F.struct((c + 1).alias("c"), F.lit(False).alias("core")))),
-                      lambda x: x.isNotNull())
-    frames = data.select(SERIES, SEQ, VALUE, "n", F.explode(copies).alias("_cp")) \
-        .select(SERIES, SEQ, VALUE, "n", F.col("_cp.c").alias("_c"), F.col("_cp.core").alias("_core"))
-    state = bounded(start.select(
-        SERIES, *[F.col(c).cast("int").alias(c) for c in ORDER_COLS],
-        F.col("params").alias("theta"), F.col("params").alias("acc"),
-        F.lit(None).cast("double").alias("acc_sse"), F.lit(0).cast("long").alias("acc_nobs"),
-        F.array().cast("array<double>").alias("acc_jtj"), F.array().cast("array<double>").alias("acc_jte"),
-        F.lit(1e-3).alias("lam"), F.array().cast("array<double>").alias("tail")))
-    for _ in range(iters + 1):
-        stats = frames.join(state.select(SERIES, *ORDER_COLS, "theta"), SERIES) \
-            .groupBy(SERIES, "_c").applyInPandas(_chunk_stats, schema=STATS_SCHEMA) \
-            .groupBy(SERIES).applyInPandas(_sum_stats, schema=STATS_SCHEMA)
-        joined = state.withColumnRenamed("tail", "prev_tail").join(stats, SERIES)
-        state = bounded(joined.groupBy(SERIES).applyInPandas(_lm_update, schema=STATE_SCHEMA))
-
-    def forecast_fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        spec, d, D, m = _spec_of(r)
-        theta = np.asarray(r["acc"], dtype=float)
-        sigma2 = float(r["acc_sse"]) / max(int(r["acc_nobs"]), 1)
-        fc, se = forecast_css(np.asarray(r["tail"], dtype=float), spec, theta, d, D, m, hmax, sigma2)
-        nan = float("nan")
-        return pd.DataFrame({SERIES: r[SERIES], "step": np.arange(1, hmax + 1, dtype="int32"), "forecast": fc,
-                             "se": se, "sigma2": sigma2, "params": [list(map(float, theta))] * hmax,
-                             "mse": nan, "rmse": nan, "mae": nan, "mape": nan})
-
-    return state.groupBy(SERIES).applyInPandas(forecast_fn, schema=_final_schema())
+def sarima_forecast(prep: Prepared, horizons: Sequence[int], model: str = "sarima", min_points: int = 28, mode: str = "holdout"):
+    """fixed (1,1,1)(1,1,1,12); series need more points than parameters past the 26 it reaches
+    back.  Same columns as :func:`arima_forecast`; AIC and hold-out metrics are NULL where the
+    training part is too short for a fit."""
+    spec = spec_of(SEASONAL)
+    facts = prep.varying().where(F.col("n") >= max(min_points, spec.reach + 1))
+    parts = pieces(prep, facts, spec.reach)
+    orders = facts.select(SERIES, *[F.lit(v).alias(c) for c, v in SEASONAL.items()])
+    train = fit_orders(parts, _plan(orders, True))
+    known = F.when(F.col("status").isin("ok", "not converged"), F.col("params")).alias("params")
+    rows, info = _model(prep, facts, parts, train.where(F.col("status").isin("ok", "not converged")),
+                        train.select(SERIES, *ORDER_COLS, known), horizons, model, spec.reach, mode)
+    aic = train.select(SERIES, F.when(F.col("status").isin("ok", "not converged"), F.col("aic")).alias("aic"))
+    info = info.join(aic, SERIES).select(
+        SERIES, "model", "status", F.lit("SARIMA(1,1,1)(1,1,1,12), conditional least squares").alias("description"),
+        "p", "d", "q", "sp", "sd", "sq", "m", "aic", "sigma2", "mse", "rmse", "mae", "mape", "params")
+    return rows, info

@@ -111,8 +111,28 @@ def symmetric_interval(point, halfwidth):
     return point - halfwidth, point + halfwidth
 
 
-def relative_interval(point, lo: float = 0.9, hi: float = 1.1):
-    return point * F.lit(lo), point * F.lit(hi)
+def spread_interval(point, standard_error):
+    """95 % interval of a model that knows its standard error."""
+    return symmetric_interval(point, F.lit(Z95) * standard_error)
+
+
+def error_interval(point, rmse, lo: float = 0.9, hi: float = 1.1):
+    """95 % interval from a hold-out error: -+ 1.96 RMSE, or a share of the point where there is none."""
+    lower, upper = symmetric_interval(point, F.lit(Z95) * rmse)
+    return F.coalesce(lower, point * F.lit(lo)), F.coalesce(upper, point * F.lit(hi))
+
+
+def mean_errors(sums: DataFrame) -> DataFrame:
+    """``(series_id, mse, rmse, mae, mape)`` from partial sums ``(points, se, ae, ape, zeros)``; MAPE is
+    NULL where an actual value is zero, and what is not finite is NULL."""
+    g = sums.groupBy(SERIES).agg(*[F.sum(c).alias(c) for c in ("points", "se", "ae", "ape", "zeros")])
+
+    def known(x):
+        return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+    mse = known(F.col("se") / F.col("points"))
+    return g.select(SERIES, mse.alias("mse"), F.sqrt(mse).alias("rmse"), known(F.col("ae") / F.col("points")).alias("mae"),
+                    F.when(F.col("zeros") == 0, known(100 * F.col("ape") / F.col("points"))).alias("mape"))
 
 
 # ---------------------------------------------------------------- F10

@@ -1,5 +1,4 @@
-"""Forecast dispatcher (survey F1): every series x the (up to three smallest)
-horizons, one uniform result schema for all models.
+"""Forecast dispatcher (survey F1): every series x every horizon, one uniform result schema for all models.
 
 Each model is fitted once per series at the largest horizon and the shorter
 horizons are slices of that path (the reference refits per horizon).
@@ -21,8 +20,11 @@ INFO_COLUMNS = (SERIES, "model", "status", "description")
 
 
 def forecast(long: DataFrame, model: str = "arima", horizons: Sequence[int] | int | None = None,
-             periods: int = 10, max_chunk: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Returns ``(forecast rows, info rows)``.  Arguments are checked before any job."""
+             periods: int = 10, max_chunk: int | None = None, mode: str = "holdout") -> tuple[DataFrame, DataFrame]:
+    """Returns ``(forecast rows, info rows)``.  Arguments are checked before any job.
+
+    ``mode="in_sample"`` (ARIMA models) reports one-step errors of the final fit instead of the
+    hold-out forecast's."""
     model = check_model(model)
     hs = check_horizons(horizons, periods)
     prep = Prepared(long, max_chunk=max_chunk)
@@ -36,7 +38,9 @@ def forecast(long: DataFrame, model: str = "arima", horizons: Sequence[int] | in
         from .additive import additive_forecast as run
     else:
         from .lagwindow import lag_window_forecast as run
-    rows, info = run(prep, hs, model)
+    if mode != "holdout" and model not in ("arima", "sarima"):
+        raise ValueError(f"{model} has no mode {mode!r}")
+    rows, info = run(prep, hs, model, mode=mode) if model in ("arima", "sarima") else run(prep, hs, model)
     c_rows, c_info = constant_forecast(prep, hs, model)
     rows = rows.unionByName(c_rows)
     info = info.unionByName(c_info, allowMissingColumns=True)

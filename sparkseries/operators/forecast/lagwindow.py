@@ -21,7 +21,7 @@ from ...schema import SEQ, SERIES, VALUE
 from ..joins import bounded
 from ..linalg import gram, solve
 from ..order import chunk_window, lagged
-from .common import Z95, Prepared, steps_for
+from .common import Prepared, error_interval, steps_for
 
 MAX_L = 5
 MIN_POINTS = 10
@@ -114,9 +114,7 @@ def lag_window_forecast(prep: Prepared, horizons: Sequence[int], model: str = "l
     facts = prep.varying().where(F.col("n") >= MIN_POINTS)
     rows = steps_for(prep, facts, horizons).join(path, [SERIES, "step"]).join(metrics.select(SERIES, "rmse"), SERIES, "left")
     point = F.col("forecast")
-    half = F.lit(Z95) * F.col("rmse")
-    lower = F.when(F.col("rmse").isNotNull(), point - half).otherwise(point * 0.9)
-    upper = F.when(F.col("rmse").isNotNull(), point + half).otherwise(point * 1.1)
+    lower, upper = error_interval(point, F.col("rmse"))
     rows = rows.select(SERIES, F.lit(model).alias("model"), F.col("horizon").cast("int").alias("horizon"),
                        F.col("step").cast("int").alias("step"), "ts", SEQ, point.alias("forecast"),
                        lower.alias("lower"), upper.alias("upper"))

@@ -29,13 +29,14 @@ def max_broadcast_rows(df: DataFrame) -> int:
     return conf_int(df.sparkSession, CONF_BROADCAST_ROWS, DEFAULT_BROADCAST_ROWS)
 
 
-def bounded(small: DataFrame, max_rows: int | None = None, observe: dict | None = None) -> DataFrame:
+def bounded(small: DataFrame, max_rows: int | None = None, observe: dict | None = None, keep=checkpoint) -> DataFrame:
     """Materialise ``small`` (checkpointed) and broadcast it iff its row count and its size are
     within the bounds (``sparkseries.broadcastMaxRows`` / ``sparkseries.broadcastMaxBytes``).
 
     ``observe`` adds named aggregate columns computed in the same job; their values are
     left on the result as ``df.sparkseries_metrics`` (with ``rows``).  A hint covers the checked
-    rows only but survives ``explode``: multiply rows from ``df.sparkseries_plain`` instead."""
+    rows only but survives ``explode``: multiply rows from ``df.sparkseries_plain`` instead.
+    ``keep`` is how the table is written (iterations pass a form of ``session.stored``)."""
     limit = max_rows if max_rows is not None else max_broadcast_rows(small)
     max_bytes = conf_int(small.sparkSession, CONF_BROADCAST_BYTES, DEFAULT_BROADCAST_BYTES)
     # the checkpoint job computes and writes the table and, as observed metrics, counts its rows
@@ -43,7 +44,7 @@ def bounded(small: DataFrame, max_rows: int | None = None, observe: dict | None
     size = Observation("sparkseries_side_rows")
     extra = [e.alias(k) for k, e in (observe or {}).items()]
     text = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in small.columns])))
-    small = checkpoint(small.observe(size, F.count(F.lit(1)).alias("rows"),
+    small = keep(small.observe(size, F.count(F.lit(1)).alias("rows"),
                                      F.coalesce(F.sum(text), F.lit(0)).alias("bytes"), *extra))
     metrics = dict(size.get)
     fits = metrics["rows"] <= limit and metrics["bytes"] <= max_bytes

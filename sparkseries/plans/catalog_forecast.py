@@ -81,6 +81,27 @@ def q_forecast_arima_orders_monthly(spark, sf):
     return rounded(rows.select(*FC_COLS), 2)
 
 
+@_q("arima_ar1_lineitem")
+def q_arima_ar1_lineitem(spark, sf):
+    """F4 + F10: AR(1) with a constant on whole line-item series in pieces of 16,384 points (the
+    regression on the point before, on the first 80 %), multi-step hold-out metrics on the rest."""
+    from ..operators.forecast.arima import fit_fixed
+    prep = fc.Prepared(cz.lineitem_long(spark, sf), max_chunk=16_384)
+    fits = fit_fixed(prep, {"p": 1})
+    return rounded(fits.select(SERIES, F.element_at("params", 1).alias("phi"), F.element_at("params", 2).alias("const"),
+                               (F.col("sse") / F.col("nobs")).alias("sigma2"), "nobs", "mse", "rmse", "mae"), 5)
+
+
+@_q("forecast_arima_lineitem")
+def q_forecast_arima_lineitem(spark, sf):
+    """F4 + F12 at length: the whole order grid on line-item series of every row, in pieces of 16,384
+    points, and the winner's forecast with its order, AIC and hold-out error."""
+    long = cz.lineitem_long(spark, sf).where(F.col(SERIES).isin("l_quantity", "l_extendedprice"))
+    rows, info = forecast(long, "arima", [5], max_chunk=16_384)
+    both = rows.join(info.select(SERIES, "status", "p", "d", "q", "aic", "rmse"), SERIES)
+    return rounded(both.select(*FC_COLS, "status", "p", "d", "q", "aic", "rmse"), 2)
+
+
 @_q("arima_order_grid_orders_monthly")
 def q_arima_order_grid_orders_monthly(spark, sf):
     """every (p, d, q) candidate with its AIC, as rows."""

@@ -67,6 +67,29 @@ SQL: dict[str, str] = {
 WITH RECURSIVE {holt_ctes(ORDM_SEQ)}
 SELECT series_id, {_r('a', 4)} AS alpha, {_r('b', 4)} AS beta, {_r('l', 4)} AS level, {_r('tr', 4)} AS trend FROM best""",
 
+    "arima_ar1_lineitem": f"""
+WITH li AS (
+  SELECT m.series_id, row_number() OVER (PARTITION BY m.series_id ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS seq,
+         count(*) OVER (PARTITION BY m.series_id) AS n,
+         CASE m.series_id WHEN 'l_quantity' THEN l_quantity WHEN 'l_extendedprice' THEN l_extendedprice
+              WHEN 'l_discount' THEN l_discount ELSE l_tax END AS value
+  FROM lineitem CROSS JOIN (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS series_id) m),
+lagged AS (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY seq) AS before FROM li),
+fit AS (
+  SELECT series_id, floor(max(n) * 0.8) AS cut, regr_slope(value, before) AS phi, regr_intercept(value, before) AS const,
+         count(before) AS nobs, max_by(value, seq) AS last_value
+  FROM lagged WHERE seq < floor(n * 0.8) GROUP BY 1),
+noise AS (
+  SELECT series_id, avg((value - const - phi * before) ** 2) AS sigma2
+  FROM lagged JOIN fit USING (series_id) WHERE seq < cut AND before IS NOT NULL GROUP BY 1),
+ahead AS (
+  SELECT series_id, value, const / (1 - phi) + phi ** (seq - cut + 1) * (last_value - const / (1 - phi)) AS pred
+  FROM li JOIN fit USING (series_id) WHERE seq >= cut),
+err AS (SELECT series_id, avg((value - pred) ** 2) AS mse, avg(abs(value - pred)) AS mae FROM ahead GROUP BY 1)
+SELECT series_id, {_r('phi', 5)} AS phi, {_r('const', 5)} AS const, {_r('sigma2', 5)} AS sigma2, nobs,
+       {_r('mse', 5)} AS mse, {_r('sqrt(mse)', 5)} AS rmse, {_r('mae', 5)} AS mae
+FROM fit JOIN noise USING (series_id) JOIN err USING (series_id)""",
+
     "forecast_constant_events": f"""
 WITH c AS (SELECT series_id, count(*) AS n, max(ts) AS last_ts FROM ({EV})
            WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -101,3 +102,14 @@ def checkpoint(df):
     """Reliable checkpoint in the session's shared folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df, name: str):
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
+
+    Like a reliable checkpoint it cuts the lineage and survives lost executors; unlike one it also
+    forgets the plan's size estimate, which multiplies from round to round of an iteration."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/series/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
