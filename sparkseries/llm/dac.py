@@ -21,11 +21,13 @@ Encoding looks up space-delimited units: between two visible characters a single
 starts a pre-token of a byte-level vocabulary, so the ids of a text are those of its units in
 order.  A new unit is split into pre-tokens by the vocabulary's pattern, and the tokenizers library
 encodes the distinct new pre-tokens in one call.  Texts where that does not hold (runs of white
-space, white space other than single spaces and line feeds) go to the library whole.
+space, white space other than single spaces and line feeds) and texts that hold a token which the
+vocabulary adds to its merges (an end-of-text mark, say) go to the library whole.
 
 Defined results: null text is empty (the end id only); documents that share a doc_id are ordered
 by a hash of their text; a null doc_id comes first; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored.  A document is never cut: its segment must fit one binary value (2 GB), which
+a text of about 900 million ids fills, near the longest string that a row can hold.
 """
 
 from __future__ import annotations
@@ -124,33 +126,23 @@ class Segment:
 
 # ---- tokenizer --------------------------------------------------------------------------------
 
-class _Known(dict):
-    """Text -> its place among texts whose ids lie one after the other in ``flat``.
+class _Known:
+    """Texts whose ids are known: an Arrow array of the texts, and their ids one after the other.
 
-    A text that is looked up for the first time gets the next place and waits in ``new`` for
-    ``learn``.  A cache of more than ``ROOM`` texts is replaced by an empty one."""
+    More than ``ROOM`` texts are replaced by none at the start of a slice."""
 
-    ROOM = 600_000
+    ROOM = 2_000_000
 
     def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
+        self.texts = pa.array([], pa.large_string())
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def __missing__(self, text: str) -> int:
-        self[text] = place = len(self)
-        self.new.append(text)
-        return place
+    def places(self, texts: pa.Array) -> np.ndarray:
+        """The place of each text, -1 where it is new."""
+        return pc.fill_null(pc.index_in(texts, value_set=self.texts), -1).to_numpy(zero_copy_only=False)
 
-    def places(self, texts: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, texts), np.int64, len(texts))
-
-    def taken(self) -> list[str]:
-        new, self.new = self.new, []
-        return new
-
-    def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Ids of the texts last taken, and how many each has."""
+    def learn(self, texts: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.texts = pa.concat_arrays([self.texts, texts])
         self.flat = np.concatenate([self.flat, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
@@ -168,22 +160,27 @@ def _sums(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[last] - total[last - counts]
 
 
-def _chain(lists) -> list:
-    return list(itertools.chain.from_iterable(lists))
+#: Texts whose units are not cut by single spaces and line feeds alone: other white space (also what
+#: only Python counts as such), runs of it, white space at either end, and the separator.
+ODD = ("[\\x00\\x09\\x0b-\\x0d\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+       "|[ \\n][ \\n]|^[ \\n]|[ \\n]$")
+
+#: Letters of the Latin blocks up to U+024F (no signs of them), and ASCII signs but the apostrophe.
+LETTERS = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]"
+SIGNS = r"[!-&(-/:-@\[-`{-~]"
 
 
 class _Encoder:
     """The tokenizers library behind two caches: units, made of pre-tokens, which it encodes.
 
-    Many texts are joined by line feeds for one call of the pattern or of the library: between
-    texts without line feeds one is a pre-token of its own."""
-
-    END = "\0"
+    Cutting, counting and looking up units is array work; Python sees each new unit once.  Many
+    texts are joined by line feeds for one call of the pattern or of the library: between texts
+    without line feeds one is a pre-token of its own."""
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(pattern)
         self.line_feed = self.whole("\n")
         self.units, self.words = _Known(), _Known()
@@ -191,75 +188,101 @@ class _Encoder:
     def whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _alone(self, text: str) -> bool:
-        return text in ("", "\n", self.END)
-
-    def _learn_words(self) -> None:
-        new = self.words.taken()
-        plain = [w for w in new if not self._alone(w)]
+    def _word_ids(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pre-tokens and how many each has."""
+        plain = new.filter(pc.not_equal(new, "\n"))
         known = {}
-        if plain and len(self.line_feed) == 1:
-            ids = np.array(self.tok.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+        if len(plain) and len(self.line_feed) == 1:
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), pa.scalar("\n", pa.large_string()))[0].as_py()
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(ids == self.line_feed[0])
             if len(at) + 1 == len(plain):
+                sizes = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
                 if len(plain) == len(new):
-                    return self.words.learn(np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
-                known = dict(zip(plain, np.split(np.delete(ids, at), at - np.arange(len(at)))))
-        each = [known[w] if w in known else [END_ID] if w == self.END else self.whole(w) if w else [] for w in new]
-        self.words.learn(np.concatenate([np.array(x, np.uint32) for x in each]), np.array([len(x) for x in each], np.int64))
+                    return np.delete(ids, at), sizes
+                known = dict(zip(plain.to_pylist(), np.split(np.delete(ids, at), at - np.arange(len(at)))))
+        each = [known[w] if w in known else self.whole(w) for w in new.to_pylist()]
+        return np.concatenate([np.array(x, np.uint32) for x in each]), np.array([len(x) for x in each], np.int64)
 
-    def _words(self, units: list[str]) -> tuple[list[str], np.ndarray]:
+    def _cut(self, units: list[str]) -> tuple[list[str], np.ndarray]:
         """The pre-tokens of all units, and how many each has.  Units beyond Latin letters (of
         which versions of Unicode may differ) stay whole for the library to split."""
-        latin = [not self._alone(u) and (u.isascii() or max(u) < "\u0250") for u in units]
+        latin = [u != "\n" and u != "" and (u.isascii() or max(u) < "\u0250") for u in units]
         found = self.pattern.findall("\n".join(itertools.compress(units, latin)))
         breaks = np.flatnonzero(np.fromiter(("\n" == w for w in found), bool, len(found)))
-        counts = np.ones(len(units), np.int64)
-        counts[latin] = np.diff(np.concatenate([[-1], breaks, [len(found)]]))[:sum(latin)] - 1
+        counts = np.fromiter((u != "" for u in units), np.int64, len(units))
+        if any(latin):
+            counts[latin] = np.diff(np.concatenate([[-1], breaks, [len(found)]])) - 1
         if all(latin):
             return [w for w in found if w != "\n"], counts
         rest = iter(w for w in found if w != "\n")
-        return _chain(itertools.islice(rest, n) if x else [u] for u, x, n in zip(units, latin, counts.tolist())), counts
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, as the library gives them, with ``END_ID`` appended."""
-        self.units, self.words = (_Known() if len(x) > x.ROOM else x for x in (self.units, self.words))
-        cut = [_units(t) if t else [] for t in texts]
-        for u in cut:
-            if u is not None:
-                u.append(self.END)
-        cut_counts = np.array([len(u) for u in cut if u], np.int64)
-        at = self.units.places(_chain(u for u in cut if u))
-        new = self.units.taken()
-        if new:
-            words, counts = self._words(new)
-            word_at = self.words.places(words)
-            if self.words.new:
-                self._learn_words()
-            ids, sizes = self.words.ids(word_at)
-            self.units.learn(ids, _sums(sizes, counts))
-        flat, sizes = self.units.ids(at)
-        known = iter(np.split(flat, np.cumsum(_sums(sizes, cut_counts))))
-        return [next(known) if u else np.array([*self.whole(t), END_ID], np.uint32) for t, u in zip(texts, cut)]
+        parts = (itertools.islice(rest, n) if x else [u] * n for u, x, n in zip(units, latin, counts.tolist()))
+        return list(itertools.chain.from_iterable(parts)), counts
+
+    def _learn(self, units: pa.Array) -> None:
+        """Units that are new, from their pre-tokens; of those, new ones from the library.
+
+        A word alone is one pre-token and a word with signs after it two; the pattern cuts the rest."""
+        alone = pc.match_substring_regex(units, f"^ ?{LETTERS}+$").to_numpy(zero_copy_only=False)
+        signs = pc.extract_regex(units, f"^(?P<a> ?{LETTERS}+)(?P<b>{SIGNS}+)$")
+        two = signs.is_valid().to_numpy(zero_copy_only=False) & ~alone
+        pairs = signs.filter(pa.array(two))
+        sides = pa.concat_arrays([pairs.field(0), pairs.field(1)]).cast(pa.large_string())
+        rest = units.filter(pa.array(~(alone | two)))
+        words, counts = self._cut(rest.to_pylist())
+        coded = pa.concat_arrays([units.filter(pa.array(alone)), sides.take(pa.array(np.arange(2 * len(pairs)).reshape(2, -1).T.ravel())),
+                                  pa.array(words, pa.large_string())]).dictionary_encode()
+        units = pa.concat_arrays([units.filter(pa.array(alone)), units.filter(pa.array(two)), rest])
+        counts = np.concatenate([np.ones(alone.sum(), np.int64), np.full(len(pairs), 2), counts])
+        at = self.words.places(coded.dictionary)
+        if (at < 0).any():
+            new = coded.dictionary.filter(pa.array(at < 0))
+            self.words.learn(new, *self._word_ids(new))
+            at = self.words.places(coded.dictionary)
+        ids, sizes = self.words.ids(at[coded.indices.to_numpy()])
+        self.units.learn(units, ids, _sums(sizes, counts))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, as the library gives them, each with ``END_ID`` appended; how many each has."""
+        self.units, self.words = (_Known() if len(x.texts) > x.ROOM else x for x in (self.units, self.words))
+        texts = texts.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, ODD)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        odd = odd.to_numpy(zero_copy_only=False)
+        plain = texts.filter(pa.array(~odd))
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0"), "\0")
+        coded = cut.flatten().dictionary_encode()
+        at = self.units.places(coded.dictionary)
+        if (at < 0).any():
+            self._learn(coded.dictionary.filter(pa.array(at < 0)))
+            at = self.units.places(coded.dictionary)
+        ids, sizes = self.units.ids(at[coded.indices.to_numpy()])
+        own = _sums(sizes, pc.list_value_length(cut).to_numpy())
+        ids = np.insert(ids, np.cumsum(own), END_ID)
+        if not odd.any():
+            return ids, own + 1
+        parts = iter(np.split(ids, np.cumsum(own + 1)))
+        aside = pc.if_else(pa.array(odd), texts, None).to_pylist()
+        each = [np.array([*self.whole(t), END_ID], np.uint32) if x else next(parts) for t, x in zip(aside, odd)]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
 
 _ENCODERS: dict[str, _Encoder] = {}
 
 
-def _units(text: str) -> list[str] | None:
-    """Units of a text all of whose white space is single spaces and line feeds between visible
-    characters, else None."""
-    if "\0" in text or " ".join(text.split()) != text.replace("\n", " "):
-        return None
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+def encode_array(texts: pa.Array, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _Encoder(path, pattern))
+    return encoder.encode(texts)
 
 
 def encode_texts(texts: list[str | None], path: str, pattern: str) -> list[np.ndarray]:
-    encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _Encoder(path, pattern))
-    return encoder.encode(texts)
+    """Ids of each text with the end id."""
+    ids, sizes = encode_array(pa.array([t or "" for t in texts], pa.large_string()), path, pattern)
+    return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
-def _slices(texts: pa.Array, rows: int = 500, size: int = 4 << 20):
+def _slices(texts: pa.Array, rows: int = 5000, size: int = 16 << 20):
     """(start, length) of runs of at most ``rows`` texts and about ``size`` bytes."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -279,25 +302,33 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str,
 
     def run(batches):
         part, seq, ahead = TaskContext.get().partitionId(), 0, 0
-        docs, ids, n = [], [], 0
+        docs, ids, sizes, n = [], [], [], 0
 
         def segment():
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([ahead], pa.int64()), pa.array([n], pa.int64()),
-                 pa.array([pack_segment(docs, np.cumsum([len(x) for x in ids]), np.concatenate(ids))], pa.binary())],
+                 pa.array([pack_segment(docs, np.cumsum(np.concatenate(sizes)), np.concatenate(ids))], pa.binary())],
                 names=["part", "seq", "ahead", "n_tokens", "payload"])
 
         for b in batches:
             for at, size in _slices(b.column(1)):
                 cut = b.slice(at, size)
-                for d, x in zip(cut.column(0).to_pylist(), encode_texts(cut.column(1).to_pylist(), tokenizer_path, pattern)):
-                    docs.append(d)
-                    ids.append(x)
-                    n += len(x)
+                names = cut.column(0).to_pylist()
+                flat, own = encode_array(cut.column(1), tokenizer_path, pattern)
+                ends, first = np.cumsum(own), 0
+                while first < len(own):
+                    # documents up to the one that fills the segment
+                    begin = int(ends[first - 1]) if first else 0
+                    last = min(int(np.searchsorted(ends, begin + segment_ids - n)) + 1, len(own))
+                    docs += names[first:last]
+                    ids.append(flat[begin:int(ends[last - 1])])
+                    sizes.append(own[first:last])
+                    n += int(ends[last - 1]) - begin
+                    first = last
                     if n >= segment_ids:
                         yield segment()
                         seq, ahead = seq + 1, ahead + n
-                        docs, ids, n = [], [], 0
+                        docs, ids, sizes, n = [], [], [], 0
         if docs:
             yield segment()
 
