@@ -16,6 +16,8 @@ starts ``OVERLAP`` characters before the border (in the middle of a pre-token, p
 right one at a place of its own; each is wrong only until it meets a true boundary, and a
 boundary at a change from letters, digits or signs to a blank is one for any start.
 
+A run of white space longer than the overlap is no place to cut, however long (see ``Codec.encode``).
+
 Defined results: null text is empty (no ids); rows that share a doc_id are separate documents;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -37,6 +39,10 @@ from .common import materialize, table
 
 CHUNK = 32_768
 OVERLAP = 256
+#: Longest run of white space that goes to the library's pattern matcher.
+BLANKS = 100_000
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # White_Space of Unicode
+LONG_BLANKS = regex.compile(r"%s{%d,}" % (SPACE, BLANKS + 1))
 
 
 class Codec:
@@ -58,7 +64,18 @@ class Codec:
         return cls._made[path, pattern]
 
     def encode(self, text: str) -> list[int]:
-        return self.encoding.encode_ordinary(text)
+        """Ids of a text.  The library's pattern matcher fails on a run of about a million white-space
+        characters, so runs over ``BLANKS`` are taken out: all of a run but its last character is one
+        pre-token (all of it at the end of the text), and the rest begins with that character."""
+        if len(text) <= BLANKS:
+            return self.encoding.encode_ordinary(text)
+        out, at = [], 0
+        for run in LONG_BLANKS.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += self.encoding.encode_ordinary(text[at:run.start()])
+            out += self.encoding._encode_single_piece(text[run.start():end])
+            at = end
+        return out + self.encoding.encode_ordinary(text[at:])
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))

@@ -282,11 +282,10 @@ def tokenizers_():
     from tokenizers import Tokenizer
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), t
 
 
-ODD = [(100, "a" * 700 + " b\n\n  c" + "\t" * 90 + "x  y"), (101, "it's   I'll\x1c!\x1c wé  " * 40), (102, "<|endoftext|> x\n"),
+ODD = [(100, "a" * 700 + " b\n\n  c" + "\t" * 90 + "x  y"), (101, "it's   I'll\x1c!\x1c wé  " * 40), (102, "<|endoftext|> x\n"), (104, "a <|endoftext|> b"), (105, "x<|endoftext|>"),
        (103, "nul\x00 in it"), (104, "日本語 テキスト　" * 50)]
 
 
@@ -302,6 +301,28 @@ def test_bpe(spark, rows, tokenizers_, chunk, overlap):
     assert collect(out, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want)
 
 
+def test_bpe_long_blank_runs(spark, tokenizers_, monkeypatch):
+    """Runs that the library cannot take whole, against the library on the pieces around them; short
+    runs, with a small bound, against the library itself."""
+    plain, _ = tokenizers_
+    blanks = {" " * 2_000_000: " ", "\n" * 2_000_000: "\n", " \n\t" * 400_000: "\t"}
+    data, want = [], []
+    for k, (run, last) in enumerate(blanks.items()):
+        single = plain._encode_single_piece(run[:-1])
+        data.append((k, "a b" + run + "x y" + run))
+        want.append((k, plain.encode_ordinary("a b") + single + plain.encode_ordinary(last + "x y") + plain._encode_single_piece(run)))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for out in (bpe.digests(docs, *bpe._vocabulary()), bpe.stage_byte_bpe(spark, docs, "")):
+        got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out.collect()}
+        assert got == {k: (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+                       for (k, ids), (_, t) in zip(want, data)}
+    monkeypatch.setattr(bpe, "BLANKS", 3)
+    monkeypatch.setattr(bpe, "LONG_BLANKS", bpe.regex.compile(r"\s{4,}"))
+    codec = bpe.Codec.of(*bpe._vocabulary())
+    for text in ("a    b", "    b", "a    ", "a\n\n\n\n\nb  c \t\r\n 's", "  \u00a0\u3000\n x     \n     y", "x" + " " * 50 + "9" + "\n" * 9):
+        assert codec.encode(text) == plain.encode_ordinary(text)
+
+
 def test_token_files(spark, rows, tokenizers_, tmp_path):
     import public_tokenizers as P
     data = [(r[0], r[1]) for r in rows if r[0] != 11] + ODD
