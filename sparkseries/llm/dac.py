@@ -150,7 +150,9 @@ class _Known:
         """The ids of the texts at these places, one after the other, and how many each has."""
         begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
         shift = np.cumsum(size) - size
-        return self.flat[np.arange(size.sum()) + np.repeat(begin - shift, size)], size
+        at = np.repeat((begin - shift).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at], size
 
 
 def _sums(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -177,6 +179,9 @@ class _Encoder:
     texts are joined by line feeds for one call of the pattern or of the library: between texts
     without line feeds one is a pre-token of its own."""
 
+    #: Pre-tokens in one call of the library, whose result holds each token as text too.
+    WORDS = 20_000
+
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -190,6 +195,10 @@ class _Encoder:
 
     def _word_ids(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pre-tokens and how many each has."""
+        parts = [self._some_ids(new.slice(at, self.WORDS)) for at in range(0, len(new), self.WORDS)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _some_ids(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         plain = new.filter(pc.not_equal(new, "\n"))
         known = {}
         if len(plain) and len(self.line_feed) == 1:
@@ -282,7 +291,7 @@ def encode_texts(texts: list[str | None], path: str, pattern: str) -> list[np.nd
     return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
-def _slices(texts: pa.Array, rows: int = 5000, size: int = 16 << 20):
+def _slices(texts: pa.Array, rows: int = 4000, size: int = 8 << 20):
     """(start, length) of runs of at most ``rows`` texts and about ``size`` bytes."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
