@@ -2,60 +2,114 @@
 
 Everything is a grouped aggregate on ``series_id`` — partial aggregation on the
 map side, so a hot series costs one small row per input partition in the shuffle.
-Exact quantiles are the one non-decomposable statistic: equal values are first counted
-(combined on the map side, so a hot value is one row), then the distinct values are
-ordered (:func:`sparkseries.operators.order.with_seq`) and their counts summed up by
-chunks, instead of Spark's ``percentile`` aggregate, whose buffer keeps all distinct
-values of a group in one task.  ``approx=True`` switches to the
-mergeable ``percentile_approx`` sketch.
+Exact quantiles are the one non-decomposable statistic: a mergeable sketch brackets the
+wanted ranks, one more pass counts around the brackets, and only the values inside them are
+ordered, instead of Spark's ``percentile`` aggregate, whose buffer keeps all distinct
+values of a group in one task.  ``approx=True`` stops at the ``percentile_approx`` sketch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import is_missing
 from ..schema import SEQ, SERIES, TS, VALUE
 from .joins import bounded
-from .order import cumulative_sum, with_seq
+from .order import chunk_rows, cumulative_sum, with_seq
 
 QUARTILES = (0.25, 0.5, 0.75)
+#: The sketch is off by at most a share 1 / ACCURACY of the ranks; brackets reach three times as far.
+ACCURACY = 2000
+MARGIN = 3 / ACCURACY
 
 
 # ---------------------------------------------------------------- quantiles
-def quantiles(clean: DataFrame, probs: Sequence[float] = QUARTILES, approx: bool = False,
-              accuracy: int = 10000, max_chunk: int | None = None) -> DataFrame:
-    """``(series_id, q, quantile)`` with NumPy 'linear' interpolation:
-    ``h = (n-1)q``, ``x[floor h] + (h - floor h)(x[floor h + 1] - x[floor h])``."""
-    probs = [float(p) for p in probs]
-    if approx:
-        agg = clean.groupBy(SERIES).agg(
-            F.percentile_approx(VALUE, probs, accuracy).alias("_qs"))
-        return agg.select(SERIES, F.posexplode("_qs").alias("_i", "quantile")).select(
-            SERIES, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("q"),
-            "quantile")
-    # equal values become one row with a count before anything is sorted
-    counts = clean.groupBy(SERIES, VALUE).agg(F.count(F.lit(1)).alias("_c"))
-    sizes = clean.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n"))
-    ranked = cumulative_sum(with_seq(counts, order=(VALUE,), max_chunk=max_chunk), "_c", "_hi", max_chunk=max_chunk)
+def quantile_table(clean: DataFrame, probs: Sequence[float], extra: dict | None = None,
+                   max_chunk: int | None = None) -> DataFrame:
+    """``(series_id, n, <extra>, quantiles)``: exact quantiles (array in the order of ``probs``) with NumPy
+    'linear' interpolation, ``h = (n-1)q``, ``x[floor h] + (h - floor h)(x[floor h + 1] - x[floor h])``.
+
+    1. One pass takes ``extra`` aggregates, the count and a mergeable sketch, whose rank error gives
+       an interval of values around each quantile that holds the wanted ranks.
+    2. One pass counts what lies between the intervals and, by value, what lies inside; equal values
+       and gaps are combined on the map side, so about 1 % of the rows are ever sorted.
+    3. Running counts over those rows give the exact ranks.  A series whose ranks missed the
+       intervals would be sorted whole (:func:`_sorted_quantiles`)."""
+    asked = [float(p) for p in probs]
+    order = sorted(set(asked))
+    inf = float("inf")
+    sides = [min(max(p + side, 0.0), 1.0) for p in order for side in (-MARGIN, MARGIN)]
+    facts = bounded(clean.groupBy(SERIES).agg(
+        F.count(VALUE).alias("n"), *[e.alias(k) for k, e in (extra or {}).items()],
+        F.percentile_approx(VALUE, sides, ACCURACY).alias("_edges")))
+    # few points: the interval is everything
+    wide = F.col("n") * MARGIN < 2
+    low = [F.when(wide | F.lit(p - MARGIN <= 0), -inf).otherwise(F.col("_edges")[2 * i]) for i, p in enumerate(order)]
+    high = [F.when(wide | F.lit(p + MARGIN >= 1), inf).otherwise(F.col("_edges")[2 * i + 1]) for i, p in enumerate(order)]
+    edges = facts.where(F.col("n") > 0).select(SERIES, *[x.alias(f"_l{i}") for i, x in enumerate(low)],
+                                                *[x.alias(f"_h{i}") for i, x in enumerate(high)])
+    v = F.col(VALUE)
+    slot = sum((F.when(v > F.col(f"_h{i}"), 1).otherwise(0) for i in range(len(order))), F.lit(0))
+    inside = F.coalesce(*[F.when((F.col("_s") == i) & (v >= F.col(f"_l{i}")), v) for i in range(len(order))])
+    counts = (clean.where(v.isNotNull()).join(edges, SERIES).withColumn("_s", slot).where(F.col("_s") < len(order))
+              .groupBy(SERIES, "_s", inside.alias(VALUE)).agg(F.count(F.lit(1)).alias("_c")))
+    limit = max_chunk if max_chunk is not None else chunk_rows(clean)
+    counts = bounded(counts, observe={"groups": F.count(F.lit(1))})
+    if counts.sparkseries_metrics["groups"] <= limit:
+        run = Window.partitionBy(SERIES).orderBy("_s", F.asc_nulls_first(VALUE)).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.sparkseries_plain.withColumn("_hi", F.sum("_c").over(run))
+    else:
+        ranked = with_seq(counts.sparkseries_plain, order=("_s", VALUE), max_chunk=max_chunk)
+        ranked = cumulative_sum(ranked, "_c", "_hi", max_chunk=max_chunk)
+    found = _pick(ranked.where(v.isNotNull()), facts.select(SERIES, "n"), order)
+    found = bounded(found, observe={"missed": F.count(F.when(F.exists("_q", lambda x: x.isNull()), 1))})
+    if found.sparkseries_metrics["missed"]:
+        hit = ~F.exists("_q", lambda x: x.isNull())
+        rest = clean.join(found.where(~hit).select(SERIES), SERIES, "left_semi")
+        found = found.where(hit).unionByName(_sorted_quantiles(rest, order, max_chunk))
+    own = F.transform(F.array(*[F.lit(order.index(p)) for p in asked]), lambda i: F.get("_q", i))
+    out = facts.drop("_edges").join(found, SERIES, "left")
+    return out.select(*[c for c in out.columns if c != "_q"], own.alias("quantiles"))
+
+
+def _pick(ranked: DataFrame, sizes: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """``(series_id, _q)`` from ``ranked(series_id, value, _c, _hi)``, running counts of distinct values."""
     wanted = []
-    for p in probs:
+    for i, p in enumerate(probs):
         h = (F.col("n") - 1) * F.lit(p)
         lo = F.floor(h)
         hi = F.least(lo + 1, F.col("n") - 1)
-        wanted += [F.struct(F.lit(p).alias("q"), lo.cast("double").alias("_r"), F.lit("lo").alias("role"), (h - lo).alias("frac")),
-                   F.struct(F.lit(p).alias("q"), hi.cast("double").alias("_r"), F.lit("hi").alias("role"), (h - lo).alias("frac"))]
-    need = bounded(sizes.where(F.col("n") > 0).select(SERIES, F.array(*wanted).alias("_w")))
+        wanted += [F.struct(F.lit(i).alias("i"), lo.cast("double").alias("_r"), F.lit("lo").alias("role"), (h - lo).alias("frac")),
+                   F.struct(F.lit(i).alias("i"), hi.cast("double").alias("_r"), F.lit("hi").alias("role"), (h - lo).alias("frac"))]
+    need = sizes.where(F.col("n") > 0).select(SERIES, F.array(*wanted).alias("_w"))
     here = F.filter("_w", lambda w: (w._r < F.col("_hi")) & (w._r >= F.col("_hi") - F.col("_c")))
-    picked = ranked.join(need, SERIES).select(SERIES, VALUE, F.explode(here).alias("_p")).select(SERIES, VALUE, "_p.*")
-    g = picked.groupBy(SERIES, "q").agg(
-        F.max(F.when(F.col("role") == "lo", F.col(VALUE))).alias("_lo"),
-        F.max(F.when(F.col("role") == "hi", F.col(VALUE))).alias("_hi"),
-        F.max("frac").alias("_f"))
-    return g.select(SERIES, "q", _between("_lo", "_hi", "_f").alias("quantile"))
+    picked = ranked.join(need, SERIES).select(SERIES, VALUE, F.explode_outer(here).alias("_p")).select(SERIES, VALUE, "_p.*")
+    g = picked.groupBy(SERIES).agg(*[
+        F.max(F.when((F.col("i") == i) & (F.col("role") == role), F.col(x))).alias(f"{name}{i}")
+        for i in range(len(probs)) for role, x, name in (("lo", VALUE, "_lo"), ("hi", VALUE, "_hi"), ("lo", "frac", "_f"))])
+    return g.select(SERIES, F.array(*[_between(f"_lo{i}", f"_hi{i}", f"_f{i}") for i in range(len(probs))]).alias("_q"))
+
+
+def _sorted_quantiles(clean: DataFrame, probs: Sequence[float], max_chunk: int | None = None) -> DataFrame:
+    """Quantiles by ordering all distinct values: ``(series_id, _q)``."""
+    counts = clean.groupBy(SERIES, VALUE).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = cumulative_sum(with_seq(counts, order=(VALUE,), max_chunk=max_chunk), "_c", "_hi", max_chunk=max_chunk)
+    return _pick(ranked, clean.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n")), probs)
+
+
+def quantiles(clean: DataFrame, probs: Sequence[float] = QUARTILES, approx: bool = False,
+              accuracy: int = 10000, max_chunk: int | None = None) -> DataFrame:
+    """``(series_id, q, quantile)``, exact (:func:`quantile_table`) or by the sketch alone."""
+    probs = [float(p) for p in probs]
+    if approx:
+        table = clean.groupBy(SERIES).agg(F.percentile_approx(VALUE, probs, accuracy).alias("quantiles"))
+    else:
+        table = quantile_table(clean, probs, None, max_chunk).where(F.col("n") > 0)
+    return table.select(SERIES, F.posexplode("quantiles").alias("_i", "quantile")).select(
+        SERIES, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("q"), "quantile")
 
 
 def _between(lo: str, hi: str, frac: str):
@@ -71,7 +125,6 @@ def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], value: str
     For data with few distinct values per series (step-function scores, codes): the counts
     are a map-side combined aggregate, positions come from a running count over the small
     per-series table, and no observation is sorted.  Returns ``(series_id, q, quantile)``."""
-    from pyspark.sql import Window
     w = Window.partitionBy(SERIES).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.select(SERIES, value, F.sum(count).over(w).alias("_hi"), F.col(count).alias("_c"))
     cum = cum.withColumn("_lo", F.col("_hi") - F.col("_c"))
@@ -92,22 +145,28 @@ def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], value: str
 
 
 def quantile_columns(clean: DataFrame, named: dict[str, float], approx: bool = False,
-                     max_chunk: int | None = None) -> DataFrame:
-    """Quantiles as columns, e.g. ``{'q1': .25, 'q3': .75}`` -> ``(series_id, q1, q3)``."""
-    qs = quantiles(clean, list(named.values()), approx=approx, max_chunk=max_chunk)
-    aggs = [F.max(F.when(F.col("q") == F.lit(float(p)), F.col("quantile"))).alias(name)
-            for name, p in named.items()]
-    return qs.groupBy(SERIES).agg(*aggs)
+                     max_chunk: int | None = None, extra: dict | None = None) -> DataFrame:
+    """Quantiles as columns, e.g. ``{'q1': .25, 'q3': .75}`` -> ``(series_id, <extra>, q1, q3)``; the
+    ``extra`` aggregates are taken in the same pass."""
+    if approx:
+        table = clean.groupBy(SERIES).agg(*[e.alias(k) for k, e in (extra or {}).items()],
+                                          F.percentile_approx(VALUE, [float(p) for p in named.values()], 10000).alias("quantiles"))
+    else:
+        table = quantile_table(clean, list(named.values()), extra, max_chunk)
+    return table.select(SERIES, *(extra or {}), *[F.col("quantiles")[i].alias(c) for i, c in enumerate(named)])
 
 
 # ---------------------------------------------------------------- C1 / C2 / C3
+DESCRIBE = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+def _moments() -> dict:
+    return {"count": F.count(VALUE), "mean": F.avg(VALUE), "std": F.stddev_samp(VALUE), "min": F.min(VALUE), "max": F.max(VALUE)}
+
+
 def describe(clean: DataFrame, approx: bool = False, max_chunk: int | None = None) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 %, max per series (pandas ``describe``)."""
-    moments = clean.groupBy(SERIES).agg(
-        F.count(VALUE).alias("count"), F.avg(VALUE).alias("mean"),
-        F.stddev_samp(VALUE).alias("std"), F.min(VALUE).alias("min"), F.max(VALUE).alias("max"))
-    qs = quantile_columns(clean, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, approx, max_chunk)
-    return moments.join(qs, SERIES, "left").select(
+    return quantile_columns(clean, DESCRIBE, approx, max_chunk, _moments()).select(
         SERIES, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
@@ -124,14 +183,13 @@ def summary_stats(long: DataFrame, approx: bool = False, min_points: int = 5,
                   max_chunk: int | None = None) -> DataFrame:
     """EDA summary: describe + median, population skewness, excess kurtosis and the
     missing count/percentage of the raw column.  Series below ``min_points`` get a status row."""
-    clean = long.where(~is_missing(F.col(VALUE)))
-    d = describe(clean, approx, max_chunk)
-    shape = clean.groupBy(SERIES).agg(F.skewness(VALUE).alias("skewness"),
-                                      F.kurtosis(VALUE).alias("kurtosis"))
-    miss = missing_values(long)
-    out = (miss.join(d, SERIES, "left").join(shape, SERIES, "left")
-           .withColumn("count", F.coalesce(F.col("count"), F.lit(0)))
-           .withColumn("status", F.when(F.col("count") >= min_points, "ok").otherwise("insufficient")))
+    missing = is_missing(F.col(VALUE))
+    raw = long.withColumn(VALUE, F.when(~missing, F.col(VALUE)))
+    miss = F.when(F.col(VALUE).isNull(), 1).otherwise(0)
+    out = quantile_columns(raw, DESCRIBE, approx, max_chunk, _moments() | {
+        "skewness": F.skewness(VALUE), "kurtosis": F.kurtosis(VALUE), "missing_values": F.sum(miss).cast("bigint"),
+        "missing_percentage": F.avg(miss) * 100.0})
+    out = out.withColumn("status", F.when(F.col("count") >= min_points, "ok").otherwise("insufficient"))
     stat_cols = ["mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis"]
     return out.select(
         SERIES, "status", "count",

@@ -111,3 +111,31 @@ def test_quantiles_from_counts_exact(spark):
     got = {r["q"]: r["quantile"] for r in stats.quantiles_from_counts(counts, [0.05, 0.5, 0.95, 1.0]).collect()}
     for p in (0.05, 0.5, 0.95, 1.0):
         assert got[p] == pytest.approx(float(np.quantile(vals, p)))
+
+
+def test_quantiles_of_a_long_series_by_brackets(spark):
+    """Brackets far narrower than the series: distinct, tied and infinite values, several prob orders."""
+    rng = np.random.default_rng(6)
+    values = {"distinct": rng.normal(size=20_000), "tied": rng.integers(0, 7, 9_000).astype(float),
+              "hot": np.r_[np.zeros(8_000), rng.normal(size=4_000)], "inf": np.r_[[np.inf] * 3000, [-np.inf] * 10, rng.normal(size=3000)], "one": np.array([4.0])}
+    long = spark.createDataFrame([(k, None, i, float(x)) for k, v in values.items() for i, x in enumerate(v)],
+                                 "series_id string, ts timestamp_ntz, tiebreak long, value double").repartition(6)
+    probs = [0.9, 0.001, 0.25, 0.5, 0.9999, 0.0, 1.0, 0.25]
+    for chunk in (None, 40):
+        got = {r["series_id"]: r["quantiles"] for r in stats.quantile_table(long, probs, max_chunk=chunk).collect()}
+        for k, v in values.items():
+            with np.errstate(invalid="ignore"):
+                want = np.sort(v)
+                for p, x in zip(probs, got[k]):
+                    h = (len(v) - 1) * p
+                    lo, hi = want[int(h)], want[min(int(h) + 1, len(v) - 1)]
+                    assert x == (lo if h == int(h) or lo == hi else pytest.approx(lo + (hi - lo) * (h - int(h))))
+
+
+def test_quantiles_when_brackets_miss(spark, monkeypatch):
+    """A sketch that is off: the series is sorted whole and the answer is the same."""
+    monkeypatch.setattr(stats, "MARGIN", -0.01)
+    v = np.random.default_rng(2).normal(size=3000)
+    long = spark.createDataFrame([("a", None, i, float(x)) for i, x in enumerate(v)], "series_id string, ts timestamp_ntz, tiebreak long, value double")
+    wide = stats.quantile_table(long, [0.25, 0.75]).first()["quantiles"]
+    assert wide == pytest.approx(np.quantile(v, [0.25, 0.75]).tolist())
