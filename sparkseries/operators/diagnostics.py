@@ -1,62 +1,40 @@
 """Time-series diagnostics (survey H1-H5): ACF, PACF, ADF, KPSS, normality.
 
-Shape of every computation: per-series aggregates (partial + final, skew-safe)
-plus lag products evaluated in bounded chunk windows
-(:func:`sparkseries.operators.order.lagged`).  Python only runs on the tiny
-per-series results (Levinson-Durbin on <= 21 autocovariances, p-values).
+Shape of every computation: per-series aggregates (partial + final, skew-safe), or maps over
+stored pieces of ordered values (:mod:`.pieces`) that send a few numbers per piece to a
+per-series step (Levinson-Durbin on <= 21 autocovariances, nested regressions, p-values).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dist import norm_cdf_col
 from ..schema import SEQ, SERIES, VALUE
 from .joins import bounded
-from .order import chunk_window, cumulative_sum, lagged, series_sizes, with_seq
-
-
-def _demeaned(clean: DataFrame, max_chunk: int | None):
-    sizes = series_sizes(clean)
-    means = bounded(clean.groupBy(SERIES).agg(F.avg(VALUE).alias("_m")))
-    seqd = with_seq(clean, sizes=sizes, max_chunk=max_chunk)
-    return seqd.join(means, SERIES).withColumn("_d", F.col(VALUE) - F.col("_m")).drop("_m"), sizes
-
-
-def lag_products(demeaned: DataFrame, max_lag: int, col: str = "_d",
-                 max_chunk: int | None = None) -> DataFrame:
-    """``(series_id, c0..c{max_lag})`` with ``c_k = sum_t d_t d_{t-k}`` (one window pass)."""
-    w = chunk_window()
-    exprs = {f"_l{k}": F.lag(col, k).over(w) for k in range(1, max_lag + 1)}
-    lagged_df = lagged(demeaned, exprs, back=max_lag, max_chunk=max_chunk) if max_lag else demeaned
-    aggs = [F.sum(F.col(col) * F.col(col)).alias("c0")]
-    aggs += [F.coalesce(F.sum(F.col(col) * F.col(f"_l{k}")), F.lit(0.0)).alias(f"c{k}")
-             for k in range(1, max_lag + 1)]
-    return lagged_df.groupBy(SERIES).agg(*aggs)
+from .linalg import ols_from_gram
+from .order import series_sizes, with_seq
+from .pieces import cut, lag_sums, lagged_products, sizes_and_means, with_before
 
 
 # ---------------------------------------------------------------- H1
-def acf(clean: DataFrame, nlags: int = 20, min_points: int = 8,
-        max_chunk: int | None = None) -> DataFrame:
+def acf(clean: DataFrame | None, nlags: int = 20, min_points: int = 8,
+        max_chunk: int | None = None, parts: DataFrame | None = None) -> DataFrame:
     """``(series_id, n, lag, acf, acov_sum)`` for lags 0..min(nlags, n // 2).
 
     Biased estimator around the global mean: ``acf_k = sum (x_t-m)(x_{t+k}-m) / sum (x_t-m)^2``.
-    Series need ``min_points`` points and at least 2 lags."""
-    d, sizes = _demeaned(clean, max_chunk)
-    prods = lag_products(d, nlags, max_chunk=max_chunk).join(sizes, SERIES)
-    kmax = F.least(F.lit(nlags), F.floor(F.col("n") / 2))
-    pairs = F.array(*[F.struct(F.col(f"c{k}").alias("acov_sum"),
-                               F.try_divide(F.col(f"c{k}"), F.col("c0")).alias("acf"))
-                      for k in range(nlags + 1)])
-    rows = prods.where((F.col("n") >= min_points) & (kmax >= 2)).select(
-        SERIES, "n", kmax.alias("_kmax"), F.posexplode(pairs).alias("lag", "_p"))
-    return rows.where(F.col("lag") <= F.col("_kmax")).select(
-        SERIES, "n", F.col("lag").cast("int").alias("lag"), F.col("_p.acf").alias("acf"),
-        F.col("_p.acov_sum").alias("acov_sum"))
+    Series need ``min_points`` points and at least 2 lags.  ``parts``: the pieces, if already cut."""
+    parts = cut(clean, max_chunk) if parts is None else parts
+    kmax = F.least(F.lit(nlags), F.floor(F.col("n") / 2)).cast("int")
+    need = sizes_and_means(parts).withColumn("reach", kmax).where((F.col("n") >= min_points) & (F.col("reach") >= 2))
+    need = bounded(need)
+    rows = lag_sums(parts, need).join(need.select(SERIES, "n"), SERIES)
+    c0 = F.max(F.when(F.col("lag") == 0, F.col("total"))).over(Window.partitionBy(SERIES))  # <= nlags + 1 rows
+    return rows.select(SERIES, "n", "lag", F.try_divide(F.col("total"), c0).alias("acf"), F.col("total").alias("acov_sum"))
 
 
 # ---------------------------------------------------------------- H2
@@ -99,9 +77,10 @@ def pacf(acf_rows: DataFrame) -> DataFrame:
         _pacf_group, schema=f"{SERIES} string, lag int, pacf double")
 
 
-def autocorrelation(clean: DataFrame, nlags: int = 20, max_chunk: int | None = None) -> DataFrame:
+def autocorrelation(clean: DataFrame | None, nlags: int = 20, max_chunk: int | None = None,
+                    parts: DataFrame | None = None) -> DataFrame:
     """EDA section: ``(series_id, lag, acf, pacf)``."""
-    a = acf(clean, nlags, max_chunk=max_chunk)
+    a = acf(clean, nlags, max_chunk=max_chunk, parts=parts)
     return a.join(pacf(a), [SERIES, "lag"]).select(SERIES, "lag", "acf", "pacf")
 
 
@@ -121,38 +100,65 @@ def kpss_p_value(stat):
     return expr.otherwise(F.lit(p[-1]))
 
 
-def kpss_test(clean: DataFrame, min_points: int = 8, max_chunk: int | None = None) -> DataFrame:
+def _kpss_pieces(batches):
+    """Per piece: what the running sum of deviations adds for any sum before it, and lag products."""
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples():
+            x = np.concatenate([r.ahead, r.ys]) - r.mean
+            run = np.cumsum(x[len(r.ahead):])
+            out.append([getattr(r, SERIES), r.c, r.n, len(run), run[-1], run.sum(), run @ run,
+                        lagged_products(x, len(r.ahead), int(r.reach))])
+        yield pd.DataFrame(out, columns=[SERIES, "c", "n", "m", "s", "sp", "spp", "prods"])
+
+
+def _kpss_series(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sum of squared running sums and the automatic bandwidth of one series (a row per piece)."""
+    pdf = pdf.sort_values("c")
+    before = np.concatenate([[0.0], np.cumsum(pdf["s"])[:-1]])
+    eta = float((pdf["m"] * before ** 2 + 2 * before * pdf["sp"] + pdf["spp"]).sum())
+    n = int(pdf["n"].iloc[0])
+    c = np.sum(np.stack(pdf["prods"]), axis=0)
+    k = np.arange(1, len(c))
+    s0 = c[0] / n + 2.0 / n * c[1:].sum()
+    s1 = 2.0 / n * (k * c[1:]).sum()
+    lags = 0  # a constant or infinite series has no bandwidth and, below, no statistic
+    if np.isfinite(s0) and s0 != 0:
+        lags = int(min(np.floor(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1))
+    return pd.DataFrame({SERIES: [pdf[SERIES].iloc[0]], "eta": [eta], "lags": [lags]})
+
+
+def _long_run(batches):
+    """Per piece: its share of the Bartlett-weighted sum of lag products."""
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples():
+            x = np.concatenate([r.ahead, r.ys]) - r.mean
+            c = lagged_products(x, len(r.ahead), int(r.reach))
+            weight = 2.0 * (1.0 - np.arange(len(c)) / (r.reach + 1.0))
+            out.append([getattr(r, SERIES), float(c[0] + weight[1:] @ c[1:])])
+        yield pd.DataFrame(out, columns=[SERIES, "s2"])
+
+
+def kpss_test(clean: DataFrame | None, min_points: int = 8, max_chunk: int | None = None,
+              parts: DataFrame | None = None) -> DataFrame:
     """Level KPSS with the automatic (Hobijn et al.) bandwidth.
 
-    ``(series_id, n, lags, test_statistic, p_value, crit_10, crit_5, crit_2_5, crit_1, is_stationary)``."""
-    d, sizes = _demeaned(clean, max_chunk)
-    sizes_ok = sizes.where(F.col("n") >= min_points)
-    d = d.join(sizes_ok.select(SERIES), SERIES, "left_semi")
-    cs = cumulative_sum(d, "_d", "_cs", max_chunk=max_chunk)
-    eta = cs.groupBy(SERIES).agg(F.sum(F.col("_cs") * F.col("_cs")).alias("_eta_sum"))
+    Two maps over the pieces: running sums with the lags that choose each series' bandwidth, then the
+    weighted sum over that bandwidth.  ``(series_id, n, lags, test_statistic, p_value, crit_10, crit_5,
+    crit_2_5, crit_1, is_stationary)``."""
+    parts = cut(clean, max_chunk) if parts is None else parts
+    facts = bounded(sizes_and_means(parts).where(F.col("n") >= min_points))
+    reach = F.floor(F.pow(F.col("n").cast("double"), 2.0 / 9.0)).cast("bigint")
+    rows = with_before(parts, facts.select(SERIES, "mean", reach.alias("reach"))).select(SERIES, "c", "n", "ahead", "ys", "mean", "reach")
+    per = rows.mapInPandas(_kpss_pieces, f"{SERIES} string, c long, n long, m long, s double, sp double, spp double, prods array<double>")
+    chosen = bounded(per.groupBy(SERIES).applyInPandas(_kpss_series, f"{SERIES} string, eta double, lags long"))
+    rows = with_before(parts, facts.join(chosen, SERIES).select(SERIES, "mean", F.col("lags").alias("reach"))).select(
+        SERIES, "ahead", "ys", "mean", "reach")
+    s2 = rows.mapInPandas(_long_run, f"{SERIES} string, s2 double").groupBy(SERIES).agg(F.sum("s2").alias("s2"))
     n = F.col("n").cast("double")
-    cov_lags = F.floor(F.pow(n, 2.0 / 9.0)).cast("int")
-    row = sizes_ok.agg(F.max(cov_lags).alias("c")).first()
-    cmax = int(row["c"] or 0)
-    p1 = lag_products(d, cmax, max_chunk=max_chunk).join(sizes_ok, SERIES).withColumn("_cl", cov_lags)
-    s0 = F.col("c0") / n
-    s1 = F.lit(0.0)
-    for i in range(1, cmax + 1):
-        term = F.when(F.col("_cl") >= i, F.col(f"c{i}") * 2.0 / n).otherwise(0.0)
-        s0 = s0 + term
-        s1 = s1 + F.lit(float(i)) * term
-    # a constant series has s0 = 0: no bandwidth and, below, no statistic
-    auto = F.floor(F.lit(1.1447) * F.pow(F.pow(F.try_divide(s1, s0), 2), 1.0 / 3.0) * F.pow(n, 1.0 / 3.0)).cast("bigint")
-    lags = bounded(p1.select(SERIES, F.coalesce(F.least(auto, F.col("n") - 1), F.lit(0)).cast("int").alias("lags")))
-    lmax = int(lags.agg(F.max("lags")).first()[0] or 0)
-    p2 = lag_products(d, lmax, max_chunk=max_chunk).join(lags, SERIES).join(sizes_ok, SERIES).join(eta, SERIES)
-    L = F.col("lags").cast("double")
-    s2 = F.col("c0")
-    for i in range(1, lmax + 1):
-        s2 = s2 + F.when(F.col("lags") >= i, 2.0 * F.col(f"c{i}") * (1.0 - F.lit(float(i)) / (L + 1.0))).otherwise(0.0)
-    s2 = s2 / n
-    stat = F.try_divide(F.col("_eta_sum") / (n * n), s2)
-    out = p2.select(SERIES, "n", "lags", stat.alias("test_statistic"))
+    stat = F.try_divide(F.col("eta") / (n * n), F.col("s2") / n)
+    out = facts.join(chosen, SERIES).join(s2, SERIES).select(SERIES, "n", F.col("lags").cast("int").alias("lags"), stat.alias("test_statistic"))
     return out.select(
         "*", kpss_p_value(F.col("test_statistic")).alias("p_value"),
         *[F.lit(c).alias(name) for c, name in zip(KPSS_CRIT, ("crit_10", "crit_5", "crit_2_5", "crit_1"))]
@@ -307,104 +313,124 @@ def adf_max_lag(n):
                    F.floor(F.col(n) / 2) - 2).cast("int")
 
 
-def _adf_frame(clean: DataFrame, max_chunk: int | None, max_lag: int | None = None):
-    sizes = series_sizes(clean)
-    lag = adf_max_lag("n")
-    sizes = sizes.withColumn("maxlag", lag if max_lag is None else F.least(lag, F.lit(max_lag)))
-    ok = bounded(sizes.where((F.col("n") >= 8) & (F.col("maxlag") >= 0)))
-    kmax = int(ok.agg(F.max("maxlag")).first()[0] or 0)
-    seqd = with_seq(clean.join(ok.select(SERIES), SERIES, "left_semi"), sizes=ok.select(SERIES, "n"),
-                    max_chunk=max_chunk)
-    w = chunk_window()
-    exprs = {f"_y{k}": F.lag(VALUE, k).over(w) for k in range(1, kmax + 2)}
-    lg = lagged(seqd, exprs, back=kmax + 1, max_chunk=max_chunk)
-    cols = {"_one": F.lit(1.0), "_lvl": F.col("_y1"), "_dy": F.col(VALUE) - F.col("_y1")}
-    for k in range(1, kmax + 1):
-        cols[f"_d{k}"] = F.col(f"_y{k}") - F.col(f"_y{k + 1}")
-    frame = lg.select(SERIES, SEQ, *[e.alias(k) for k, e in cols.items()]).join(ok, SERIES)
-    return frame, ok, kmax
-
-
-def adf_test(clean: DataFrame, min_points: int = 8, max_chunk: int | None = None,
-             max_lag: int | None = None) -> DataFrame:
-    """Augmented Dickey-Fuller (constant, lag length by AIC over 0..maxlag; ``max_lag`` lowers it).
-
-    Regression of dy_t on [1, y_{t-1}, dy_{t-1..t-k}] on the common sample; all lag
-    lengths are solved from one distributed Gram matrix, the chosen one is refitted on
-    its own sample (second Gram).  ``(series_id, n, used_lag, nobs, test_statistic,
-    p_value, crit_1, crit_5, crit_10, is_stationary)``."""
-    from ..functions.dist import norm_cdf  # noqa: F401  (imported for workers)
-    from .linalg import gram
-
-    frame, ok, kmax = _adf_frame(clean, max_chunk, max_lag)
-    lag_cols = [f"_d{k}" for k in range(1, kmax + 1)]
-    cols = ["_one", "_lvl", *lag_cols, "_dy"]
-
-    def masked(limit_col):
-        sel = [SERIES, "_one", "_lvl"]
-        sel += [F.when(F.lit(k) <= F.col(limit_col), F.col(f"_d{k}")).otherwise(0.0).alias(f"_d{k}")
-                for k in range(1, kmax + 1)]
-        return sel + ["_dy"]
-
-    search = frame.where((F.col(SEQ) >= F.col("maxlag") + 1) & (F.col("n") >= min_points)).select(*masked("maxlag"))
-    g1 = gram(search, cols)
-    maxlags = ok.select(SERIES, "maxlag")
-
-    def choose(pdf):
-        sid = pdf[SERIES].iloc[0]
-        from .linalg import assemble, ols_from_gram
-        g = assemble(pdf, len(cols))
-        nobs = g[0, 0]
-        ml = int(pdf["maxlag"].iloc[0])
-        best, best_aic = 0, np.inf
-        for lag in range(0, ml + 1):
-            idx = [0, 1] + list(range(2, 2 + lag))
-            _, ssr, _ = ols_from_gram(g, idx)
-            llf = -nobs / 2.0 * (np.log(2 * np.pi) + np.log(ssr / nobs) + 1.0)
-            aic = -2.0 * llf + 2.0 * len(idx)
-            if aic < best_aic:
-                best, best_aic = lag, aic
-        return pd.DataFrame({SERIES: [sid], "used_lag": [best]})
-
-    chosen = g1.join(maxlags, SERIES).groupBy(SERIES).applyInPandas(choose, f"{SERIES} string, used_lag int")
-    chosen = bounded(chosen)
-    final = frame.join(chosen, SERIES).where(F.col(SEQ) >= F.col("used_lag") + 1).select(*masked("used_lag"))
-    g2 = gram(final, cols).join(chosen, SERIES)
-
-    def stat(pdf):
-        from .linalg import assemble, ols_from_gram
-        sid = pdf[SERIES].iloc[0]
-        g = assemble(pdf, len(cols))
-        lag = int(pdf["used_lag"].iloc[0])
-        idx = [1] + list(range(2, 2 + lag)) + [0]
+def _adf_pieces(batches):
+    """Per piece, over t > K: lag products of the differences, their products with the level before,
+    sums of that level, and the values near either end of the series (around the mean)."""
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples():
+            k, h, base = int(r.maxlag), len(r.ahead), int(r.lo) - len(r.ahead)
+            y = np.concatenate([r.ahead, r.ys]) - r.mean
+            first = max(int(r.lo), k + 1) - base  # place of the first t
+            dif, level = np.diff(y), y[first - 1:-1]  # dif[j] = y[j + 1] - y[j]
+            target = dif[first - 1:]
+            took = len(target)
+            dd = [target @ dif[first - 1 - j:first - 1 - j + took] for j in range(k + 1)] if took else [0.0] * (k + 1)
+            ld = [level @ dif[first - 1 - j:first - 1 - j + took] for j in range(k + 1)] if took else [0.0] * (k + 1)
+            own = y[h:]
+            out.append([getattr(r, SERIES), r.c, r.n, k, dd, ld, float(level.sum()), float(level @ level),
+                        own[:max(0, k + 2 - int(r.lo))], own[max(0, int(r.n) - k - 2 - int(r.lo)):]])
+        yield pd.DataFrame(out, columns=[SERIES, "c", "n", "maxlag", "dd", "ld", "l", "ll", "head", "tail"])
+
+
+def _adf_gram(dd, ld, l, ll, head, tail, n: int, k: int, lag: int):
+    """Cross products of [1, level, d_1 .. d_lag | d_0] over t > lag, from the sums over t > k.
+
+    Rows t = lag + 1 .. k come from the first values; d_i d_j follows from d_{i-1} d_{j-1} by what the
+    shifted sum gains at the start and loses at the end."""
+    dd, ld = dd[:lag + 1].copy(), ld[:lag + 1].copy()
+    first, last = np.diff(head), np.diff(tail)  # first[j] = d at t = j + 1; last[-1] = d at t = n - 1
+    for t in range(lag + 1, k + 1):
+        back = first[t - 1 - np.arange(lag + 1)]
+        dd += first[t - 1] * back
+        ld += head[t - 1] * back
+        l += head[t - 1]
+        ll += head[t - 1] ** 2
+    nobs = n - 1 - lag
+    g = np.zeros((lag + 3, lag + 3))
+    d = np.zeros((lag + 1, lag + 1))
+    d[0] = dd
+    start, end = first[lag - 1 - np.arange(lag)] if lag else np.zeros(0), last[-1 - np.arange(lag)] if lag else np.zeros(0)
+    for i in range(1, lag + 1):
+        d[i, i:] = d[i - 1, i - 1:lag] + start[i - 1] * start[i - 1:] - end[i - 1] * end[i - 1:]
+    sums = np.array([tail[-1 - j] - head[lag - j] for j in range(lag + 1)])
+    order = [*range(1, lag + 1), 0]
+    g[0, 0], g[0, 1], g[1, 1] = nobs, l, ll
+    g[0, 2:], g[1, 2:] = sums[order], ld[order]
+    g[2:, 2:] = (d + np.triu(d, 1).T)[np.ix_(order, order)]
+    return np.triu(g) + np.triu(g, 1).T
+
+
+def _adf_series(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Lag by AIC on the common sample (all nested fits from one factorisation), then the test."""
+    pdf = pdf.sort_values("c")
+    n, k = int(pdf["n"].iloc[0]), int(pdf["maxlag"].iloc[0])
+    dd, ld = (np.sum(np.stack(pdf[x]), axis=0) for x in ("dd", "ld"))
+    sums = dd, ld, float(pdf["l"].sum()), float(pdf["ll"].sum()), np.concatenate(list(pdf["head"])), np.concatenate(list(pdf["tail"]))
+    lag, tau = 0, np.nan
+    if np.isfinite(dd).all() and np.isfinite(ld).all():
+        g = _adf_gram(*sums, n, k, k)
+        nobs = n - 1 - k
+        ssr = _nested_ssr(g)[2:]
+        with np.errstate(divide="ignore"):
+            aic = nobs * (np.log(2 * np.pi) + np.log(np.maximum(ssr, 0.0) / nobs) + 1.0) + 2.0 * (2 + np.arange(k + 1))
+        lag = int(np.argmin(aic))
+        g = _adf_gram(*sums, n, k, lag)
+        idx = [1, *range(2, 2 + lag), 0]
         beta, ssr, xtx = ols_from_gram(g, idx)
-        nobs = g[0, 0]
-        dof = nobs - len(idx)
-        s2 = ssr / dof if dof > 0 else np.nan
+        dof = n - 1 - lag - len(idx)
         try:
-            cov = s2 * np.linalg.inv(xtx)
-            tau = float(beta[0] / np.sqrt(cov[0, 0]))
+            tau = float(beta[0] / np.sqrt((ssr / dof if dof > 0 else np.nan) * np.linalg.inv(xtx)[0, 0]))
         except np.linalg.LinAlgError:
             tau = np.nan
-        p = adf_p_value(tau) if np.isfinite(tau) else np.nan
-        crit = adf_critical(int(nobs))
-        return pd.DataFrame({SERIES: [sid], "used_lag": [lag], "nobs": [int(nobs)], "test_statistic": [tau],
-                             "p_value": [p], "crit_1": [crit["1%"]], "crit_5": [crit["5%"]],
-                             "crit_10": [crit["10%"]]})
-
-    res = g2.groupBy(SERIES).applyInPandas(
-        stat, f"{SERIES} string, used_lag int, nobs long, test_statistic double, p_value double, "
-              "crit_1 double, crit_5 double, crit_10 double")
-    return res.join(ok.select(SERIES, "n"), SERIES).withColumn("is_stationary", F.col("p_value") < 0.05)
-
+    nobs = n - 1 - lag
+    crit = adf_critical(nobs)
+    return pd.DataFrame({SERIES: [pdf[SERIES].iloc[0]], "n": [n], "used_lag": [lag], "nobs": [nobs], "test_statistic": [tau],
+                         "p_value": [adf_p_value(tau) if np.isfinite(tau) else np.nan],
+                         **{f"crit_{c[:-1]}": [v] for c, v in crit.items()}})
+
+
+def _nested_ssr(g: np.ndarray) -> np.ndarray:
+    """Residual sums of squares of the last column on the first 0, 1, 2, ... others."""
+    k = len(g) - 1
+    scale = np.sqrt(np.maximum(np.diag(g), 1e-300))
+    scaled = g / np.outer(scale, scale)
+    try:
+        z = np.linalg.solve(np.linalg.cholesky(scaled[:k, :k]), scaled[:k, k])
+        return g[k, k] * (1.0 - np.concatenate([[0.0], np.cumsum(z * z)]))
+    except np.linalg.LinAlgError:  # columns that depend on each other
+        return np.array([g[k, k], *(ols_from_gram(g, list(range(m)))[1] for m in range(1, k + 1))])
+
+
+def adf_test(clean: DataFrame | None, min_points: int = 8, max_chunk: int | None = None,
+             max_lag: int | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller (constant, lag length by AIC over 0..maxlag; ``max_lag`` lowers it).
 
-def stationarity_tests(clean: DataFrame, max_chunk: int | None = None) -> DataFrame:
+    Regression of dy_t on [1, y_{t-1}, dy_{t-1..t-k}].  One map over the pieces gives O(K) numbers per
+    piece, K being the series' own lag bound; the cross products of all lags follow from them by the
+    shift structure, on the common sample and on the chosen lag's own.  ``(series_id, n, used_lag,
+    nobs, test_statistic, p_value, crit_1, crit_5, crit_10, is_stationary)``."""
+    parts = cut(clean, max_chunk) if parts is None else parts
+    lag = adf_max_lag("n") if max_lag is None else F.least(adf_max_lag("n"), F.lit(max_lag))
+    need = sizes_and_means(parts).where(F.col("n") >= max(min_points, 8)).withColumn("maxlag", lag).where("maxlag >= 0")
+    rows = with_before(parts, need.select(SERIES, "mean", "maxlag", (F.col("maxlag") + 1).cast("long").alias("reach")))
+    per = rows.select(SERIES, "c", "lo", "n", "ahead", "ys", "mean", "maxlag").mapInPandas(
+        _adf_pieces, f"{SERIES} string, c long, n long, maxlag int, dd array<double>, ld array<double>, l double, ll double, "
+                     "head array<double>, tail array<double>")
+    res = per.groupBy(SERIES).applyInPandas(
+        _adf_series, f"{SERIES} string, n long, used_lag int, nobs long, test_statistic double, p_value double, "
+                     "crit_1 double, crit_5 double, crit_10 double")
+    return res.withColumn("is_stationary", F.col("p_value") < 0.05)
+
+
+def stationarity_tests(clean: DataFrame | None, max_chunk: int | None = None, parts: DataFrame | None = None) -> DataFrame:
     """EDA section: ADF and KPSS side by side (series with >= 8 points)."""
-    a = adf_test(clean, max_chunk=max_chunk).select(
+    parts = cut(clean, max_chunk) if parts is None else parts
+    a = adf_test(None, parts=parts).select(
         SERIES, F.col("test_statistic").alias("adf_statistic"), F.col("p_value").alias("adf_p_value"),
         F.col("crit_1").alias("adf_crit_1"), F.col("crit_5").alias("adf_crit_5"),
         F.col("crit_10").alias("adf_crit_10"), F.col("is_stationary").alias("adf_is_stationary"))
-    k = kpss_test(clean, max_chunk=max_chunk).select(
+    k = kpss_test(None, parts=parts).select(
         SERIES, F.col("test_statistic").alias("kpss_statistic"), F.col("p_value").alias("kpss_p_value"),
         F.col("lags").alias("kpss_lags"), F.col("is_stationary").alias("kpss_is_stationary"))
     return a.join(k, SERIES, "full")

@@ -1,8 +1,7 @@
 """Composed reports (survey R1, R3, R4).
 
-Each report is a set of tidy per-series DataFrames computed from one cleaned,
-base; sections are independent plans, so a failing or empty section
-never hides the others.  :func:`nested` rolls sections up into one row per
+Each report is a set of tidy per-series DataFrames computed from one cleaned
+base; sections are independent plans, so an empty section never hides the others.  :func:`nested` rolls sections up into one row per
 series with STRUCT / ARRAY columns (left joins on ``series_id``).
 """
 
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import is_missing
-from ..operators import decompose, diagnostics, order, stats
+from ..operators import decompose, diagnostics, order, pieces, stats
 from ..schema import SEQ, SERIES, TS, VALUE
 
 EDA_SECTIONS = ("summary_stats", "stationarity_tests", "autocorrelation", "distribution_analysis",
@@ -81,13 +80,23 @@ def eda_report(long: DataFrame, max_chunk: int | None = None,
     * seasonal_decomposition automatic calendar + additive decomposition (n >= 10)
     * trend_analysis         linear trend with p-value (n >= 5)
 
-    Every section has a ``status`` and at least one row for every series."""
+    Every section has a ``status`` and at least one row for every series.  Sections that need order
+    share one set of stored pieces (:mod:`..operators.pieces`): the points are exchanged and sorted
+    for the first of them and only mapped over by the others."""
     base = long.select(SERIES, TS, "tiebreak", VALUE)
     clean = base.where(~is_missing(F.col(VALUE)))
     ids = base.groupBy(SERIES).agg(F.count(F.when(~is_missing(F.col(VALUE)), 1)).alias("_n"))
 
+    shared = []
+
+    def parts():
+        if not shared:
+            shared.append(pieces.cut(clean, max_chunk))
+        return shared[0]
+
     def summary():
-        _, last = order.rolling_stats(clean, max_chunk=max_chunk)
+        recent = pieces.points(parts()).where((F.col("n") >= 10) & (F.col(SEQ) >= F.col("n") - 5))
+        last = recent.groupBy(SERIES).agg(F.avg(VALUE).alias("rolling_mean_last"), F.stddev_samp(VALUE).alias("rolling_std_last"))
         return stats.summary_stats(base, max_chunk=max_chunk).join(last, SERIES, "left")
 
     def distribution():
@@ -98,12 +107,12 @@ def eda_report(long: DataFrame, max_chunk: int | None = None,
 
     build = {
         "summary_stats": summary,
-        "stationarity_tests": lambda: _with_status(ids, diagnostics.stationarity_tests(clean, max_chunk=max_chunk), 8),
-        "autocorrelation": lambda: _with_status(ids, diagnostics.autocorrelation(clean, max_chunk=max_chunk), 8),
+        "stationarity_tests": lambda: _with_status(ids, diagnostics.stationarity_tests(None, parts=parts()), 8),
+        "autocorrelation": lambda: _with_status(ids, diagnostics.autocorrelation(None, parts=parts()), 8),
         "distribution_analysis": distribution,
         "seasonal_decomposition": lambda: _with_status(
             ids, decompose.auto_decompose(clean, max_chunk=max_chunk), 10, per_point=True),
-        "trend_analysis": lambda: _with_status(ids, stats.linear_trend(clean, max_chunk=max_chunk), 5),
+        "trend_analysis": lambda: _with_status(ids, stats.linear_trend(pieces.points(parts()).drop("n")), 5),
     }
     return {name: build[name]() for name in sections}
 
