@@ -8,7 +8,7 @@ from ..functions.jsonsafe import json_safe
 from ..operators import order, roles
 from ..schema import SERIES, TB, TS, VALUE
 from ..sources import canonical as cz
-from ..sources.files import read_csv, read_json, read_table, scratch_path, write_records, write_result_csv
+from ..sources.files import json_lines_report, read_csv, read_json, read_table, scratch_path, write_records, write_result_csv
 from ..sources.inline import explode_points
 from . import reports
 from .catalog import ORACLE, fround, register, rnd, rounded
@@ -129,6 +129,25 @@ def q_json_roundtrip_events(spark, sf):
                                             F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts")))
 
 
+@register("json_bad_lines_events", f"""
+SELECT event_type AS series_id, count(*) AS n, {rnd('sum(value)', 4)} AS total,
+       (SELECT count(*) FROM events WHERE event_id < 20 OR event_id % 17 = 0) AS bad_lines
+FROM events WHERE event_id >= 20 AND event_id % 17 <> 0 GROUP BY 1""")
+def q_json_bad_lines_events(spark, sf):
+    """A2 + A5: events as JSON lines of which the first twenty and every 17th are cut short; the whole
+    ones are all read, the others counted."""
+    ev = cz.table(spark, sf, "events").select("event_id", "event_type", "value")
+    line = F.to_json(F.struct(*ev.columns))
+    bad = (F.col("event_id") < 20) | (F.col("event_id") % 17 == 0)
+    path = scratch_path(spark, "badjson") + ".json"
+    cut = ev.select(F.when(bad, F.substring(line, 1, 12)).otherwise(line).alias("value"), "event_id")
+    cut.repartitionByRange("event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    lost = json_lines_report(spark, path).agg(F.sum("bad").alias("bad_lines"))
+    back = read_table(spark, path).groupBy(F.col("event_type").alias(SERIES)).agg(
+        F.count(F.lit(1)).alias("n"), fround(F.sum("value"), 4).alias("total"))
+    return rounded(back.join(F.broadcast(lost)))  # one row
+
+
 @register("json_columns_orders_monthly", f"""
 SELECT series_id, count(*) AS n, {rnd('sum(value)', 4)} AS total FROM ({ORD_M}) GROUP BY 1""")
 def q_json_columns_orders_monthly(spark, sf):

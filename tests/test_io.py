@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkseries.functions.jsonsafe import json_safe, to_json_rows
 from sparkseries.operators import roles
-from sparkseries.sources.files import read_csv, read_json, read_table
+from sparkseries.sources.files import json_lines_report, read_csv, read_json, read_table
 from sparkseries.sources.inline import explode_points, from_points
 from sparkseries.sources.workbooks import read_workbooks
 
@@ -51,6 +51,55 @@ def test_json_records_array(spark):
     assert read_table(spark, p).count() == 2
 
 
+GOOD = [f'{{"id": {i}, "v": {i}.5, "s": "a, b"}}' for i in range(60)]
+FILES = {
+    "bad first": (["{\"id\": 1, ", "", "nonsense"] * 20 + GOOD, 60, 40),
+    "array by line": (["["] + [x + "," for x in GOOD[:-1]] + [GOOD[-1], "]"], 60, 0),
+    "array on one line": (["[" + ", ".join(GOOD) + "]"], 60, 0),
+    "pretty": (json.dumps([json.loads(x) for x in GOOD], indent=2).split("\n"), 60, 0),
+    "one pretty object": (json.dumps(json.loads(GOOD[3]), indent=1).split("\n"), 1, 0),
+    "lines": (["\ufeff" + GOOD[0], *GOOD[1:]], 60, 0),
+}
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_json_record_by_record(spark, name):
+    lines, rows, bad = FILES[name]
+    p = _tmp("r.json")
+    with open(p, "w") as f:
+        f.write("\n".join(lines))
+    got = read_table(spark, p).collect()
+    assert len(got) == rows and all(r["v"] == r["id"] + 0.5 and r["s"] == "a, b" for r in got)
+    assert json_lines_report(spark, p).first()["bad"] == bad
+
+
+def test_json_folder_of_mixed_files(spark):
+    folder = os.path.dirname(_tmp("x"))
+    folder = os.path.join(folder, "mixed.json")
+    os.makedirs(folder)
+    for i, (lines, _, _) in enumerate(FILES.values()):
+        with open(os.path.join(folder, f"part {i}.json"), "w") as f:
+            f.write("\n".join(lines))
+    assert read_table(spark, folder).count() == sum(rows for _, rows, _ in FILES.values())
+    assert read_table(spark, folder, schema="id long").where("id = 3").count() == len(FILES)
+
+
+def test_json_columns_with_gaps(spark):
+    """Any column may lack an index, and indices need no order."""
+    p = _tmp("c.json")
+    with open(p, "w") as f:
+        json.dump({"a": {"2": 1.5}, "b": {"0": "x", "7": None}}, f)
+    got = sorted((r["_index"], r["a"], r["b"]) for r in read_json(spark, p, orient="columns").collect())
+    assert got == [(0, None, "x"), (2, 1.5, None), (7, None, None)]
+
+
+def test_csv_with_breaks_in_quotes(spark):
+    p = _tmp("q.csv")
+    with open(p, "w") as f:
+        f.write('id,s\n1,"a\nb"\n2,"c ""d"""\n')
+    assert [(r["id"], r["s"]) for r in read_csv(spark, p, quoted_breaks=True).collect()] == [(1, "a\nb"), (2, 'c "d"')]
+
+
 def _xlsx(path, rows):
     ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     strings = []
