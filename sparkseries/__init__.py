@@ -8,7 +8,6 @@ Data model: a *long* DataFrame ``(series_id, ts, tiebreak, value)``; see
   diagnostics, decomposition, forecasting
 * :mod:`sparkseries.functions` column-expression helpers (NaN rules, distributions, JSON-safe encoding)
 * :mod:`sparkseries.plans`     composed reports and the registered query catalog
-* :mod:`sparkseries.streaming` (no streaming operators: the analysed data are whole tables)
 """
 
 from .schema import LONG_COLUMNS, SEQ, SERIES, TB, TS, VALUE  # noqa: F401

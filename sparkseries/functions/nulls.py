@@ -12,13 +12,6 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c.cast("double"))
 
 
-def finite_or_null(c: Column | str) -> Column:
-    """NaN and +-Inf become NULL (strict-JSON rule)."""
-    c = F.col(c) if isinstance(c, str) else c
-    d = c.cast("double")
-    return F.when(F.isnan(d) | (F.abs(d) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(d)
-
-
 def is_missing(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return c.isNull() | F.isnan(c)

@@ -75,7 +75,7 @@ def detect_anomalies(long: DataFrame, method: str = "zscore", threshold: float =
     """Dispatcher; the method is checked before any job runs.  ``columns`` restricts the
     series (the UI's column choice).  Output: :data:`ANOMALY_COLUMNS`."""
     if method not in METHODS:
-        raise ValueError(f"Invalid anomaly detection method: {method}; valid: {METHODS}")
+        raise ValueError(f"method must be one of {METHODS}, got {method!r}")
     if threshold is None or threshold <= 0:
         raise ValueError("threshold must be positive")
     if columns:

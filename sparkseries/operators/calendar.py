@@ -15,6 +15,8 @@ from .joins import bounded
 from .order import chunk_rows, chunk_window, lagged, with_seq
 
 FREQS = ("h", "D", "W", "M", "Q", "Y")
+#: Frequencies that a series can be resampled to on its own account (:func:`regularize_mixed`).
+RESAMPLED = ("D", "W", "M", "Q", "Y")
 # Seasonal period per frequency used by additive decomposition.
 PERIODS = {"h": 24, "D": 7, "B": 5, "W": 52, "M": 12, "Q": 4, "Y": 1}
 DAY = 86_400_000_000  # microseconds
@@ -94,6 +96,10 @@ def calendar_spine(resampled: DataFrame, freq: str, max_chunk: int | None = None
 
     The spine is generated in two levels — chunks of ``chunkRows`` buckets, repartitioned,
     then the buckets of each chunk — so a long calendar is not produced in one task."""
+    return _spine(resampled, lambda i: _label_of_index(i, freq), max_chunk)
+
+
+def _spine(resampled: DataFrame, label, max_chunk: int | None) -> DataFrame:
     size = max_chunk if max_chunk is not None else chunk_rows(resampled)
     span = resampled.groupBy(SERIES).agg(F.min(TB).alias("_lo"), F.max(TB).alias("_hi"))
     n_chunks = F.floor((F.col("_hi") - F.col("_lo")) / F.lit(size)).cast("bigint")
@@ -102,7 +108,7 @@ def calendar_spine(resampled: DataFrame, freq: str, max_chunk: int | None = None
     start = F.col("_lo") + F.col("_c") * F.lit(size)
     stop = F.least(start + F.lit(size - 1), F.col("_hi"))
     spine = chunks.select(SERIES, F.explode(F.sequence(start, stop)).alias(TB))
-    spine = spine.withColumn(TS, _label_of_index(F.col(TB), freq))
+    spine = spine.withColumn(TS, label(F.col(TB)))
     extra = [c for c in resampled.columns if c not in (SERIES, TS, TB)]
     return spine.join(resampled.drop(TS), [SERIES, TB], "left").select(SERIES, TS, TB, *extra)
 
@@ -264,3 +270,24 @@ def regularize(clean: DataFrame, freq: str, max_chunk: int | None = None) -> Dat
     first = bounded(spined.groupBy(SERIES).agg(F.min(TB).alias("_tb0")))
     seqd = spined.join(first, SERIES).withColumn(SEQ, F.col(TB) - F.col("_tb0")).drop("_tb0")
     return interpolate_linear(seqd, max_chunk)
+
+
+def by_frequency(freq: Column, fn) -> Column:
+    """``fn(code)`` for the code that the column ``freq`` holds, as one expression over all codes."""
+    out = None
+    for code in RESAMPLED:
+        out = F.when(freq == code, fn(code)) if out is None else out.when(freq == code, fn(code))
+    return out
+
+
+def regularize_mixed(clean: DataFrame, codes: DataFrame, max_chunk: int | None = None) -> DataFrame:
+    """:func:`regularize` with a frequency of its own for each series, ``codes(series_id, frequency)``:
+    the calendar is data, so the plan is the same for any mixture."""
+    rows = clean.where(F.col(TS).isNotNull()).join(codes, SERIES)
+    index = by_frequency(F.col("frequency"), lambda f: _bucket_index(bucket_label(F.col(TS), f), f))
+    means = rows.groupBy(SERIES, index.alias(TB)).agg(F.avg(VALUE).alias(VALUE))
+    first = bounded(means.groupBy(SERIES).agg(F.min(TB).alias("_tb0")))
+    spined = _spine(means.withColumn(TS, F.lit(None).cast("timestamp_ntz")), lambda i: F.lit(None).cast("timestamp_ntz"), max_chunk)
+    seqd = spined.join(first, SERIES).withColumn(SEQ, F.col(TB) - F.col("_tb0")).drop("_tb0", TS).join(codes, SERIES)
+    seqd = seqd.withColumn(TS, by_frequency(F.col("frequency"), lambda f: _label_of_index(F.col(TB), f))).drop("frequency")
+    return interpolate_linear(seqd, max_chunk)

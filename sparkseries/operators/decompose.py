@@ -11,16 +11,32 @@ grouped aggregate joined back by broadcast — nothing holds a whole series.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import is_missing
 from ..schema import SEQ, SERIES, TS, VALUE
-from .calendar import PERIODS, regularize
+from .calendar import PERIODS, regularize_mixed
 from .joins import bounded
 from .order import chunk_window, lagged, series_sizes
 
 AUTO_FREQS = ("D", "W", "M", "Q", "Y")
+#: Every period that an inferred or chosen calendar can have.
+PERIOD_SET = (1, 4, 5, 7, 12, 24, 52)
+
+
+def _moving_average(m: int):
+    """Centred moving average over ``m`` points, NULL where its window is not full."""
+    half, w = m // 2, chunk_window()
+    if m % 2 == 1:
+        frame = w.rowsBetween(-half, half)
+        return F.when(F.count(VALUE).over(frame) == m, F.avg(VALUE).over(frame))
+    inner = w.rowsBetween(-half + 1, half - 1)
+    lo, hi = F.lag(VALUE, half).over(w), F.lead(VALUE, half).over(w)
+    full = lo.isNotNull() & hi.isNotNull() & (F.count(VALUE).over(inner) == m - 1)
+    return F.when(full, (F.lit(0.5) * lo + F.sum(VALUE).over(inner) + F.lit(0.5) * hi) / F.lit(float(m)))
 
 
 def seasonal_decompose(regular: DataFrame, period: int, max_chunk: int | None = None) -> DataFrame:
@@ -30,30 +46,29 @@ def seasonal_decompose(regular: DataFrame, period: int, max_chunk: int | None =
     ``(series_id, ts, seq, value, trend, seasonal, resid)``; trend/resid NULL at the edges."""
     if period < 1:
         raise ValueError("period must be >= 1")
-    m = period
+    return decompose_by_period(regular, None, (period,), max_chunk).drop("period")
+
+
+def decompose_by_period(regular: DataFrame, periods: DataFrame | None, known: Sequence[int], max_chunk: int | None = None) -> DataFrame:
+    """:func:`seasonal_decompose` with a period for each series, ``periods(series_id, period)``, all of
+    them among ``known`` (without ``periods``, the only known one): the averages of every known period share one ordered exchange, and the
+    series' own is kept, so the plan does not depend on which periods occur."""
     sizes = series_sizes(regular)
-    ok = sizes.where(F.col("n") >= 2 * m).select(SERIES)
-    df = regular.join(ok, SERIES, "left_semi")
-    half = m // 2
-    w = chunk_window()
-    if m % 2 == 1:
-        frame = w.rowsBetween(-half, half)
-        ma = F.avg(VALUE).over(frame)
-        full = F.count(VALUE).over(frame) == m
-    else:
-        inner = w.rowsBetween(-half + 1, half - 1)
-        lo, hi = F.lag(VALUE, half).over(w), F.lead(VALUE, half).over(w)
-        ma = (F.lit(0.5) * lo + F.sum(VALUE).over(inner) + F.lit(0.5) * hi) / F.lit(float(m))
-        full = lo.isNotNull() & hi.isNotNull() & (F.count(VALUE).over(inner) == m - 1)
-    trended = lagged(df, {"trend": F.when(full, ma)}, back=half, fwd=half, max_chunk=max_chunk)
-    trended = trended.withColumn("_phase", (F.col(SEQ) % m).cast("int"))
+    own = sizes.withColumn("period", F.lit(known[0])) if periods is None else sizes.join(periods, SERIES)
+    ok = bounded(own.where(F.col("n") >= 2 * F.col("period")).select(SERIES, "period"))
+    half = max(known) // 2
+    df = regular.join(ok, SERIES)
+    averages = {f"_ma{m}": _moving_average(m) for m in known}
+    trended = lagged(df, averages, back=half, fwd=half, max_chunk=max_chunk)
+    trend = F.coalesce(*[F.when(F.col("period") == m, F.col(f"_ma{m}")) for m in known])
+    trended = trended.select(SERIES, TS, SEQ, VALUE, "period", trend.alias("trend"), (F.col(SEQ) % F.col("period")).cast("int").alias("_phase"))
     phase = trended.groupBy(SERIES, "_phase").agg(F.avg(F.col(VALUE) - F.col("trend")).alias("_pm"))
     centre = phase.groupBy(SERIES).agg(F.avg("_pm").alias("_c"))
     seasonal = bounded(phase.join(centre, SERIES).select(
         SERIES, "_phase", (F.col("_pm") - F.col("_c")).alias("seasonal")))
     out = trended.join(seasonal, [SERIES, "_phase"])
     return out.select(SERIES, TS, SEQ, VALUE, "trend", "seasonal",
-                      (F.col(VALUE) - F.col("trend") - F.col("seasonal")).alias("resid"))
+                      (F.col(VALUE) - F.col("trend") - F.col("seasonal")).alias("resid"), "period")
 
 
 def inferred_period(freq):
@@ -71,6 +86,7 @@ def auto_decompose(long: DataFrame, max_chunk: int | None = None) -> DataFrame:
     frequency's period.  Otherwise the first of D, W, M, Q, Y whose resampled series
     has >= 10 non-empty buckets and >= 2 full cycles of its period wins (periods D 7,
     W 52, M 12, Q 4, Y 1): resample -> spine -> linear interpolation -> decomposition.
+    Frequency and period are columns of one plan, whatever mixture of calendars the series have.
     Output adds ``frequency`` and ``period``; series with < 10 points are absent."""
     from .calendar import _bucket_index, bucket_label, infer_frequency
     from .order import with_seq
@@ -96,23 +112,10 @@ def auto_decompose(long: DataFrame, max_chunk: int | None = None) -> DataFrame:
             F.element_at(F.create_map(*[x for f in AUTO_FREQS for x in (F.lit(f), F.lit(PERIODS[f]))]),
                          choice)).alias("period"))
     chosen = bounded(chosen.where(F.col("period").isNotNull()))
-    # one plan branch per (path, frequency) present: a bounded set (<= a dozen rows)
-    combos = chosen.select("path", "frequency", "period").distinct().collect()
-    parts = []
-    for c in combos:
-        ids = chosen.where((F.col("path") == c["path"]) & (F.col("frequency") == c["frequency"])).select(SERIES)
-        sub = clean.join(ids, SERIES, "left_semi")
-        if c["path"] == "inferred":
-            reg = with_seq(sub, max_chunk=max_chunk)
-        else:
-            reg = regularize(sub, c["frequency"], max_chunk)
-        parts.append(seasonal_decompose(reg, int(c["period"]), max_chunk)
-                     .withColumn("frequency", F.lit(c["frequency"]))
-                     .withColumn("period", F.lit(int(c["period"]))))
-    if not parts:
-        return seasonal_decompose(with_seq(clean.where(F.lit(False)), max_chunk=max_chunk), 1, max_chunk) \
-            .withColumn("frequency", F.lit(None).cast("string")).withColumn("period", F.lit(None).cast("int"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    own = clean.join(chosen.where("path = 'inferred'").select(SERIES), SERIES, "left_semi")
+    codes = chosen.where("path = 'resampled'").select(SERIES, "frequency")
+    regular = with_seq(own, max_chunk=max_chunk).select(SERIES, TS, SEQ, VALUE).unionByName(
+        regularize_mixed(clean, codes, max_chunk).select(SERIES, TS, SEQ, VALUE))
+    out = decompose_by_period(regular, chosen.select(SERIES, F.col("period").cast("int").alias("period")), PERIOD_SET, max_chunk)
+    return out.join(chosen.select(SERIES, "frequency"), SERIES).select(
+        SERIES, TS, SEQ, VALUE, "trend", "seasonal", "resid", "frequency", "period")

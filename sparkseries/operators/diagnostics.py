@@ -11,9 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.dist import norm_cdf_col
+from ..functions.dist import norm_cdf_col, norm_ppf_col
 from ..schema import SEQ, SERIES, VALUE
 from .joins import bounded
 from .linalg import ols_from_gram
@@ -202,21 +201,15 @@ def dagostino_k2(clean: DataFrame) -> DataFrame:
 def shapiro_wilk(clean: DataFrame, max_chunk: int | None = None) -> DataFrame:
     """Shapiro-Wilk W and p (Royston's approximation), for series with 4 <= n < 5000.
 
-    Order statistics come from skew-safe value ranks; the normal scores ``m_i`` are an
-    Arrow-batched pandas UDF over those rows; the rest are grouped sums."""
-    from ..functions.dist import norm_ppf
-
-    @F.pandas_udf(T.DoubleType())
-    def scores(i: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(norm_ppf((i.to_numpy(float) - 0.375) / (n.to_numpy(float) + 0.25)))
-
+    Order statistics come from skew-safe value ranks; the normal scores ``m_i`` are a column
+    expression on them; the rest are grouped sums."""
     base = clean.select(SERIES, VALUE)
     sizes = series_sizes(base)
     small = sizes.where(F.col("n").between(*SHAPIRO_POINTS))
     ranked = with_seq(base.join(small.select(SERIES), SERIES, "left_semi"), order=(VALUE,),
                       seq_col="_r", max_chunk=max_chunk)
     r = ranked.join(small, SERIES).withColumn("_i", F.col("_r") + 1)
-    r = r.withColumn("_m", scores(F.col("_i").cast("double"), F.col("n").cast("double")))
+    r = r.withColumn("_m", norm_ppf_col((F.col("_i") - 0.375) / (F.col("n") + 0.25)))
     i, n, x, mcol = F.col("_i"), F.col("n"), F.col(VALUE), F.col("_m")
     g = r.groupBy(SERIES, "n").agg(
         F.sum(mcol * mcol).alias("M"), F.sum(mcol * x).alias("S"),

@@ -42,7 +42,7 @@ def check_horizons(horizons: Sequence[int] | int | None, periods: int = 10) -> l
 
 def check_model(model: str) -> str:
     if model not in MODELS:
-        raise ValueError(f"Invalid forecasting model: {model}; valid: {MODELS}")
+        raise ValueError(f"model must be one of {MODELS}, got {model!r}")
     return model
 
 
@@ -67,8 +67,8 @@ class Prepared:
         self.status = self.facts.select(
             SERIES, F.when(F.col("n") == 0, "error").when(F.col("n") < min_points, "error")
             .otherwise("ok").alias("status"),
-            F.when(F.col("n") == 0, "Column contains only NaN values")
-            .when(F.col("n") < min_points, f"Not enough data points for forecasting (minimum {min_points} required)")
+            F.when(F.col("n") == 0, "no_values")
+            .when(F.col("n") < min_points, f"fewer_than_{min_points}")
             .alias("reason"))
         self.ok = ok
         self.clean = with_seq(clean.join(ok.select(SERIES), SERIES, "left_semi"),
@@ -101,7 +101,7 @@ def constant_forecast(prep: Prepared, horizons: Sequence[int], model: str) -> tu
         F.col("step").cast("int").alias("step"), TS, SEQ, F.col("first_value").alias("forecast"),
         F.col("first_value").alias("lower"), F.col("first_value").alias("upper"))
     info = const.select(SERIES, F.lit(model).alias("model"), F.lit("ok").alias("status"),
-                        F.lit("Constant forecast (input data has no variation)").alias("description"))
+                        F.lit("All values are equal: the value is repeated").alias("description"))
     return rows, info
 
 

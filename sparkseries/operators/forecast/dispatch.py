@@ -49,6 +49,6 @@ def forecast(long: DataFrame, model: str = "arima", horizons: Sequence[int] | in
     # series the model itself declined (e.g. < 10 points for the lag-window model)
     declined = prep.ok.select(SERIES).join(info.select(SERIES), SERIES, "left_anti").select(
         SERIES, F.lit(model).alias("model"), F.lit("error").alias("status"),
-        F.lit(f"Not enough data for the {model} model").alias("description"))
+        F.lit(f"too_short_for_{model}").alias("description"))
     info = info.unionByName(failed, allowMissingColumns=True).unionByName(declined, allowMissingColumns=True)
     return rows, info

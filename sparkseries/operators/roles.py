@@ -63,7 +63,7 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     cols = [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
     if not cols:
-        raise ValueError("No numeric columns found for analysis")
+        raise ValueError("the table has no column of a numeric type")
     return cols
 
 
@@ -88,22 +88,22 @@ def to_long(df: DataFrame, time_col: str | None, value_cols: Sequence[str],
     """
     value_cols = list(value_cols)
     if not value_cols:
-        raise ValueError("No numeric columns found for analysis")
+        raise ValueError("the table has no column of a numeric type")
     if include_column is None:
         include_column = len(value_cols) > 1 or not keys
     tb = F.col(tiebreak) if tiebreak else F.monotonically_increasing_id()
     ts = F.col(time_col).cast("timestamp_ntz") if time_col else F.lit(None).cast("timestamp_ntz")
     base = df.select(*[F.col(k).cast("string").alias(f"_k{i}") for i, k in enumerate(keys)],
-                     ts.alias(TS), tb.alias(TB),
-                     *[F.col(c).cast("double").alias(c) for c in value_cols])
+                     ts.alias(TS), tb.alias(TB), *[as_double(c).alias(c) for c in value_cols])
     ids = [f"_k{i}" for i in range(len(keys))] + [TS, TB]
     long = base.unpivot(ids, value_cols, "_col", VALUE)
     parts = [F.col(f"_k{i}") for i in range(len(keys))] + ([F.col("_col")] if include_column else [])
     return long.select(F.concat_ws(sep, *parts).alias(SERIES), TS, TB, nan_to_null(VALUE).alias(VALUE))
 
 
-def as_double(long: DataFrame) -> DataFrame:
-    return long.withColumn(VALUE, F.col(VALUE).cast("double"))
+def as_double(column: str):
+    """A value column as DOUBLE, whatever numeric type it has."""
+    return F.col(column).cast("double")
 
 
 def drop_missing(long: DataFrame) -> DataFrame:

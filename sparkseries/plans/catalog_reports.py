@@ -67,10 +67,10 @@ c AS (SELECT series_id, count(*) AS n_rows, count(CASE WHEN NOT isnan(value) THE
 SELECT series_id, n_rows, n, n = 0 AS all_missing, coalesce(mn = mx, false) AS is_constant,
        n > 1 AS autocorrelation_ok, n >= 3 AS anomaly_ok, n >= 5 AS forecast_ok, n >= 8 AS tests_ok,
        n >= 10 AND nts > 0 AS decomposition_ok,
-       CASE WHEN n = 0 THEN 'Column contains only NaN values' WHEN n < 5 THEN 'Not enough data points (< 5)'
-            WHEN n < 8 THEN 'Not enough data points for stationarity tests (< 8)'
-            WHEN n < 10 THEN 'Not enough data points for decomposition (< 10)'
-            WHEN nts = 0 THEN 'No datetime index' END AS reason
+       CASE WHEN n = 0 THEN 'no_values' WHEN n < 5 THEN 'fewer_than_5'
+            WHEN n < 8 THEN 'fewer_than_8: no tests'
+            WHEN n < 10 THEN 'fewer_than_10: no decomposition'
+            WHEN nts = 0 THEN 'no_time' END AS reason
 FROM c""")
 def q_series_status_mixed(spark, sf):
     """Qualification per analysis on the daily order table plus all events regrouped by type

@@ -244,6 +244,15 @@ def q_normality_events(spark, sf):
     return rounded(diagnostics.normality_test(both).unionByName(diagnostics.normality_test(both, method="shapiro")))
 
 
+@_q("shapiro_w_mixed")
+def q_shapiro_w_mixed(spark, sf):
+    """H5: the Shapiro-Wilk statistic of EVD, ORD_M and whole EV series (where it applies)."""
+    a = roles.drop_missing(cz.events_long(spark, sf))
+    parts = [x.select(F.concat(F.lit(tag), SERIES).alias(SERIES), VALUE) for tag, x in (("D:", evd(spark, sf)), ("M:", ord_m(spark, sf)), ("E:", a))]
+    w = diagnostics.shapiro_wilk(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return rounded(w.select(SERIES, "n", "test_statistic"), 8)
+
+
 @_q("decompose_orders_monthly")
 def q_decompose_orders_monthly(spark, sf):
     """H6: additive decomposition of ORD_M with period 12."""

@@ -30,11 +30,11 @@ def series_status(long: DataFrame) -> DataFrame:
         F.count(F.col(TS)).alias("_nts"))
     n = F.col("n")
     const = F.coalesce(F.col("_mn") == F.col("_mx"), F.lit(False))
-    reason = (F.when(n == 0, "Column contains only NaN values")
-              .when(n < 5, "Not enough data points (< 5)")
-              .when(n < 8, "Not enough data points for stationarity tests (< 8)")
-              .when(n < 10, "Not enough data points for decomposition (< 10)")
-              .when(F.col("_nts") == 0, "No datetime index"))
+    reason = (F.when(n == 0, "no_values")
+              .when(n < 5, "fewer_than_5")
+              .when(n < 8, "fewer_than_8: no tests")
+              .when(n < 10, "fewer_than_10: no decomposition")
+              .when(F.col("_nts") == 0, "no_time"))
     return c.select(
         SERIES, "n_rows", "n", (n == 0).alias("all_missing"), const.alias("is_constant"),
         (n > 1).alias("autocorrelation_ok"), (n >= 3).alias("anomaly_ok"), (n >= 5).alias("forecast_ok"),

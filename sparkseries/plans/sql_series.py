@@ -3,6 +3,7 @@ the Spark code: plain window functions and self-joins over whole tables)."""
 
 from __future__ import annotations
 
+from ..functions.dist import norm_ppf_sql
 from .catalog import rnd
 
 from .catalog_core import EV, ORD_DAILY
@@ -234,6 +235,21 @@ SELECT sp.series_id, (DATE '1970-01-01' + sp.tiebreak::INTEGER)::TIMESTAMP AS ts
     "kpss_orders_monthly": kpss_sql(ORD_M),
     "kpss_events": kpss_sql(CLEAN_EV),
 
+    "shapiro_w_mixed": f"""
+WITH src AS (SELECT 'D:' || series_id AS series_id, value FROM ({EVD}) UNION ALL SELECT 'M:' || series_id, value FROM ({ORD_M})
+             UNION ALL SELECT 'E:' || series_id, value FROM ({EV}) WHERE value IS NOT NULL AND NOT isnan(value)),
+x AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY value) AS i, count(*) OVER (PARTITION BY series_id) AS n FROM src),
+m AS (SELECT *, {norm_ppf_sql("(i - 0.375) / (n + 0.25)")} AS m FROM x WHERE n BETWEEN 6 AND 4999),
+g AS (SELECT series_id, n, sum(m * m) AS mm, sum(m * value) AS s, var_pop(value) * n AS ss, 1 / sqrt(n) AS u,
+             max(CASE WHEN i = n THEN m END) AS mn, max(CASE WHEN i = n - 1 THEN m END) AS mn1,
+             max(CASE WHEN i = n THEN value END) - max(CASE WHEN i = 1 THEN value END) AS outer_gap,
+             max(CASE WHEN i = n - 1 THEN value END) - max(CASE WHEN i = 2 THEN value END) AS inner_gap FROM m GROUP BY 1, 2),
+a AS (SELECT *, mn / sqrt(mm) + 0.221157 * u - 0.147981 * u ** 2 - 2.071190 * u ** 3 + 4.434685 * u ** 4 - 2.706056 * u ** 5 AS an,
+             mn1 / sqrt(mm) + 0.042981 * u - 0.293762 * u ** 2 - 1.752461 * u ** 3 + 5.682633 * u ** 4 - 3.582633 * u ** 5 AS an1 FROM g),
+w AS (SELECT *, (s - mn * outer_gap - mn1 * inner_gap) / sqrt((mm - 2 * mn ** 2 - 2 * mn1 ** 2) / (1 - 2 * an ** 2 - 2 * an1 ** 2))
+                + an * outer_gap + an1 * inner_gap AS ax FROM a)
+SELECT series_id, n, {_r("least(1.0, ax * ax / ss)", 8)} AS test_statistic FROM w""",
+
     "normality_k2_lineitem": f"""
 WITH li AS (SELECT 'l_quantity' AS series_id, l_quantity AS value FROM lineitem
    UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem

@@ -31,7 +31,7 @@ def explode_points(df: DataFrame, payload: str = "payload", series: str | None =
     if strict:
         # raise_error aborts the job on the first malformed item, like the request-level check
         checked = parsed.withColumn(
-            "_ok", F.when(F.col("_bad"), F.raise_error(F.lit("Invalid data point in payload"))).otherwise(F.lit(True)))
+            "_ok", F.when(F.col("_bad"), F.raise_error(F.lit("a payload item has no readable date or value"))).otherwise(F.lit(True)))
         return checked.where("_ok").drop("_bad", "_ok"), bad
     return parsed.where(~F.col("_bad")).drop("_bad"), bad
 
