@@ -45,6 +45,23 @@ def test_holt_chunked_equals_bruteforce(spark):
     assert fit["sse"] == pytest.approx(sse, rel=1e-9)
 
 
+def test_holt_blocks_are_the_recursion():
+    """A summary of blocks side by side says what the recursion does from any state."""
+    from sparkseries.operators.forecast.holt import summarise
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 30, 101):
+        y = 5 + np.cumsum(rng.normal(size=n))
+        f = summarise(y)
+        s0, s1, sse = np.full(_A.size, 4.0), np.full(_A.size, -0.5), np.zeros(_A.size)
+        for v in y:
+            e = v - (s0 + s1)
+            sse += e * e
+            s0, s1 = s0 + s1 + _A * e, s1 + _A * _B * e
+        got = f["r0"] - 2 * (f["r1a"] * 4.0 + f["r1b"] * -0.5) + f["r2aa"] * 16 + 2 * f["r2ab"] * -2.0 + f["r2bb"] * 0.25
+        assert np.allclose(got, sse) and np.allclose(f["m00"] * 4 - f["m01"] * 0.5 + f["v0"], s0)
+        assert np.allclose(f["m10"] * 4 - f["m11"] * 0.5 + f["v1"], s1)
+
+
 def _arma(n, seed=0, ar=0.6, ma=0.3, c=1.0):
     rng = np.random.default_rng(seed)
     e = rng.normal(size=n)
