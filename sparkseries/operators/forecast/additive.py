@@ -59,7 +59,7 @@ def features(ts: Column) -> dict[str, Column]:
     out = {"_one": F.lit(1.0), "_t": t}
     for j in range(1, N_CHANGEPOINTS + 1):
         s = 0.8 * j / N_CHANGEPOINTS
-        out[f"_cp{j}"] = F.greatest(t - F.lit(s), F.lit(0.0))
+        out[f"_cp{j}"] = F.when(F.col("_use_changes"), F.greatest(t - F.lit(s), F.lit(0.0))).otherwise(0.0)
     for name, period, order in SEASONALITIES:
         use = F.col(f"_use_{name}")
         for k in range(1, order + 1):
@@ -95,8 +95,8 @@ def _solve_fn(sid: str, g: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({SERIES: [sid], "coef": [beta.tolist()], "resid_sd": [sd]})
 
 
-def _history(rows: DataFrame, max_chunk) -> DataFrame:
-    """Per-series fitting constants from the rows to fit on."""
+def _history(rows: DataFrame, max_chunk, trend_only: bool) -> DataFrame:
+    """Per-series fitting constants from the rows to fit on, and which features they allow."""
     w = chunk_window()
     gaps = lagged(rows, {"_prev": F.lag(TS, 1).over(w)}, back=1, max_chunk=max_chunk)
     gap = (F.unix_timestamp(F.col(TS).cast("timestamp")) - F.unix_timestamp(F.col("_prev").cast("timestamp")))
@@ -108,16 +108,17 @@ def _history(rows: DataFrame, max_chunk) -> DataFrame:
         F.max(F.abs(F.col(VALUE))).alias("_ymax"))
     span = F.col("_t1") - F.col("_t0")
     return h.select(
-        SERIES, "_nfit", "_t0", "_t1", F.when(F.col("_ymax") > 0, F.col("_ymax")).otherwise(1.0).alias("_ymax"),
-        (span >= 2 * 365.25 * DAY).alias("_use_yearly"),
-        ((span >= 14 * DAY) & (F.col("_spacing") < 7 * DAY)).alias("_use_weekly"),
-        ((span >= 2 * DAY) & (F.col("_spacing") < DAY)).alias("_use_daily"),
-        (F.col("_nfit") >= 30).alias("_use_monthly"))
+        SERIES, "_nfit", F.lit(not trend_only).alias("_use_changes"), "_t0", "_t1", F.when(F.col("_ymax") > 0, F.col("_ymax")).otherwise(1.0).alias("_ymax"),
+        (F.lit(not trend_only) & (span >= 2 * 365.25 * DAY)).alias("_use_yearly"),
+        (F.lit(not trend_only) & ((span >= 14 * DAY) & (F.col("_spacing") < 7 * DAY))).alias("_use_weekly"),
+        (F.lit(not trend_only) & ((span >= 2 * DAY) & (F.col("_spacing") < DAY))).alias("_use_daily"),
+        (F.lit(not trend_only) & (F.col("_nfit") >= 30)).alias("_use_monthly"))
 
 
-def fit(rows: DataFrame, max_chunk=None) -> DataFrame:
-    """``(series_id, coef, resid_sd, <history constants>)`` for the given rows."""
-    hist = bounded(_history(rows, max_chunk))
+def fit(rows: DataFrame, max_chunk=None, trend_only: bool = False) -> DataFrame:
+    """``(series_id, coef, resid_sd, <history constants>)`` for the given rows; ``trend_only`` leaves
+    changepoints and seasons out (a straight line by least squares)."""
+    hist = bounded(_history(rows, max_chunk, trend_only))
     feats = features(F.col(TS))
     names = feature_names()
     design = rows.join(hist, SERIES).select(
@@ -150,18 +151,18 @@ def predict(points: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def additive_forecast(prep: Prepared, horizons: Sequence[int], model: str = "prophet",
-                      with_components: bool = False):
+                      with_components: bool = False, trend_only: bool = False):
     facts = prep.varying()
     data = prep.clean.join(facts.select(SERIES, "n"), SERIES).where(F.col(TS).isNotNull())
     # hold-out: first 80 % (no split at n <= 5)
     split = F.when(F.col("n") > 5, F.floor(F.col("n") * 0.8)).otherwise(F.col("n"))
     train = data.where(F.col(SEQ) < split).drop("n")
     test = data.where(F.col(SEQ) >= split).drop("n")
-    m_train = fit(train, prep.max_chunk)
+    m_train = fit(train, prep.max_chunk, trend_only)
     scored = predict(test, m_train).select(SERIES, F.col(VALUE).alias("actual"), F.col("yhat").alias("forecast"))
     from ..stats import forecast_metrics
     metrics = forecast_metrics(scored, "actual", "forecast", zero_policy="skip")
-    m_all = fit(data.drop("n"), prep.max_chunk)
+    m_all = fit(data.drop("n"), prep.max_chunk, trend_only)
     fut = steps_for(prep, facts, horizons)
     pred = predict(fut, m_all)
     lower, upper = spread_interval(F.col("yhat"), F.col("resid_sd") * F.col("_ymax"))

@@ -27,14 +27,16 @@ MAX_L = 5
 MIN_POINTS = 10
 
 
-def windows(prep: Prepared, min_points: int = MIN_POINTS) -> tuple[DataFrame, DataFrame]:
+def windows(prep: Prepared, min_points: int = MIN_POINTS, length: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Scaled lag windows ``(series_id, seq, L, win, n_win, train_size, x1..x5, target, scaled)``
-    and the per-series scaler/size table."""
+    and the per-series scaler/size table; ``length`` (1..5) sets L for every series."""
+    if length is not None and not 1 <= length <= MAX_L:
+        raise ValueError(f"length must lie in 1..{MAX_L}")
     facts = prep.varying().where(F.col("n") >= min_points)
     data = prep.clean.join(facts.select(SERIES), SERIES, "left_semi")
     scaler = data.groupBy(SERIES).agg(F.min(VALUE).alias("smin"), F.max(VALUE).alias("smax"))
     info = facts.select(SERIES, "n").join(scaler, SERIES).withColumn(
-        "L", F.greatest(F.lit(2), F.least(F.lit(MAX_L), F.floor(F.col("n") / 4))).cast("int"))
+        "L", (F.lit(length) if length else F.greatest(F.lit(2), F.least(F.lit(MAX_L), F.floor(F.col("n") / 4)))).cast("int"))
     info = info.withColumn("n_win", F.col("n") - F.col("L")).withColumn(
         "train_size", F.floor(F.col("n_win") * 0.8).cast("bigint"))
     info = bounded(info)
@@ -75,8 +77,8 @@ def _predict(coef, xcols):
     return pred
 
 
-def lag_window_forecast(prep: Prepared, horizons: Sequence[int], model: str = "lstm"):
-    win, info = windows(prep)
+def lag_window_forecast(prep: Prepared, horizons: Sequence[int], model: str = "lstm", length: int | None = None):
+    win, info = windows(prep, length=length)
     coefs = bounded(fit(win))
     xcols = [f"x{j}" for j in range(1, MAX_L + 1)]
     test = win.where(F.col("win") >= F.col("train_size")).join(coefs, SERIES)

@@ -124,6 +124,25 @@ def q_forecast_additive_orders_daily(spark, sf):
     return rounded(rows.select(*FC_COLS), 2)
 
 
+def _scored(rows, info):
+    both = rows.join(info.select(SERIES, "mse", "rmse", "mae", "mape"), SERIES)
+    return rounded(both.select(SERIES, "step", TS, "forecast", "lower", "upper", "mse", "rmse", "mae", "mape"), 4)
+
+
+@_q("forecast_trend_only_events_daily")
+def q_forecast_trend_only_events_daily(spark, sf):
+    """F6 + F9 + F10: the additive model with its trend alone on EVD, hold-out metrics beside it."""
+    from ..operators.forecast.additive import additive_forecast
+    return _scored(*additive_forecast(fc.Prepared(evd(spark, sf)), [5], trend_only=True))
+
+
+@_q("forecast_lag2_events_daily")
+def q_forecast_lag2_events_daily(spark, sf):
+    """F8 + F9 + F10: the lag-window model with two lags on EVD, hold-out metrics beside it."""
+    from ..operators.forecast.lagwindow import lag_window_forecast
+    return _scored(*lag_window_forecast(fc.Prepared(evd(spark, sf)), [5], length=2))
+
+
 @_q("forecast_components_orders_monthly")
 def q_forecast_components_orders_monthly(spark, sf):
     """per-step trend / yearly / monthly components of the additive forecast."""

@@ -90,6 +90,42 @@ SELECT series_id, {_r('phi', 5)} AS phi, {_r('const', 5)} AS const, {_r('sigma2'
        {_r('mse', 5)} AS mse, {_r('sqrt(mse)', 5)} AS rmse, {_r('mae', 5)} AS mae
 FROM fit JOIN noise USING (series_id) JOIN err USING (series_id)""",
 
+    "forecast_trend_only_events_daily": f"""
+WITH s AS (SELECT series_id, ts, value, seq, n, epoch(ts) AS t FROM ({seqd(EVD)})),
+tr AS (SELECT series_id, regr_slope(value, t) AS b, regr_intercept(value, t) AS a FROM s WHERE seq < floor(n * 0.8) GROUP BY 1),
+m AS (SELECT series_id, avg((value - a - b * t) ** 2) AS mse, avg(abs(value - a - b * t)) AS mae,
+             avg(CASE WHEN value <> 0 THEN abs((value - a - b * t) / value) END) * 100 AS mape
+      FROM s JOIN tr USING (series_id) WHERE seq >= floor(n * 0.8) GROUP BY 1),
+f AS (SELECT series_id, regr_slope(value, t) AS b, regr_intercept(value, t) AS a, max(ts) AS last_ts, max(n) AS n FROM s GROUP BY 1),
+sd AS (SELECT series_id, sqrt(sum((value - a - b * t) ** 2) / (max(f.n) - 1)) AS sd FROM s JOIN f USING (series_id) GROUP BY 1),
+k AS (SELECT f.*, sd, step, last_ts + step * INTERVAL 1 DAY AS ts FROM f JOIN sd USING (series_id) CROSS JOIN (SELECT unnest(range(1, 6)) AS step) z),
+p AS (SELECT *, a + b * epoch(ts) AS fc FROM k)
+SELECT series_id, step::INTEGER AS step, ts, {_r('fc', 4)} AS forecast, {_r('fc - 1.959963984540054 * sd', 4)} AS lower,
+       {_r('fc + 1.959963984540054 * sd', 4)} AS upper, {_r('mse', 4)} AS mse, {_r('sqrt(mse)', 4)} AS rmse,
+       {_r('mae', 4)} AS mae, {_r('mape', 4)} AS mape FROM p JOIN m USING (series_id)""",
+
+    "forecast_lag2_events_daily": f"""
+WITH RECURSIVE s AS (SELECT series_id, ts, value, seq, n FROM ({seqd(EVD)})),
+c AS (SELECT series_id, min(value) AS mn, max(value) - min(value) AS span, max(n) AS n, max(ts) AS last_ts FROM s GROUP BY 1),
+x AS (SELECT s.series_id, s.seq, (value - mn) / span AS y FROM s JOIN c USING (series_id)),
+w AS (SELECT series_id, seq - 2 AS win, y, lag(y, 2) OVER o AS x1, lag(y, 1) OVER o AS x2 FROM x WINDOW o AS (PARTITION BY series_id ORDER BY seq)),
+t AS (SELECT w.*, floor((c.n - 2) * 0.8) AS train FROM w JOIN c USING (series_id) WHERE win >= 0),
+q AS (SELECT series_id, covar_pop(x1, x1) AS s11, covar_pop(x2, x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y,
+             covar_pop(x2, y) AS s2y, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM t WHERE win < train GROUP BY 1),
+b AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM q),
+f AS (SELECT series_id, b1, b2, my - b1 * m1 - b2 * m2 AS b0 FROM b),
+e AS (SELECT t.series_id, y * span + mn AS actual, (b0 + b1 * x1 + b2 * x2) * span + mn AS fc
+      FROM t JOIN f USING (series_id) JOIN c USING (series_id) WHERE win >= train),
+m AS (SELECT series_id, avg((actual - fc) ** 2) AS mse, avg(abs(actual - fc)) AS mae,
+             avg(CASE WHEN actual <> 0 THEN abs((actual - fc) / actual) END) * 100 AS mape FROM e GROUP BY 1),
+r(series_id, step, x1, x2) AS (
+  SELECT t.series_id, 0, x2, y FROM t JOIN c USING (series_id) WHERE win = n - 3
+  UNION ALL SELECT r.series_id, step + 1, x2, b0 + b1 * x1 + b2 * x2 FROM r JOIN f USING (series_id) WHERE step < 5),
+p AS (SELECT series_id, step, x2 * span + mn AS fc, last_ts + step * INTERVAL 1 DAY AS ts FROM r JOIN c USING (series_id) WHERE step > 0)
+SELECT series_id, step::INTEGER AS step, ts, {_r('fc', 4)} AS forecast, {_r('fc - 1.959963984540054 * sqrt(mse)', 4)} AS lower,
+       {_r('fc + 1.959963984540054 * sqrt(mse)', 4)} AS upper, {_r('mse', 4)} AS mse, {_r('sqrt(mse)', 4)} AS rmse,
+       {_r('mae', 4)} AS mae, {_r('mape', 4)} AS mape FROM p JOIN m USING (series_id)""",
+
     "forecast_constant_events": f"""
 WITH c AS (SELECT series_id, count(*) AS n, max(ts) AS last_ts FROM ({EV})
            WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1)
