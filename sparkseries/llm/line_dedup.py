@@ -8,11 +8,14 @@ longest-common-prefix intervals of the suffix array at that depth, nested from r
 A suffix whose name is its own only can share no longer prefix and leaves, so each round handles
 what is repeated at its depth alone, and the rounds end when no class has two members.
 
-Within an interval at the depth of ``2 ** min_depth`` lines or more the first suffix (by document
-id, then place) stays and the others are later copies: their lines are deleted.  The content of
-every deleted line remains at an earlier place.  Runs that overlap themselves shrink to their
-first period.  The shortest run is ``MIN_LINES`` lines in op2, whose rule OP2_SQL fixes, and one
-line in the pipeline's stage: there every later copy of a line goes, whatever its neighbours.
+Within an interval the first suffix (by document id, then place) stays and the others are later
+copies.  ``maximal_runs`` turns them into runs: a later place takes the first suffix of its deepest
+interval as its source, places whose sources follow each other make one run, and the run's exact
+length is the common prefix of its first place and that source, read off the names of the rounds
+from the deepest down (2**k lines further where the names of round k agree).  The lines of runs of
+``MIN_LINES`` lines or more are deleted; the content of every deleted line remains at an earlier
+place.  Runs that overlap themselves shrink to their first period.  A run of one line counts: it is
+a passage that recurs between different neighbours.
 
 Counting names is a grouped aggregate with map-side combine; a line that a third of all documents
 hold is one name there, and the join back is left to adaptive execution, which splits it.
@@ -29,9 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, materialize, table
 
-MIN_DEPTH = 1  # 2 ** MIN_DEPTH lines are the shortest run that op2 deletes, as in OP2_SQL
-MIN_LINES = 2 ** MIN_DEPTH
-STAGE_DEPTH = 0  # the pipeline's stage deletes runs of one line too
+MIN_LINES = 1
 MAX_ROUNDS = 40
 
 
@@ -53,13 +54,12 @@ def _shared(rows: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "th", "pos")
     first = rows.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     return (rows.join(first.select("name", "first"), "name")
-            .withColumn("later", place != F.col("first"))
-            .withColumn("from_doc", F.col("first.doc_id")).drop("first"))
+            .withColumn("later", place != F.col("first")))
 
 
 def repeated_suffixes(docs: DataFrame) -> list[DataFrame]:
-    """One table (doc_id, th, pos, raw, name, later, from_doc) per round k: the suffixes that
-    share 2**k lines with another one."""
+    """One table (doc_id, th, pos, raw, name, first, later) per round k: the suffixes that share
+    2**k lines with another one, and the first suffix of their interval."""
     rounds = []
     cur = line_table(docs)
     for k in range(MAX_ROUNDS):
@@ -78,29 +78,71 @@ def repeated_suffixes(docs: DataFrame) -> list[DataFrame]:
     return rounds
 
 
-def later_copies(rounds: list[DataFrame], min_depth: int = MIN_DEPTH) -> DataFrame:
-    """(doc_id, th, gone, longest): raw numbers of the lines to delete, and the longest shared
-    prefix (a power of two) of the runs they come from."""
-    if len(rounds) <= min_depth:
+def maximal_runs(rounds: list[DataFrame]) -> DataFrame:
+    """(doc_id, th, pos, src, length): repeated runs from ``pos`` on, as long as they agree with the
+    run at the place ``src`` (doc_id, th, pos), which is earlier and stays."""
+    each = None
+    for k, rows in enumerate(rounds):
+        part = rows.where("later").select("doc_id", "th", "pos", F.struct(F.lit(k).alias("k"), F.col("first").alias("src")).alias("m"))
+        each = part if each is None else each.union(part)
+    each = materialize(each.groupBy("doc_id", "th", "pos").agg(F.max_by("m", "m.k").alias("m"))
+                       .select("doc_id", "th", "pos", "m.k", "m.src"), "lines-later")
+    # a place whose predecessor is a later copy of its source's predecessor is inside a run
+    ahead = each.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), (F.col("pos") + 1).alias("p2"),
+                        F.col("src.doc_id").alias("sd"), F.col("src.th").alias("st"), (F.col("src.pos") + 1).alias("sp"))
+    inside = (F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("pos") == F.col("p2"))
+              & F.col("src.doc_id").eqNullSafe(F.col("sd")) & (F.col("src.th") == F.col("st")) & (F.col("src.pos") == F.col("sp")))
+    runs = each.join(ahead, inside, "left_anti").select(
+        "doc_id", "th", "pos", "k", "src", F.expr("shiftleft(1, k)").alias("length"))
+    runs = materialize(runs, "lines-runs")
+    for k in range(len(rounds) - 2, -1, -1):
+        own = rounds[k].select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("pos").alias("p2"), F.col("name").alias("n2"))
+        src = rounds[k].select(F.col("doc_id").alias("d3"), F.col("th").alias("t3"), F.col("pos").alias("p3"), F.col("name").alias("n3"))
+        grown = runs.where(F.col("k") > k).join(own, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))
+                                                & (F.col("pos") + F.col("length") == F.col("p2")))
+        grown = grown.join(src, F.col("src.doc_id").eqNullSafe(F.col("d3")) & (F.col("src.th") == F.col("t3"))
+                           & (F.col("src.pos") + F.col("length") == F.col("p3"))).where("n2 = n3")
+        grown = grown.select("doc_id", "th", "pos", F.lit(2 ** k).alias("more"))
+        keyed = grown.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("pos").alias("p2"), "more")
+        runs = materialize(runs.join(keyed, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("pos") == F.col("p2")), "left")
+                           .select("doc_id", "th", "pos", "k", "src", (F.col("length") + F.coalesce("more", F.lit(0))).alias("length")), "lines-runs")
+    return runs.drop("k")
+
+
+def later_copies(rounds: list[DataFrame], min_lines: int = MIN_LINES, exact: bool = True) -> DataFrame | None:
+    """(doc_id, th, gone, longest): raw numbers of the lines to delete, and the longest of the runs
+    they come from, in lines.
+
+    Runs of one line or more cover just the later places of the rounds; where only these are wanted
+    (not ``exact``), they are taken as they are, and ``longest`` is a power of two."""
+    if not rounds:
         return None
-    runs = None
-    for k, rows in enumerate(rounds[min_depth:], min_depth):
-        part = rows.where("later").select("doc_id", "th", "pos", F.lit(2 ** k).alias("depth"))
-        runs = part if runs is None else runs.union(part)
-    runs = runs.groupBy("doc_id", "th", "pos").agg(F.max("depth").alias("depth"))
-    starts = runs.select("doc_id", "th", F.explode(F.sequence(F.col("pos"), F.col("pos") + (2 ** min_depth - 1))).alias("pos"), "depth")
-    raw = rounds[0].select("doc_id", "th", "pos", "raw")
+    if not exact:
+        if min_lines != 1:
+            raise ValueError("a longer minimum needs exact runs")
+        places = None
+        for k, rows in enumerate(rounds):
+            part = rows.where("later").select("doc_id", "th", "pos", F.lit(2 ** k).alias("length"))
+            places = part if places is None else places.union(part)
+        return _gone(places.groupBy("doc_id", "th", "pos").agg(F.max("length").alias("length")), rounds[0])
+    runs = maximal_runs(rounds).where(F.col("length") >= min_lines)
+    starts = runs.select("doc_id", "th", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("pos"), "length")
+    return _gone(starts, rounds[0])
+
+
+def _gone(starts: DataFrame, lines: DataFrame) -> DataFrame:
+    raw = lines.select("doc_id", "th", "pos", "raw")
     d, t = F.col("x.doc_id"), F.col("x.th")
     joined = starts.alias("x").join(raw.alias("y"), d.eqNullSafe(F.col("y.doc_id")) & (t == F.col("y.th"))
                                     & (F.col("x.pos") == F.col("y.pos")))
     return (joined.groupBy(d.alias("doc_id"), t.alias("th"))
-            .agg(F.collect_set("raw").alias("gone"), F.max("depth").alias("longest")))
+            .agg(F.collect_set("raw").alias("gone"), F.max("length").alias("longest")))
 
 
-def dedup_lines(docs: DataFrame, min_depth: int = MIN_DEPTH) -> DataFrame:
-    """Every row of ``docs`` with ``__llm_lines``, ``__llm_gone`` (deleted lines),
-    ``__llm_longest`` and the text without its later copies in ``__llm_text``."""
-    gone = later_copies(repeated_suffixes(docs.select("doc_id", "text")), min_depth)
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, exact: bool = True) -> DataFrame:
+    """Every row of ``docs`` with ``__llm_lines``, ``__llm_gone`` (deleted lines), ``__llm_longest``
+    (lines of its longest run) and the text without its later copies in ``__llm_text``."""
+    gone = later_copies(repeated_suffixes(docs.select("doc_id", "text")), min_lines, exact)
     rows = docs.withColumn("__llm_th", F.xxhash64("text"))
     if gone is None:
         rows = rows.withColumn("__llm_set", F.lit(None).cast("array<int>")).withColumn("__llm_longest", F.lit(None).cast("int"))
@@ -137,13 +179,8 @@ WITH l AS (
 w AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw) AS pos
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS line2 FROM w),
-q AS (
-  SELECT *, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, pos) AS nth
-  FROM p WHERE line2 IS NOT NULL),
-g AS (
-  SELECT DISTINCT doc_id, pos FROM (
-    SELECT doc_id, pos FROM q WHERE nth > 1 UNION ALL SELECT doc_id, pos + 1 FROM q WHERE nth > 1)),
+q AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM w),
+g AS (SELECT doc_id, pos FROM q WHERE nth > 1),
 k AS (
   SELECT l.doc_id, count(g.pos) AS n_removed, count(*) AS n_lines,
          string_agg(l.line, chr(10) ORDER BY l.raw) FILTER (WHERE g.pos IS NULL) AS clean
@@ -157,9 +194,9 @@ FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
 
 
 def stage_line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated runs, runs of one line included.  A document none of whose lines is left goes:
-    all it said stands in earlier documents.  ``n_chars`` follows the new text."""
-    rows = dedup_lines(docs, STAGE_DEPTH)
+    """Texts without later copies of repeated runs.  A document none of whose lines is left goes: all it said
+    stands in earlier documents.  ``n_chars`` follows the new text."""
+    rows = dedup_lines(docs, exact=False)
     rows = rows.where((F.col("__llm_gone") == 0) | F.col("__llm_text").rlike(WORD_PATTERN))
     new = {"text": F.col("__llm_text")}
     if "n_chars" in docs.columns:

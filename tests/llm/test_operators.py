@@ -192,16 +192,45 @@ def test_forest_score_is_the_mean_path():
 
 def brute_lines(rows):
     texts = sorted({(some(r[0]), r[1]) for r in rows if r[1] is not None})
-    first, gone = {}, defaultdict(set)
+    seen, gone = set(), defaultdict(set)
     for d, t in texts:
-        some_lines = [(i, x) for i, x in enumerate(t.split("\n")) if WORD.search(x)]
-        for (i, x), (j, y) in zip(some_lines, some_lines[1:]):
-            if (x, y) in first:
-                gone[d, t] |= {i, j}
-            first.setdefault((x, y), d)
+        for i, x in enumerate(t.split("\n")):
+            if WORD.search(x):
+                if x in seen:
+                    gone[d, t].add(i)
+                seen.add(x)
     return {k: "\n".join(x for i, x in enumerate(k[1].split("\n")) if i not in gone[k]) for k in texts}
 
 
+def test_line_runs_are_exact(spark):
+    """Every run is the whole common prefix with its source, which is earlier; runs cover all later
+    copies and none begins inside another of the same source; a minimum keeps short runs."""
+    rng = np.random.default_rng(12)
+    data = [(i, "\n".join(f"line {x}" for x in rng.integers(0, 25 if i % 3 else 4, rng.integers(1, 40)))) for i in range(60)]
+    data += [(100, "\n\n".join(f"line {x}" for x in range(300))), (101, "\n".join(f"line {x}" for x in range(2, 299))), (102, "a\n" * 37)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    lines = {d: [x for x in t.split("\n") if WORD.search(x)] for d, t in data}
+    rounds = line_dedup.repeated_suffixes(df)
+    runs = line_dedup.maximal_runs(rounds).collect()
+    covered = set()
+    for r in runs:
+        a, b = lines[r["doc_id"]][r["pos"]:], lines[r["src"]["doc_id"]][r["src"]["pos"]:]
+        common = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert r["length"] == common and (r["src"]["doc_id"], r["src"]["pos"]) < (r["doc_id"], r["pos"])
+        covered |= {(r["doc_id"], r["pos"] + i) for i in range(common)}
+    seen, later = set(), set()
+    for d in sorted(lines):
+        for i, x in enumerate(lines[d]):
+            if x in seen:
+                later.add((d, i))
+            seen.add(x)
+    assert covered == later
+    assert max(r["length"] for r in runs) == 297
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, 30).collect()}
+    assert got[101]["__llm_gone"] == 297 and got[101]["__llm_longest"] == 297 and got[102]["__llm_gone"] == 36
+    assert sum(r["__llm_gone"] for r in got.values()) < len(later)
+
+
 def test_line_dedup(spark, docs, rows):
     one_text = [r for r in rows if r[0] != 11]  # an id of its own for each text
     df = spark.createDataFrame(one_text, SCHEMA)
