@@ -13,8 +13,8 @@ Plan:
    signature holds the parity of the hashes in each of 512 cells, so the bit count of the xor
    never exceeds the symmetric difference, and (a + b - count) / 2 bounds the overlap from above.
 4. Remaining pairs are decided by the exact intersection of the sorted shingle arrays.
-5. Components of these links.  Where a key still holds several components, its documents are
-   dealt into size-banded tiles (documents of one band against their own and the next band,
+5. Components of these links.  Where a key still holds several components (of keys with the same
+   documents, one is enough), its documents are dealt into size-banded tiles (documents of one band against their own and the next band,
    large tiles dealt on by hash), the pairs across components get the same bound and the exact
    intersection, and the components are formed again.  So no link is lost and pairs inside a
    component are never enumerated.
@@ -238,6 +238,15 @@ def _tile_pairs(members: DataFrame, pct: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _distinct_groups(members: DataFrame) -> DataFrame:
+    """``members`` of one key (the smallest) for each set of documents: keys with the same documents,
+    such as the shingles of one passage, would give the same pairs again."""
+    prints = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"),
+                                        F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    kept = materialize(prints.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "ngram-kept")
+    return members.join(kept, "key")
+
+
 def link_components(docs: DataFrame, n: int = 4, pct: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs(doc_id, text)``; documents link when
     100 * |A and B| >= pct * |A or B|."""
@@ -270,6 +279,7 @@ def link_components(docs: DataFrame, n: int = 4, pct: int = 85) -> DataFrame:
                  .where("lo <> hi").select("key"))
     members = named.join(open_keys, "key").join(
         side.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig"), "id")
+    members = _distinct_groups(materialize(members, "ngram-members"))
     rest = materialize(_tile_pairs(members, pct).join(tested, ["a", "b"], "left_anti"), "ngram-rest")
     if rest.limit(1).count():
         more = materialize(_exact(rest, docs, n, pct), "ngram-more")
