@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,7 +115,15 @@ def eda_report(long: DataFrame, max_chunk: int | None = None,
             ids, decompose.auto_decompose(clean, max_chunk=max_chunk), 10, per_point=True),
         "trend_analysis": lambda: _with_status(ids, stats.linear_trend(pieces.points(parts()).drop("n")), 5),
     }
-    return {name: build[name]() for name in sections}
+    def guarded(name: str) -> DataFrame:
+        """A section, or for every series a row that says why there is none: a job that fails while
+        one section is being planned leaves the others alone."""
+        try:
+            return build[name]()
+        except PySparkException as e:
+            return ids.select(SERIES, F.lit(f"failed: {e.getCondition() or type(e).__name__}").alias("status"))
+
+    return {name: guarded(name) for name in sections}
 
 
 def nested(sections: dict[str, DataFrame]) -> DataFrame:
@@ -126,7 +135,9 @@ def nested(sections: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in sections.items():
         cols = [c for c in df.columns if c != SERIES]
-        if name == "autocorrelation":
+        if cols == ["status"]:  # a section that failed
+            part = df.select(SERIES, F.struct(*cols).alias(name))
+        elif name == "autocorrelation":
             part = df.groupBy(SERIES).agg(
                 F.first("status").alias("_s"),
                 F.array_sort(F.collect_list(F.when(F.col("lag").isNotNull(), F.struct("lag", "acf", "pacf")))).alias("_l"))

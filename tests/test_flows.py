@@ -6,6 +6,8 @@ import tempfile
 
 import numpy as np
 import pytest
+from conftest import multi_long
+from pyspark.sql import functions as F
 
 from sparkseries.functions.jsonsafe import to_json_rows
 from sparkseries.operators import roles
@@ -76,3 +78,19 @@ def test_mixed_types_roles(spark):
     assert clean == {"int_values": 5, "float_values": 5, "nan_values": 3, "inf_values": 5}
     s = {r["series_id"]: r for r in reports.basic_report(long).collect()}
     assert s["nan_values"]["missing_values"] == 2 and math.isnan(s["inf_values"]["mean"])
+
+
+def test_report_survives_a_failing_section(spark, monkeypatch):
+    """One section whose side job fails: its rows say so, the other sections are there."""
+    from sparkseries.operators import diagnostics
+    from sparkseries.plans.reports import eda_report, nested
+
+    def broken(*a, **kw):
+        return spark.range(1).select(F.raise_error(F.lit("no"))).collect()
+
+    monkeypatch.setattr(diagnostics, "autocorrelation", broken)
+    long = multi_long(spark, {"a": [float(i % 7) for i in range(40)], "b": [1.0, 2.0]})
+    out = eda_report(long, sections=("autocorrelation", "trend_analysis"))
+    assert {r["status"].split(":")[0] for r in out["autocorrelation"].collect()} == {"failed"}
+    rows = {r["series_id"]: r for r in nested(out).collect()}
+    assert set(rows) == {"a", "b"} and rows["a"]["trend_analysis"]["status"] == "ok"
