@@ -138,13 +138,23 @@ class _Known:
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def places(self, texts: pa.Array) -> np.ndarray:
-        """The place of each text, -1 where it is new."""
-        return pc.fill_null(pc.index_in(texts, value_set=self.texts), -1).to_numpy(zero_copy_only=False)
-
-    def learn(self, texts: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The place of each of these distinct texts, -1 where it is new."""
+        at = np.full(len(texts), -1, np.int64)
+        if len(texts) < len(self.texts):  # the smaller side is hashed
+            found = pc.index_in(self.texts, value_set=texts)
+            known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            at[found.drop_null().to_numpy()] = known
+        elif len(self.texts):
+            at[:] = pc.fill_null(pc.index_in(texts, value_set=self.texts), -1).to_numpy(zero_copy_only=False)
+        return at
+
+    def learn(self, texts: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Adds texts; their places."""
+        first = len(self.texts)
         self.texts = pa.concat_arrays([self.texts, texts])
         self.flat = np.concatenate([self.flat, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return np.arange(first, first + len(texts))
 
     def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts at these places, one after the other, and how many each has."""
@@ -228,8 +238,8 @@ class _Encoder:
         parts = (itertools.islice(rest, n) if x else [u] * n for u, x, n in zip(units, latin, counts.tolist()))
         return list(itertools.chain.from_iterable(parts)), counts
 
-    def _learn(self, units: pa.Array) -> None:
-        """Units that are new, from their pre-tokens; of those, new ones from the library.
+    def _learn(self, units: pa.Array) -> np.ndarray:
+        """Places of units that are new, from their pre-tokens; of those, new ones from the library.
 
         A word alone is one pre-token and a word with signs after it two; the pattern cuts the rest."""
         alone = pc.match_substring_regex(units, f"^ ?{LETTERS}+$").to_numpy(zero_copy_only=False)
@@ -246,10 +256,12 @@ class _Encoder:
         at = self.words.places(coded.dictionary)
         if (at < 0).any():
             new = coded.dictionary.filter(pa.array(at < 0))
-            self.words.learn(new, *self._word_ids(new))
-            at = self.words.places(coded.dictionary)
+            at[at < 0] = self.words.learn(new, *self._word_ids(new))
         ids, sizes = self.words.ids(at[coded.indices.to_numpy()])
-        self.units.learn(units, ids, _sums(sizes, counts))
+        out = np.empty(len(units), np.int64)  # learnt in groups, asked for in their own order
+        out[np.concatenate([np.flatnonzero(alone), np.flatnonzero(two), np.flatnonzero(~(alone | two))])] = self.units.learn(
+            units, ids, _sums(sizes, counts))
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, as the library gives them, each with ``END_ID`` appended; how many each has."""
@@ -264,8 +276,7 @@ class _Encoder:
         coded = cut.flatten().dictionary_encode()
         at = self.units.places(coded.dictionary)
         if (at < 0).any():
-            self._learn(coded.dictionary.filter(pa.array(at < 0)))
-            at = self.units.places(coded.dictionary)
+            at[at < 0] = self._learn(coded.dictionary.filter(pa.array(at < 0)))
         ids, sizes = self.units.ids(at[coded.indices.to_numpy()])
         own = _sums(sizes, pc.list_value_length(cut).to_numpy())
         ids = np.insert(ids, np.cumsum(own), END_ID)
