@@ -98,14 +98,12 @@ def maximal_runs(rounds: list[DataFrame]) -> DataFrame:
     for k in range(len(rounds) - 2, -1, -1):
         own = rounds[k].select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("pos").alias("p2"), F.col("name").alias("n2"))
         src = rounds[k].select(F.col("doc_id").alias("d3"), F.col("th").alias("t3"), F.col("pos").alias("p3"), F.col("name").alias("n3"))
-        grown = runs.where(F.col("k") > k).join(own, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))
-                                                & (F.col("pos") + F.col("length") == F.col("p2")))
-        grown = grown.join(src, F.col("src.doc_id").eqNullSafe(F.col("d3")) & (F.col("src.th") == F.col("t3"))
-                           & (F.col("src.pos") + F.col("length") == F.col("p3"))).where("n2 = n3")
-        grown = grown.select("doc_id", "th", "pos", F.lit(2 ** k).alias("more"))
-        keyed = grown.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("pos").alias("p2"), "more")
-        runs = materialize(runs.join(keyed, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("pos") == F.col("p2")), "left")
-                           .select("doc_id", "th", "pos", "k", "src", (F.col("length") + F.coalesce("more", F.lit(0))).alias("length")), "lines-runs")
+        runs = runs.join(own, (F.col("k") > k) & F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))
+                         & (F.col("pos") + F.col("length") == F.col("p2")), "left")
+        runs = runs.join(src, F.col("n2").isNotNull() & F.col("src.doc_id").eqNullSafe(F.col("d3")) & (F.col("src.th") == F.col("t3"))
+                         & (F.col("src.pos") + F.col("length") == F.col("p3")), "left")
+        grown = F.when(F.col("n2") == F.col("n3"), 2 ** k).otherwise(0)
+        runs = materialize(runs.select("doc_id", "th", "pos", "k", "src", (F.col("length") + grown).alias("length")), "lines-runs")
     return runs.drop("k")
 
 
