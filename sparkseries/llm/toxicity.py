@@ -21,15 +21,15 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, materialize, table
 
 WINDOW_WORDS = 12
 TRAIN_ROWS = 10_000
@@ -37,6 +37,7 @@ CURVE_ROWS = 20_000
 ORDINARY_BYTES = 32_768
 MARK_BYTES = 2_048
 MARK_Z = 6.0
+SEEN_CONTEXTS = 200_000  # contexts a task holds before it sends them on
 LEVEL = 3
 THRESHOLD = 0.3
 N_FEATURES = 9
@@ -57,33 +58,63 @@ def ordinary_content(texts: list[str]) -> bytes:
         return b"".join(samples)[-ORDINARY_BYTES:]
 
 
-def marks(texts: list[str], toxic: list[int]) -> bytes:
-    """Words of toxic text, by the number of distinct contexts (the words before and after) in
-    which each is seen in toxic and in other documents; copies of a text add no context."""
-    seen = (defaultdict(set), defaultdict(set))
-    for text, kind in zip(texts, toxic):
-        words = ["", *WORD.findall((text or "").lower()), ""]
-        for i in range(1, len(words) - 1):
-            seen[kind][words[i]].add(hash((words[i - 1], words[i + 1])))
-    total = [sum(map(len, s.values())) for s in seen]
-    share = total[1] / max(sum(total), 1)
-    found = []
-    for w, contexts in seen[1].items():
-        t, n = len(contexts), len(contexts) + len(seen[0].get(w, ()))
-        z = (t - n * share) / np.sqrt(n * share * (1 - share) + 1)
-        if z >= MARK_Z and t >= 4 and len(w) >= 3:
-            found.append((z, w))
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, t, o): the distinct contexts (the words before and after) in which each word is seen in
+    toxic and in other documents of ``rows(text, toxic)``; copies of a text add no context."""
+    def run(batches):
+        for b in batches:
+            seen = [set(), set()]
+            for text, kind in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = ["", *WORD.findall((text or "").lower()), ""]
+                seen[kind].update(zip(words[1:-1], words, words[2:]))
+                if len(seen[kind]) >= SEEN_CONTEXTS:  # on it goes; the same context again is dropped later
+                    yield contexts(seen)
+                    seen = [set(), set()]
+            yield contexts(seen)
+
+    def contexts(seen):
+        each = [(w, xxhash.xxh3_64_intdigest(f"{a} {c}") - (1 << 63), k) for k in (0, 1) for w, a, c in seen[k]]
+        word, near, kind = zip(*each) if each else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(near, pa.int64()), pa.array(kind, pa.int32())],
+                                          names=["word", "near", "kind"])
+
+    found = rows.select("text", "toxic").mapInArrow(run, "word string, near long, kind int").distinct()
+    return found.groupBy("word").agg(F.sum("kind").cast("long").alias("t"), F.sum(1 - F.col("kind")).cast("long").alias("o"))
+
+
+def marks(rows: DataFrame) -> bytes:
+    """Words of toxic text, by the number of distinct contexts in toxic and in other documents."""
+    counts = materialize(word_counts(rows), "toxic-words")
+    toxic, other = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0))).first()
+    share = toxic / max(toxic + other, 1)
+    n = F.col("t") + F.col("o")
+    z = (F.col("t") - n * share) / F.sqrt(n * share * (1 - share) + 1)
+    # the strongest only: of words of three bytes or more, no more than this many have room
+    found = (counts.select("word", "t", z.alias("z")).where((F.col("z") >= MARK_Z) & (F.col("t") >= 4) & (F.length("word") >= 3))
+             .orderBy(F.desc("z"), F.desc("word")).limit(MARK_BYTES // 4 + 1).select("word").collect())
     out = b""
-    for _, w in sorted(found, reverse=True):  # the strongest end up last, nearest to the text
+    for (w,) in found:  # the strongest end up last, nearest to the text
         if len(out) + len(w.encode()) + 1 > MARK_BYTES:
             break
         out = b" " + w.encode() + out
     return out
 
 
-def fit_dictionaries(texts: list[str], toxic: list[int]) -> tuple[bytes, bytes]:
-    plain = ordinary_content([t for t, k in zip(texts, toxic) if not k])
-    return plain, marks(texts, toxic) + plain
+def ordinary_dictionary(rows: DataFrame) -> bytes:
+    """The ordinary dictionary of ``rows(doc_id, text)``, trained in a task: the training holds several
+    times the bytes of the (bounded) rows, which the driver does not see."""
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        return pa.table({"content": pa.array([ordinary_content([x or "" for x in t["text"].to_pylist()])], pa.binary())})
+
+    got = rows.select("doc_id", "text", F.lit(0).alias("one")).groupBy("one").applyInArrow(run, "content binary").first()
+    return bytes(got[0])
+
+
+def fit_dictionaries(rows: DataFrame) -> tuple[bytes, bytes]:
+    """The two dictionaries of ``rows(doc_id, text, toxic)``."""
+    plain = ordinary_dictionary(rows.where("toxic = 0"))
+    return plain, marks(rows) + plain
 
 
 class Distance:
@@ -145,7 +176,8 @@ class Model:
 
     def __init__(self, rows: DataFrame):
         self.curve = None
-        total = {r[0]: r[1] for r in rows.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+        rows = rows.where("toxic in (0, 1)")
+        total = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
         if len(total) < 2:
             return
 
@@ -153,13 +185,10 @@ class Model:
             share = size / sum(total.values())
             return rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30)))
 
-        texts, kinds = [], []
-        for r in sample(6, TRAIN_ROWS).select("text", "toxic").orderBy("doc_id").toLocalIterator():
-            texts.append(r[0] or "")
-            kinds.append(r[1])
-        if len(set(kinds)) < 2:
+        train = materialize(sample(6, TRAIN_ROWS).select("doc_id", "text", "toxic"), "toxic-train")
+        if train.select("toxic").distinct().count() < 2:
             return
-        self.dictionaries = fit_dictionaries(texts, kinds)
+        self.dictionaries = fit_dictionaries(train)
         data = features(sample(7, CURVE_ROWS), self.dictionaries, extra=["toxic"]).toPandas()
         self.curve = fit_curve(data[NAMES].to_numpy(float), data["toxic"].to_numpy(float))
 
