@@ -12,7 +12,8 @@ Plan:
    key's group is).  A pair stays if its sizes allow the similarity and the signatures do: the
    signature holds the parity of the hashes in each of 512 cells, so the bit count of the xor
    never exceeds the symmetric difference, and (a + b - count) / 2 bounds the overlap from above.
-4. Remaining pairs are decided by the exact intersection of the sorted shingle arrays.
+4. Long documents fill the 512 cells, so their remaining pairs get the same bound from
+   4096 cells first.  What remains is decided by the exact intersection of the sorted shingle arrays.
 5. Components of these links.  Where a key still holds several components (of keys with the same
    documents, one is enough), its documents are dealt into size-banded tiles (documents of one band against their own and the next band,
    large tiles dealt on by hash), the pairs across components get the same bound and the exact
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 from .common import components, materialize, table
 
 SIG_LONGS = 8
+WIDE_LONGS, WIDE_FROM = 64, 800  # the second signature and the set size from which a document has one
 SAMPLE_DOCS = 20_000
 MAX_FREQUENT = 100_000
 TILE = 256
@@ -79,9 +81,9 @@ def shingle_set(text: str | None, cache: WordHashes, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """Parity of the hashes in each of 512 cells, as longs."""
-    odd = (np.bincount((s >> np.uint64(20)).astype(np.int64) % (SIG_LONGS * 64), minlength=SIG_LONGS * 64) & 1)
+def signature(s: np.ndarray, longs: int = SIG_LONGS) -> np.ndarray:
+    """Parity of the hashes in each of 512 (64 a long) cells, as longs."""
+    odd = (np.bincount((s >> np.uint64(20)).astype(np.int64) % (longs * 64), minlength=longs * 64) & 1)
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -116,13 +118,13 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profiles(docs: DataFrame, n: int, pct: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sig, keys) per row."""
+    """(doc_id, n_shingles, h1, h2, sig, wide, keys) per row; ``wide`` is null below ``WIDE_FROM`` shingles."""
     seen = docs.sparkSession.sparkContext.broadcast(_frequent(docs, n))  # at most 16 * MAX_FREQUENT bytes
 
     def run(batches):
         cache, (frequent, ranks) = WordHashes(), seen.value
         for b in batches:
-            size, h1, h2, sig, keys = [], [], [], [], []
+            size, h1, h2, sig, wide, keys = [], [], [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, cache, n)
                 size.append(len(s))
@@ -130,6 +132,7 @@ def _profiles(docs: DataFrame, n: int, pct: int) -> DataFrame:
                 h1.append(d[0])
                 h2.append(d[1])
                 sig.append(signature(s))
+                wide.append(signature(s, WIDE_LONGS) if len(s) >= WIDE_FROM else None)
                 keys.append(_prefix(s, frequent, ranks, pct).view(np.int64) if len(s) else np.empty(0, np.int64))
             if size:
                 ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
@@ -137,23 +140,38 @@ def _profiles(docs: DataFrame, n: int, pct: int) -> DataFrame:
                     [b.column(0), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(np.arange(0, SIG_LONGS * len(sig) + 1, SIG_LONGS, dtype=np.int32)),
                                               pa.array(np.concatenate(sig))),
+                     pa.array(wide, pa.list_(pa.int64())),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
-                    names=["doc_id", "n_shingles", "h1", "h2", "sig", "keys"])
+                    names=["doc_id", "n_shingles", "h1", "h2", "sig", "wide", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>, keys array<long>")
+        run, "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>, wide array<long>, keys array<long>")
 
 
 def _may_link(pct: int):
     """Sizes and signatures of sides a and b allow the similarity (n_a, n_b, sig_a, sig_b)."""
     diff = sum((F.bit_count(F.col("sig_a")[i].bitwiseXOR(F.col("sig_b")[i])).cast("long") for i in range(SIG_LONGS)),
                F.lit(0).cast("long"))
+    return _allows(diff, pct)
+
+
+def _allows(diff, pct: int):
+    """Sizes allow the similarity, and a symmetric difference of at least ``diff`` does."""
     both = F.col("n_a") + F.col("n_b")
     most = F.floor((both - diff) / 2)
     sizes = 100 * F.least("n_a", "n_b") >= pct * F.greatest("n_a", "n_b")
     return sizes & (100 * most >= pct * (both - most))
 
 
+def _wide_pairs(pairs: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) that the wide signatures allow; where a side has none, the pair stays."""
+    for c in "ab":
+        pairs = pairs.join(nodes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")), c)
+    odd = F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    diff = F.aggregate(odd, F.lit(0).cast("long"), lambda total, x: total + x)
+    return pairs.where(_allows(F.coalesce(diff, F.lit(0).cast("long")), pct)).select("a", "b").distinct()
+
+
 def _exact(pairs: DataFrame, docs: DataFrame, n: int, pct: int) -> DataFrame:
     """Pairs (a, b) whose shingle sets have 100 * intersection >= pct * union."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -255,7 +273,7 @@ def link_components(docs: DataFrame, n: int = 4, pct: int = 85) -> DataFrame:
     rep = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     same = sets.join(rep, ["h1", "h2"])
     equal = same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    nodes = same.where("doc_id = rep").select("doc_id", "n_shingles", "sig", "keys").dropDuplicates(["doc_id", "n_shingles", "sig"])
+    nodes = same.where("doc_id = rep").select("doc_id", "n_shingles", "sig", "wide", "keys").dropDuplicates(["doc_id", "n_shingles", "sig"])
     nodes = materialize(nodes, "ngram-nodes")
     keys = nodes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     hubs = (keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count(F.lit(1)).alias("m"))
@@ -270,7 +288,8 @@ def link_components(docs: DataFrame, n: int = 4, pct: int = 85) -> DataFrame:
         return p
 
     tested = materialize(with_sides(star).where(_may_link(pct)).select("a", "b").distinct(), "ngram-pairs")
-    links = materialize(_exact(tested, docs, n, pct).union(equal), "ngram-links")
+    close = materialize(_wide_pairs(tested, nodes, pct), "ngram-close")
+    links = materialize(_exact(close, docs, n, pct).union(equal), "ngram-links")
     comp = components(links)
     # keys of three or more documents that are not one component yet
     wide = shared.where("m > 2").select("key", "id").distinct()
@@ -280,7 +299,8 @@ def link_components(docs: DataFrame, n: int = 4, pct: int = 85) -> DataFrame:
     members = named.join(open_keys, "key").join(
         side.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig"), "id")
     members = _distinct_groups(materialize(members, "ngram-members"))
-    rest = materialize(_tile_pairs(members, pct).join(tested, ["a", "b"], "left_anti"), "ngram-rest")
+    rest = _tile_pairs(members, pct).join(tested, ["a", "b"], "left_anti")
+    rest = materialize(_wide_pairs(rest, nodes, pct), "ngram-rest")
     if rest.limit(1).count():
         more = materialize(_exact(rest, docs, n, pct), "ngram-more")
         if more.limit(1).count():
