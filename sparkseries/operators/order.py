@@ -86,7 +86,9 @@ def with_seq(long: DataFrame, order: Sequence[str] = (TS, TB), seq_col: str = SE
 
     spark = long.sparkSession
     big_total = int(sizes.where(F.col("n") > limit).agg(F.sum("n")).first()[0] or 0)
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-big_total // limit)))
+    # sorting spills, so a range may hold more rows than a chunk: the sampled boundaries and the task
+    # results that reach the driver grow with the ranges
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-big_total // max(limit, DEFAULT_CHUNK_ROWS)))
     # The sampled range boundaries and the partition-local ids are only reproducible if the
     # tagged rows are read back from one materialisation: a recomputation may sample different
     # boundaries.  So the tagged rows are checkpointed (shared folder) before both uses.
