@@ -22,6 +22,11 @@ DEFAULT_CHUNK_ROWS = 1 << 20
 DEFAULT_BROADCAST_ROWS = 1_000_000
 DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
 
+#: Bytes of an Arrow batch that a Python worker gets: rows that hold a run of points each (pieces of a
+#: series) would otherwise arrive 10,000 at a time.
+CONF_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+MAX_BATCH_BYTES = 16 * 1024 * 1024
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "sparkseries") -> SparkSession:
@@ -71,13 +76,15 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a private one only for local masters.
 
-    Also ships the package to the Python workers once per context and pins the SQL
-    session time zone to UTC: every time in the long layout is zone-free
-    (TIMESTAMP_NTZ) and epoch arithmetic must not shift with the session zone."""
+    Also ships the package to the Python workers once per context, bounds the bytes of
+    their batches and pins the SQL session time zone to UTC: every time in the long layout
+    is zone-free (TIMESTAMP_NTZ) and epoch arithmetic must not shift with the session zone."""
     sc = spark.sparkContext
     ship_package(spark)
     if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if not 0 < conf_bytes(spark, CONF_BATCH_BYTES, 0) <= MAX_BATCH_BYTES:
+        spark.conf.set(CONF_BATCH_BYTES, str(MAX_BATCH_BYTES))
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -98,6 +105,12 @@ def conf_int(spark: SparkSession, key: str, default: int) -> int:
     return int(value) if value not in (None, "") else default
 
 
+def conf_bytes(spark: SparkSession, key: str, default: int) -> int:
+    """A size in bytes; the default where it is unset or written with a unit."""
+    value = spark.conf.get(key, None) or ""
+    return int(value) if value.lstrip("-").isdigit() else default
+
+
 def checkpoint(df):
     """Reliable checkpoint in the session's shared folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
