@@ -67,7 +67,7 @@ def repeated_suffixes(docs: DataFrame) -> list[DataFrame]:
         if k == 0:
             rows = rows.dropDuplicates(["doc_id", "th", "pos"])
         rows = materialize(rows, f"lines-{k}")
-        if not rows.limit(1).count():
+        if rows.isEmpty():
             break
         rounds.append(rows)
         ahead = rows.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"),

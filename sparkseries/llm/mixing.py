@@ -104,8 +104,7 @@ def solve_dual(counts: DataFrame, targets: DataFrame, max_copies: int = MAX_COPI
                          .when((newton > F.col("lo")) & (newton < F.col("hi")), newton)
                          .otherwise((F.col("lo") + F.col("hi")) / 2).alias("lam"), "lo", "hi", "gap")
         state = materialize(nxt, "mix-dual")
-        worst = state.agg(F.max("gap")).first()[0]
-        if worst is None or worst <= TOLERANCE:
+        if state.where(F.col("gap") > TOLERANCE).isEmpty():
             break
     return state.select("src", "scale", "target", "lam")
 

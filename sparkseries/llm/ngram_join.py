@@ -31,7 +31,6 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -98,7 +97,8 @@ def _prefix(s: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, pct: int) ->
 
 def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles seen twice or more in a sample of about ``SAMPLE_DOCS`` documents, with
-    their sampled counts (at most ``MAX_FREQUENT`` of them come to the driver)."""
+    their sampled counts: the most frequent, about ``MAX_FREQUENT`` of them.  Only these come to the
+    driver, with one row for each count; a sorted limit would send it as many rows from every task."""
     total = max(docs.count(), 1)
     parts = max(1, total // SAMPLE_DOCS)
 
@@ -110,11 +110,26 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s).view(np.int64))], names=["h"])
 
     rows = (docs.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(parts)) == 0).select("text")
-            .mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-            .where("c >= 2").orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).toPandas())
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
+            .mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c >= 2"))
+    rows = materialize(rows, "ngram-frequent")
+    sizes = {r["c"]: r["n"] for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, most = _frequent_cut(sizes)
+    rows = rows.where((F.col("c") > least) | ((F.col("c") == least) & (F.col("h") <= most))).toArrow()
+    h = rows["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], rows["c"].to_numpy(np.int64)[order]
+    return h[order], rows["c"].to_numpy()[order]
+
+
+def _frequent_cut(sizes: dict[int, int]) -> tuple[int, int]:
+    """(count, hash): above that count all shingles are taken, at it those up to that hash, so that
+    they are about ``MAX_FREQUENT``; ``sizes`` has the number of shingles of each count, and hashes
+    are uniform."""
+    room = MAX_FREQUENT
+    for c in sorted(sizes, reverse=True):
+        if sizes[c] > room:
+            return c, (room << 64) // sizes[c] - (1 << 63)
+        room -= sizes[c]
+    return 0, 0
 
 
 def _profiles(docs: DataFrame, n: int, pct: int) -> DataFrame:
@@ -194,7 +209,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, n: int, pct: int) -> DataFrame:
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 hit.append(100 * common >= pct * (len(left) + len(right) - common) > 0)
             if a:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"a": a, "b": b})[hit], preserve_index=False)
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(hit))
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -301,9 +316,9 @@ def link_components(docs: DataFrame, n: int = 4, pct: int = 85) -> DataFrame:
     members = _distinct_groups(materialize(members, "ngram-members"))
     rest = _tile_pairs(members, pct).join(tested, ["a", "b"], "left_anti")
     rest = materialize(_wide_pairs(rest, nodes, pct), "ngram-rest")
-    if rest.limit(1).count():
+    if not rest.isEmpty():
         more = materialize(_exact(rest, docs, n, pct), "ngram-more")
-        if more.limit(1).count():
+        if not more.isEmpty():
             comp = components(links.union(more))
     out = prof.select("doc_id", "n_shingles").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
