@@ -20,6 +20,10 @@ a passage that recurs between different neighbours.
 Counting names is a grouped aggregate with map-side combine; a line that a third of all documents
 hold is one name there, and the join back is left to adaptive execution, which splits it.
 
+Every side of a join grows with the data, and Spark sizes it by the files it comes from: places
+compress to a few bits each, and a run is one row before its lines are.  So all joins are merge
+joins at every size, and none is ever broadcast.
+
 Defined results: null text has no lines and stays null; blank lines are passed over and stay;
 rows equal in doc_id and text are one document (all get the same result); an empty table gives
 an empty result; other columns are ignored by the operator and kept by the stage.
@@ -53,7 +57,7 @@ def _shared(rows: DataFrame) -> DataFrame:
     """Suffixes whose name others have too, with ``later``: not the first of their interval."""
     place = F.struct("doc_id", "th", "pos")
     first = rows.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    return (rows.join(first.select("name", "first"), "name")
+    return (rows.join(first.select("name", "first").hint("merge"), "name")
             .withColumn("later", place != F.col("first")))
 
 
@@ -71,7 +75,7 @@ def repeated_suffixes(docs: DataFrame) -> list[DataFrame]:
             break
         rounds.append(rows)
         ahead = rows.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"),
-                            (F.col("pos") - F.lit(2 ** k)).alias("p2"), F.col("name").alias("then"))
+                            (F.col("pos") - F.lit(2 ** k)).alias("p2"), F.col("name").alias("then")).hint("merge")
         cur = (rows.join(ahead, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))
                          & (F.col("pos") == F.col("p2")))
                .select("doc_id", "th", "pos", "raw", F.xxhash64("name", "then").alias("name")))
@@ -89,22 +93,24 @@ def maximal_runs(rounds: list[DataFrame]) -> DataFrame:
                        .select("doc_id", "th", "pos", "m.k", "m.src"), "lines-later")
     # a place whose predecessor is a later copy of its source's predecessor is inside a run
     ahead = each.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), (F.col("pos") + 1).alias("p2"),
-                        F.col("src.doc_id").alias("sd"), F.col("src.th").alias("st"), (F.col("src.pos") + 1).alias("sp"))
+                        F.col("src.doc_id").alias("sd"), F.col("src.th").alias("st"), (F.col("src.pos") + 1).alias("sp")).hint("merge")
     inside = (F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("pos") == F.col("p2"))
               & F.col("src.doc_id").eqNullSafe(F.col("sd")) & (F.col("src.th") == F.col("st")) & (F.col("src.pos") == F.col("sp")))
     runs = each.join(ahead, inside, "left_anti").select(
         "doc_id", "th", "pos", "k", "src", F.expr("shiftleft(1, k)").alias("length"))
     runs = materialize(runs, "lines-runs")
-    for k in range(len(rounds) - 2, -1, -1):
+    grown = runs.where(F.col("k") == len(rounds) - 1)
+    for k in range(len(rounds) - 2, -1, -1):  # only runs of deeper rounds can agree that much further
         own = rounds[k].select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("pos").alias("p2"), F.col("name").alias("n2"))
         src = rounds[k].select(F.col("doc_id").alias("d3"), F.col("th").alias("t3"), F.col("pos").alias("p3"), F.col("name").alias("n3"))
-        runs = runs.join(own, (F.col("k") > k) & F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))
-                         & (F.col("pos") + F.col("length") == F.col("p2")), "left")
-        runs = runs.join(src, F.col("n2").isNotNull() & F.col("src.doc_id").eqNullSafe(F.col("d3")) & (F.col("src.th") == F.col("t3"))
+        more = grown.join(own.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))
+                          & (F.col("pos") + F.col("length") == F.col("p2")), "left")
+        more = more.join(src.hint("merge"), F.col("n2").isNotNull() & F.col("src.doc_id").eqNullSafe(F.col("d3")) & (F.col("src.th") == F.col("t3"))
                          & (F.col("src.pos") + F.col("length") == F.col("p3")), "left")
-        grown = F.when(F.col("n2") == F.col("n3"), 2 ** k).otherwise(0)
-        runs = materialize(runs.select("doc_id", "th", "pos", "k", "src", (F.col("length") + grown).alias("length")), "lines-runs")
-    return runs.drop("k")
+        far = F.when(F.col("n2") == F.col("n3"), 2 ** k).otherwise(0)
+        more = materialize(more.select("doc_id", "th", "pos", "k", "src", (F.col("length") + far).alias("length")), "lines-runs")
+        grown = more.union(runs.where(F.col("k") == k))
+    return grown.drop("k")
 
 
 def later_copies(rounds: list[DataFrame], min_lines: int = MIN_LINES, exact: bool = True) -> DataFrame | None:
@@ -129,7 +135,7 @@ def later_copies(rounds: list[DataFrame], min_lines: int = MIN_LINES, exact: boo
 
 
 def _gone(starts: DataFrame, lines: DataFrame) -> DataFrame:
-    raw = lines.select("doc_id", "th", "pos", "raw")
+    raw = lines.select("doc_id", "th", "pos", "raw").hint("merge")
     d, t = F.col("x.doc_id"), F.col("x.th")
     joined = starts.alias("x").join(raw.alias("y"), d.eqNullSafe(F.col("y.doc_id")) & (t == F.col("y.th"))
                                     & (F.col("x.pos") == F.col("y.pos")))
@@ -148,7 +154,6 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, exact: bool = True)
         gone = materialize(gone, "lines-gone").select(
             F.col("doc_id").alias("__llm_id"), F.col("th").alias("__llm_th2"), F.col("gone").alias("__llm_set"),
             F.col("longest").alias("__llm_longest"))
-        # a merge join at every size: the side grows with the data, so it is never broadcast
         rows = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_th") == F.col("__llm_th2")), "left")
     lines = _lines(F.col("text"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__llm_set"))
