@@ -31,7 +31,7 @@ an empty result; other columns are ignored by the operator and kept by the stage
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, materialize, table
@@ -113,24 +113,17 @@ def maximal_runs(rounds: list[DataFrame]) -> DataFrame:
     return grown.drop("k")
 
 
-def later_copies(rounds: list[DataFrame], min_lines: int = MIN_LINES, exact: bool = True) -> DataFrame | None:
+def later_copies(rounds: list[DataFrame], min_lines: int = MIN_LINES) -> DataFrame | None:
     """(doc_id, th, gone, longest): raw numbers of the lines to delete, and the longest of the runs
-    they come from, in lines.
-
-    Runs of one line or more cover just the later places of the rounds; where only these are wanted
-    (not ``exact``), they are taken as they are, and ``longest`` is a power of two."""
+    they come from, in lines."""
     if not rounds:
         return None
-    if not exact:
-        if min_lines != 1:
-            raise ValueError("a longer minimum needs exact runs")
-        places = None
-        for k, rows in enumerate(rounds):
-            part = rows.where("later").select("doc_id", "th", "pos", F.lit(2 ** k).alias("length"))
-            places = part if places is None else places.union(part)
-        return _gone(places.groupBy("doc_id", "th", "pos").agg(F.max("length").alias("length")), rounds[0])
     runs = maximal_runs(rounds).where(F.col("length") >= min_lines)
-    starts = runs.select("doc_id", "th", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("pos"), "length")
+    # runs of several sources overlap; each place is taken once, and a run inside another is no longer than it
+    before = Window.partitionBy("doc_id", "th").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("pos") + F.col("length")
+    runs = runs.select("doc_id", "th", "length", F.greatest("pos", F.max(end).over(before)).alias("lo"), end.alias("end"))
+    starts = runs.where("lo < end").select("doc_id", "th", F.explode(F.sequence(F.col("lo"), F.col("end") - 1)).alias("pos"), "length")
     return _gone(starts, rounds[0])
 
 
@@ -143,10 +136,10 @@ def _gone(starts: DataFrame, lines: DataFrame) -> DataFrame:
             .agg(F.collect_set("raw").alias("gone"), F.max("length").alias("longest")))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, exact: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """Every row of ``docs`` with ``__llm_lines``, ``__llm_gone`` (deleted lines), ``__llm_longest``
     (lines of its longest run) and the text without its later copies in ``__llm_text``."""
-    gone = later_copies(repeated_suffixes(docs.select("doc_id", "text")), min_lines, exact)
+    gone = later_copies(repeated_suffixes(docs.select("doc_id", "text")), min_lines)
     rows = docs.withColumn("__llm_th", F.xxhash64("text"))
     if gone is None:
         rows = rows.withColumn("__llm_set", F.lit(None).cast("array<int>")).withColumn("__llm_longest", F.lit(None).cast("int"))
@@ -199,7 +192,7 @@ FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
 def stage_line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated runs.  A document none of whose lines is left goes: all it said
     stands in earlier documents.  ``n_chars`` follows the new text."""
-    rows = dedup_lines(docs, exact=False)
+    rows = dedup_lines(docs)
     rows = rows.where((F.col("__llm_gone") == 0) | F.col("__llm_text").rlike(WORD_PATTERN))
     new = {"text": F.col("__llm_text")}
     if "n_chars" in docs.columns:

@@ -6,7 +6,7 @@ import pytest
 from conftest import SF_SMALL
 
 import corpus_pipeline
-from sparkseries.llm import quality
+from sparkseries.llm import line_dedup, quality
 from sparkseries.llm.common import materialize, table
 from .test_operators import WORD, brute_components, tokenizers_  # noqa: F401
 
@@ -35,6 +35,20 @@ def test_line_stage_leaves_each_line_once(stages):
     assert set(lines) == before and set(lines.values()) == {1}
 
 
+def test_line_stage_deletes_exact_runs(spark, monkeypatch):
+    """The stage works out the runs with their exact lengths, as the operator does."""
+    said = []
+    maximal_runs = line_dedup.maximal_runs
+    monkeypatch.setattr(line_dedup, "maximal_runs", lambda rounds: said.append(maximal_runs(rounds)) or said[-1])
+    run = "\n".join(f"line {x}" for x in range(5))
+    data = [(1, f"{run}\nfirst"), (2, f"second\n{run}\nline 1"), (3, run), (4, "own")]
+    out = line_dedup.stage_line_dedup(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    assert sorted(rows(out)) == [(1, f"{run}\nfirst"), (2, "second"), (4, "own")]
+    assert len(said) == 1
+    runs = {(r["doc_id"], r["pos"]): (r["src"]["doc_id"], r["src"]["pos"], r["length"]) for r in said[0].collect()}
+    assert runs == {(2, 1): (1, 0, 5), (2, 6): (1, 1, 1), (3, 0): (1, 0, 5)}
+
+
 def test_one_document_of_each_group_stays(stages):
     component = brute_components(rows(stages[2]), 5, 80)
     assert sorted(d for d, _ in rows(stages[3])) == sorted(d for d, c in component.items() if d == c)
